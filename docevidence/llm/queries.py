@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docevidence.llm import bpe, chat_format, token_counts, topk_search
+from docevidence.llm import bpe, chat_format, id_store, token_counts, topk_search
 from docevidence.llm.common import Scratch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,11 +41,18 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(rows.filter(F.col("vec_id") % 50 == 0), rows, 5, "vec_id", "weights").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "id-store").path("store")
+    id_store.write_store(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return id_store.read_store(spark, path)
+
+
 QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_token_counts": op7_token_counts,
     "op9_exact_topk": op9_exact_topk,
+    "op10_id_store": op10_id_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
