@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docevidence.llm import bpe, chat_format, id_store, token_counts, topk_search
+from docevidence.llm import bpe, chat_format, id_store, mixing, token_counts, topk_search
 from docevidence.llm.common import Scratch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.plan_mix(read_table(spark, sf_dir, "documents"), "doc_id", "source", mixing.word_count(F.col("text")))
+    out = mixing.taken_words(mix).join(mix.sources.select("source_no", "source_size", "target"), "source_no")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk_search.integer_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk_search.search(rows.filter(F.col("vec_id") % 50 == 0), rows, 5, "vec_id", "weights").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -51,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_source_mix": op8_source_mix,
     "op9_exact_topk": op9_exact_topk,
     "op10_id_store": op10_id_store,
 }
