@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docevidence.llm import bpe, chat_format, id_store, mixing, token_counts, topk_search
+from docevidence.llm import bpe, chat_format, id_store, mixing, paragraph_sketch, token_counts, topk_search
 from docevidence.llm.common import Scratch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.edit_and_compare(read_table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -54,6 +58,7 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_paragraph_sketch": op1_paragraph_sketch,
     "op2_chat_format": op2_chat_format,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_token_counts": op7_token_counts,
