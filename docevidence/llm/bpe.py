@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from docevidence.llm.common import map_batches
 from docevidence.llm.text_units import UnitEncoder
 
-PAIR_MEMO = 500_000
+PAIR_MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -183,7 +183,7 @@ def decode_ids(packed: Iterable[bytes | None], path: str) -> list[bytes | None]:
     return out
 
 
-def encode_column(df: DataFrame, text_col: str, ranks_path: str, pattern: str, keep: list[str], out_col: str = "ids", unit_memo: int = 600_000) -> DataFrame:
+def encode_column(df: DataFrame, text_col: str, ranks_path: str, pattern: str, keep: list[str], out_col: str = "ids", unit_memo: int = 250_000) -> DataFrame:
     """Adds ``out_col``: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
     ``keep`` names the columns that pass through; a null or empty text gives empty bytes; rows are kept one by one,

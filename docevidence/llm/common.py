@@ -48,13 +48,14 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
-def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``fn`` maps one Arrow record batch to one record batch (or None)."""
+def map_batches(df: DataFrame, fn: Callable, schema: str, most_rows: int = 1000) -> DataFrame:
+    """``fn`` maps one Arrow record batch, of ``most_rows`` rows at most, to one record batch (or None)."""
 
     def run(batches: Iterable) -> Iterator:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
-                yield out
+        for whole in batches:
+            for at in range(0, whole.num_rows, most_rows):
+                if (out := fn(whole.slice(at, most_rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

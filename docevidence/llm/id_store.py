@@ -113,7 +113,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
         refs = pa.list_(pa.struct([("id", pa.int64()), ("row", pa.int64()), ("no", pa.int32())]))
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int32()), pa.array([x[1] for x in found.values()], pa.binary()), pa.array([x[2] for x in found.values()], refs)], ["digest", "n", "payload", "refs"])
 
-    chunks = map_batches(rows, cut, "digest binary, n int, payload binary, refs array<struct<id bigint, row bigint, no int>>")
+    chunks = map_batches(rows, cut, "digest binary, n int, payload binary, refs array<struct<id bigint, row bigint, no int>>", 5000)
     first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("refs")[0]["row"], F.col("refs")[0]["no"])) == 1
     chunks.select("digest", "n", F.when(first, F.col("payload")).alias("payload"), "refs").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
 
