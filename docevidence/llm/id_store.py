@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from docevidence.llm.common import map_batches, with_row_key
 from docevidence.llm.hf_counts import library_encoder
 
-WINDOW, LEAST, MEAN_BITS, MOST = 16, 256, 10, 8192
+WINDOW, LEAST, MEAN_BITS, MOST = 8, 256, 10, 8192
 SHARD_DOCS = 4096
 CRC_POLYNOMIAL = 0xEDB88320
 

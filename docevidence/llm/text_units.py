@@ -7,9 +7,11 @@ between non-spaces; the ids of the pieces, in order, are the ids of the text. An
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
+_MARKS = (",", ".", "!", "?")
 _CUT = re.compile(r"(?= \S)")
 
 
@@ -18,11 +20,15 @@ class _Memo(dict):
 
     def __init__(self, prefix: str, encode: Callable[[str], bytes], limit: int):
         self.prefix, self.encode, self.limit = prefix, encode, limit
+        self.mark = functools.lru_cache(maxsize=len(_MARKS))(encode)
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        out = self.encode(self.prefix + unit)
+        if unit[-1:] in _MARKS and unit[-2:-1].isalpha():  # a mark behind a letter is a match of its own
+            out = self[unit[:-1]] + self.mark(unit[-1])
+        else:
+            out = self.encode(self.prefix + unit)
         if len(unit) <= 64:
             self[unit] = out
         return out
