@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docevidence.llm import bpe, chat_format, id_store, mixing, paragraph_sketch, token_counts, topk_search, toxicity
+from docevidence.llm import bpe, chat_format, id_store, mixing, near_dup, paragraph_sketch, token_counts, topk_search, toxicity
 from docevidence.llm.common import Scratch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.group(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op1_paragraph_sketch": op1_paragraph_sketch,
     "op2_chat_format": op2_chat_format,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_near_dup": op5_near_dup,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_source_mix": op8_source_mix,
