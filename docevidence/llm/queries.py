@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docevidence.llm import bpe, chat_format, id_store, mixing, near_dup, paragraph_sketch, token_counts, topk_search, toxicity
+from docevidence.llm import bpe, chat_format, id_store, line_dedup, mixing, near_dup, paragraph_sketch, token_counts, topk_search, toxicity
 from docevidence.llm.common import Scratch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.group(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op1_paragraph_sketch": op1_paragraph_sketch,
     "op2_chat_format": op2_chat_format,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_dup": op5_near_dup,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
