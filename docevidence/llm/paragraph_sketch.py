@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
-A paragraph is a line, and in a line each sentence. Its 64-bit digest goes to one cell in each of three subtables; a cell holds a
+A paragraph is a line; a line of more than LONG_LINE characters counts sentence by sentence. Its 64-bit digest goes to one cell in each of three subtables; a cell holds a
 count, the xor of its digests and the xor of their check values. Subtracting the sketches of two versions leaves what only one of
 them has; cells with a single digest give it away, and taking it out of its other cells makes more such cells, until nothing is
 left (both differences are known) or nothing is single (failure). On failure the same is tried with sketches of more groups: a
@@ -19,7 +19,8 @@ TABLES, TABLE_CELLS = 3, 8
 CELLS = TABLES * TABLE_CELLS
 GROUP_DIGESTS = 6
 RETRIES = 5
-PARAGRAPH = r"\n|(?<=[.!?]) "
+LONG_LINE = 2000
+SENTENCE = r"(?<=[.!?]) "
 BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
 
 
@@ -29,7 +30,8 @@ def _shift(x: Column, n: Column | int) -> Column:
 
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs; null and empty texts have none."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda p: p != "")
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: p != "")
+    parts = F.flatten(F.transform(lines, lambda p: F.when(F.length(p) > LONG_LINE, F.split(p, SENTENCE)).otherwise(F.array(p))))
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -94,6 +96,7 @@ def _peel(cells: Column, most: Column) -> Column:
         return F.coalesce(F.try_element_at(after, F.lit(1)), state)
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("added"), F.lit(0).alias("gone"))
+    most = F.least(most, F.lit(CELLS))  # a cell gives away one digest at most
     steps = F.slice(F.sequence(F.lit(1), most + 1), F.lit(1), most)
     return F.aggregate(steps, start, step, lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0)).alias("sound"), s["added"].alias("added"), s["gone"].alias("gone")))
 
@@ -123,10 +126,10 @@ def likeness(d_a: Column, d_b: Column, small_a: Column, small_b: Column) -> Colu
     other's way (64 equal bits but for a few) are compared as they are."""
     n_a, n_b = F.size(d_a), F.size(d_b)
     bits = F.greatest(_bits(n_a), _bits(n_b))
-    tries = [_likeness(difference(small_a, small_b), n_a, n_b)]
-    tries += [_likeness(difference(sketch(d_a, bits + more), sketch(d_b, bits + more)), n_a, n_b) for more in range(RETRIES + 1)]
+    small = _likeness(difference(small_a, small_b), n_a, n_b)
+    larger = F.aggregate(_count_to(RETRIES + 1), small, lambda got, more: F.coalesce(got, _likeness(difference(sketch(d_a, bits + more), sketch(d_b, bits + more)), n_a, n_b)))
     both = F.size(F.array_intersect(d_a, d_b))
-    return F.coalesce(*tries, both / (n_a + n_b - both))
+    return F.coalesce(larger, both / (n_a + n_b - both))
 
 
 def fingerprint(groups: Column) -> Column:
