@@ -1,17 +1,65 @@
-"""A cleaning pipeline over ``documents``: toxicity, line dedup, near-duplicates, mixing, tokens."""
+"""A cleaning pipeline over ``documents``: toxicity, line dedup, near-duplicates, mixing, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's ``docs``. All
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docevidence.llm import bpe, line_dedup, mixing, near_dup, toxicity
+from docevidence.llm.common import Scratch, read_table, with_row_key
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, docs.columns, out_col="__score").filter("__score < 0.5").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go, and with them documents that were nothing else."""
+    out = line_dedup.dedup_lines(docs)
+    out = out.filter((F.size("removed") == 0) | (F.size("removed") < F.col("n_lines")))
+    return out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    rows = with_row_key(docs, "__row")
+    kept = near_dup.group(rows, row_col="__row").filter("kept").select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    return mixing.mixed_documents(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, decoded again for control."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.decode_column(bpe.encode_column(docs, "text", ranks, public_tokenizers.PATTERN, ["doc_id"]), "ids", ranks)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-from docevidence.llm.common import Scratch, read_table
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("source_mix", mix_sources),
+    ("byte_bpe", encode),
+]
 
-STAGES: list = []
+#: Hash orders, learned scores and a tokenizer decide here, which SQL can't express; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages in order; each stage's rows are written as Parquet and read again for the next."""
+    """Applies the stages in order."""
     docs = read_table(spark, sf_dir, "documents")
     work = Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):

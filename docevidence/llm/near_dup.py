@@ -139,16 +139,18 @@ def components(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
         old, k = mark, k + 1
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = 85) -> DataFrame:
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = 85, row_col: str | None = None) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id it is linked with over any number of links, its own
     included) and kept (id = component_id). Rows are linked if 100 * intersection >= least_percent * union of their sets.
 
     Null texts count as empty; a text without words is linked with nothing, so each such row is its own component. Repeated
-    ids stay as rows of their own; all of a component's rows with its smallest id count as kept.
+    ids stay as rows of their own; all of a component's rows with its smallest id count as kept. ``row_col`` names a unique integer
+    key of the rows, which is then returned too.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "near-dup")
-    rows = with_row_key(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    rows = rows if row_col else with_row_key(rows, "row")
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(b.column("text").to_pylist())
@@ -254,6 +256,6 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     lowest = lowest.join(comps, "vid", "left").select("digest", F.coalesce("comp", "vid").alias("comp"), "least")
     ids = lowest.groupBy("comp").agg(F.min("least").alias("component"))
     classes = work.save(lowest.join(ids, "comp").select("digest", "component"), "classes")
-    out = signed.select("id", "n", "digest").join(classes, "digest", "left")
+    out = signed.select("id", "row", "n", "digest").join(classes, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(*([F.col("row").alias(row_col)] if row_col else []), F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
