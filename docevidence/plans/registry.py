@@ -1,21 +1,395 @@
-"""The registered queries over the driver's tables and their SQL oracles."""
+"""The registered queries over the driver's tables and their SQL oracles.
+
+The tables hold invented prose, so several queries build the text that an operator reads from columns (a value and its range, a row of
+cells, a question, a citation) for every row of a whole table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docevidence.functions import labs, routing, text
+from docevidence.operators import evidence, quality, reports, retrieval, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+NORMALIZED = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'),
+  '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t\f\x0B\x{00A0}]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
+
+
+@query(f"SELECT doc_id, sha256({NORMALIZED}) AS digest, length({NORMALIZED}) AS n FROM documents")
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.normalize_text(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), F.length(t).cast("long").alias("n"))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("seg_idx", F.lit(0))
+    out = structure.prepare_chunks(docs, "doc_id", type_col=None)
+    return out.select("doc_id", "chunk_id", "chunk_index", F.length("text").alias("n"), text.content_hash(F.col("text"), 16).alias("digest"), "truncated")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Documents to chunks to hashed vectors; per benchmark question the best chunks of each source, with a floor and a budget."""
+    docs = table(spark, sf_dir, "documents").withColumn("seg_idx", F.lit(0))
+    chunks = structure.prepare_chunks(docs, "doc_id", type_col=None).join(docs.select("doc_id", "source"), "doc_id")
+    vectors = chunks.select("chunk_id", "source", F.length("text").alias("chars"), retrieval.hash_embed(F.col("text"), 64).alias("values"))
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), retrieval.hash_embed(F.col("text"), 64).alias("values"))
+    hits = retrieval.vector_topk(questions, vectors, ["source"], 6, vector_id="chunk_id", floor=0.5)
+    hits = hits.join(vectors.select("chunk_id", "chars"), "chunk_id")
+    return retrieval.prefix_budget(hits, "query_id", ["rank"], F.col("chars"), 8000).select("query_id", "source", "chunk_id", "rank", "score")
+
+
+@query()
+def document_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@query(f"""
+WITH tok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark),
+h AS (SELECT item_id, {FNV} AS h FROM tok WHERE length(t) > 1),
+b AS (SELECT item_id, h % 64 AS bucket, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL)
+SELECT item_id, CAST(bucket AS BIGINT) AS bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS weight FROM b WHERE v <> 0
+""")
+def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(retrieval.hash_embed(F.col("text"), 64)).alias("bucket", "w"))
+    return v.filter("w <> 0").select("item_id", F.col("bucket").cast("long").alias("bucket"), F.round("w", 6).alias("weight"))
+
+
+TOPK = """
+WITH s AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS id, q.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id % 10 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+"""
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int, floor: float | None = None) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("values"))
+    q = v.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    return retrieval.vector_topk(q, v, ["label"], k, floor=floor)
+
+
+@query(TOPK + "SELECT query_id, label, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND score >= 0.1")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, 5, 0.1)
+
+
+@query(TOPK + ", b AS (SELECT query_id % 7 AS request, id, max(score) AS score FROM r WHERE rank <= 5 GROUP BY ALL) SELECT request, id, score FROM b")
+def best_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _hits(spark, sf_dir, 5).withColumn("request", F.col("query_id") % 7)
+    return retrieval.best_per_item(hits, "request", "id", "score")
+
+
+@query()
+def greedy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _hits(spark, sf_dir, 5).withColumn("request", F.col("query_id") % 7).withColumn("chars", (F.col("id") % 900 + 100).cast("int"))
+    return retrieval.greedy_budget(hits, "request", "id", "score", "chars", 6, 3000)
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
+  sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents)
+SELECT source, doc_id, n_chars FROM r WHERE rn = 1 OR s <= 8000
+""")
+def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return retrieval.prefix_budget(docs, "source", ["doc_id"], F.col("n_chars"), 8000)
+
+
+@query(r"""
+WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+k AS (SELECT source, doc_id, trim(regexp_replace(regexp_replace(line, '[0-9]+', '#', 'g'), '\s+', ' ', 'g')) AS key FROM l),
+n AS (SELECT source, key, count(DISTINCT doc_id) AS pages FROM k WHERE length(key) BETWEEN 1 AND 199 GROUP BY ALL),
+t AS (SELECT source, count(DISTINCT doc_id) AS total FROM documents GROUP BY ALL)
+SELECT n.source, sha256(key) AS key, pages FROM n JOIN t USING (source) WHERE total >= 6 AND pages / total >= 0.03
+""")
+def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = structure.running_lines(table(spark, sf_dir, "documents"), "source", "doc_id", "text", share=0.03)
+    return out.select("source", F.sha2("key", 256).alias("key"), "pages")
+
+
+@query()
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.html_to_text(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(t, 256).alias("digest"), F.length(t).alias("n"), text.truncate_sentence(t, 200).alias("head"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS value, p_size AS low,
+  CASE WHEN l_quantity < p_size THEN 'Low' WHEN l_quantity > p_size + 10 THEN 'High' ELSE 'Normal' END AS flag,
+  NOT (l_quantity >= p_size AND l_quantity <= p_size + 10) AS out
+FROM lineitem JOIN part ON l_partkey = p_partkey
+""")
+def lab_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    value, span = F.concat(F.col("l_quantity").cast("string"), F.lit(" g/dL")), F.concat_ws(" - ", F.col("p_size").cast("string"), (F.col("p_size") + 10).cast("string"))
+    flag = labs.normalize_flag(F.left(labs.flag_from_range(value, span), F.lit(1)))
+    return rows.select("l_orderkey", "l_linenumber", labs.result_number(value).alias("value"), labs.parse_range(span)["low"].cast("int").alias("low"), flag.alias("flag"), labs.lab_is_out(flag, F.lit(False)).alias("out"))
+
+
+@query("""
+WITH r AS (SELECT p_brand, p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_index FROM part)
+SELECT p_brand, 0 AS table_no, CAST(row_index AS INTEGER) AS row_index, p_name AS test, CAST(p_size AS VARCHAR) AS result, CAST(p_size AS DOUBLE) AS numeric_result,
+  'mm' AS unit, '1 - 25' AS reference_range, CASE WHEN p_size > 25 THEN 'High' ELSE 'Normal' END AS flag FROM r
+""")
+def delimited_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.concat_ws(" | ", "p_name", F.col("p_size").cast("string"), F.lit("mm"), F.lit("1 - 25"), F.when(F.col("p_size") > 25, "h").otherwise("wnl"))
+    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("r"))
+    doc = F.concat_ws("\n", F.lit("Summary"), F.lit("| Test | Result | Unit | Reference range | Flag |"), F.lit("|---|---|---|---|---|"), F.array_join(F.transform("r", lambda s: s["row"]), "\n"), F.lit("End"))
+    return structure.delimited_tables(rows.select("p_brand", doc.alias("text")), "p_brand", "text").drop("date")
+
+
+LEVEL = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' END"
+STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN NULL ELSE 'failed' END"
+
+
+def _consultations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", "o_orderdate", f"{STATUS} AS status", f"{LEVEL} AS level", "floor(o_totalprice) % 100 AS score")
+
+
+@query(f"""
+SELECT o_custkey, level, count(*) AS n, round_even(avg(floor(o_totalprice) % 100), 1) AS mean_score
+FROM (SELECT *, {LEVEL} AS level, {STATUS} AS status FROM orders)
+WHERE (status IS NULL OR status NOT IN ('processing', 'failed')) AND level IN ('low', 'medium', 'high') GROUP BY ALL
+""")
+def risk_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.risk_dashboard(_consultations(spark, sf_dir), "o_custkey", "status", "level", "score")
+
+
+@query(f"""
+SELECT o_custkey, count(*) FILTER ((status IS NULL OR status NOT IN ('processing', 'failed')) AND level IS NOT NULL) AS total,
+  count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (coalesce(status, 'completed') = 'completed' AND level IS NULL) AS inconclusive
+FROM (SELECT *, {LEVEL} AS level, {STATUS} AS status FROM orders) GROUP BY ALL
+""")
+def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.dashboard_totals(_consultations(spark, sf_dir), "o_custkey", "status", "level")
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS position
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE contains(lower(c_name), '1'))
+SELECT o_custkey, o_orderkey, CAST(position AS INTEGER) AS position FROM r WHERE position BETWEEN 4 AND 6
+""")
+def consultation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return reports.page_of(rows, "o_custkey", "o_orderdate", "o_orderkey", 2, 3, F.col("c_name"), "1").select("o_custkey", "o_orderkey", "position")
+
+
+@query("""
+SELECT event_type, user_id % 5 AS model, count(*) AS calls, count(*) FILTER (value > 90) AS errors, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95
+FROM events GROUP BY ALL
+""")
+def call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("model", F.col("user_id") % 5)
+    return reports.call_stats(rows, ["event_type", "model"], "value", F.col("value") > 90)
+
+
+@query("""
+SELECT CASE WHEN event_id % 5 = 0 THEN 'provider_timeout' WHEN event_id % 5 = 1 THEN 'schema_validation_failure' WHEN event_id % 5 = 2 THEN 'provider_rate_limited'
+  WHEN event_id % 5 = 3 THEN 'model_unavailable' ELSE 'provider_failure' END AS category, count(*) AS n FROM events GROUP BY ALL
+""")
+def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    name, status = F.when(k == 0, "TimeoutError").when(k == 1, "ZodError").otherwise("Error"), F.when(k == 2, 429).when(k == 3, 404).otherwise(500)
+    return reports.failure_counts(table(spark, sf_dir, "events"), reports.classify_error(name, status))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (
+  SELECT user_id, event_id, rn, t, t + 7200000000 AS reset, 1 AS n, FALSE AS bad FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.rn, e.t, CASE WHEN e.t > w.reset THEN e.t + 7200000000 ELSE w.reset END,
+    CASE WHEN e.t > w.reset THEN 1 WHEN w.n >= 2 THEN w.n ELSE w.n + 1 END, e.t <= w.reset AND w.n >= 2
+  FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1
+)
+SELECT user_id, event_id, CAST(ceil((reset - t) / 1000000.0) AS BIGINT) AS retry_after FROM w WHERE bad
+""")
+def rate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.rate_violations(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 7200, 2)
+
+
+RANKED = TOPK.replace("ON q.label = v.label AND q.vec_id % 10 = 0", "ON q.vec_id % 10 = 0 AND q.vec_id % 2 = v.vec_id % 2 AND q.vec_id <> v.vec_id").replace("q.label,", "q.label AS ql, v.label AS vl,")
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 2).alias("space"), F.col("embedding").alias("values"), "label")
+    q = v.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    hits = retrieval.vector_topk(q, v, ["space"], 6).filter("query_id <> id")
+    hits = hits.join(q.select("query_id", F.col("label").alias("ql")), "query_id").join(v.select("id", F.col("label").alias("vl")), "id")
+    return q, hits.select("query_id", (F.col("rank") - 1).alias("rank"), (F.col("ql") == F.col("vl")).alias("relevant"), "score")
+
+
+@query(RANKED + """
+, f AS (SELECT query_id, min(rank) FILTER (ql = vl) AS first FROM r WHERE rank <= 5 GROUP BY ALL)
+SELECT query_id, CAST(coalesce(first <= 1, FALSE) AS INTEGER) AS hit_1, CAST(coalesce(first <= 3, FALSE) AS INTEGER) AS hit_3, CAST(coalesce(first <= 5, FALSE) AS INTEGER) AS hit_5,
+  coalesce(1.0 / first, 0.0)::DOUBLE AS rr FROM f
+""")
+def retrieval_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, hits = _retrieved(spark, sf_dir)
+    return quality.ranking(q, hits, "query_id")
+
+
+@query("""
+WITH s AS (SELECT user_id, max(value) AS top, user_id % 3 <> 0 AS a FROM events GROUP BY ALL), t AS (SELECT unnest([50.0, 90.0, 99.0]) AS threshold)
+SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (a) AS answerable, count(*) FILTER (a AND top >= threshold) AS found, count(*) FILTER (NOT a) AS unanswerable,
+  count(*) FILTER (NOT a AND top < threshold) AS refused FROM s CROSS JOIN t GROUP BY ALL
+""")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("top")).withColumn("a", F.col("user_id") % 3 != 0)
+    return quality.threshold_sweep(s, [50.0, 90.0, 99.0], "top", "a").select("threshold", "answerable", "found", "unanswerable", "refused")
+
+
+@query("""
+SELECT event_type, count(value) AS n, min(value) AS least, quantile_disc(value, 0.25) AS p25, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.75) AS p75, max(value) AS largest
+FROM events GROUP BY ALL
+""")
+def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.distribution(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query("""
+WITH l AS (SELECT quality + toxic AS expected, doc_id % 3 AS predicted FROM labels), c AS (SELECT unnest([0, 1, 2]) AS class)
+SELECT class, count(*) FILTER (expected = class) AS support, count(*) FILTER (expected = class AND predicted = class) / nullif(count(*) FILTER (predicted = class), 0)::DOUBLE AS precision,
+  count(*) FILTER (expected = class AND predicted = class) / nullif(count(*) FILTER (expected = class), 0)::DOUBLE AS recall FROM l CROSS JOIN c GROUP BY ALL
+""")
+def classification_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select((F.col("quality") + F.col("toxic")).alias("e"), (F.col("doc_id") % 3).cast("int").alias("p"))
+    return quality.classification(rows, "e", "p", [0, 1, 2])
+
+
+@query(r"""
+WITH p AS (SELECT doc_id AS c, unnest(string_split(lower(text), ' ')) AS t FROM documents), e AS (SELECT item_id AS c, unnest(string_split(lower(text), ' ')) AS t FROM benchmark),
+pn AS (SELECT c, t, count(*) AS p FROM p SEMI JOIN benchmark ON c = item_id GROUP BY ALL), en AS (SELECT c, t, count(*) AS e FROM e SEMI JOIN documents ON c = doc_id GROUP BY ALL),
+b AS (SELECT coalesce(p, 0) AS p, coalesce(e, 0) AS e FROM pn FULL JOIN en USING (c, t)),
+s AS (SELECT sum(least(p, e)) AS tp, sum(p - least(p, e)) AS fp, sum(e - least(p, e)) AS fn FROM b)
+SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall FROM s
+""")
+def set_prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    words = lambda df, i: df.select(F.col(i).alias("c"), F.explode(F.split(F.lower("text"), " ")).alias("t"))
+    p = words(docs.join(items.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi"), "doc_id")
+    e = words(items.join(docs.select(F.col("doc_id").alias("item_id")), "item_id", "left_semi"), "item_id")
+    return quality.micro_prf(quality.set_counts(p, e, "c", "t")).select("tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+def _question() -> Column:
+    word = F.regexp_extract(F.lower("text"), "[a-z]+", 0)
+    k = F.col("turn") % 5
+    return F.when(k == 0, F.concat(F.lit("What is a "), word, F.lit(" test?"))).when(k == 1, F.concat(F.lit("What was the "), word, F.lit("?"))).when(k == 2, F.concat(F.lit("What does "), word, F.lit(" mean?"))).when(k == 3, F.concat(F.lit("Should I treat "), word, F.lit("?"))).otherwise(F.concat(F.lit("Show my "), word))
+
+
+@query(r"""
+WITH w AS (SELECT conv_id, turn, turn % 5 AS k, regexp_extract(lower(text), '[a-z]+') AS word FROM conversations WHERE regexp_extract(lower(text), '[a-z]+') <> ''
+  AND regexp_extract(lower(text), '[a-z]+') NOT IN ('is','are','the','a','an','it','that','this','these','those','there','here','more','mean','of','what','in','his','her','my','test','do','does','was','were'))
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'terminology' WHEN 2 THEN 'terminology' WHEN 3 THEN 'clinical' ELSE 'report' END AS kind,
+  CASE k WHEN 0 THEN word || ' test' WHEN 2 THEN word END AS term FROM w
+""")
+def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.regexp_extract(F.lower("text"), "[a-z]+", 0)
+    # Words that are themselves scaffolding of a question would make another question of it.
+    scaffold = ["is", "are", "the", "a", "an", "it", "that", "this", "these", "those", "there", "here", "more", "mean", "of", "what", "in", "his", "her", "my", "test", "do", "does", "was", "were"]
+    rows = table(spark, sf_dir, "conversations").filter((word != "") & ~word.isin(scaffold))
+    r = routing.classify_question(_question())
+    return rows.select("conv_id", "turn", r["kind"].alias("kind"), r["term"].alias("term"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"), "conv_id", "turn", "text")
+    k = F.col("conv_id") % 4
+    cited = F.when(k == 0, " [R1]").when(k == 1, " [P2, r9]").when(k == 2, " [X1]").otherwise("")
+    answers = rows.select("request_id", F.when(F.col("turn") % 2 == 0, "clinical").otherwise("report").alias("kind"), F.concat("text", cited).alias("answer"), F.when(F.col("conv_id") % 8 == 7, F.array(F.lit("p1"))).otherwise(F.array().cast("array<string>")).alias("patient_citations"), F.array().cast("array<string>").alias("reference_citations"), (F.col("turn") == 5).alias("insufficient"))
+    have = rows.filter("turn <> 7").select("request_id", F.explode(F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(i).alias("evidence_id")) for d, i in (("patient", "P1"), ("patient", "P2"), ("reference", "R1"))))).alias("e"), "conv_id")
+    return answers, have.select("request_id", "e.*", "conv_id").filter("domain = 'patient' OR conv_id % 3 <> 0").drop("conv_id")
+
+
+@query("""
+WITH a AS (SELECT conv_id || '-' || turn AS request_id, conv_id, turn, turn % 2 = 0 AS clinical, turn <> 7 AS ev, turn <> 7 AND conv_id % 3 <> 0 AS r FROM conversations),
+v AS (SELECT *, CASE WHEN ev AND conv_id % 4 = 1 THEN 'P2' WHEN r AND conv_id % 4 = 0 THEN 'R1' WHEN ev AND conv_id % 8 = 7 THEN 'P1' END AS valid FROM a),
+d AS (SELECT *, CASE WHEN NOT ev THEN 'no_evidence' WHEN clinical AND NOT r THEN 'no_verified_reference' WHEN turn = 5 THEN 'model_reported' WHEN valid IS NULL THEN 'uncited_answer'
+  WHEN clinical AND valid <> 'R1' THEN 'clinical_without_reference' END AS reason FROM v)
+SELECT request_id, CASE WHEN clinical THEN 'clinical' ELSE 'report' END AS kind, CASE WHEN reason IS NULL THEN 'answered' ELSE 'insufficient_context' END AS status, reason, coalesce(valid, '') AS valid FROM d
+""")
+def verify_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.verify_answers(*_answers(spark, sf_dir))
+    return out.select("request_id", "kind", "status", "reason", F.array_join("valid", ",").alias("valid"))
+
+
+@query("""
+WITH a AS (SELECT conv_id || '-' || turn AS request_id, conv_id, turn, unnest(CASE conv_id % 4 WHEN 0 THEN ['R1'] WHEN 1 THEN ['P2', 'R9'] ELSE [] END) AS id FROM conversations)
+SELECT request_id, CASE WHEN id LIKE 'P%' THEN 'patient' ELSE 'reference' END AS domain, id,
+  (id = 'P2' AND turn <> 7) OR (id = 'R1' AND turn <> 7 AND conv_id % 3 <> 0) AS valid FROM a
+""")
+def match_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers, have = _answers(spark, sf_dir)
+    ids = answers.select("request_id", F.explode(evidence.inline_citations(F.col("answer"))).alias("id")).filter("id rlike '^[PR]'")
+    cited = ids.groupBy("request_id", F.when(F.col("id").startswith("P"), "patient").otherwise("reference").alias("domain")).agg(F.collect_list("id").alias("ids"))
+    return evidence.match_citations(cited, have)
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, sha256(text) AS h FROM documents), f AS (SELECT source, h, min(doc_id) AS first FROM d GROUP BY ALL)
+SELECT doc_id, source, first AS original, doc_id <> first AS duplicate FROM d JOIN f USING (source, h)
+""")
+def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document whose source already has its content is a duplicate of the first."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", text.content_hash(F.col("text")).alias("h"))
+    first = d.groupBy("source", "h").agg(F.min("doc_id").alias("original"))
+    return d.join(first, ["source", "h"]).select("doc_id", "source", "original", (F.col("doc_id") != F.col("original")).alias("duplicate"))
+
+
+@query("""
+SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id
+""")
+def stale_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the store that the current set no longer has."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query(r"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS key FROM documents WHERE lang = 'es' AND text NOT LIKE '%ß%'
+""")
+def term_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter("lang = 'es' AND text NOT LIKE '%ß%'")
+    return d.select("doc_id", text.term_key(F.col("text")).alias("key"))
+
+
+@query(r"""
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9.%<>/ ]+', ' ', 'g'), ' +', ' ', 'g'))) AS digest, sha256(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM documents
+""")
+def eval_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.eval_normalize(t), 256).alias("digest"), F.sha2(text.escape_markup(t), 256).alias("escaped"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
