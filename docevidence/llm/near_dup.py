@@ -6,9 +6,9 @@ and every pair under the threshold meets in a bucket. (At a similarity of 0.85 m
 pairs of a million.)
 
 Equal shingle sets are one vertex. In a bucket each vertex is first paired with the smallest one and with its neighbour only; once
-the links found so far have joined vertices to components, only pairs between different components still matter, and those are
-enumerated in full, by blocks, with the signature distance as filter. So no group of copies is expanded into all its pairs, and no
-link between components is lost.
+the links found so far have joined vertices to components, only pairs between different components still matter. Those are all looked
+at inside tasks, block by block, and only the links that join two components leave a task. So no group of copies is expanded into rows
+for all its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from docevidence.llm.common import Scratch, map_batches, with_row_key
 
 WORDS = 5
 SYMBOLS, CHUNKS, MAX_DISTANCE = 64, 12, 23
-BLOCK = 512
+SMALL_BUCKET = 3  # all its pairs are those with the smallest vertex and with the neighbour
+SCAN_BLOCK, TEST_BLOCK = 2048, 256
 _M = (1 << 64) - 1
 
 
@@ -139,6 +140,34 @@ def components(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
         old, k = mark, k + 1
 
 
+def _blocks(members: DataFrame, size: int) -> DataFrame:
+    """Members (key, vid, comp) of a bucket in blocks, each pair of blocks (i, j) once; ``left`` marks the rows of block i."""
+    order = Window.partitionBy("key").orderBy("comp", "vid")
+    m = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / size).cast("int")).withColumn("last", F.max("block").over(Window.partitionBy("key")))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "vid", "comp", (F.col("block") < F.col("other")).alias("left"))
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    vid, comp, left = (t.column(c).to_numpy() for c in ("vid", "comp", "left"))
+    if t.column("i")[0] == t.column("j")[0]:
+        left = np.ones(len(vid), dtype=bool)
+        return vid, comp, left, left
+    return vid, comp, left, ~left
+
+
+def _open_pairs(vid: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, keys: np.ndarray, key: int):
+    """(x, ys): pairs of different components under the distance threshold, in the bucket of the first index key they share."""
+    own = bool((left & right).any())
+    for x in np.flatnonzero(left):
+        y = np.flatnonzero(right & (comp != comp[x]) & ((vid > vid[x]) | (not own)))
+        y = y[(sig[y] != sig[x]).sum(axis=1) <= MAX_DISTANCE]
+        if len(y):
+            y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == key]
+            if len(y):
+                yield x, y
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = 85, row_col: str | None = None) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id it is linked with over any number of links, its own
     included) and kept (id = component_id). Rows are linked if 100 * intersection >= least_percent * union of their sets.
@@ -187,8 +216,10 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     pairs = found.select(F.col("leader").alias("a"), F.col("vid").alias("b")).union(found.select(F.col("prev").alias("a"), F.col("vid").alias("b"))).distinct()
     pairs = work.save(near(pairs), "pairs")
 
-    # Texts of the vertices that have a partner, once.
-    met = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    # Texts of the vertices that have a partner or stand in a larger bucket, once.
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    large = work.save(buckets.select("key", "vid").join(sizes.filter(F.col("size") > SMALL_BUCKET), "key"), "large")
+    met = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(large.select("vid")).distinct()
     texts = work.save(rows.select("row", "text").join(met, "row", "left_semi"), "texts")
 
     def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,45 +243,53 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         p = pairs.join(ca, "a", "left").join(cb, "b", "left")
         return p.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    # First each vertex's closest partner, then what is still apart.
+    # First each vertex's closest partner, then what is still apart of the pairs of small buckets.
     closest = pairs.groupBy("b").agg(F.min(F.struct("d", "a"))["a"].alias("a")).select("a", "b")
     links = work.save(confirm(closest, texts), "links-1")
     comps = work.save(components(links, work, "c1"), "comps-1")
-    rest = work.save(apart(pairs.select("a", "b").join(closest, ["a", "b"], "left_anti"), comps), "rest")
+    few = found.join(sizes.filter(F.col("size") <= SMALL_BUCKET), "key")
+    few = few.select(F.col("leader").alias("a"), F.col("vid").alias("b")).union(few.select(F.col("prev").alias("a"), F.col("vid").alias("b"))).distinct()
+    rest = apart(pairs.select("a", "b").join(few, ["a", "b"], "left_semi").join(closest, ["a", "b"], "left_anti"), comps)
     links = work.save(links.union(confirm(rest, texts)), "links-2")
     comps = work.save(components(links, work, "c2"), "comps-2")
 
-    # Then the pairs of a bucket that were never looked at: all between different components, by blocks.
-    placed = buckets.select("key", "vid").join(comps, "vid", "left").select("key", "vid", F.coalesce("comp", "vid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("size > 2 and lo <> hi").select("key", "size")
-    order = Window.partitionBy("key").orderBy("comp", "vid")
-    members = placed.join(mixed, "key").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "vid", "comp", (F.col("block") < F.col("other")).alias("left")).join(vertices.select("vid", "sig"), "vid")
+    # Then all pairs of larger buckets between different components. A scan on signatures finds the members that still have such a
+    # pair, in the one bucket that answers for the pair; only those bring their texts, and a block of them tests its pairs in place.
+    placed = large.select("key", "vid").join(comps, "vid", "left").select("key", "vid", F.coalesce("comp", "vid").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    members = _blocks(placed.join(mixed, "key"), SCAN_BLOCK).join(vertices.select("vid", "sig"), "vid")
+    kind = "key bigint, vid bigint, comp bigint"
 
-    def cross(t: pa.Table) -> pa.Table:
-        vid, comp = t.column("vid").to_numpy(), t.column("comp").to_numpy()
+    def scan(t: pa.Table) -> pa.Table:
+        vid, comp, left, right = _sides(t)
         sig = _sigs(t.column("sig").combine_chunks())
-        own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        left = np.ones(len(vid), bool) if own else t.column("left").to_numpy()
-        right = np.ones(len(vid), bool) if own else ~left
-        out_a, out_b = [], []
-        for x in np.flatnonzero(left):
-            y = np.flatnonzero(right & (comp != comp[x]))
-            y = y[(sig[y] != sig[x]).sum(axis=1) <= MAX_DISTANCE]
-            y = y[vid[y] > vid[x]] if own else y
-            out_a.append(np.minimum(vid[y], vid[x]))
-            out_b.append(np.maximum(vid[y], vid[x]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}) if out_a else pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    more = members.groupBy("key", "i", "j").applyInArrow(cross, "a bigint, b bigint").distinct()
-    more = work.save(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        met = more.select(F.col("a").alias("row")).union(more.select("b")).distinct()
-        late = met.join(texts.select("row"), "row", "left_anti")
-        texts = texts.union(work.save(rows.select("row", "text").join(late, "row", "left_semi"), "late-texts"))
-        links = work.save(links.union(confirm(more, texts)), "links-3")
-        comps = work.save(components(links, work, "c3"), "comps-3")
+        keys, key = index_keys(sig), t.column("key")[0].as_py()
+        hit = np.zeros(len(vid), dtype=bool)
+        for x, y in _open_pairs(vid, comp, left, right, sig, keys, key):
+            hit[x] = True
+            hit[y] = True
+        return pa.table({"key": np.full(hit.sum(), key), "vid": vid[hit], "comp": comp[hit]})
+
+    open_members = work.save(members.groupBy("key", "i", "j").applyInArrow(scan, kind).distinct(), "open")
+    tested = _blocks(open_members, TEST_BLOCK).join(texts.select(F.col("row").alias("vid"), "text"), "vid")
+
+    def test(t: pa.Table) -> pa.Table:
+        vid, comp, left, right = _sides(t)
+        comp = comp.copy()
+        sets = shingle_sets(t.column("text").to_pylist())
+        sig, sizes = signatures(sets), np.array([len(s) for s in sets])
+        out = []
+        for x, ys in _open_pairs(vid, comp, left, right, sig, index_keys(sig), t.column("key")[0].as_py()):
+            for y in ys.tolist():
+                if comp[x] != comp[y] and 100 * min(sizes[x], sizes[y]) >= least_percent * max(sizes[x], sizes[y]):
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= least_percent * (sizes[x] + sizes[y] - both):
+                        out.append((min(vid[x], vid[y]), max(vid[x], vid[y])))
+                        comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": np.array([p[0] for p in out], np.int64), "b": np.array([p[1] for p in out], np.int64)})
+
+    links = work.save(links.union(tested.groupBy("key", "i", "j").applyInArrow(test, "a bigint, b bigint")), "links-3")
+    comps = work.save(components(links, work, "c3"), "comps-3")
 
     lowest = signed.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("vid"), F.min("id").alias("least"))
     lowest = lowest.join(comps, "vid", "left").select("digest", F.coalesce("comp", "vid").alias("comp"), "least")
