@@ -30,11 +30,11 @@ CRC_POLYNOMIAL = 0xEDB88320
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
-    """A pseudo-random 64-bit number for each id."""
-    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return x ^ (x >> np.uint64(31))
+    """A pseudo-random 32-bit number for each id."""
+    x = ids.astype(np.uint32) + np.uint32(0x9E3779B9)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(by)
+    return x ^ (x >> np.uint32(16))
 
 
 def cuts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
@@ -43,8 +43,8 @@ def cuts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int
     g = _gear(ids)
     h = g.copy()
     for j in range(1, WINDOW):
-        h[j:] += g[:-j] << np.uint64(j)
-    marks = np.flatnonzero(h >> np.uint64(64 - MEAN_BITS) == 0) + 1
+        h[j:] += g[:-j] << np.uint32(j)
+    marks = np.flatnonzero(h >> np.uint32(32 - MEAN_BITS) == 0) + 1
     out = []
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
         own, at = [], s

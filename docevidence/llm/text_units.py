@@ -49,13 +49,14 @@ class UnitEncoder:
         words, gaps = text.split(), text.count(" ") + text.count("\n")
         # All white space is single spaces and line feeds: as many gaps as words between, and no other character missing.
         if len(words) == gaps + 1 and len("".join(words)) + gaps == len(text):
-            later = self._later.__getitem__
-            for i, line in enumerate(text.split("\n")):
-                if i:
+            later, first, at = self._later.__getitem__, self._first, 0
+            for line in text.split("\n"):
+                if at:
                     out.append(self._feed)
-                words = line.split(" ")
-                out.append(self._first[words[0]])
-                out.extend(map(later, words[1:]))
+                end = at + line.count(" ") + 1
+                out.append(first[words[at]])
+                out.extend(map(later, words[at + 1 : end]))
+                at = end
         else:
             for unit in _CUT.split(text):
                 out.append(self._later[unit[1:]] if unit[:1] == " " else self._first[unit])
