@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docevidence.functions import labs, routing, text
-from docevidence.operators import evidence, quality, reports, retrieval, structure
+from docevidence.operators import evidence, grounding, quality, reports, retrieval, structure
+from docevidence.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -387,6 +388,45 @@ def eval_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.eval_normalize(t), 256).alias("digest"), F.sha2(text.escape_markup(t), 256).alias("escaped"))
 
 
+STOPS = ", ".join(f"'{w}'" for w in grounding.STOP_WORDS)
+FOLD = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9.%]+', ' ', 'g'), '\.+( |$)', '\1', 'g'), ' +', ' ', 'g'))"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS fact
+  FROM documents WHERE lang = 'en' AND length(text) = strlen(text)),
+f AS (SELECT doc_id, page, {FOLD.format("line")} AS folded, {FOLD.format("fact")} AS needle FROM d),
+w AS (SELECT *, list_distinct(list_filter(string_split(folded, ' '), lambda x: x <> '')) AS words,
+  list_filter(string_split(needle, ' '), lambda x: length(x) >= 2 AND x NOT IN ({STOPS})) AS toks FROM f WHERE needle <> ''),
+h AS (SELECT doc_id, page FROM w WHERE contains(' ' || folded || ' ', ' ' || needle || ' ') OR (len(toks) > 0 AND len(list_filter(toks, lambda t:
+  NOT (list_contains(words, t) OR (length(t) >= 4 AND len(list_filter(words, lambda x: length(x) >= 4 AND (starts_with(x, t) OR starts_with(t, x)))) > 0)))) = 0))
+SELECT doc_id, count(DISTINCT page) AS pages, CAST(min(page) AS BIGINT) AS first_page FROM h GROUP BY ALL
+""")
+def ground_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's first three words in its lines (one page each); ASCII documents, where folding is the same in SQL."""
+    docs = table(spark, sf_dir, "documents").filter("lang = 'en' AND length(text) = octet_length(text)")
+    pages = grounding.fold_pages(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line")), "doc_id", "page", "line")
+    facts = docs.select("doc_id", F.lit(1).alias("fact"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("value"))
+    out = grounding.text_pages(facts, pages, "doc_id", "fact", "value", "page")
+    return out.select("doc_id", F.size("pages").cast("long").alias("pages"), F.col("pages")[0].cast("long").alias("first_page"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'unsupported_type' WHEN 2 THEN 'extension_mismatch' WHEN 3 THEN 'empty' WHEN 4 THEN 'content_mismatch' ELSE
+  CASE WHEN coalesce(text, '') = '' THEN 'empty' END END AS reason, 'src' || '_' || doc_id || CASE doc_id % 6 WHEN 2 THEN '.pdf' ELSE '.txt' END AS safe_name FROM documents
+""")
+def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2-S4 on the documents as uploaded files, with faults by doc_id."""
+    k = F.col("doc_id") % 6
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat(F.lit("up\\..src#"), F.col("doc_id").cast("string"), F.when(k == 2, ".pdf").otherwise(".txt")).alias("name"),
+        F.when(k == 1, "video/mp4").otherwise("Text/Plain; charset=utf-8").alias("mime"),
+        F.when(k == 3, F.lit("").cast("binary")).when(k == 4, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF00")))).otherwise(F.col("text").cast("binary")).alias("content"),
+    )
+    return files.audit(rows, "name", "mime", "content").select("doc_id", "reason", "safe_name")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
