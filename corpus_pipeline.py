@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near copies the document with the smallest id stays."""
     rows = with_row_key(docs, "__row")
     kept = near_dup.group(rows, row_col="__row").filter("kept").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("shuffle_merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = ["__row" if c == "row" else c for c in keep]
     runs = repeated_runs(rows, work, id_col, text_col, min_words).groupBy("row").agg(F.collect_set(F.struct("start", "lines")).alias("__runs"))
     runs = work.save(runs, "runs")
-    out = rows.join(runs, "row", "left").withColumn("__lines", F.when(F.col("__runs").isNotNull(), _lines(F.col(text_col))))
+    out = rows.join(runs.hint("shuffle_merge"), "row", "left").withColumn("__lines", F.when(F.col("__runs").isNotNull(), _lines(F.col(text_col))))
     gone = F.array_distinct(F.flatten(F.transform("__runs", lambda w: F.slice(F.transform("__lines", lambda s: s["no"]), w["start"] + 1, w["lines"]))))
     out = out.withColumn("removed", F.coalesce(F.array_sort(gone), F.array().cast("array<int>")))
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")

@@ -220,7 +220,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
     large = work.save(buckets.select("key", "vid").join(sizes.filter(F.col("size") > SMALL_BUCKET), "key"), "large")
     met = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(large.select("vid")).distinct()
-    texts = work.save(rows.select("row", "text").join(met, "row", "left_semi"), "texts")
+    texts = work.save(rows.select("row", "text").join(met.hint("shuffle_merge"), "row", "left_semi"), "texts")
 
     def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         def check(b: pa.RecordBatch) -> pa.RecordBatch:
