@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docevidence.functions import labs, routing, text
-from docevidence.operators import evidence, grounding, quality, reports, retrieval, structure
+from docevidence.operators import assess, evidence, grounding, quality, reports, retrieval, structure
 from docevidence.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,6 +427,26 @@ def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.audit(rows, "name", "mime", "content").select("doc_id", "reason", "safe_name")
 
 
+@query("""
+WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS lvl, value AS v, event_id % 7 AS k, event_id % 5 AS m FROM events),
+r AS (SELECT *, CASE WHEN k = 0 THEN 'model_reported' WHEN k = 1 THEN 'no_valid_citation' WHEN m = 0 THEN 'no_reference_evidence'
+  WHEN k = 2 THEN 'reference_not_cited' END AS reason FROM e)
+SELECT event_id AS request_id, CASE WHEN reason IS NULL THEN 'assessed' ELSE 'insufficient_evidence' END AS status, reason, CASE WHEN reason IS NULL THEN lvl END AS risk_level,
+  CASE WHEN reason IS NULL THEN CAST(greatest(CASE lvl WHEN 'low' THEN 0 WHEN 'medium' THEN 40 ELSE 70 END, least(CASE lvl WHEN 'low' THEN 39 WHEN 'medium' THEN 69 ELSE 100 END, floor(v + 0.5))) AS INTEGER) END AS risk_score,
+  CASE WHEN k IN (1, 2) THEN 0 ELSE CAST(m = 0 AS INTEGER) + CAST(k = 3 AS INTEGER) END AS dropped FROM r
+""")
+def verify_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P14 on recorded outputs made of the events: what is cited and what was there go by event_id."""
+    k, m = F.col("event_id") % 7, F.col("event_id") % 5
+    cited = F.when(k == 1, F.array().cast("array<string>")).when(k == 2, F.array(F.lit("p1"))).when(k == 3, F.array(F.lit("R1"), F.lit("R9"))).otherwise(F.array(F.lit(" r1")))
+    rows = table(spark, sf_dir, "events")
+    outputs = rows.select(F.col("event_id").alias("request_id"), F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("event_id") % 3 + 1).cast("int")).alias("risk_level"), F.col("value").alias("risk_score"), F.lit("A summary of the case [P1].").alias("summary"), cited.alias("cited"), (k == 0).alias("insufficient"))
+    outputs = outputs.withColumn("summary", F.when(F.col("request_id") % 7 == 1, "A summary of the case.").otherwise(F.col("summary")))
+    there = rows.select(F.col("event_id").alias("request_id"), F.explode(F.when(m == 0, F.array(F.lit("P1"))).otherwise(F.array(F.lit("P1"), F.lit("R1")))).alias("evidence_id"))
+    there = there.withColumn("domain", F.when(F.col("evidence_id").startswith("P"), "patient").otherwise("reference"))
+    return assess.verify_assessments(outputs, there).select("request_id", "status", "reason", "risk_level", "risk_score", "dropped")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
