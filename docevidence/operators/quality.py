@@ -66,3 +66,74 @@ def classification(df: DataFrame, expected: str, predicted: str, classes: list)
 def first_relevant(results: DataFrame, question: str) -> DataFrame:
     w = Window.partitionBy(question).orderBy("rank")
     return results.filter("relevant").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def greedy_counts(cases: DataFrame, case: str, predicted: str, expected: str, match) -> DataFrame:
+    """E2 with a match predicate (a function of two Columns): predictions in order, each takes the first expected item left that matches.
+
+    ``predicted`` and ``expected`` are arrays of one case. Returns (case, pairs: struct<p, e> positions from 0, tp, fp, fn)."""
+    start = F.struct(F.array().cast("array<struct<p:int,e:int>>").alias("pairs"), F.lit(0).alias("i"))
+    n = F.size(expected)
+
+    def step(s: Column, p: Column) -> Column:
+        taken = F.transform(s["pairs"], lambda x: x["e"])
+        at = F.filter(F.sequence(F.lit(0), n - 1), lambda j: ~F.array_contains(taken, j) & match(p, F.get(expected, j)))
+        hit = F.when((n > 0) & (F.size(at) > 0), F.concat(s["pairs"], F.array(F.struct(s["i"].alias("p"), F.get(at, F.lit(0)).alias("e"))))).otherwise(s["pairs"])
+        return F.struct(hit.alias("pairs"), (s["i"] + 1).alias("i"))
+
+    pairs = cases.select(case, predicted, expected, F.aggregate(predicted, start, step, lambda s: s["pairs"]).alias("pairs"))
+    tp = F.size("pairs")
+    return pairs.select(case, "pairs", tp.alias("tp"), (F.size(predicted) - tp).alias("fp"), (n - tp).alias("fn"))
+
+
+def retrieval_report(questions: DataFrame, results: DataFrame, question: str, floor: float, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """E9 (and E10 with sources as the relevant items): one row with hit rates, mean reciprocal rank and success over the answerable
+    questions, and rejection over the others. ``questions`` has ``answerable``; ``results`` has rank, relevant and score."""
+    per = ranking(questions, results, question, ks)
+    top = results.groupBy(question).agg(F.max("score").alias("top"))
+    rows = questions.select(question, "answerable").join(per, question).join(top, question, "left")
+    passed = F.coalesce(F.col("top") >= floor, F.lit(False))
+    yes = lambda c: F.avg(F.when(F.col("answerable"), c))
+    return rows.agg(F.count_if("answerable").alias("answerable"), *(yes(F.col(f"hit_{k}").cast("double")).alias(f"hit_{k}") for k in ks), yes(F.col("rr")).alias("mrr"), yes(passed.cast("double")).alias("success"), F.avg(F.when(~F.col("answerable"), (~passed).cast("double"))).alias("rejection"))
+
+
+def source_recall(expected: DataFrame, results: DataFrame, question: str, source: str) -> DataFrame:
+    """Per question the share of expected sources that were found, and whether all were."""
+    found = results.select(question, source).distinct().withColumn("__f", F.lit(1))
+    rows = expected.select(question, source).distinct().join(found, [question, source], "left")
+    return rows.groupBy(question).agg((F.count("__f") / F.count("*")).alias("recall"), (F.count("__f") == F.count("*")).alias("full"))
+
+
+def table_report(gold: DataFrame, found: DataFrame, case: str, test: str, fields: list[str]) -> DataFrame:
+    """Per case rows matched by their normalised test name, and field accuracy where the gold row has the field."""
+    from docevidence.functions.text import eval_normalize
+
+    number = lambda df, name: df.withColumn("__k", eval_normalize(F.col(test))).withColumn("__n", F.row_number().over(Window.partitionBy(case, "__k").orderBy(*fields, test))).withColumn(name, F.lit(1))
+    g = number(gold, "__g").select(case, "__k", "__n", "__g", *(F.col(f).alias(f"g_{f}") for f in fields))
+    p = number(found, "__p").select(case, "__k", "__n", "__p", *(F.col(f).alias(f"p_{f}") for f in fields))
+    both = g.join(p, [case, "__k", "__n"], "full")
+    pair = F.col("__g").isNotNull() & F.col("__p").isNotNull()
+    asked = sum(((pair & F.col(f"g_{f}").isNotNull()).cast("int") for f in fields), F.lit(0))
+    right = sum((F.coalesce(pair & (F.trim(F.col(f"g_{f}").cast("string")) == F.trim(F.col(f"p_{f}").cast("string"))), F.lit(False)).cast("int") for f in fields), F.lit(0))
+    out = both.groupBy(case).agg(F.count_if(pair).alias("tp"), F.count_if(F.col("__g").isNull()).alias("fp"), F.count_if(F.col("__p").isNull()).alias("fn"), F.sum(asked).alias("asked"), F.sum(right).alias("right"))
+    return out.select(case, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")), F.try_divide("right", "asked").alias("field_accuracy"))
+
+
+def answer_report(answers: DataFrame) -> DataFrame:
+    """E14 over rows (answerable, status, cited, expected_source, answer, contains): rates over the rows that each concerns."""
+    answered = F.col("status") == "answered"
+    rate = lambda when, what: F.avg(F.when(when, what.cast("double")))
+    text = F.lower("answer")
+    return answers.agg(
+        rate(F.col("answerable") & F.col("expected_source").isNotNull(), F.array_contains("cited", F.col("expected_source"))).alias("source_cited"),
+        rate(F.col("answerable") & (F.size("contains") > 0), answered & F.forall("contains", lambda c: F.contains(text, F.lower(c)))).alias("contains_expected"),
+        rate(~F.col("answerable"), ~answered).alias("unanswerable_handled"),
+        rate(answered, F.size("cited") > 0).alias("answered_with_citation"),
+    )
+
+
+def failure_report(expected: DataFrame, observed: DataFrame, scenario: str, category: str) -> DataFrame:
+    """Per expected category its scenarios and the share that was observed as it; a missing outcome is wrong."""
+    o = observed.select(scenario, F.col(category).alias("__o"))
+    rows = expected.join(o, scenario, "left")
+    return rows.groupBy(category).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col(category) == F.col("__o"), F.lit(False)).cast("double")).alias("accuracy"))

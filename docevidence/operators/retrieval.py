@@ -88,3 +88,53 @@ def top_score(queries: DataFrame, hits: DataFrame, query_id: str, score: str) ->
 def retrieval_status(queries: DataFrame, documents: Column, matches: Column, kept: Column) -> DataFrame:
     """A9"""
     return queries.withColumn("status", F.when(documents == 0, "no_documents").when(matches == 0, "no_matches").when(kept == 0, "below_threshold").otherwise("ok"))
+
+
+def ordered_budget(items: DataFrame, query_id: str, item_id: str, order: list, length: str, max_items: int, max_chars: int) -> DataFrame:
+    """As greedy_budget, in the caller's order: items that don't fit are skipped, each item once, the first always. Adds ``n``."""
+    rank = items.withColumn("__r", F.row_number().over(Window.partitionBy(query_id).orderBy(*order)))
+    once = rank.groupBy(query_id, item_id).agg(F.min(F.struct("__r", F.col(length).alias("l")))["__r"].alias("r"), F.min(F.struct("__r", F.col(length).alias("l")))["l"].alias("l"))
+    lists = once.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("r", F.col(item_id).alias("i"), F.col("l").cast("int").alias("l")))).alias("a"))
+    kind = f"array<struct<r:int,i:{items.schema[item_id].dataType.simpleString()},l:int>>"
+    start = F.struct(F.lit(0).alias("used"), F.array().cast(kind).alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = (F.size(s["kept"]) < max_items) & ((F.size(s["kept"]) == 0) | (s["used"] + x["l"] <= max_chars))
+        return F.when(fits, F.struct((s["used"] + x["l"]).alias("used"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
+
+    kept = F.aggregate(F.col("a").cast(kind), start, step, lambda s: s["kept"])
+    return lists.select(query_id, F.posexplode(kept).alias("n", "k")).select(query_id, (F.col("n") + 1).alias("n"), F.col("k.i").alias(item_id), F.col("k.l").alias(length))
+
+
+def distinct_queries(queries: Column, most: int = 6, chars: int = 500) -> Column:
+    """O2: trimmed, at most ``chars`` long, distinct in order, ``most`` at most."""
+    return F.slice(F.array_distinct(F.filter(F.transform(queries, lambda q: F.left(F.trim(q), F.lit(chars))), lambda q: q != "")), 1, most)
+
+
+def servable_references(vectors: DataFrame, sources: DataFrame, space: str, synthetic: bool = False) -> DataFrame:
+    """J3 + F4 + F10: reference vectors of registered, indexed sources in one space, with title and organisation; synthetic test
+    sources only on request."""
+    s = sources.filter((F.col("status") == "indexed") & (F.col("embedding_space") == space) & F.col("title").isNotNull() & F.col("organization").isNotNull())
+    s = s if synthetic else s.filter(F.col("source_type") != "synthetic_test")
+    return vectors.filter(F.col("embedding_space") == space).join(s.select("source_id", "title", "organization"), "source_id")
+
+
+def retrieve_reference(requests: DataFrame, vectors: DataFrame, sources: DataFrame, space: str, dims: int = 256, k: int = 4, floor: float = 0.66) -> tuple[DataFrame, DataFrame]:
+    """(hits, tops) of requests (request_id, queries): per query the top k, valid ones at or over the floor, the best score of each
+    chunk over a request's queries; ``tops`` has each query's best raw score."""
+    q = requests.select("request_id", F.posexplode(distinct_queries(F.col("queries"))).alias("no", "query"))
+    q = q.select("request_id", F.concat_ws("#", F.col("request_id").cast("string"), F.col("no").cast("string")).alias("query_id"), F.lit(space).alias("embedding_space"), hash_embed(F.col("query"), dims).alias("values"))
+    top = vector_topk(q, vectors, ["embedding_space"], k)
+    valid = top.join(servable_references(vectors, sources, space).select("id", "source_id", "title", "organization", "text"), "id").filter(F.col("score") >= floor)
+    best = best_per_item(valid.join(q.select("query_id", "request_id"), "query_id"), "request_id", "id", "score")
+    return best.join(valid.select("id", "source_id", "title", "organization", "text").distinct(), "id"), top_score(q, top, "query_id", "score")
+
+
+def merge_term_hits(exact: DataFrame, semantic: DataFrame, question: str, floor: float = 0.70) -> DataFrame:
+    """O1 + W6: exact hits and semantic ones at or over the floor, once per record with the better rank, then score; ordered by match
+    kind, dataset, score, id (``position`` from 1). Both have question, record_id, dataset, match, score."""
+    kinds = F.create_map(F.lit("exact_term"), F.lit(0), F.lit("exact_alias"), F.lit(1), F.lit("semantic"), F.lit(2))
+    both = exact.unionByName(semantic.filter(F.col("score") >= floor)).withColumn("__k", kinds[F.col("match")])
+    one = both.withColumn("__n", F.row_number().over(Window.partitionBy(question, "record_id").orderBy("__k", F.desc("score")))).filter("__n = 1")
+    order = Window.partitionBy(question).orderBy("__k", (F.col("dataset") != "medlineplus"), F.desc("score"), "record_id")
+    return one.withColumn("position", F.row_number().over(order)).drop("__k", "__n")
