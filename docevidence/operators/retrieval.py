@@ -22,7 +22,19 @@ def hash_embed(text: Column, dims: int = 256) -> Column:
     tokens = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 1)
     hits = F.transform(tokens, lambda t: fnv1a(t))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.aggregate(F.filter(hits, lambda h: h % dims == b), F.lit(0.0), lambda s, h: s + F.when(h % 2 == 1, 1.0).otherwise(-1.0)))
-    return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm(v)), F.lit(0.0))))[0]
+    sized = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))[0]
+    return F.transform(F.array(sized), lambda s: F.transform(s["v"], lambda x: F.coalesce(F.try_divide(x, s["n"]), F.lit(0.0))))[0]
+
+
+def embed_rows(df: DataFrame, key: str, text: str, dims: int = 256, keep: list[str] | None = None, out_col: str = "values") -> DataFrame:
+    """V1 for many rows with a unique key: the vectors of hash_embed, each token hashed once and summed by bucket before rows are built."""
+    keep = keep or []
+    tokens = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 1)
+    rows = df.select(key, *keep, F.explode_outer(tokens).alias("t"))
+    counts = rows.groupBy(key, *keep, "t").agg(F.count("t").alias("n")).withColumn("h", fnv1a(F.col("t")))
+    sums = counts.groupBy(key, *keep, (F.col("h") % dims).cast("int").alias("b")).agg(F.sum(F.when(F.col("h") % 2 == 1, F.col("n")).otherwise(-F.col("n"))).alias("v"))
+    lists = sums.groupBy(key, *keep).agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "v")))).alias("m"), F.sqrt(F.sum((F.col("v") * F.col("v")).cast("double"))).alias("n"))
+    return lists.select(key, *keep, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.coalesce(F.try_divide(F.try_element_at("m", b).cast("double"), F.col("n")), F.lit(0.0))).alias(out_col))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -55,8 +55,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to chunks to hashed vectors; per benchmark question the best chunks of each source, with a floor and a budget."""
     docs = table(spark, sf_dir, "documents").withColumn("seg_idx", F.lit(0))
     chunks = structure.prepare_chunks(docs, "doc_id", type_col=None).join(docs.select("doc_id", "source"), "doc_id")
-    vectors = chunks.select("chunk_id", "source", F.length("text").alias("chars"), retrieval.hash_embed(F.col("text"), 64).alias("values"))
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), retrieval.hash_embed(F.col("text"), 64).alias("values"))
+    vectors = retrieval.embed_rows(chunks.withColumn("chars", F.length("text")), "chunk_id", "text", 64, ["source", "chars"])
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), "text")
+    questions = retrieval.embed_rows(questions, "query_id", "text", 64, ["source"])
     hits = retrieval.vector_topk(questions, vectors, ["source"], 6, vector_id="chunk_id", floor=0.5)
     hits = hits.join(vectors.select("chunk_id", "chars"), "chunk_id")
     return retrieval.prefix_budget(hits, "query_id", ["rank"], F.col("chars"), 8000).select("query_id", "source", "chunk_id", "rank", "score")

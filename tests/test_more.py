@@ -47,3 +47,10 @@ def test_prompts(spark):
     raw = spark.createDataFrame([(1, '{"level":"low","n":3}'), (2, '{"level":"odd","n":3}'), (3, "no json")], "i int, raw string")
     got = {x["i"]: (x["failure"], list(x["violations"])) for x in prompting.parse_output(raw, "raw", "level string, n int", {"level": F.col("parsed.level").isin("low", "high")}).collect()}
     assert got == {1: (None, []), 2: ("schema_validation_failure", ["level"]), 3: ("schema_validation_failure", ["malformed"])}
+
+
+def test_embeddings_agree(spark):
+    df = spark.createDataFrame([(1, "Sodium sodium results a 12"), (2, ""), (3, "é ü x")], "i int, t string")
+    one = {r["i"]: r["v"] for r in df.select("i", retrieval.hash_embed(F.col("t"), 16).alias("v")).collect()}
+    many = {r["i"]: r["values"] for r in retrieval.embed_rows(df, "i", "t", 16).collect()}
+    assert {i: [round(x, 9) for x in v] for i, v in one.items()} == {i: [round(x, 9) for x in v] for i, v in many.items()}
