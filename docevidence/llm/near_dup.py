@@ -144,8 +144,9 @@ def _blocks(members: DataFrame, size: int) -> DataFrame:
     """Members (key, vid, comp) of a bucket in blocks, each pair of blocks (i, j) once; ``left`` marks the rows of block i."""
     order = Window.partitionBy("key").orderBy("comp", "vid")
     m = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / size).cast("int")).withColumn("last", F.max("block").over(Window.partitionBy("key")))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    return m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "vid", "comp", (F.col("block") < F.col("other")).alias("left"))
+    own = m.select("key", F.col("block").alias("i"), F.col("block").alias("j"), "vid", "comp", F.lit(True).alias("left"))
+    across = m.filter("last > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).filter("other <> block")
+    return own.union(across.select("key", F.least("block", "other"), F.greatest("block", "other"), "vid", "comp", F.col("block") < F.col("other")))
 
 
 def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
