@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
-A paragraph is a line; a line of more than LONG_LINE characters counts sentence by sentence. Its 64-bit digest goes to one cell in each of three subtables; a cell holds a
+A paragraph is a line, and in a line each sentence. Its 64-bit digest goes to one cell in each of three subtables; a cell holds a
 count, the xor of its digests and the xor of their check values. Subtracting the sketches of two versions leaves what only one of
 them has; cells with a single digest give it away, and taking it out of its other cells makes more such cells, until nothing is
 left (both differences are known) or nothing is single (failure). On failure the same is tried with sketches of more groups: a
@@ -19,8 +19,7 @@ TABLES, TABLE_CELLS = 3, 8
 CELLS = TABLES * TABLE_CELLS
 GROUP_DIGESTS = 6
 RETRIES = 5
-LONG_LINE = 2000
-SENTENCE = r"(?<=[.!?]) "
+PARAGRAPH = r"\n|(?<=[.!?]) (?=[^\S\n]*\S)"  # white space that ends a line stays with its last sentence
 BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
 
 
@@ -30,8 +29,7 @@ def _shift(x: Column, n: Column | int) -> Column:
 
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs; null and empty texts have none."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: p != "")
-    parts = F.flatten(F.transform(lines, lambda p: F.when(F.length(p) > LONG_LINE, F.split(p, SENTENCE)).otherwise(F.array(p))))
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda p: p != "")
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 

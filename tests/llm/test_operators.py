@@ -194,6 +194,19 @@ def test_sketch(spark):
     assert got[8]["fingerprint"] == got[9]["fingerprint"] != got[4]["fingerprint"]
 
 
+def test_sketch_sentences(spark):
+    rng = random.Random(14)
+    # One-line documents around 2,000 characters: the unit doesn't hang on a line's length, and half of the sentences are shared.
+    texts = [" ".join(f"{words(rng, 5)}{rng.choice('.!?')}" for _ in range(n)) for n in (1, 2, 12, 40, 60, 61, 62, 63, 64, 66, 70, 160)]
+    got = {r["doc_id"]: r for r in paragraph_sketch.edit_and_compare(docs(spark, texts)).collect()}
+    parts = lambda t: {x for x in re.split(r"\n|(?<=[.!?]) (?=[^\S\n]*\S)", t) if x}
+    for i, t in enumerate(texts):
+        nxt = texts[(i - 1) % len(texts)]
+        a, b, c = parts(t), parts(t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]), parts(nxt)
+        assert got[i]["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and got[i]["near_next"] == pytest.approx(len(a & c) / len(a | c))
+    assert all(got[i]["near_edited"] > 0.2 for i in range(3, len(texts)))
+
+
 def test_automaton():
     lexicon = toxicity.Lexicon({"stupid": 2.0, "scum": 1.0, "lowei*": 3.0}, frozenset({"stupids"}))
 
