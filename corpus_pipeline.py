@@ -15,8 +15,10 @@ from docevidence.llm.common import Scratch, read_table, with_row_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go; none where the labels teach no term, as then all texts score alike."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    if not model.terms:
+        return docs
     return toxicity.score(docs, model, docs.columns, out_col="__score").filter("__score < 0.5").select(*docs.columns)
 
 
@@ -28,9 +30,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies (similarity 0.8 or more) the document with the smallest id stays."""
     rows = with_row_key(docs, "__row")
-    kept = near_dup.group(rows, row_col="__row").filter("kept").select("__row")
+    kept = near_dup.group(rows, least_percent=80, row_col="__row").filter("kept").select("__row")
     return rows.join(kept.hint("shuffle_merge"), "__row", "left_semi").select(*docs.columns)
 
 

@@ -1,9 +1,10 @@
 """Near-duplicates: MinHash signatures, a multi-index Hamming join, links confirmed on full shingle sets, components.
 
-A signature has SYMBOLS min-wise hashes of 16 bits. Two signatures that differ in at most MAX_DISTANCE symbols differ, by the
-pigeonhole principle, in at most one symbol of one of the CHUNKS chunks; so each chunk is indexed once for each symbol left out,
-and every pair under the threshold meets in a bucket. (At a similarity of 0.85 more than 23 of 64 symbols differ in about three
-pairs of a million.)
+A signature has SYMBOLS min-wise hashes of 16 bits. The least similarity that links sets the largest distance: so many symbols that
+at most MOST_MISSED of the pairs of just that similarity differ in more. Two signatures that differ in at most so many symbols
+differ, by the pigeonhole principle, in at most one symbol of one of distance // 2 + 1 chunks; so each chunk is indexed once for each
+symbol left out, and every pair under the threshold meets in a bucket. (At a similarity of 0.85 that is 23 of 64 symbols and 12
+chunks, at 0.80 28 and 15.)
 
 Equal shingle sets are one vertex. In a bucket each vertex is first paired with the smallest one and with its neighbour only; once
 the links found so far have joined vertices to components, only pairs between different components still matter. Those are all looked
@@ -14,6 +15,7 @@ for all its pairs, and no link between components is lost.
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql.window import Window
 from docevidence.llm.common import Scratch, map_batches, with_row_key
 
 WORDS = 5
-SYMBOLS, CHUNKS, MAX_DISTANCE = 64, 12, 23
+SYMBOLS, MOST_MISSED = 64, 1e-5
 SMALL_BUCKET = 3  # all its pairs are those with the smallest vertex and with the neighbour
 SCAN_BLOCK, TEST_BLOCK = 2048, 256
 _M = (1 << 64) - 1
@@ -48,7 +50,6 @@ _BACK = pow(_BASE, -1, 1 << 64)
 _PLACE = _numbers(WORDS, 2) | np.uint64(1)
 _SHORT = _numbers(WORDS, 3)
 _TIMES = _numbers(SYMBOLS, 4) | np.uint64(1)
-_CHUNK = np.array([i * CHUNKS // SYMBOLS for i in range(SYMBOLS)])
 _LEFT_OUT = _numbers(SYMBOLS, 5)
 
 
@@ -102,12 +103,28 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def index_keys(sig: np.ndarray) -> np.ndarray:
+def largest_distance(least_percent: int) -> int:
+    """The fewest symbols that at most MOST_MISSED of the pairs at ``least_percent`` differ in more of."""
+    p = least_percent / 100
+    most, beyond = SYMBOLS, 0.0
+    while most and (beyond := beyond + comb(SYMBOLS, most) * (1 - p) ** most * p ** (SYMBOLS - most)) <= MOST_MISSED:
+        most -= 1
+    if most == SYMBOLS:
+        raise ValueError(f"{SYMBOLS} symbols can't find pairs at {least_percent} percent")
+    return most
+
+
+def chunks(distance: int) -> np.ndarray:
+    """Each symbol's chunk."""
+    return np.arange(SYMBOLS) * (distance // 2 + 1) // SYMBOLS
+
+
+def index_keys(sig: np.ndarray, chunk: np.ndarray) -> np.ndarray:
     """For each symbol the key of its chunk without it."""
     part = _mix(sig.astype(np.uint64) + (np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(16)) + np.uint64(0x51ED2701))
-    bounds = np.flatnonzero(np.r_[True, _CHUNK[1:] != _CHUNK[:-1]])
+    bounds = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
     whole = np.add.reduceat(part, bounds, axis=1)
-    return _mix(whole[:, _CHUNK] - part + _LEFT_OUT).view(np.int64)
+    return _mix(whole[:, chunk] - part + _LEFT_OUT).view(np.int64)
 
 
 def _sigs(column) -> np.ndarray:
@@ -157,12 +174,12 @@ def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return vid, comp, left, ~left
 
 
-def _open_pairs(vid: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, keys: np.ndarray, key: int):
+def _open_pairs(vid: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, keys: np.ndarray, key: int, distance: int):
     """(x, ys): pairs of different components under the distance threshold, in the bucket of the first index key they share."""
     own = bool((left & right).any())
     for x in np.flatnonzero(left):
         y = np.flatnonzero(right & (comp != comp[x]) & ((vid > vid[x]) | (not own)))
-        y = y[(sig[y] != sig[x]).sum(axis=1) <= MAX_DISTANCE]
+        y = y[(sig[y] != sig[x]).sum(axis=1) <= distance]
         if len(y):
             y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == key]
             if len(y):
@@ -179,6 +196,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """
     spark = docs.sparkSession
     work = Scratch(spark, "near-dup")
+    distance = largest_distance(least_percent)
+    chunk = chunks(distance)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
     rows = rows if row_col else with_row_key(rows, "row")
 
@@ -194,7 +213,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     vertices = work.save(signed.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("vid"), F.min("sig").alias("sig")), "vertices")
 
     def keys(b: pa.RecordBatch) -> pa.RecordBatch:
-        k = index_keys(_sigs(b.column("sig")))
+        k = index_keys(_sigs(b.column("sig")), chunk)
         return pa.RecordBatch.from_arrays([b.column("vid"), pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, SYMBOLS, dtype=np.int32)), pa.array(k.ravel()))], ["vid", "keys"])
 
     indexed = map_batches(vertices.select("vid", "sig"), keys, "vid bigint, keys array<bigint>").select("vid", F.explode("keys").alias("key"))
@@ -207,7 +226,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
         def measure(b: pa.RecordBatch) -> pa.RecordBatch:
             d = (_sigs(b.column("sa")) != _sigs(b.column("sb"))).sum(axis=1)
-            return pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(d.astype(np.int32))], ["a", "b", "d"]).filter(pa.array(d <= MAX_DISTANCE))
+            return pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(d.astype(np.int32))], ["a", "b", "d"]).filter(pa.array(d <= distance))
 
         s = vertices.select("vid", "sig")
         both = pairs.join(s.select(F.col("vid").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("vid").alias("b"), F.col("sig").alias("sb")), "b")
@@ -264,9 +283,9 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     def scan(t: pa.Table) -> pa.Table:
         vid, comp, left, right = _sides(t)
         sig = _sigs(t.column("sig").combine_chunks())
-        keys, key = index_keys(sig), t.column("key")[0].as_py()
+        keys, key = index_keys(sig, chunk), t.column("key")[0].as_py()
         hit = np.zeros(len(vid), dtype=bool)
-        for x, y in _open_pairs(vid, comp, left, right, sig, keys, key):
+        for x, y in _open_pairs(vid, comp, left, right, sig, keys, key, distance):
             hit[x] = True
             hit[y] = True
         return pa.table({"key": np.full(hit.sum(), key), "vid": vid[hit], "comp": comp[hit]})
@@ -280,7 +299,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         sets = shingle_sets(t.column("text").to_pylist())
         sig, sizes = signatures(sets), np.array([len(s) for s in sets])
         out = []
-        for x, ys in _open_pairs(vid, comp, left, right, sig, index_keys(sig), t.column("key")[0].as_py()):
+        for x, ys in _open_pairs(vid, comp, left, right, sig, index_keys(sig, chunk), t.column("key")[0].as_py(), distance):
             for y in ys.tolist():
                 if comp[x] != comp[y] and 100 * min(sizes[x], sizes[y]) >= least_percent * max(sizes[x], sizes[y]):
                     both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))

@@ -111,6 +111,22 @@ def brute_groups(texts):
     return [(i, len(s), comp[i], comp[i] == i) for i, s in enumerate(sets)]
 
 
+def test_distance_follows_percent():
+    assert [(near_dup.largest_distance(p), near_dup.chunks(near_dup.largest_distance(p))[-1] + 1) for p in (100, 85, 80, 50)] == [(0, 1), (23, 12), (28, 15), (49, 25)]
+    with pytest.raises(ValueError):
+        near_dup.largest_distance(5)
+    # Every pair within the distance shares a key: symbols changed at random places.
+    rng = np.random.default_rng(7)
+    for percent in (50, 80, 85):
+        most = near_dup.largest_distance(percent)
+        a = rng.integers(0, 1 << 16, (200, 64)).astype("<u2")
+        b = a.copy()
+        for x in b:
+            x[rng.choice(64, most, replace=False)] += 1
+        chunk = near_dup.chunks(most)
+        assert (near_dup.index_keys(a, chunk) == near_dup.index_keys(b, chunk)).any(axis=1).all()
+
+
 def test_near_dup(spark):
     rng = random.Random(5)
     texts = list(ODD)

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -13,3 +15,26 @@ def test_stages(spark):
     assert seen[0] >= seen[1] >= seen[2] >= seen[3] > 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.count() == seen[-1] and out.filter(F.col("n_tokens") < 0).count() == 0
+
+
+def test_near_copies_at_80(spark):
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(200)]
+    texts, sets = [], []
+    for edits in (0, 3, 4, 5, 6):
+        w = list(base)
+        for i in rng.sample(range(0, 200, 8), edits):
+            w[i] = f"x{rng.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    like = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert any(0.8 <= x < 0.85 for x in like)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r[0] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert kept == {0} | {i for i, s in enumerate(sets) if all(len(s & o) / len(s | o) < 0.8 for j, o in enumerate(sets) if j != i)}
+
+
+def test_no_labels_reject_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id bigint, text string")
+    assert {r[0] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()} == {1, 2}
