@@ -31,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (similarity 0.8 or more) the document with the smallest id stays."""
-    rows = with_row_key(docs, "__row")
+    rows = Scratch(spark, "near-copies").save(with_row_key(docs, "__row"), "rows")
     kept = near_dup.group(rows, least_percent=80, row_col="__row").filter("kept").select("__row")
     return rows.join(kept.hint("shuffle_merge"), "__row", "left_semi").select(*docs.columns)
 

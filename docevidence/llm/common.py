@@ -61,5 +61,6 @@ def map_batches(df: DataFrame, fn: Callable, schema: str, most_rows: int = 1000)
 
 
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """A key for each row of a file scan, repeated ids and repeated rows included."""
+    """A key for each row of a file scan, repeated ids and repeated rows included. Another scan may split the files otherwise and
+    give other keys, so a key that a later job uses again is saved first."""
     return df.withColumn(name, F.monotonically_increasing_id())

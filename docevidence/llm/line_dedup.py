@@ -105,6 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = keep or docs.columns
     rows = with_row_key(docs, "row") if "row" not in docs.columns else with_row_key(docs.withColumnRenamed("row", "__row"), "row")
     keep = ["__row" if c == "row" else c for c in keep]
+    rows = work.save(rows.select(*dict.fromkeys([*keep, id_col, text_col, "row"])), "rows")
     runs = repeated_runs(rows, work, id_col, text_col, min_words).groupBy("row").agg(F.collect_set(F.struct("start", "lines")).alias("__runs"))
     runs = work.save(runs, "runs")
     out = rows.join(runs.hint("shuffle_merge"), "row", "left").withColumn("__lines", F.when(F.col("__runs").isNotNull(), _lines(F.col(text_col))))

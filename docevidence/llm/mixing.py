@@ -65,17 +65,19 @@ def _running(df: DataFrame, group: list[str], order: list[str], value: str, out:
     return df.withColumn(out, F.sum(value).over(w) - F.col(value))
 
 
-def plan_mix(docs: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_size: int = 64, seed: int = 17) -> Mix:
+def plan_mix(docs: DataFrame, id_col: str, source_col: str, size: Column, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_size: int = 64, seed: int = 17, row_col: str | None = None) -> Mix:
     """Plans the mix of ``docs``. Null sizes count as 0, a null source is a source; repeated ids and rows are taken one by one.
 
     The order in a source is by a hash of id and seed, then id and size: the same rows give the same mix. Running positions go by
     hash buckets inside each source, and slot ranks by stretches of the schedule, so a source with a third of all rows is spread.
     Blocks shrink where that gives the smallest target LEAST_BLOCKS blocks within FINE_SLOTS slots. A slot beyond ``cap`` passes over
-    its source stays empty, so no document is taken more than ``cap`` (an integer) times.
+    its source stays empty, so no document is taken more than ``cap`` (an integer) times. ``row_col`` names a unique integer key of
+    the rows, the same at every reading.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "mix")
-    rows = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size")), "row")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), *([F.col(row_col).alias("row")] if row_col else []))
+    rows = rows if row_col else with_row_key(rows, "row")
     rows = work.save(rows.withColumn("h", F.xxhash64(F.col("id"), F.lit(seed))), "rows")
     sources = work.save(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, cap), "sources")
 
@@ -128,8 +130,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
     All columns of ``docs`` stay. Documents without words, and those whose source's share ends before them, have no row.
     """
-    rows = with_row_key(docs, "__row")
-    mix = plan_mix(docs, id_col, source_col, word_count(F.col(text_col)), **options)
+    rows = Scratch(docs.sparkSession, "mixed").save(with_row_key(docs, "__row"), "rows")
+    mix = plan_mix(rows, id_col, source_col, word_count(F.col(text_col)), row_col="__row", **options)
     copies = taken_words(mix).select(F.col("row").alias("__row"), F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5).cast("int").alias("__copies")).filter("__copies > 0")
     out = rows.join(copies.hint("shuffle_merge"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return out.drop("__row", "__copies", "__copy")

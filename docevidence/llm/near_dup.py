@@ -192,14 +192,14 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     Null texts count as empty; a text without words is linked with nothing, so each such row is its own component. Repeated
     ids stay as rows of their own; all of a component's rows with its smallest id count as kept. ``row_col`` names a unique integer
-    key of the rows, which is then returned too.
+    key of the rows, the same at every reading, which is then returned too.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "near-dup")
     distance = largest_distance(least_percent)
     chunk = chunks(distance)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
-    rows = rows if row_col else with_row_key(rows, "row")
+    rows = rows if row_col else work.save(with_row_key(rows, "row"), "rows")
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(b.column("text").to_pylist())

@@ -3,6 +3,9 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from docevidence.llm import line_dedup, mixing, near_dup
+from docevidence.llm.common import Scratch
+
 
 def test_stages(spark):
     sf = "/root/testdata/sf0.001"
@@ -17,6 +20,45 @@ def test_stages(spark):
     assert out.count() == seen[-1] and out.filter(F.col("n_tokens") < 0).count() == 0
 
 
+def test_keys_hold_when_scans_split_otherwise(spark, tmp_path, monkeypatch):
+    """Between two jobs the files of the input are dealt out otherwise, as where an executor is lost or joins."""
+    rng = random.Random(22)
+    text = lambda n: "\n".join(" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(12)) for _ in range(n))
+    texts = [text(rng.randint(1, 8)) for _ in range(60)]
+    run = text(6)
+    texts += [f"{t}\n{run}\n{text(1)}" for t in texts[:8]] + [texts[k] + " more" for k in range(10, 20)]
+    rng.shuffle(texts)
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(13).write.parquet(f"{tmp_path}/docs")
+    docs = lambda: spark.read.parquet(f"{tmp_path}/docs")
+    steps = [
+        lambda: line_dedup.dedup_lines(docs()).selectExpr("doc_id", "text", "string(removed)"),
+        lambda: near_dup.group(docs()),
+        lambda: corpus_pipeline.drop_near_duplicates(spark, docs(), ""),
+        lambda: mixing.mixed_documents(docs()),
+    ]
+    want = [sorted(map(tuple, s().collect())) for s in steps]
+
+    count, save, names = [0], Scratch.save, ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        count[0] += 1
+        spark.conf.set("spark.sql.files.minPartitionNum", "1" if count[0] % 2 else "40")
+        return out
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for step, rows in zip(steps, want, strict=True):
+            spark.conf.set("spark.sql.files.minPartitionNum", "40")
+            count[0] = 0
+            assert sorted(map(tuple, step().collect())) == rows
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
 def test_near_copies_at_80(spark):
     rng = random.Random(21)
     base = [f"w{i}" for i in range(200)]
