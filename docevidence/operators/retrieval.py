@@ -50,17 +50,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, on: list[str], k: int, query_id: str = "query_id", vector_id: str = "id", values: str = "values", floor: float | None = None, digits: int = 6) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, on: list[str], k: int, query_id: str = "query_id", vector_id: str = "id", values: str = "values", floor: float | None = None, digits: int = 6, skip_own: bool = False) -> DataFrame:
     """J1 + W1 + F6: of the vectors that agree on ``on`` (tenant, space) the k most similar per query, ties to the smaller id.
 
     The query side is broadcast while it has at most BROADCAST_ROWS rows, else both sides meet by a shuffle on ``on``. Only ids and
-    values take part; texts are joined back to the k winners by the caller. ``floor`` applies after the ranking.
+    values take part; texts are joined back to the k winners by the caller. ``floor`` applies after the ranking. With ``skip_own`` a
+    query is itself one of the vectors and that one is not ranked.
     """
     q = queries.select(query_id, *on, F.col(values).alias("__q"), norm(F.col(values)).alias("__qn"))
     q = F.broadcast(q) if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else q
     v = vectors.select(vector_id, *on, F.col(values).alias("__v"), norm(F.col(values)).alias("__vn"))
     score = F.round(F.coalesce(F.try_divide(dot(F.col("__q"), F.col("__v")), F.col("__qn") * F.col("__vn")), F.lit(0.0)), digits)
-    scored = v.join(q, on).filter(F.size("__q") == F.size("__v")).select(query_id, *on, vector_id, score.alias("score"))
+    scored = v.join(q, on).filter(F.size("__q") == F.size("__v")).filter(F.col(query_id) != F.col(vector_id) if skip_own else F.lit(True)).select(query_id, *on, vector_id, score.alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), vector_id))).filter(F.col("rank") <= k)
     return ranked.filter(F.col("score") >= floor) if floor is not None else ranked
 

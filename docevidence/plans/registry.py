@@ -242,9 +242,9 @@ RANKED = TOPK.replace("ON q.label = v.label AND q.vec_id % 10 = 0", "ON q.vec_id
 def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 2).alias("space"), F.col("embedding").alias("values"), "label")
     q = v.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
-    hits = retrieval.vector_topk(q, v, ["space"], 6).filter("query_id <> id")
+    hits = retrieval.vector_topk(q, v, ["space"], 5, skip_own=True)
     hits = hits.join(q.select("query_id", F.col("label").alias("ql")), "query_id").join(v.select("id", F.col("label").alias("vl")), "id")
-    return q, hits.select("query_id", (F.col("rank") - 1).alias("rank"), (F.col("ql") == F.col("vl")).alias("relevant"), "score")
+    return q, hits.select("query_id", "rank", (F.col("ql") == F.col("vl")).alias("relevant"), "score")
 
 
 @query(RANKED + """

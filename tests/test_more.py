@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from docevidence.functions.text import fuzzy_match
 from docevidence.operators import prompting, quality, retrieval
+from docevidence.plans import registry
 
 
 def test_greedy_counts(spark):
@@ -54,3 +55,13 @@ def test_embeddings_agree(spark):
     one = {r["i"]: r["v"] for r in df.select("i", retrieval.hash_embed(F.col("t"), 16).alias("v")).collect()}
     many = {r["i"]: r["values"] for r in retrieval.embed_rows(df, "i", "t", 16).collect()}
     assert {i: [round(x, 9) for x in v] for i, v in one.items()} == {i: [round(x, 9) for x in v] for i, v in many.items()}
+
+
+def test_own_row_is_not_ranked(spark, tmp_path):
+    # Vectors 2 to 10 are copies, 20 is a zero vector: the own row comes behind others of a smaller id.
+    values = {i: [1.0, 0.0] for i in range(2, 11)} | {12: [0.0, 1.0], 20: [0.0, 0.0]}
+    spark.createDataFrame([(i, v, i % 4) for i, v in values.items()], "vec_id bigint, embedding array<double>, label bigint").write.parquet(f"{tmp_path}/embeddings.parquet")
+    _, hits = registry._retrieved(spark, str(tmp_path))
+    got = {q: [(r["rank"], r["relevant"]) for r in sorted(hits.filter(f"query_id = {q}").collect(), key=lambda r: r["rank"])] for q in (10, 20)}
+    assert got[10] == [(1, True), (2, False), (3, True), (4, False), (5, False)]  # 2, 4, 6, 8 and 12 (score 0)
+    assert got[20] == [(1, False), (2, True), (3, False), (4, True), (5, False)]  # 2, 4, 6, 8, 10
