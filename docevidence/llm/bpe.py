@@ -10,9 +10,7 @@ hence linear time. Compatibility of pairs is memoised.
 from __future__ import annotations
 
 import base64
-import functools
 import struct
-from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
@@ -22,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docevidence.llm.common import map_batches
+from docevidence.llm.common import fields, map_batches, worker_state
 from docevidence.llm.text_units import UnitEncoder
 
-PAIR_MEMO = 200_000
+PAIR_MEMO, SPINE_MEMO, UNIT_MEMO = 100_000, 20_000, 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,6 +73,8 @@ class BacktrackEncoder:
                     left.append(parts[0])
                 if at == len(parts) - 1:
                     right.append(parts[-1])
+            if len(self.ends) >= SPINE_MEMO:
+                self.ends.clear()
             got = self.ends[a] = (right, left)
         return got
 
@@ -151,59 +151,61 @@ class BacktrackEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str, units: int) -> UnitEncoder:
-    return UnitEncoder(BacktrackEncoder(read_ranks(path), pattern).pack, units)
-
-
-@functools.lru_cache(maxsize=2)
-def _decoder(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Decoder:
     """All token bytes end to end, each token's start and length."""
-    ranks = read_ranks(path)
-    size = max(ranks.values(), default=-1) + 1
-    tokens = [b""] * size
-    for t, i in ranks.items():
-        tokens[i] = t
-    length = np.array([len(t) for t in tokens], dtype=np.int64)
-    return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(length) - length, length
-
-
-def decode_ids(packed: Iterable[bytes | None], path: str) -> list[bytes | None]:
-    flat, start, length = _decoder(path)
-    out = []
-    for p in packed:
-        if p is None:
-            out.append(None)
-            continue
-        ids = np.frombuffer(p, dtype="<u4").astype(np.int64)
-        n = length[ids]
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for t, i in ranks.items():
+            tokens[i] = t
+        self.length = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def __call__(self, packed: bytes) -> bytes:
+        ids = np.frombuffer(packed, dtype="<u4").astype(np.int64)
+        n = self.length[ids]
         ends = np.cumsum(n)
-        where = np.repeat(start[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-        out.append(flat[where].tobytes())
-    return out
+        where = np.repeat(self.start[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[where].tobytes()
+
 
+def _coder(path: str, pattern: str, units: int) -> tuple[UnitEncoder, Decoder]:
+    def build():
+        ranks = read_ranks(path)
+        return UnitEncoder(BacktrackEncoder(ranks, pattern).pack, units), Decoder(ranks)
 
-def encode_column(df: DataFrame, text_col: str, ranks_path: str, pattern: str, keep: list[str], out_col: str = "ids", unit_memo: int = 250_000) -> DataFrame:
-    """Adds ``out_col``: the token ids of the whole text as little-endian unsigned 32-bit integers.
+    return worker_state(("bpe", path, pattern, units), build)
 
-    ``keep`` names the columns that pass through; a null or empty text gives empty bytes; rows are kept one by one,
-    repeated rows included. No shuffle; memory is one Arrow batch and the bounded memos.
+
+def encode_column(df: DataFrame, text_col: str, ranks_path: str, pattern: str, keep: list[str], out_col: str = "ids", decoded_col: str | None = None, unit_memo: int = UNIT_MEMO) -> DataFrame:
+    """The columns ``keep`` and ``out_col``: the token ids of the whole text as little-endian unsigned 32-bit integers. With
+    ``decoded_col`` the ids are decoded again at once, for control.
+
+    ``keep`` must not hold the new columns' names (ValueError). A null or empty text gives empty bytes; rows are kept one by one,
+    repeated rows included; an empty table gives none. No shuffle; memory is one Arrow batch and the bounded memos.
     """
-    rows = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    new = [out_col, *([decoded_col] if decoded_col else [])]
+    if set(new) & set(keep):
+        raise ValueError(f"{new} would be there twice")
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text_col), F.lit("")).alias("text of it"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc = _encoder(ranks_path, pattern, unit_memo)
-        ids = pa.array([enc(t) for t in b.column("__text").to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], [*keep, out_col])
+        encode, decode = _coder(ranks_path, pattern, unit_memo)
+        ids = [encode(t) for t in b.column(len(keep)).to_pylist()]
+        out = [pa.array(ids, pa.binary()), *([pa.array(map(decode, ids), pa.binary())] if decoded_col else [])]
+        return pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), *out], [*keep, *new])
 
-    return map_batches(rows, run, f"{schema}, `{out_col}` binary")
+    return map_batches(rows, run, ", ".join([*([fields(df, keep)] if keep else []), *(f"`{c}` binary" for c in new)]))
 
 
 def decode_column(df: DataFrame, ids_col: str, ranks_path: str, out_col: str = "decoded") -> DataFrame:
-    """Adds ``out_col``: the bytes of the tokens. Null ids give null; empty ids give empty bytes."""
+    """All columns of ``df`` and ``out_col`` (in place of one of that name): the bytes of the tokens. Null ids give null, empty ids
+    empty bytes."""
+
     @F.pandas_udf("binary")
     def decode(ids: pd.Series) -> pd.Series:
-        return pd.Series(decode_ids(ids, ranks_path), dtype=object)
+        one = worker_state(("decoder", ranks_path), lambda: Decoder(read_ranks(ranks_path)))
+        return pd.Series([None if p is None else one(p) for p in ids], dtype=object)
 
     return df.withColumn(out_col, decode(F.col(ids_col)))

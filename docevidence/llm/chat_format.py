@@ -8,7 +8,6 @@ the sorted token starts and ends.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docevidence.llm.common import worker_state
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -76,11 +77,10 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
     return out
 
 
-@functools.lru_cache(maxsize=1)
 def _library(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return worker_state(("chat", path), lambda: Tokenizer.from_file(path))
 
 
 def format_conversations(turns: DataFrame, tokenizer_path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = "assistant") -> DataFrame:
@@ -101,7 +101,7 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, conv_col: str =
             for i in range(b.num_rows):
                 done.append(render(list(zip(roles[i].as_py(), texts[i].as_py(), strict=True)), trained))
                 size += len(done[-1][0])
-                if size > 4_000_000 or i == b.num_rows - 1:  # offsets of many texts at once would need much memory
+                if size > 1_000_000 or i == b.num_rows - 1:  # offsets of many texts at once would need much memory
                     yield emit(b.column("c").slice(i + 1 - len(done), len(done)), done)
                     done, size = [], 0
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import struct
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+from docevidence.llm.common import worker_state  # noqa: E402
 from docevidence.llm.text_units import UnitEncoder  # noqa: E402
 
 
@@ -52,9 +52,8 @@ class LibraryEncoder:
         return self.units(text)
 
 
-@functools.lru_cache(maxsize=2)
-def library_encoder(path: str, units: int = 600_000) -> LibraryEncoder:
-    return LibraryEncoder(path, units)
+def library_encoder(path: str, units: int = 300_000) -> LibraryEncoder:
+    return worker_state(("library", path, units), lambda: LibraryEncoder(path, units))
 
 
 def tokenizer_digest(path: str) -> str:

@@ -4,12 +4,15 @@ A signature has SYMBOLS min-wise hashes of 16 bits. The least similarity that li
 at most MOST_MISSED of the pairs of just that similarity differ in more. Two signatures that differ in at most so many symbols
 differ, by the pigeonhole principle, in at most one symbol of one of distance // 2 + 1 chunks; so each chunk is indexed once for each
 symbol left out, and every pair under the threshold meets in a bucket. (At a similarity of 0.85 that is 23 of 64 symbols and 12
-chunks, at 0.80 28 and 15.)
-
-Equal shingle sets are one vertex. In a bucket each vertex is first paired with the smallest one and with its neighbour only; once
-the links found so far have joined vertices to components, only pairs between different components still matter. Those are all looked
-at inside tasks, block by block, and only the links that join two components leave a task. So no group of copies is expanded into rows
-for all its pairs, and no link between components is lost.
+chunks, at 0.80 28 and 15.) ``exact`` indexes a prefix of the sets themselves instead, which misses no pair.
+
+Equal shingle sets are one vertex. Vertices that meet in buckets are gathered around pivots: each goes to the bucket leader with which it
+shares most buckets, and where the members of a bucket have gone to several pivots, those of the smaller parties are guests of the
+largest one's as well. So each pair of a bucket is together around some pivot, while a vertex has a row for each pivot, not for each
+bucket. It is compared with its pivot in full and keeps the difference of the two sets. Vertices linked with the pivot are one component;
+any other, loose one is compared with all around the pivot by their differences alone: with D the difference of a set to the pivot's,
+the sets of x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles. Blocks of loose ones meet blocks of all in a task, and only links that
+join two components leave it. No group of copies is expanded into rows for its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,14 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docevidence.llm.common import Scratch, map_batches, with_row_key
 
 WORDS = 5
 SYMBOLS, MOST_MISSED = 64, 1e-5
-SMALL_BUCKET = 3  # all its pairs are those with the smallest vertex and with the neighbour
-SCAN_BLOCK, TEST_BLOCK = 2048, 256
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20  # about what a block of differences holds at most
 _M = (1 << 64) - 1
 
 
@@ -157,42 +158,56 @@ def components(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
         old, k = mark, k + 1
 
 
-def _blocks(members: DataFrame, size: int) -> DataFrame:
-    """Members (key, vid, comp) of a bucket in blocks, each pair of blocks (i, j) once; ``left`` marks the rows of block i."""
-    order = Window.partitionBy("key").orderBy("comp", "vid")
-    m = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / size).cast("int")).withColumn("last", F.max("block").over(Window.partitionBy("key")))
-    own = m.select("key", F.col("block").alias("i"), F.col("block").alias("j"), "vid", "comp", F.lit(True).alias("left"))
-    across = m.filter("last > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).filter("other <> block")
-    return own.union(across.select("key", F.least("block", "other"), F.greatest("block", "other"), "vid", "comp", F.col("block") < F.col("other")))
-
-
-def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    vid, comp, left = (t.column(c).to_numpy() for c in ("vid", "comp", "left"))
-    if t.column("i")[0] == t.column("j")[0]:
-        left = np.ones(len(vid), dtype=bool)
-        return vid, comp, left, left
-    return vid, comp, left, ~left
-
-
-def _open_pairs(vid: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, keys: np.ndarray, key: int, distance: int):
-    """(x, ys): pairs of different components under the distance threshold, in the bucket of the first index key they share."""
-    own = bool((left & right).any())
-    for x in np.flatnonzero(left):
-        y = np.flatnonzero(right & (comp != comp[x]) & ((vid > vid[x]) | (not own)))
-        y = y[(sig[y] != sig[x]).sum(axis=1) <= distance]
-        if len(y):
-            y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == key]
-            if len(y):
-                yield x, y
+def prefix_keys(sets: list[np.ndarray], least_percent: int) -> list[np.ndarray]:
+    """So many of each set's smallest shingles that two sets of the least similarity share one of them."""
+    return [s[: len(s) + len(s) * -least_percent // 100 + 1].view(np.int64) for s in sets]
+
+
+def _lists(column: pa.Array, kind: str = "<u8") -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of packed lists end to end, and each list's length."""
+    packed = column.to_pylist()
+    return np.frombuffer(b"".join(packed), dtype=kind), np.array([len(p) // np.dtype(kind).itemsize for p in packed], dtype=np.int64)
+
+
+def around_pivot(loose: pa.Table, others: pa.Table, least_percent: int) -> list[tuple[int, int]]:
+    """Links between loose rows and others (vid, comp, n, d: packed difference to the pivot) that join their components."""
+    vid, comp, n = (others.column(c).to_numpy().copy() for c in ("vid", "comp", "n"))
+    flat, size = _lists(others.column("d").combine_chunks())
+    order = np.argsort(flat, kind="stable")
+    holder, (known, first, count) = np.repeat(np.arange(len(vid)), size)[order], np.unique(flat[order], return_index=True, return_counts=True)
+    own, lengths = _lists(loose.column("d").combine_chunks())
+    at = np.searchsorted(known, own) if len(known) else np.zeros(len(own), np.int64)
+    hit = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == own) if len(known) else np.zeros(len(own), bool)
+    out, joined, stop = [], {}, np.cumsum(lengths)
+
+    def root(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    for k, (x, x_comp, x_n) in enumerate(zip(*(loose.column(c).to_pylist() for c in ("vid", "comp", "n")), strict=True)):
+        mine = slice(stop[k] - lengths[k], stop[k])
+        found = at[mine][hit[mine]]
+        c = count[found]
+        rows = holder[np.repeat(first[found] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+        apart = lengths[k] + size - 2 * np.bincount(rows, minlength=len(vid))
+        linked = np.flatnonzero((100 * (x_n + n - apart) >= least_percent * (x_n + n + apart)) & (vid != x))
+        for y in linked[np.unique(comp[linked], return_index=True)[1]].tolist():
+            a, b = root(x_comp), root(int(comp[y]))
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                out.append((min(x, int(vid[y])), max(x, int(vid[y]))))
+    return out
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = 85, row_col: str | None = None) -> DataFrame:
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = 85, row_col: str | None = None, exact: bool = False) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the smallest id it is linked with over any number of links, its own
     included) and kept (id = component_id). Rows are linked if 100 * intersection >= least_percent * union of their sets.
 
     Null texts count as empty; a text without words is linked with nothing, so each such row is its own component. Repeated
-    ids stay as rows of their own; all of a component's rows with its smallest id count as kept. ``row_col`` names a unique integer
-    key of the rows, the same at every reading, which is then returned too.
+    ids stay as rows of their own; all of a component's rows with its smallest id count as kept. An empty table gives none.
+    ``row_col`` names a unique integer key of the rows, the same at every reading, which is then returned too. ``exact`` finds the pairs
+    of a component without signatures, for about as many index rows.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "near-dup")
@@ -204,112 +219,77 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(b.column("text").to_pylist())
         full = [i for i, s in enumerate(sets) if len(s)]
-        sig = dict(zip(full, signatures([sets[i] for i in full]), strict=True)) if full else {}
+        if exact:
+            index = dict(zip(full, prefix_keys([sets[i] for i in full], least_percent), strict=True))
+        else:
+            index = dict(zip(full, signatures([sets[i] for i in full]), strict=True)) if full else {}
         digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([sig[i].tobytes() if i in sig else None for i in range(len(sets))], pa.binary())], ["id", "row", "n", "digest", "sig"])
+        return pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([index[i].tobytes() if i in index else None for i in range(len(sets))], pa.binary())], ["id", "row", "n", "digest", "sig"])
 
     kind = rows.schema["id"].dataType.simpleString()
     signed = work.save(map_batches(rows, sign, f"id {kind}, row bigint, n bigint, digest binary, sig binary", 500), "signed")
     vertices = work.save(signed.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("vid"), F.min("sig").alias("sig")), "vertices")
 
     def keys(b: pa.RecordBatch) -> pa.RecordBatch:
-        k = index_keys(_sigs(b.column("sig")), chunk)
-        return pa.RecordBatch.from_arrays([b.column("vid"), pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, SYMBOLS, dtype=np.int32)), pa.array(k.ravel()))], ["vid", "keys"])
+        if exact:
+            flat, size = _lists(b.column("sig"), "<i8")
+        else:
+            k = index_keys(_sigs(b.column("sig")), chunk)
+            flat, size = k.ravel(), np.full(len(k), SYMBOLS)
+        return pa.RecordBatch.from_arrays([b.column("vid"), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat))], ["vid", "keys"])
 
     indexed = map_batches(vertices.select("vid", "sig"), keys, "vid bigint, keys array<bigint>").select("vid", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key").orderBy("vid")
-    indexed = indexed.select("key", "vid", F.first("vid").over(bucket).alias("leader"), F.lag("vid").over(bucket).alias("prev"), F.lead("vid").over(bucket).isNotNull().alias("more"))
-    buckets = work.save(indexed.filter(F.col("prev").isNotNull() | F.col("more")), "buckets")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Keeps the pairs (a, b) under the distance threshold."""
-
-        def measure(b: pa.RecordBatch) -> pa.RecordBatch:
-            d = (_sigs(b.column("sa")) != _sigs(b.column("sb"))).sum(axis=1)
-            return pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(d.astype(np.int32))], ["a", "b", "d"]).filter(pa.array(d <= distance))
-
-        s = vertices.select("vid", "sig")
-        both = pairs.join(s.select(F.col("vid").alias("a"), F.col("sig").alias("sa")), "a").join(s.select(F.col("vid").alias("b"), F.col("sig").alias("sb")), "b")
-        return map_batches(both, measure, "a bigint, b bigint, d int", 5000)
-
-    found = buckets.filter("prev is not null")
-    pairs = found.select(F.col("leader").alias("a"), F.col("vid").alias("b")).union(found.select(F.col("prev").alias("a"), F.col("vid").alias("b"))).distinct()
-    pairs = work.save(near(pairs), "pairs")
-
-    # Texts of the vertices that have a partner or stand in a larger bucket, once.
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
-    large = work.save(buckets.select("key", "vid").join(sizes.filter(F.col("size") > SMALL_BUCKET), "key"), "large")
-    met = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(large.select("vid")).distinct()
+    leaders = indexed.groupBy("key").agg(F.min("vid").alias("leader"), F.max("vid").alias("last")).filter("leader < last").select("key", "leader")
+    buckets = work.save(indexed.join(leaders.hint("shuffle_merge"), "key"), "buckets")
+
+    # Each vertex's pivot; then, of buckets whose members have several, the largest party's pivot for the others too.
+    pivots = buckets.groupBy("vid", "leader").agg(F.count("*").alias("n")).groupBy("vid").agg(F.max(F.struct("n", (-F.col("leader")).alias("p")))["p"].alias("p"))
+    pivots = work.save(pivots.select("vid", (-F.col("p")).alias("pivot")), "pivots")
+    placed = work.save(buckets.select("key", "vid").join(pivots, "vid"), "placed")
+    parties = placed.groupBy("key", "pivot").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parties"), F.max(F.struct("n", (-F.col("pivot")).alias("p")))["p"].alias("p"))
+    hosts = parties.filter("parties > 1").select("key", (-F.col("p")).alias("host"))
+    guests = placed.join(hosts, "key").filter("pivot <> host").select(F.col("host").alias("pivot"), "vid")
+    entries = work.save(pivots.select("pivot", "vid").union(guests).distinct().filter("pivot <> vid"), "entries")
+
+    met = entries.select(F.col("vid").alias("row")).union(entries.select("pivot")).distinct()
     texts = work.save(rows.select("row", "text").join(met.hint("shuffle_merge"), "row", "left_semi"), "texts")
 
-    def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        def check(b: pa.RecordBatch) -> pa.RecordBatch:
-            names = b.column("ta").to_pylist() + b.column("tb").to_pylist()
-            at = {t: i for i, t in enumerate(dict.fromkeys(names))}
-            sets = shingle_sets(list(at))
-            ok = []
-            for x, y in zip(names[: b.num_rows], names[b.num_rows :], strict=True):
-                p, q = sets[at[x]], sets[at[y]]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= least_percent * (len(p) + len(q) - both))
-            return pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        t = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
-        return map_batches(t, check, "a bigint, b bigint", 200)
-
-    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        """Pairs that the components so far do not join."""
-        ca, cb = comps.select(F.col("vid").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("vid").alias("b"), F.col("comp").alias("cb"))
-        p = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return p.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    # First each vertex's closest partner, then what is still apart of the pairs of small buckets.
-    closest = pairs.groupBy("b").agg(F.min(F.struct("d", "a"))["a"].alias("a")).select("a", "b")
-    links = work.save(confirm(closest, texts), "links-1")
+    def compare(b: pa.RecordBatch) -> pa.RecordBatch:
+        names = b.column("tx").to_pylist() + b.column("tp").to_pylist()
+        at = {t: i for i, t in enumerate(dict.fromkeys(names))}
+        sets = shingle_sets(list(at))
+        n, d, linked = [], [], []
+        for x, p in zip(names[: b.num_rows], names[b.num_rows :], strict=True):
+            x, p = sets[at[x]], sets[at[p]]
+            apart = np.setxor1d(x, p, assume_unique=True)
+            n.append(len(x))
+            d.append(apart.tobytes())
+            linked.append(100 * (len(x) + len(p) - len(apart)) >= least_percent * (len(x) + len(p) + len(apart)))
+        return pa.RecordBatch.from_arrays([b.column("pivot"), b.column("vid"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(linked, pa.bool_())], ["pivot", "vid", "n", "d", "linked"])
+
+    both = entries.join(texts.select(F.col("row").alias("vid"), F.col("text").alias("tx")), "vid").join(texts.select(F.col("row").alias("pivot"), F.col("text").alias("tp")), "pivot")
+    compared = work.save(map_batches(both, compare, "pivot bigint, vid bigint, n bigint, d binary, linked boolean", 200), "compared")
+    links = work.save(compared.filter("linked").select(F.least("pivot", "vid").alias("a"), F.greatest("pivot", "vid").alias("b")), "links-1")
     comps = work.save(components(links, work, "c1"), "comps-1")
-    few = found.join(sizes.filter(F.col("size") <= SMALL_BUCKET), "key")
-    few = few.select(F.col("leader").alias("a"), F.col("vid").alias("b")).union(few.select(F.col("prev").alias("a"), F.col("vid").alias("b"))).distinct()
-    rest = apart(pairs.select("a", "b").join(few, ["a", "b"], "left_semi").join(closest, ["a", "b"], "left_anti"), comps)
-    links = work.save(links.union(confirm(rest, texts)), "links-2")
-    comps = work.save(components(links, work, "c2"), "comps-2")
 
-    # Then all pairs of larger buckets between different components. A scan on signatures finds the members that still have such a
-    # pair, in the one bucket that answers for the pair; only those bring their texts, and a block of them tests its pairs in place.
-    placed = large.select("key", "vid").join(comps, "vid", "left").select("key", "vid", F.coalesce("comp", "vid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    members = _blocks(placed.join(mixed, "key"), SCAN_BLOCK).join(vertices.select("vid", "sig"), "vid")
-    kind = "key bigint, vid bigint, comp bigint"
-
-    def scan(t: pa.Table) -> pa.Table:
-        vid, comp, left, right = _sides(t)
-        sig = _sigs(t.column("sig").combine_chunks())
-        keys, key = index_keys(sig, chunk), t.column("key")[0].as_py()
-        hit = np.zeros(len(vid), dtype=bool)
-        for x, y in _open_pairs(vid, comp, left, right, sig, keys, key, distance):
-            hit[x] = True
-            hit[y] = True
-        return pa.table({"key": np.full(hit.sum(), key), "vid": vid[hit], "comp": comp[hit]})
-
-    open_members = work.save(members.groupBy("key", "i", "j").applyInArrow(scan, kind).distinct(), "open")
-    tested = _blocks(open_members, TEST_BLOCK).join(texts.select(F.col("row").alias("vid"), "text"), "vid")
-
-    def test(t: pa.Table) -> pa.Table:
-        vid, comp, left, right = _sides(t)
-        comp = comp.copy()
-        sets = shingle_sets(t.column("text").to_pylist())
-        sig, sizes = signatures(sets), np.array([len(s) for s in sets])
-        out = []
-        for x, ys in _open_pairs(vid, comp, left, right, sig, index_keys(sig, chunk), t.column("key")[0].as_py(), distance):
-            for y in ys.tolist():
-                if comp[x] != comp[y] and 100 * min(sizes[x], sizes[y]) >= least_percent * max(sizes[x], sizes[y]):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if 100 * both >= least_percent * (sizes[x] + sizes[y] - both):
-                        out.append((min(vid[x], vid[y]), max(vid[x], vid[y])))
-                        comp[comp == comp[y]] = comp[x]
-        return pa.table({"a": np.array([p[0] for p in out], np.int64), "b": np.array([p[1] for p in out], np.int64)})
-
-    links = work.save(links.union(tested.groupBy("key", "i", "j").applyInArrow(test, "a bigint, b bigint")), "links-3")
-    comps = work.save(components(links, work, "c3"), "comps-3")
+    # Around pivots with loose rows and more than one component: blocks of loose ones against blocks of all.
+    around = compared.join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
+    cost = F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("d")) / BLOCK_BYTES)
+    loose_cost = F.greatest(F.count_if(~F.col("linked")) / BLOCK_ROWS, F.sum(F.when(~F.col("linked"), F.octet_length("d"))) / BLOCK_BYTES)
+    mixed = around.groupBy("pivot").agg(F.ceil(cost).alias("blocks"), F.ceil(loose_cost).alias("loose_blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    around = work.save(around.join(mixed.filter("lo <> hi AND loose_blocks > 0").drop("lo", "hi"), "pivot"), "around")
+    part = lambda n: F.pmod(F.xxhash64("vid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    right = around.select("pivot", every("loose_blocks").alias("i"), part("blocks").alias("j"), "vid", "comp", "n", "d")
+    left = work.load("around").filter("NOT linked").select("pivot", part("loose_blocks").alias("i"), every("blocks").alias("j"), "vid", "comp", "n", "d")
+
+    def meet(loose: pa.Table, others: pa.Table) -> pa.Table:
+        found = around_pivot(loose, others, least_percent) if loose.num_rows and others.num_rows else []
+        return pa.table({"a": np.array([x[0] for x in found], np.int64), "b": np.array([x[1] for x in found], np.int64)})
+
+    joined = left.groupBy("pivot", "i", "j").cogroup(right.groupBy("pivot", "i", "j")).applyInArrow(meet, "a bigint, b bigint")
+    links = work.save(links.union(joined), "links-2")
+    comps = work.save(components(links, work, "c2"), "comps-2")
 
     lowest = signed.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("vid"), F.min("id").alias("least"))
     lowest = lowest.join(comps, "vid", "left").select("digest", F.coalesce("comp", "vid").alias("comp"), "least")

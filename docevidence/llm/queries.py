@@ -29,8 +29,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode_column(read_table(spark, sf_dir, "documents"), "text", ranks, public_tokenizers.PATTERN, ["doc_id"])
-    out = bpe.decode_column(ids, "ids", ranks)
+    out = bpe.encode_column(read_table(spark, sf_dir, "documents"), "text", ranks, public_tokenizers.PATTERN, ["doc_id"], decoded_col="decoded")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

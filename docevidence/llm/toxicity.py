@@ -8,7 +8,6 @@ marks or near reporting words count apart from abuse. A logistic model over the
 
 from __future__ import annotations
 
-import functools
 import re
 from dataclasses import dataclass, field
 
@@ -17,15 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docevidence.llm.common import map_batches
+from docevidence.llm.common import Scratch, fields, map_batches, worker_state
 
 TRAIN_TOXIC, TRAIN_CLEAN = 4_000, 16_000  # the labelled rows that are learned from, at most
-MOST_TERMS = 4_000
 STEMS = (4, 5, 6)
 LEAST_CONTEXTS, LEAST_LOG_ODDS, LEAST_G = 5, 2.0, 30.0
 FUZZY_LETTERS = 5
 CONTEXT = 6
-MEMO_WORDS = 200_000
+MEMO_WORDS, MEMO_NODES = 60_000, 200_000  # the words and the trie nodes in state sets that the automaton keeps
 EXACT, STEM, FUZZY = 3, 2, 1
 WORDS = re.compile(r"[^\W\d_]+")
 # Marks and words that report speech.
@@ -57,39 +55,43 @@ class Lexicon:
         self._reset()
 
     def _reset(self) -> None:
-        self.sets: list[frozenset[tuple[int, int]]] = []
-        self.number: dict[frozenset[tuple[int, int]], int] = {}
+        self.sets: list[frozenset[int]] = []
+        self.nodes = 0
+        self.number: dict[frozenset[int], int] = {}
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[int, float]] = []
         self.begins: list[tuple[int, float]] = []
         self.known: dict[str, tuple[int, float]] = {}
-        self.start = self._state({(0, 1)})
+        self.start = self._state({1})
 
-    def _state(self, nodes: set[tuple[int, int]]) -> int:
-        """The number of a state set, -1 if it is empty; a missing letter moves on without reading."""
-        nodes |= {(c, 0) for n, left in nodes if left for c in self.children[n].values()}
-        key = frozenset(nodes)
+    def _state(self, places: set[int]) -> int:
+        """The number of a state set, -1 if it is empty. A place is twice the trie node, plus 1 while no error is made; a missing
+        letter moves on without reading."""
+        places |= {2 * c for x in places if x & 1 for c in self.children[x >> 1].values()}
+        key = frozenset(places)
         if not key:
             return -1
         if key not in self.number:
             self.number[key] = len(self.sets)
             self.sets.append(key)
+            self.nodes += len(key)
             self.steps.append({})
-            exact = [self.word[n] for n, left in key if left and n in self.word]
-            near = [self.word[n] for n, left in key if not left and n in self.long]
+            exact = [self.word[x >> 1] for x in key if x & 1 and x >> 1 in self.word]
+            near = [self.word[x >> 1] for x in key if not x & 1 and x >> 1 in self.long]
             self.accepts.append((EXACT, max(exact)) if exact else (FUZZY, max(near)) if near else (0, 0.0))
-            stems = [self.stem[n] for n, left in key if left and n in self.stem]
+            stems = [self.stem[x >> 1] for x in key if x & 1 and x >> 1 in self.stem]
             self.begins.append((STEM, max(stems)) if stems else (0, 0.0))
         return self.number[key]
 
     def _step(self, state: int, c: str) -> int:
         out = set()
-        for n, left in self.sets[state]:
-            if c in self.children[n]:
-                out.add((self.children[n][c], left))
-            if left:
-                out.add((n, 0))
-                out.update((x, 0) for x in self.children[n].values())
+        for x in self.sets[state]:
+            after = self.children[x >> 1]
+            if c in after:
+                out.add(2 * after[c] + (x & 1))
+            if x & 1:
+                out.add(x - 1)
+                out.update(2 * y for y in after.values())
         got = self.steps[state][c] = self._state(out)
         return got
 
@@ -98,7 +100,7 @@ class Lexicon:
         got = self.known.get(word)
         if got is not None:
             return got
-        if len(self.known) >= MEMO_WORDS or len(self.sets) >= MEMO_WORDS:
+        if len(self.known) >= MEMO_WORDS or self.nodes >= MEMO_NODES:
             self._reset()
         state, best = self.start, (0, 0.0)
         for c in word:
@@ -122,9 +124,8 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [0.0] * 6)
 
 
-@functools.lru_cache(maxsize=2)
 def _lexicon(terms: tuple, spared: frozenset) -> Lexicon:
-    return Lexicon(dict(terms), spared)
+    return worker_state(("lexicon", terms, spared), lambda: Lexicon(dict(terms), spared))
 
 
 def hits(lexicon: Lexicon, text: str) -> list[tuple[int, float, str, bool]]:
@@ -185,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.filter("toxic in (0, 1)").filter(F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
     # The sample is bounded, so sending it to all tasks is too.
     sample = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id").select("toxic", "text")
+    sample = Scratch(spark, "toxicity").save(sample, "sample")
 
     terms = _terms_of(sample)
     seen = terms.groupBy("term", "around").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p"), F.max(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("n"))
@@ -196,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     g = 2 * (p * F.log(p / (both * rate)) + F.when(n > 0, n * F.log(n / (both * (1 - rate)))).otherwise(0.0))
     odds = F.log((p + 0.5) / (total["p"] + 1)) - F.log((n + 0.5) / (total["n"] + 1))
     strong = seen.filter((p >= LEAST_CONTEXTS)).withColumn("odds", odds).withColumn("g", g).filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("g") >= LEAST_G))
-    rows = strong.orderBy(F.desc("g"), "term").limit(MOST_TERMS).collect()
+    rows = strong.orderBy(F.desc("g"), "term").collect()  # words of a bounded sample with enough contexts
     found = {r["term"]: float(r["odds"]) for r in rows}
     # A word or longer stem says nothing that a stem before it does not say as surely.
     stems = {t[:-1]: w for t, w in found.items() if t.endswith("*")}
@@ -210,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     near = _observe(sample, first)
     # Words that a spelling error turns into a term, yet are at home in clean documents.
     fuzzy = near.select("toxic", F.explode(F.array_distinct("fuzzy_words")).alias("w")).groupBy("w").agg(F.sum((F.col("toxic") == 1).cast("int")).alias("p"), F.sum((F.col("toxic") == 0).cast("int")).alias("n"))
-    spared = frozenset(r["w"] for r in fuzzy.filter("n > p").orderBy(F.desc("n"), "w").limit(MOST_TERMS).collect())
+    spared = frozenset(r["w"] for r in fuzzy.filter("n > p").collect())
     model = Model(found, spared)
     got = _observe(sample, model).select("toxic", "x").toPandas()
     x, y = np.array(got["x"].tolist(), dtype=float).reshape(-1, 6), got["toxic"].to_numpy(dtype=float)
@@ -244,15 +246,17 @@ def _observe(sample: DataFrame, model: Model) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """Adds ``out_col``, 0 to 1, from the whole text alone; ``keep`` passes through. A null text scores as an empty one."""
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    """The columns ``keep`` and ``out_col``, 0 to 1, from the whole text alone. A null text scores as an empty one; repeated rows stay;
+    an empty table gives no rows. ``keep`` must not hold ``out_col`` (ValueError)."""
+    if out_col in keep:
+        raise ValueError(f"{out_col} would be there twice")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text_col), F.lit("")).alias("text of it"))
     terms, spared, weights = tuple(model.terms.items()), model.spared, np.array(model.weights)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         lexicon = _lexicon(terms, spared)
-        x = np.array([features(lexicon, t) for t in b.column("__text").to_pylist()], dtype=float).reshape(-1, len(weights))
+        x = np.array([features(lexicon, t) for t in b.column(len(keep)).to_pylist()], dtype=float).reshape(-1, len(weights))
         s = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s)], [*keep, out_col])
+        return pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array(s)], [*keep, out_col])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(rows, run, f"{schema}, `{out_col}` double")
+    return map_batches(rows, run, f"{fields(docs, keep)}, `{out_col}` double")
