@@ -62,11 +62,12 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
-def map_batches(df: DataFrame, fn: Callable, schema: str, most_rows: int = 1000, most_bytes: int = 4 << 20) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable, schema: str, most_rows: int = 1000, most_bytes: int = 4 << 20, state: Callable[[], Any] | None = None) -> DataFrame:
     """``fn`` maps one Arrow record batch to one record batch (or None); a batch has ``most_rows`` rows and about ``most_bytes`` at
-    most, or one row."""
+    most, or one row. ``state`` makes what ``fn`` gets as a second argument for all batches of a task."""
 
     def run(batches: Iterable) -> Iterator:
+        more = (state(),) if state else ()
         for whole in batches:
             at = 0
             while at < whole.num_rows:
@@ -74,7 +75,7 @@ def map_batches(df: DataFrame, fn: Callable, schema: str, most_rows: int = 1000,
                 while part.num_rows > 1 and part.nbytes > most_bytes:
                     part = part.slice(0, max(1, min(part.num_rows - 1, part.num_rows * most_bytes // part.nbytes)))
                 at += part.num_rows
-                if (out := fn(part)) is not None:
+                if (out := fn(part, *more)) is not None:
                     yield out
 
     return df.mapInArrow(run, schema)

@@ -1,12 +1,13 @@
 """Token ids in a content-addressed store.
 
 Rolling hashes cut each document's ids into chunks where the content says so. A chunk is named by the digest of its ids and
-stored once; a document is a recipe, its chunk digests in order; recipes are written in ascending id order, and manifests hold
-a Merkle tree: chunk digests under a document's root, document roots under a shard's root, shard roots under the store's.
-Reading back checks every level.
+stored once; a document is a recipe, its chunk digests in order; recipes are written in ascending id order. A Merkle tree stands over
+them: chunk digests under a document's root, document roots under a shard's, shard roots under a part's, part roots under the store's.
+Reading back checks every level, both ways: what is there must be what the tree names, and all that the tree names must be there.
 
-Files below ``path``, all Parquet in the shared folder: ``chunks`` (digest, n, payload, refs; payload null where another row of
-the digest has it), ``recipes`` (part, pos, id, row, start_in_part, n_tokens, digests, root), ``manifest`` (part, shard, root).
+Files below ``path``, all Parquet in the shared folder: ``chunks`` (digest, n, payload), ``recipes`` (part, pos, id, row,
+start_in_part, n_tokens, digests, root), ``manifest`` (part, shard, documents, ids, shard_root), ``root`` (one row: root, documents,
+ids).
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docevidence.llm.common import map_batches, with_row_key
+from docevidence.llm.common import Scratch, map_batches, with_row_key
 from docevidence.llm.hf_counts import library_encoder
 
 WINDOW, LEAST, MEAN_BITS, MOST = 8, 256, 10, 8192
 SHARD_DOCS = 4096
+SEEN_CHUNKS = 100_000  # digests that a task remembers, so that it sends a payload about once
 CRC_POLYNOMIAL = 0xEDB88320
 
 
@@ -87,70 +89,104 @@ def combine_crc(crc: np.ndarray, size: np.ndarray, starts: np.ndarray) -> np.nda
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes, appends ``end_id`` to each document, and writes chunks, recipes and manifest.
+    """Encodes, appends ``end_id`` to each document, and writes chunks, recipes, manifest and root.
 
-    A null text counts as empty (the end id alone). Repeated ids and rows stay, each with its own recipe. Within an Arrow batch
-    equal chunks are merged before the shuffle, so a group of copies sends a payload per batch, not per row.
+    A null text counts as empty (the end id alone). Repeated ids and rows stay, each with its own recipe; rows of a null id come first.
+    An empty table makes a store without documents. A task sends the payload of a chunk that it meets again once only, so a group of
+    copies sends a payload per task, not per row.
     """
+    spark = docs.sparkSession
     rows = with_row_key(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "row")
 
-    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(b: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
         enc = library_encoder(tokenizer_path)
         end = int(end_id).to_bytes(4, "little")
         packed = [enc(t) + end for t in b.column("text").to_pylist()]
-        ends = np.cumsum([len(p) // 4 for p in packed])
-        starts = ends - [len(p) // 4 for p in packed]
+        size = [len(p) // 4 for p in packed]
+        ends = np.cumsum(size)
+        starts = ends - size
         ids = np.frombuffer(b"".join(packed), dtype="<u4")
         wide = ids.astype("<u2") if ids.max() < 1 << 16 else ids
-        found: dict[bytes, list] = {}
-        for doc, row, start, own in zip(b.column("id").to_pylist(), b.column("row").to_pylist(), starts.tolist(), cuts(ids, starts, ends), strict=True):
-            for no, e in enumerate(own):
+        recipes, fresh = [], []
+        for start, own in zip(starts.tolist(), cuts(ids, starts, ends), strict=True):
+            recipe, new = [], []
+            for e in own:
                 digest = hashlib.sha256(ids[start:e].tobytes()).digest()
-                if digest not in found:
-                    found[digest] = [e - start, wide[start:e].tobytes(), []]
-                found[digest][2].append({"id": doc, "row": row, "no": no})
+                recipe.append(digest)
+                if digest not in seen:
+                    if len(seen) >= SEEN_CHUNKS:
+                        seen.clear()
+                    seen.add(digest)
+                    new.append({"digest": digest, "n": e - start, "payload": wide[start:e].tobytes()})
                 start = e
-        refs = pa.list_(pa.struct([("id", pa.int64()), ("row", pa.int64()), ("no", pa.int32())]))
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int32()), pa.array([x[1] for x in found.values()], pa.binary()), pa.array([x[2] for x in found.values()], refs)], ["digest", "n", "payload", "refs"])
+            recipes.append(recipe)
+            fresh.append(new)
+        roots = [hashlib.sha256(b"".join(r)).digest() for r in recipes]
+        chunk = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())]))
+        return pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(size, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(fresh, chunk)], ["id", "row", "n_tokens", "digests", "root", "fresh"])
 
-    chunks = map_batches(rows, cut, "digest binary, n int, payload binary, refs array<struct<id bigint, row bigint, no int>>", 5000)
-    first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("refs")[0]["row"], F.col("refs")[0]["no"])) == 1
-    chunks.select("digest", "n", F.when(first, F.col("payload")).alias("payload"), "refs").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
+    schema = "id bigint, row bigint, n_tokens bigint, digests array<binary>, root binary, fresh array<struct<digest binary, n int, payload binary>>"
+    work = Scratch(spark, "id-store")
+    encoded = work.save(map_batches(rows, cut, schema, state=set), "encoded")
 
-    spark = docs.sparkSession
-    refs = spark.read.parquet(f"{path}/chunks").select("digest", "n", F.explode("refs").alias("r"))
-    recipes = refs.groupBy(F.col("r.id").alias("id"), F.col("r.row").alias("row")).agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("r.no", "digest"))).alias("c"))
-    recipes = recipes.select("id", "row", "n_tokens", F.transform("c", lambda c: c["digest"]).alias("digests"))
+    chunks = encoded.select(F.explode("fresh").alias("c")).select("c.*")
+    first = F.row_number().over(Window.partitionBy("digest").orderBy("n")) == 1  # equal digests, equal payloads
+    chunks.withColumn("first", first).filter("first").drop("first").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks")
+    recipes = encoded.drop("fresh")
 
     def number(batches):
         part, pos, at = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             n = b.column("n_tokens").to_numpy()
-            roots = [hashlib.sha256(b"".join(d)).digest() for d in b.column("digests").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(pos, pos + len(n))), b.column("id"), b.column("row"), pa.array(at + np.cumsum(n) - n), b.column("n_tokens"), b.column("digests"), pa.array(roots, pa.binary())],
+                [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(pos, pos + len(n))), b.column("id"), b.column("row"), pa.array(at + np.cumsum(n) - n), b.column("n_tokens"), b.column("digests"), b.column("root")],
                 ["part", "pos", "id", "row", "start_in_part", "n_tokens", "digests", "root"],
             )
             pos, at = pos + len(n), at + int(n.sum())
 
     ordered = recipes.repartitionByRange(F.col("id").asc_nulls_first(), "row").sortWithinPartitions(F.col("id").asc_nulls_first(), "row")
     ordered.mapInArrow(number, "part int, pos bigint, id bigint, row bigint, start_in_part bigint, n_tokens bigint, digests array<binary>, root binary").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/recipes")
+    work.drop("encoded")
     _shards(spark, path).write.mode("overwrite").parquet(f"{path}/manifest")
+    _root(spark.read.parquet(f"{path}/manifest")).write.mode("overwrite").parquet(f"{path}/root")
+
+
+def _over(roots: str, order: str) -> Column:
+    """The digest over a group's digests in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, roots))), lambda s: F.hex(s[roots])), ""), 256)
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
     """Shard roots over the document roots of at most SHARD_DOCS recipes."""
-    shard = spark.read.parquet(f"{path}/recipes").select("part", F.floor(F.col("pos") / SHARD_DOCS).alias("shard"), "pos", "root")
-    roots = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "root"))), lambda s: F.hex(s["root"])), "")
-    return shard.groupBy("part", "shard").agg(F.sha2(roots, 256).alias("shard_root"))
+    shard = spark.read.parquet(f"{path}/recipes").select("part", F.floor(F.col("pos") / SHARD_DOCS).alias("shard"), "pos", "n_tokens", "root")
+    return shard.groupBy("part", "shard").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), F.unhex(_over("root", "pos")).alias("shard_root"))
+
+
+def _root(shards: DataFrame) -> DataFrame:
+    """The store's root over the roots of its parts, and what it holds. A part is one written file, so one row gathers a digest a file."""
+    parts = shards.groupBy("part").agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids"), F.unhex(_over("shard_root", "shard")).alias("part_root"))
+    return parts.agg(_over("part_root", "part").alias("root"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"))
+
+
+def check_store(spark: SparkSession, path: str) -> None:
+    """Raises ValueError where the recipes are not those of the manifest, or the manifest is not that of the root."""
+    found, kept = _shards(spark, path), spark.read.parquet(f"{path}/manifest")
+    keys = [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("part", "shard", "documents", "ids", "shard_root")]
+    odd = found.alias("f").join(kept.alias("k"), (F.col("f.part") == F.col("k.part")) & (F.col("f.shard") == F.col("k.shard")), "full").filter(~(keys[0] & keys[1] & keys[2] & keys[3] & keys[4]))
+    if (first := odd.select(F.coalesce("f.part", "k.part"), F.coalesce("f.shard", "k.shard")).first()) is not None:
+        raise ValueError(f"shard {first[1]} of part {first[0]} is not what the manifest names")
+    if sorted(map(tuple, _root(kept).collect())) != sorted(map(tuple, spark.read.parquet(f"{path}/root").collect())):
+        raise ValueError("the manifest is not what the store's root names")
 
 
 def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """id, start (ids of all documents before it), n_tokens, ids_crc32, from the files alone.
 
-    Each payload is hashed against its digest, each recipe against its root and each shard against the manifest; a mismatch or a
-    missing chunk fails the job. The checksum of a document comes from its chunks' checksums, so no payload moves.
+    The tree is checked first (check_store). Then, as rows are read, each payload is hashed against its digest and each recipe against
+    its root; a mismatch or a missing chunk fails the job. The checksum of a document comes from its chunks' checksums, so no payload
+    moves. A store without documents gives no rows.
     """
+    check_store(spark, path)
 
     def verify(b: pa.RecordBatch) -> pa.RecordBatch:
         crc = []
@@ -161,7 +197,7 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
             crc.append(zlib.crc32(ids))
         return pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
-    chunks = map_batches(spark.read.parquet(f"{path}/chunks").select("digest", "n", "payload").filter("payload is not null"), verify, "digest binary, n int, crc bigint")
+    chunks = map_batches(spark.read.parquet(f"{path}/chunks").select("digest", "n", "payload"), verify, "digest binary, n int, crc bigint")
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("row", F.posexplode("digests").alias("no", "digest")).join(chunks, "digest", "left")
     parts = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "digest", "n", "crc"))).alias("c"))
@@ -183,8 +219,6 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
     sums = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row for each file part; a window over them all is small
     bases = sums.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    shards = _shards(spark, path).withColumnRenamed("shard_root", "read_shard").join(spark.read.parquet(f"{path}/manifest"), ["part", "shard"], "full")
-    sound = shards.groupBy("part").agg(F.bool_and(F.col("read_shard").eqNullSafe(F.col("shard_root"))).alias("sound"))
-    out = recipes.select("part", "id", "row", "start_in_part", "n_tokens", "root").join(docs, "row", "left").join(bases.join(sound, "part", "left"), "part", "left")
-    holds = F.coalesce(F.col("sound") & (F.col("root") == F.col("read_root")) & (F.col("n_tokens") == F.col("read_tokens")), F.lit(False))
-    return out.select(F.col("id").alias(id_col), (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", F.when(holds, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a recipe or shard does not match its root")).cast("bigint")).alias("ids_crc32"))
+    out = recipes.select("part", "id", "row", "start_in_part", "n_tokens", "root").join(docs, "row", "left").join(bases, "part", "left")
+    holds = F.coalesce((F.col("root") == F.col("read_root")) & (F.col("n_tokens") == F.col("read_tokens")), F.lit(False))
+    return out.select(F.col("id").alias(id_col), (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", F.when(holds, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a recipe does not match its root")).cast("bigint")).alias("ids_crc32"))

@@ -89,28 +89,36 @@ def repeated_runs(docs: DataFrame, work: Scratch, id_col: str, text_col: str, mi
     named = spans_of.join(rank.select("k", "row", F.col("pos").alias("start"), F.col("r").alias("a")), ["k", "row", "start"])
     named = work.save(named.join(rank.select("k", "row", F.col("pos").alias("tail"), F.col("r").alias("b")), ["k", "row", "tail"]).select("id", "row", "start", "lines", "a", "b"), "windows")
     firsts = named.groupBy("lines", "a", "b").agg(F.min(F.struct("id", "row", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = named.join(firsts, ["lines", "a", "b"]).filter((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    firsts = work.save(firsts, "firsts")  # both sides of the join are shuffled then, and Spark can split a hot passage's windows
+    later = named.join(firsts.hint("shuffle_merge"), ["lines", "a", "b"]).filter((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     return later.select("row", "start", "lines").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, keep: list[str] | None = None, lines_col: str = "n_lines", removed_col: str = "removed") -> DataFrame:
     """All rows of ``docs`` with the columns ``keep`` (all by default), their text without the later copies of repeated line runs,
-    ``n_lines`` (lines with a word) and ``removed`` (numbers of the deleted lines, from 0, ascending).
+    ``lines_col`` (lines with a word) and ``removed_col`` (numbers of the deleted lines, from 0, ascending).
 
     Null texts stay null and empty ones empty; blank lines are never deleted. Copies inside one document count too. Repeated ids and
-    rows are taken one by one.
+    rows are taken one by one; an empty table gives no rows. A new column must not have the name of a kept one (ValueError).
     """
     spark = docs.sparkSession
     work = Scratch(spark, "line-dedup")
     keep = keep or docs.columns
-    rows = with_row_key(docs, "row") if "row" not in docs.columns else with_row_key(docs.withColumnRenamed("row", "__row"), "row")
-    keep = ["__row" if c == "row" else c for c in keep]
-    rows = work.save(rows.select(*dict.fromkeys([*keep, id_col, text_col, "row"])), "rows")
-    runs = repeated_runs(rows, work, id_col, text_col, min_words).groupBy("row").agg(F.collect_set(F.struct("start", "lines")).alias("__runs"))
+    if {lines_col, removed_col} & set(keep):
+        raise ValueError(f"{lines_col} or {removed_col} would be there twice")
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]  # own names, so that no column of docs clashes
+    rows = with_row_key(docs.select(F.struct(*own).alias("kept"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "row")
+    rows = work.save(rows if text_col not in keep else rows.withColumn("kept", F.col("kept").dropFields(f"c{keep.index(text_col)}") if len(keep) > 1 else F.lit(None).cast("struct<c0:int>")), "rows")
+    runs = repeated_runs(rows, work, "id", "text", min_words).groupBy("row").agg(F.collect_set(F.struct("start", "lines")).alias("runs"))
     runs = work.save(runs, "runs")
-    out = rows.join(runs.hint("shuffle_merge"), "row", "left").withColumn("__lines", F.when(F.col("__runs").isNotNull(), _lines(F.col(text_col))))
-    gone = F.array_distinct(F.flatten(F.transform("__runs", lambda w: F.slice(F.transform("__lines", lambda s: s["no"]), w["start"] + 1, w["lines"]))))
-    out = out.withColumn("removed", F.coalesce(F.array_sort(gone), F.array().cast("array<int>")))
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    out = out.withColumn("n_lines", F.size(_lines(F.coalesce(F.col(text_col), F.lit("")))).cast("long")).withColumn(text_col, F.when(F.size("removed") > 0, left).otherwise(F.col(text_col)))
-    return out.select(*(F.col(c).alias("row") if c == "__row" else F.col(c) for c in keep), "n_lines", "removed")
+    out = rows.join(runs.hint("shuffle_merge"), "row", "left")
+    # Lists that a lambda reads for each element are bound by an outer one, so that they are made once a row.
+    numbers = F.transform(_lines(F.col("text")), lambda s: s["no"])
+    gone = F.transform(F.array(numbers), lambda no: F.flatten(F.transform("runs", lambda w: F.slice(no, w["start"] + 1, w["lines"]))))[0]
+    out = out.withColumn("gone", F.when(F.col("runs").isNotNull(), F.array_sort(F.array_distinct(gone))).otherwise(F.array().cast("array<int>")))
+    parts = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    left = F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay, lambda i: p[i]), "\n"))[0]
+    text = F.when(F.size("gone") > 0, left).otherwise(F.col("text"))
+    values = [text if c == text_col else F.col(f"kept.c{k}") for k, c in enumerate(keep)]
+    return out.select(*(v.alias(c) for v, c in zip(values, keep, strict=True)), F.size(_lines(F.coalesce("text", F.lit("")))).cast("long").alias(lines_col), F.col("gone").alias(removed_col))

@@ -240,6 +240,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     indexed = map_batches(vertices.select("vid", "sig"), keys, "vid bigint, keys array<bigint>").select("vid", F.explode("keys").alias("key"))
     leaders = indexed.groupBy("key").agg(F.min("vid").alias("leader"), F.max("vid").alias("last")).filter("leader < last").select("key", "leader")
+    # What is joined to a hot key's rows is saved first, so that both sides are shuffled and Spark can split the hot side.
+    leaders = work.save(leaders, "leaders")
     buckets = work.save(indexed.join(leaders.hint("shuffle_merge"), "key"), "buckets")
 
     # Each vertex's pivot; then, of buckets whose members have several, the largest party's pivot for the others too.
@@ -247,7 +249,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     pivots = work.save(pivots.select("vid", (-F.col("p")).alias("pivot")), "pivots")
     placed = work.save(buckets.select("key", "vid").join(pivots, "vid"), "placed")
     parties = placed.groupBy("key", "pivot").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parties"), F.max(F.struct("n", (-F.col("pivot")).alias("p")))["p"].alias("p"))
-    hosts = parties.filter("parties > 1").select("key", (-F.col("p")).alias("host"))
+    hosts = work.save(parties.filter("parties > 1").select("key", (-F.col("p")).alias("host")), "hosts")
     guests = placed.join(hosts, "key").filter("pivot <> host").select(F.col("host").alias("pivot"), "vid")
     entries = work.save(pivots.select("pivot", "vid").union(guests).distinct().filter("pivot <> vid"), "entries")
 
@@ -277,7 +279,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     cost = F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("d")) / BLOCK_BYTES)
     loose_cost = F.greatest(F.count_if(~F.col("linked")) / BLOCK_ROWS, F.sum(F.when(~F.col("linked"), F.octet_length("d"))) / BLOCK_BYTES)
     mixed = around.groupBy("pivot").agg(F.ceil(cost).alias("blocks"), F.ceil(loose_cost).alias("loose_blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    around = work.save(around.join(mixed.filter("lo <> hi AND loose_blocks > 0").drop("lo", "hi"), "pivot"), "around")
+    mixed = work.save(mixed.filter("lo <> hi AND loose_blocks > 0").drop("lo", "hi"), "mixed")
+    around = work.save(around.join(mixed, "pivot"), "around")
     part = lambda n: F.pmod(F.xxhash64("vid"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     right = around.select("pivot", every("loose_blocks").alias("i"), part("blocks").alias("j"), "vid", "comp", "n", "d")

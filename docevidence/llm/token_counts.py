@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docevidence.llm.common import map_batches, with_row_key
+from docevidence.llm.common import Scratch, map_batches, with_row_key
 from docevidence.llm.hf_counts import library_encoder, tokenizer_digest
 
 STORE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
@@ -30,8 +30,9 @@ def read_store(spark, store_path: str, tokenizer: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer_path: str, store_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, without added special tokens, truncation or padding.
 
-    A null text counts as empty (0 tokens). Repeated rows and ids stay. A text goes to the tokenizer once, however many
-    rows hold it: its first row is found on digests alone, then joined back by row, so no group of copies meets in a task.
+    A null text counts as empty (0 tokens). Repeated rows and ids stay; an empty table gives no rows. A text goes to the tokenizer
+    once, however many rows hold it: its first row is found on digests alone, with partial results before the shuffle, then joined back
+    by row. Counts join their rows by digest; both sides are shuffled for that alone, so Spark can split the rows of a hot text.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer_digest(tokenizer_path)
@@ -50,5 +51,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, store_path: str, id_col:
     texts = rows.select("__row", "__text").join(missing.hint("shuffle_merge"), "__row").select("__missing", "__text")
     map_batches(texts, count, STORE_SCHEMA).write.mode("append").parquet(store_path)
 
-    counts = read_store(spark, store_path, tokenizer)
+    counts = Scratch(spark, "token-counts").save(read_store(spark, store_path, tokenizer), "counts").hint("shuffle_merge")
     return rows.select("__id", "content_digest", F.octet_length("__text").cast("long").alias("n_bytes")).join(counts, "content_digest").select(F.col("__id").alias(id_col), "n_bytes", "n_tokens")

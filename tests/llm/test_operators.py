@@ -71,6 +71,27 @@ def test_id_store(spark):
     assert sorted(map(tuple, id_store.read_store(spark, where).collect())) == want
 
 
+@pytest.mark.parametrize("table", ["recipes", "chunks", "manifest", "root"])
+def test_id_store_damage(spark, table):
+    """A file less, or a row less, of any of the store's tables is an error."""
+    where = Scratch(spark, "t").path("ids")
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, words(rng, 400)) for i in range(300)], "doc_id bigint, text string").repartition(4)
+    id_store.write_store(df, where, P.path("byte_bpe_50k.json"), 2)
+    assert id_store.read_store(spark, where).count() == 300
+    rows = spark.read.parquet(f"{where}/{table}")
+    kept = spark.createDataFrame(rows.collect()[1:], rows.schema)
+    kept.write.mode("overwrite").parquet(f"{where}/{table}")
+    with pytest.raises(Exception, match="names|not in the store|match"):
+        id_store.read_store(spark, where).collect()
+
+
+def test_id_store_empty(spark):
+    where = Scratch(spark, "t").path("ids")
+    id_store.write_store(docs(spark, ODD).limit(0), where, P.path("byte_bpe_50k.json"), 2)
+    assert id_store.read_store(spark, where).count() == 0
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "assistant", "\\n\\ <| 日本😀"), (2, 1, "assistant", None), (2, 0, None, "x"), (2, 0, None, "x"), (3, 0, "odd\nrole", "")]
@@ -190,7 +211,7 @@ def test_mix(spark):
     taken = [r.asDict() for r in mixing.taken_words(mix).collect()]
     assert len(taken) == len(texts) and all(0 <= r["taken"] <= 2 * r["size"] for r in taken)
     for r in sources.values():
-        assert abs(sum(x["taken"] for x in taken if x["source_no"] == r["source_no"]) - r["target"]) <= 4 * mix.block_size
+        assert abs(sum(x["taken"] for x in taken if x["source_no"] == r["source_no"]) - r["target"]) <= 4 * r["block_size"]
     again = mixing.taken_words(mixing.plan_mix(df.repartition(3), "doc_id", "source", mixing.word_count(F.col("text")))).select("id", "taken").collect()
     assert sorted(map(tuple, again)) == sorted((r["id"], r["taken"]) for r in taken)
     assert mixing.taken_words(mixing.plan_mix(df.limit(0), "doc_id", "source", mixing.word_count(F.col("text")))).count() == 0
