@@ -1,10 +1,16 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests, with DataFrame functions only.
 
-A paragraph is a line, and in a line each sentence. Its 64-bit digest goes to one cell in each of three subtables; a cell holds a
-count, the xor of its digests and the xor of their check values. Subtracting the sketches of two versions leaves what only one of
-them has; cells with a single digest give it away, and taking it out of its other cells makes more such cells, until nothing is
-left (both differences are known) or nothing is single (failure). On failure the same is tried with sketches of more groups: a
-digest's leading bits choose its group of cells, so a larger sketch stays as cheap per digest as a small one.
+A paragraph here is a passage that ends where the content says so. Runs of up to six words inside a sentence are the smallest; at scale s a
+passage ends after each run whose hash has s bits of zeros, so after 2**s runs on average, and an edit moves no border but those beside it.
+A text has the passages of three scales, the finest one with about 16 to 32 of them, whatever its length (equal runs count once for that);
+texts of up to four times the length so share a scale. Each digest goes to one cell in each of three subtables; a cell holds a count, the xor of its digests and the xor of
+their check values. Subtracting the sketches of two versions leaves what only one of them has; cells with a single digest give it away, and
+taking it out of its other cells makes more such cells, until nothing is left (both differences are known) or nothing is single (failure).
+On failure the same is tried with larger sketches, the digests dealt anew, until it peels.
+
+Cells are rows, built and subtracted by one grouping that needs no shuffle of its own, as a document's rows are already together. Each round
+of peeling looks at one subtable, where a digest has one cell only, so no digest is taken out twice. The fingerprint is the sketch of
+FINGERPRINT_CELLS cells a subtable.
 """
 
 from __future__ import annotations
@@ -13,180 +19,202 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docevidence.llm.common import with_row_key
+from docevidence.llm.common import Scratch, with_row_key
 
-TABLES, TABLE_CELLS = 3, 8
-CELLS = TABLES * TABLE_CELLS
-GROUP_DIGESTS = 6
-RETRIES = 5
-PARAGRAPH = r"\n|(?<=[.!?]) (?=[^\S\n]*\S)"  # white space that ends a line stays with its last sentence
-BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
+TABLES, FIRST_CELLS, GROWTH, FINGERPRINT_CELLS = 3, 128, 4, 8
+ROUNDS = 9
+RUN = r"\S+(?:(?<![.!?])[^\S\n]+\S+){0,5}"
+LEAST_PASSAGES, MARKS = 16, "\x01\x02\x03"  # a mark for each scale
+BUCKET_ROWS, OUTER_CUTS, INNER_CUTS = 1024, 256, 4096
+EDITED, NEXT, OWN, OWN_EDITED, FACTS = 0, 1, 2, 3, 4  # kinds of cells: two differences, two fingerprints; and a row of what is known
+ADDED, GONE = -1, -2  # "cells" that count what was peeled
 
 
-def _shift(x: Column, n: Column | int) -> Column:
-    return F.call_function("shiftrightunsigned", x, n if isinstance(n, Column) else F.lit(n))
+def _bind(value: Column, fn) -> Column:
+    """fn(value), where fn may use the value often: as a lambda's variable it is made once."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def digests(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs; null and empty texts have none."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), PARAGRAPH), lambda p: p != "")
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    """The distinct digests of a text's passages at its scales; null, empty and blank texts have none."""
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN), F.lit(0))
 
+    def passages(w: Column) -> Column:
+        def marked(least: Column) -> Column:
+            def end(h: Column) -> Column:
+                kind = F.lit(" ")
+                for k, mark in enumerate(MARKS):
+                    kind = F.when(h.bitwiseAND(least * (1 << k) - 1) == 0, mark).otherwise(kind)
+                return kind
 
-def _count_to(n: Column | int) -> Column:
-    """0 .. n-1."""
-    return F.sequence(F.lit(0), (n if isinstance(n, Column) else F.lit(n)) - 1)
+            return F.rtrim(F.array_join(F.transform(w, lambda x: F.concat(x, _bind(F.xxhash64(x), end))), ""))
 
+        def hashed(t: Column, scale: Column) -> Column:
+            def at(k: int) -> Column:  # at a coarser scale the finer marks are spaces
+                parts = F.split(F.translate(t, MARKS[:k], " " * k), f"[{MARKS[k:]}]")
+                return F.transform(parts, lambda p: F.when(p != "", F.xxhash64(p, scale + k)))
 
-def sketch(found: Column, bits: Column) -> Column:
-    """Sketch of the digests in 2**bits groups, each an array of CELLS structs (n, key, check)."""
-    first = F.floor(bits / 2).cast("int")
-    rest = (bits - first).cast("int")
-    # Split in two steps, so that this grows with n * 2**(bits/2) only. A shift by 64 does nothing, so by 1 and by the rest.
-    coarse = F.transform(_count_to(F.call_function("shiftleft", F.lit(1), first)), lambda i: F.filter(found, lambda d: _shift(_shift(d, 1), 63 - first) == i))
-    fine = F.transform(coarse, lambda g: F.transform(_count_to(F.call_function("shiftleft", F.lit(1), rest)), lambda j: F.filter(g, lambda d: _shift(_shift(d, 1), 63 - first - rest).bitwiseAND(F.call_function("shiftleft", F.lit(1), rest) - 1) == j)))
-    return F.transform(F.flatten(fine), _cells)
+            return F.array_compact(F.array_distinct(F.concat(*map(at, range(len(MARKS))))))
 
+        scale = F.greatest(F.lit(0), F.floor(F.log2(F.size(F.array_distinct(w)) / LEAST_PASSAGES))).cast("int")
+        return _bind(scale, lambda s: _bind(_bind(F.call_function("shiftleft", F.lit(1).cast("bigint"), s), marked), lambda t: hashed(t, s)))
 
-def _place(d: Column, table: Column | int) -> Column:
-    return _shift(d, (table * 3) if isinstance(table, Column) else F.lit(3 * table)).bitwiseAND(F.lit(TABLE_CELLS - 1))
+    return _bind(runs, lambda w: F.when(F.size(w) > 0, passages(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def _cells(group: Column) -> Column:
-    def members(c: Column) -> Column:
-        table, place = F.floor(c / TABLE_CELLS).cast("int"), F.pmod(c, F.lit(TABLE_CELLS))
-        return F.filter(group, lambda d: _place(d, table) == place)
+def _passed(cuts: Column, x: Column, step: int) -> Column:
+    """How many of the ascending cuts are at most x, searched in two steps."""
 
-    zero = F.lit(0).cast("bigint")
-    return F.transform(
-        F.transform(_count_to(CELLS), members),
-        lambda m: F.struct(F.size(m).alias("n"), F.aggregate(m, zero, lambda a, d: a.bitwiseXOR(d)).alias("key"), F.aggregate(m, zero, lambda a, d: a.bitwiseXOR(F.xxhash64(d))).alias("check")),
-    )
+    def within(every: Column) -> Column:
+        outer = F.filter(every, lambda c, i: F.pmod(i, F.lit(step)) == 0)
+        below = F.greatest(F.size(F.filter(outer, lambda c: c <= x)) - 1, F.lit(0)) * step
+        return below + F.size(F.filter(F.slice(every, below + 1, F.lit(step)), lambda c: c <= x))
 
+    return _bind(cuts, within)
 
-def _minus(a: Column, b: Column) -> Column:
-    return F.struct((a["n"] - b["n"]).alias("n"), a["key"].bitwiseXOR(b["key"]).alias("key"), a["check"].bitwiseXOR(b["check"]).alias("check"))
 
+def _buckets(rows: DataFrame, id_col: str) -> DataFrame:
+    """Adds ``bucket``: ranges of about BUCKET_ROWS rows in descending id, cut at quantiles; null ids come last.
 
-def size(groups: Column) -> Column:
-    """Digests in a sketch: the counts of each group's first subtable."""
-    return F.aggregate(groups, F.lit(0), lambda a, g: a + _size(g))
+    OUTER_CUTS quantiles go into the expression; beyond that many ranges each is cut again, at quantiles that come from a table of a row for
+    each, at most INNER_CUTS long, so the table has a bound.
+    """
+    n = rows.count()
+    wanted = max(1, n // BUCKET_ROWS)
+    outer = min(OUTER_CUTS, wanted)
+    found = rows.agg(F.percentile_approx(id_col, [i / outer for i in range(1, outer)], 20 * outer).alias("c")).first()["c"] if outer > 1 else None
+    cuts = F.array(*(F.lit(c).cast("bigint") for c in sorted(set(found or [])))).cast("array<bigint>")
+    x = F.col(id_col)
+    rows = rows.withColumn("range", F.when(x.isNull(), F.lit(-1)).otherwise(_passed(cuts, x, 16)))
+    inner = min(INNER_CUTS, -(-wanted // outer))
+    if inner > 1:
+        table = rows.groupBy("range").agg(F.array_distinct(F.percentile_approx(id_col, [i / inner for i in range(1, inner)], 20 * inner)).alias("cuts"))
+        rows = rows.join(F.broadcast(table), "range").withColumn("place", F.coalesce(_passed(F.col("cuts"), x, 64), F.lit(0))).drop("cuts")
+    else:
+        rows = rows.withColumn("place", F.lit(0))
+    return rows.withColumn("bucket", -(F.col("range").cast("bigint") * INNER_CUTS + F.col("place"))).drop("range", "place")
 
 
-def _size(group: Column) -> Column:
-    return F.aggregate(F.slice(group, 1, TABLE_CELLS), F.lit(0), lambda a, c: a + c["n"])
+def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """Each row and, as next_<column>, the columns of the row that follows in descending id (after the last: the first), with a key ``row``
+    and the range ``b`` that it is partitioned by.
 
+    Each range of ids also gets a copy of the first row of the range after it, so that one shuffle and a window within the range do.
+    Repeated ids follow in the order of the scan; rows of a null id come last.
+    """
+    rows = _buckets(with_row_key(docs, "row"), id_col)
+    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce(F.col(id_col), F.lit(0)).alias("id"), (-F.col("row")).alias("r"))).alias("h"))
+    around = Window.orderBy("bucket")  # one row per range
+    first = F.max(F.struct((-F.col("bucket")).alias("b"), F.col("h"))).over(Window.partitionBy())["h"]["r"]
+    heads = heads.select(F.col("bucket").alias("to"), (-F.coalesce(F.lead(F.col("h")["r"]).over(around), first)).alias("row"))
+    ghosts = heads.groupBy("row").agg(F.collect_list("to").alias("to"))  # one row per range at most, OUTER_CUTS * INNER_CUTS in all
+    rows = rows.join(F.broadcast(ghosts), "row", "left")
+    places = F.concat(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost"))), F.coalesce(F.transform("to", lambda b: F.struct(b.alias("b"), F.lit(True).alias("ghost"))), F.array().cast("array<struct<b:bigint,ghost:boolean>>")))
+    rows = rows.withColumn("at", F.explode(places)).select("*", "at.b", "at.ghost").drop("at", "to", "bucket")
+    order = Window.partitionBy("b").orderBy("ghost", F.col(id_col).desc_nulls_last(), "row")
+    rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    return rows.filter(~F.col("ghost")).drop("ghost")
 
-def _peel(cells: Column, most: Column) -> Column:
-    """(sound, added, gone): how many digests only the left, only the right sketch has; sound if the cells came out empty."""
 
-    def step(state: Column, _: Column) -> Column:
-        single = F.slice(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == F.xxhash64(c["key"]))), 1, 1)
-        placed = F.transform(single, lambda p: F.struct(p.alias("p"), *(((t * TABLE_CELLS) + _place(p["key"], t)).alias(f"at{t}") for t in range(TABLES))))
-        after = F.transform(
-            placed,
-            lambda q: F.struct(
-                F.transform(state["cells"], lambda c, i: F.when((i == q["at0"]) | (i == q["at1"]) | (i == q["at2"]), _minus(c, q["p"])).otherwise(c)).alias("cells"),
-                (state["added"] + (q["p"]["n"] == 1).cast("int")).alias("added"),
-                (state["gone"] + (q["p"]["n"] == -1).cast("int")).alias("gone"),
-            ),
-        )
-        return F.coalesce(F.try_element_at(after, F.lit(1)), state)
+def _check(d: Column) -> Column:
+    return F.xxhash64(d, F.lit(-1))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("added"), F.lit(0).alias("gone"))
-    most = F.least(most, F.lit(CELLS))  # a cell gives away one digest at most
-    steps = F.slice(F.sequence(F.lit(1), most + 1), F.lit(1), most)
-    return F.aggregate(steps, start, step, lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0)).alias("sound"), s["added"].alias("added"), s["gone"].alias("gone")))
 
+def _cell(d: Column, table: Column | int, cells: int, deal: int) -> Column:
+    """The cell of a digest; those of a smaller sketch of the same deal are the larger one's folded."""
+    t = F.lit(table) if isinstance(table, int) else table
+    return (t * cells + F.xxhash64(d, t, F.lit(deal)).bitwiseAND(F.lit(cells - 1))).cast("int")
 
-def difference(a: Column, b: Column) -> Column:
-    """(sound, added, gone) of two sketches of equally many groups."""
 
-    def one(x: Column, y: Column) -> Column:
-        return _peel(F.zip_with(x, y, _minus), _size(x) + _size(y))
+KEYS = ["b", "row", "kind", "cell", "facts"]
 
-    start = F.struct(F.lit(True).alias("sound"), F.lit(0).alias("added"), F.lit(0).alias("gone"))
-    return F.aggregate(F.zip_with(a, b, one), start, lambda s, g: F.struct((s["sound"] & g["sound"]).alias("sound"), (s["added"] + g["added"]).alias("added"), (s["gone"] + g["gone"]).alias("gone")))
 
+def _sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
 
-def _likeness(diff: Column, n_a: Column, n_b: Column) -> Column:
-    """Shared digests over all digests; null where the difference failed. Two empty sets are alike."""
-    return F.transform(F.array(diff), lambda d: F.when(d["sound"], F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a - d["added"]) / (n_a + d["gone"]))))[0]
 
+def _sketches(rows: DataFrame, cells: int, deal: int) -> DataFrame:
+    """The cells of both differences and both fingerprints, and a row of facts, for rows (b, row, d, e, next_d, facts)."""
+    lists = [(EDITED, 1, "d"), (EDITED, -1, "e"), (NEXT, 1, "d"), (NEXT, -1, "next_d"), (OWN, 1, "d"), (OWN_EDITED, 1, "e"), (FACTS, 1, F.array(F.lit(0).cast("bigint")))]
+    each = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(n).cast("bigint").alias("n"), (F.col(x) if isinstance(x, str) else x).alias("d")) for kind, n, x in lists)))
+    rows = rows.select("b", "row", "facts", each.alias("l"))
+    rows = rows.select("b", "row", F.when(F.col("l.kind") == FACTS, F.col("facts")).alias("facts"), "l.kind", "l.n", F.explode("l.d").alias("key"))
+    rows = rows.select("*", _check(F.col("key")).alias("check"), F.explode(F.array(*map(F.lit, range(TABLES)))).alias("t")).filter(f"kind <> {FACTS} OR t = 0")
+    at = F.when(F.col("kind") <= NEXT, _cell(F.col("key"), F.col("t"), cells, deal)).when(F.col("kind") == FACTS, 0).otherwise(_cell(F.col("key"), F.col("t"), FINGERPRINT_CELLS, 0))
+    return _sums(rows.withColumn("cell", at))
 
-def _bits(n: Column) -> Column:
-    """Groups for n digests, GROUP_DIGESTS each or fewer, as a power of two."""
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / GROUP_DIGESTS))).cast("int")
 
+def _peeled(state: DataFrame, cells: int, deal: int) -> DataFrame:
+    """The cells after ROUNDS rounds, with ADDED and GONE counts of the digests that were found."""
+    own = lambda cell, n, key, check: F.struct(cell.cast("int").alias("cell"), n.alias("n"), key.alias("key"), check.alias("check"))
+    n, key, check, zero = F.col("n"), F.col("key"), F.col("check"), F.lit(0).cast("bigint")
+    for k in range(ROUNDS):
+        table = k % TABLES
+        single = (F.col("kind") <= NEXT) & (F.col("cell") >= table * cells) & (F.col("cell") < (table + 1) * cells) & (F.abs(n) == 1) & (check == _check(key))
+        found = own(F.when(n == 1, ADDED).otherwise(GONE), F.lit(1).cast("bigint"), zero, zero)
+        others = [own(_cell(key, t, cells, deal), -n, key, check) for t in range(TABLES) if t != table]
+        state = state.select("b", "row", "kind", "facts", F.inline(F.when(single, F.array(found, *others)).otherwise(F.array(own(F.col("cell"), n, key, check)))))
+        state = _sums(state).filter(f"kind > {NEXT} OR cell < 0 OR n <> 0 OR key <> 0 OR check <> 0")
+    return state
 
-def likeness(d_a: Column, d_b: Column, small_a: Column, small_b: Column) -> Column:
-    """Likeness by the small sketches; on failure by larger ones for both, doubled RETRIES times. Digests that still stand in each
-    other's way (64 equal bits but for a few) are compared as they are."""
-    n_a, n_b = F.size(d_a), F.size(d_b)
-    bits = F.greatest(_bits(n_a), _bits(n_b))
-    small = _likeness(difference(small_a, small_b), n_a, n_b)
-    larger = F.aggregate(_count_to(RETRIES + 1), small, lambda got, more: F.coalesce(got, _likeness(difference(sketch(d_a, bits + more), sketch(d_b, bits + more)), n_a, n_b)))
-    both = F.size(F.array_intersect(d_a, d_b))
-    return F.coalesce(larger, both / (n_a + n_b - both))
 
+def _fingerprint(kind: int) -> Column:
+    """A sketch as text: its cells in order, each one's number, count, key and check in hexadecimal."""
+    cells = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("cell", "n", "key", "check"))))
+    return F.array_join(F.transform(cells, lambda c: F.concat_ws(".", F.hex(c["cell"]), F.hex(c["n"]), F.hex(c["key"]), F.hex(c["check"]))), "-")
 
-def fingerprint(groups: Column) -> Column:
-    """A sketch as text: its size, then each cell's count, key and check in hexadecimal."""
-    cells = F.transform(F.flatten(groups), lambda c: F.concat_ws(".", F.hex(c["n"]), F.hex(c["key"]), F.hex(c["check"])))
-    return F.concat_ws(":", size(groups).cast("string"), F.array_join(cells, "-"))
 
+def _compared(rows: DataFrame, cells: int, deal: int) -> DataFrame:
+    """facts, fingerprints, and both likenesses: shared digests over all digests, null where the difference did not peel."""
+    state = _peeled(_sketches(rows, cells, deal), cells, deal)
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """Each row and, as next_<column>, the columns of the row that follows in descending id (after the last: the first).
+    def likeness(kind: int, a: str, b: str) -> Column:
+        of = lambda cell: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("cell") == cell), F.col("n"))), F.lit(0))
+        left = F.count_if((F.col("kind") == kind) & (F.col("cell") >= 0))
+        n_a, n_b = (F.max(f"facts.{x}") for x in (a, b))
+        return F.when(left == 0, F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a - of(ADDED)) / (n_a + of(GONE))))
+
+    both = [likeness(EDITED, "n_d", "n_e").alias("near_edited"), likeness(NEXT, "n_d", "n_next").alias("near_next")]
+    out = state.groupBy("b", "row").agg(F.max("facts").alias("facts"), _fingerprint(OWN).alias("fingerprint"), _fingerprint(OWN_EDITED).alias("edited_fingerprint"), *both)
+    return out.drop("b", "row")
 
-    Rows are cut into ranges of about BUCKET_ROWS rows at quantiles of the id, at most MOST_BUCKETS; each range also gets a copy
-    of the first row of the range after it, so that one shuffle and a window within the range do. Repeated ids follow in the
-    order of the scan; rows of a null id come last.
-    """
-    rows = with_row_key(docs, "__row")
-    n = docs.count()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts = docs.agg(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 20 * buckets).alias("c")).first()["c"] if buckets > 1 else []
-    cuts = sorted(set(cuts or []))
-    step = max(1, round(len(cuts) ** 0.5))
-    # The number of cuts above the id, searched in two steps.
-    outer, every = F.array(*(F.lit(c).cast("bigint") for c in cuts[::step])), F.array(*(F.lit(c).cast("bigint") for c in cuts))
-    if cuts:
-        passed = F.size(F.filter(outer, lambda c: c <= F.col(id_col)))
-        below = F.greatest(passed - 1, F.lit(0)) * step
-        place = below + F.size(F.filter(F.slice(every, below + 1, F.lit(step)), lambda c: c <= F.col(id_col)))
-        rows = rows.withColumn("__bucket", F.when(F.col(id_col).isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - place))
-    else:
-        rows = rows.withColumn("__bucket", F.lit(0))
-    heads = rows.groupBy("__bucket").agg(F.max(F.struct(F.coalesce(F.col(id_col), F.lit(0)).alias("id"), (-F.col("__row")).alias("r"))).alias("h"))
-    around = Window.orderBy("__bucket")  # one row per range
-    first = F.max(F.struct((-F.col("__bucket")).alias("b"), F.col("h"))).over(Window.partitionBy())["h"]["r"]
-    heads = heads.select(F.col("__bucket").alias("__to"), (-F.coalesce(F.lead(F.col("h")["r"]).over(around), first)).alias("__row"))
-    # At most one row per range, so its size has a bound.
-    ghosts = heads.groupBy("__row").agg(F.collect_list("__to").alias("__to"))
-    rows = rows.join(F.broadcast(ghosts), "__row", "left")
-    rows = rows.withColumn("__at", F.explode(F.concat(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("ghost"))), F.coalesce(F.transform("__to", lambda b: F.struct(b.alias("b"), F.lit(True).alias("ghost"))), F.array().cast("array<struct<b:int,ghost:boolean>>")))))
-    rows = rows.select("*", F.col("__at.b").alias("__b"), F.col("__at.ghost").alias("__ghost")).drop("__at", "__to", "__bucket")
-    order = Window.partitionBy("__b").orderBy("__ghost", F.col(id_col).desc_nulls_last(), "__row")
-    rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return rows.filter(~F.col("__ghost")).drop("__b", "__ghost", "__row")
 
+def _edited(rows: DataFrame) -> DataFrame:
+    """(b, row, d, e, next_d, facts) of rows with a text and the next one's."""
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.left(F.col("text"), n - half), F.left(F.col("next_text"), half)))
+    rows = rows.select("b", "row", "id", "next_id", n.cast("long").alias("n_chars"), "d", "next_d", digests(F.col("edited")).alias("e"), F.sha2("edited", 256).alias("sha"), F.xxhash64("text").alias("h"), F.xxhash64("next_text").alias("next_h"))
+    return rows.select("b", "row", "d", "e", "next_d", F.struct("id", "next_id", "n_chars", "sha", "h", "next_h", F.size("d").alias("n_d"), F.size("e").alias("n_e"), F.size("next_d").alias("n_next")).alias("facts"))
 
-def edit_and_compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def edit_and_compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_cells: int = FIRST_CELLS) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and the likeness to the edited text's and the next document's.
 
     The edited text is the text with its last floor(n / 2) code points replaced by as many first ones of the next document in
-    descending id. A null text counts as empty; repeated ids and rows are taken one by one. Equal texts have equal fingerprints.
+    descending id. A null text counts as empty; repeated ids and rows are taken one by one; an empty table gives no rows. Equal texts have
+    equal fingerprints; texts without words are alike. ``first_cells`` (a power of two): cells a subtable in the first try; the few pairs
+    that do not peel are read again by id and hash of their texts, for a try with GROWTH times as many.
     """
+    work = Scratch(docs.sparkSession, "sketches")
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(base.withColumn("d", digests(F.col("text"))), "id", ["text", "d"])
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    rows = rows.select("id", n.cast("long").alias("n_chars"), "d", "next_d", F.concat(F.left(F.col("text"), n - half), F.left(F.col("next_text"), half)).alias("edited"))
-    rows = rows.select("id", "n_chars", "d", "next_d", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("e"))
-    none = F.lit(0)
-    rows = rows.select("*", sketch(F.col("d"), none).alias("s"), sketch(F.col("e"), none).alias("se"), sketch(F.col("next_d"), none).alias("sn"))
-    return rows.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("s")).alias("fingerprint"), fingerprint(F.col("se")).alias("edited_fingerprint"),
-        likeness(F.col("d"), F.col("e"), F.col("s"), F.col("se")).alias("near_edited"), likeness(F.col("d"), F.col("next_d"), F.col("s"), F.col("sn")).alias("near_next"),
-    )
+    rows = _edited(with_next(base.withColumn("d", digests(F.col("text"))), "id", ["id", "text", "d"]))
+    got = work.save(_compared(rows, first_cells, 0), "try-0")
+    failed = F.col("near_edited").isNull() | F.col("near_next").isNull()
+    done, open_, tries = got.filter(~failed), got.filter(failed), 0
+    names = ["id", "h", "next_id", "next_h"]
+    while not open_.isEmpty():
+        tries += 1
+        texts = base.withColumn("h", F.xxhash64("text"))
+        pairs = open_.select(*(F.col(f"facts.{x}").alias(x) for x in names)).distinct()
+        for i, h, name in (("id", "h", "text"), ("next_id", "next_h", "next_text")):
+            t = texts.select(F.col("id").alias("i"), F.col("h").alias("j"), F.col("text").alias(name))
+            pairs = pairs.join(t, F.col(i).eqNullSafe(F.col("i")) & (F.col(h) == F.col("j"))).drop("i", "j").dropDuplicates(names)
+        pairs = with_row_key(pairs, "row").withColumn("b", F.col("row")).withColumn("d", digests(F.col("text"))).withColumn("next_d", digests(F.col("next_text")))
+        again = work.save(_compared(_edited(pairs), first_cells * GROWTH**tries, tries), f"try-{tries}")
+        same = [F.col(f"o.facts.{x}").eqNullSafe(F.col(f"a.facts.{x}")) for x in names]
+        likenesses = [F.coalesce(f"o.{x}", f"a.{x}").alias(x) for x in ("near_edited", "near_next")]
+        joined = open_.alias("o").join(again.alias("a"), same[0] & same[1] & same[2] & same[3], "left").select("o.facts", "o.fingerprint", "o.edited_fingerprint", *likenesses)
+        joined = work.save(joined, f"open-{tries}")
+        done, open_ = done.union(joined.filter(~failed)), joined.filter(failed)
+    return done.select(F.col("facts.id").alias(id_col), "facts.n_chars", F.col("facts.sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
