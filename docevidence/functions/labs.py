@@ -83,22 +83,31 @@ def result_number(value: Column) -> Column:
     return _to_number(F.regexp_extract(trim(value), rf"^({NUMBER})(?:{WS}*[^\d<>=≤≥].*)?\z", 1))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where ``use`` may read the value often: a lambda's variable is computed once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_range(text: Column) -> Column:
     """(low, high) of a printed range; null if it is none or not ascending."""
-    t = trim(text)
     between = rf"(?i)({NUMBER}){WS}*(?:-|–|—|to){WS}*({NUMBER})"
-    low, high = _to_number(F.regexp_extract(t, between, 1)), _to_number(F.regexp_extract(t, between, 2))
-    top = _to_number(F.regexp_extract(t, rf"(?i)^(?:<=|<|≤|up to|upto){WS}*({NUMBER})", 1))
-    floor = _to_number(F.regexp_extract(t, rf"^(?:>=|>|≥){WS}*({NUMBER})", 1))
     none = F.lit(None).cast("double")
     pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
-    return F.when(t.rlike(between), F.when(low < high, pair(low, high))).when(top.isNotNull(), pair(none, top)).when(floor.isNotNull(), pair(floor, none))
+
+    def read(t: Column) -> Column:
+        both = F.struct(_to_number(F.regexp_extract(t, between, 1)).alias("low"), _to_number(F.regexp_extract(t, between, 2)).alias("high"))
+        top = _to_number(F.regexp_extract(t, rf"(?i)^(?:<=|<|≤|up to|upto){WS}*({NUMBER})", 1))
+        floor = _to_number(F.regexp_extract(t, rf"^(?:>=|>|≥){WS}*({NUMBER})", 1))
+        one = _once(top, lambda x: F.when(x.isNotNull(), pair(none, x)).otherwise(_once(floor, lambda y: F.when(y.isNotNull(), pair(y, none)))))
+        return F.when(t.rlike(between), _once(both, lambda b: F.when(b["low"] < b["high"], b))).otherwise(one)
+
+    return _once(trim(text), read)
 
 
 def flag_from_range(value: Column, text: Column) -> Column:
     """Low, High or Normal against the printed range (bounds included); null if either can't be read."""
-    n, r = result_number(value), parse_range(text)
-    return F.when(n.isNull() | r.isNull(), None).when(n < r["low"], "Low").when(n > r["high"], "High").otherwise("Normal")
+    both = F.struct(result_number(value).alias("n"), parse_range(text).alias("r"))
+    return _once(both, lambda b: F.when(b["n"].isNull() | b["r"].isNull(), None).when(b["n"] < b["r"]["low"], "Low").when(b["n"] > b["r"]["high"], "High").otherwise("Normal"))
 
 
 def lab_is_out(flag: Column, is_abnormal: Column) -> Column:
@@ -120,3 +129,16 @@ def split_delimited(line: Column) -> Column:
     inner = F.when(F.size(full) > 0, F.slice(cells, F.array_min(full) + 1, F.array_max(full) - F.array_min(full) + 1))
     rule = F.forall(inner, lambda c: c.rlike(r"^:?-{2,}:?\z"))
     return F.when(F.size(inner) >= 2, F.when(rule, F.array().cast("array<string>")).otherwise(inner))
+
+
+def pages_text(lab: Column) -> Column:
+    """The page, or the pages, that a lab stands on."""
+    several = F.when(F.size(lab["pages"]) > 0, F.concat(F.lit(" [pp."), F.array_join(F.transform(lab["pages"], lambda p: p.cast("string")), ", "), F.lit("]")))
+    return F.coalesce(F.concat(F.lit(" [p."), lab["page"].cast("string"), F.lit("]")), several, F.lit(""))
+
+
+def lab_text(lab: Column) -> Column:
+    """One out-of-range lab (name, value, unit, normal_range, flag, is_abnormal, page, pages) as a list item."""
+    given = lambda c, before, after="": F.coalesce(F.concat(F.lit(before), F.nullif(c, F.lit("")), F.lit(after)), F.lit(""))
+    flag = F.coalesce(F.nullif(lab["flag"], F.lit("")), F.when(F.coalesce(lab["is_abnormal"], F.lit(False)), "abnormal").otherwise("normal"))
+    return F.concat(F.lit("- "), lab["name"], F.lit(": "), lab["value"], given(lab["unit"], " "), given(lab["normal_range"], " (printed range ", ")"), F.lit(" - "), flag, pages_text(lab))

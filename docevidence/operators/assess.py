@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docevidence.functions.labs import lab_is_out
+from docevidence.functions.text import fold_text
 from docevidence.operators.evidence import inline_citations
 
 # The score bands of the levels.
@@ -36,13 +37,14 @@ def numbered_findings(cases: DataFrame, request: str, parts: list[Column], most:
 
 
 def trace_findings(claims: DataFrame, findings: DataFrame, request: str, claim: str) -> DataFrame:
-    """Each claim's finding with all its numbers and 60 % of its words of four letters; the best share, then the first finding."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))
-    c = claims.select(request, claim, words(F.col(claim)).alias("cw"), numbers(F.col(claim)).alias("cn"))
-    f = findings.select(request, "finding_id", words(F.col("text")).alias("fw"), numbers(F.col("text")).alias("fn"))
-    share = F.size(F.array_intersect("cw", "fw")) / F.size("cw")
-    both = c.join(f, request).filter((F.size(F.array_except("cn", "fn")) == 0) & (F.size("cw") > 0)).withColumn("share", share).filter(F.col("share") >= 0.6)
+    """(request, claim, finding_id, share): each claim's finding that holds all its numbers and 60 % of its words, by the folded
+    texts; the best share, then the first finding. A claim without words has none."""
+    words = lambda c: F.filter(F.split(fold_text(c), " "), lambda w: F.length(w) >= 2)
+    c = claims.select(request, claim, words(F.col(claim)).alias("cw"))
+    f = findings.select(request, "finding_id", F.split(fold_text(F.col("text")), " ").alias("fw"))
+    number = F.filter("cw", lambda w: w.rlike("[0-9]"))
+    share = F.size(F.filter("cw", lambda w: F.array_contains("fw", w))) / F.size("cw")
+    both = c.filter(F.size("cw") > 0).join(f, request).filter(F.size(F.array_except(number, "fw")) == 0).withColumn("share", share).filter(F.col("share") >= 0.6)
     rank = F.row_number().over(Window.partitionBy(request, claim).orderBy(F.desc("share"), F.substring("finding_id", 2, 9).cast("int")))
     return both.withColumn("__n", rank).filter("__n = 1").select(request, claim, "finding_id", "share")
 
@@ -54,33 +56,43 @@ def clamp_score(level: Column, score: Column) -> Column:
     for name, (a, b) in BANDS.items():
         low, high = F.when(level == name, a).otherwise(low), F.when(level == name, b).otherwise(high)
     inside = F.greatest(low, F.least(high, rounded))
-    return F.struct(inside.cast("int").alias("score"), (inside != rounded).alias("adjusted"))
+    return F.struct(F.when(score.isNotNull(), inside.cast("int")).alias("score"), F.coalesce(inside != rounded, F.lit(False)).alias("adjusted"))
 
 
-def verify_assessments(outputs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Status and reason of assessments (request_id, risk_level, risk_score, summary, cited, insufficient) from the evidence.
+def verify_assessments(outputs: DataFrame, evidence: DataFrame, findings: DataFrame | None = None, require_reference: bool = True) -> DataFrame:
+    """Status and reason of assessments (request_id, risk_level, risk_score, summary, cited, insufficient, and where there are
+    findings key_findings: array<struct<finding, ids>>) from evidence (request_id, domain, evidence_id) and findings (request_id,
+    finding_id, text).
 
-    Ids in the lists and in the prose count, upper case, each once. The model's own report decides first, then a missing valid citation,
-    then missing and uncited reference evidence. An insufficient case has no level and no score; a summary of under ten characters is
-    rejected.
+    Ids in the lists and in the prose count, upper case, each once; F ids name findings. A key finding without a valid id is traced to
+    the finding it restates (J13). The model's own report decides first, then a case that cites no evidence and no finding, then missing
+    and uncited reference evidence. An insufficient case has no level and no score; a summary of under ten characters is rejected.
+    ``dropped`` counts ids that nothing has; ``findings_cited`` are the findings in use. Null lists count as empty.
     """
-    have = evidence.groupBy("request_id").agg(F.collect_set("evidence_id").alias("ids"), F.collect_set(F.when(F.col("domain") == "reference", F.col("evidence_id"))).alias("refs"))
     none = F.array().cast("array<string>")
+    ids = lambda c: F.array_distinct(F.transform(F.coalesce(c, none), lambda i: F.upper(F.trim(i))))
+    have = evidence.groupBy("request_id").agg(F.collect_set("evidence_id").alias("ids"), F.collect_set(F.when(F.col("domain") == "reference", F.col("evidence_id"))).alias("refs"))
     a = outputs.join(have, "request_id", "left").withColumn("ids", F.coalesce("ids", none)).withColumn("refs", F.coalesce("refs", none))
-    prose = F.filter(inline_citations(F.col("summary")), lambda i: ~i.startswith("F"))
-    a = a.withColumn("all", F.array_distinct(F.concat(F.transform(F.coalesce("cited", none), lambda i: F.upper(F.trim(i))), prose)))
-    a = a.withColumn("valid", F.array_intersect("all", "ids")).withColumn("dropped", F.size(F.array_except("all", "ids")))
-    reason = (
-        F.when(F.length(F.trim("summary")) < 10, "summary_too_short")
-        .when(F.coalesce("insufficient", F.lit(False)), "model_reported")
-        .when(F.size("valid") == 0, "no_valid_citation")
-        .when(F.size("refs") == 0, "no_reference_evidence")
-        .when(~F.arrays_overlap("valid", "refs"), "reference_not_cited")
-    )
+    if findings is None:
+        a = a.withColumn("own", none).withColumn("key_ids", none).withColumn("traced", none)
+    else:
+        a = a.join(findings.groupBy("request_id").agg(F.collect_set("finding_id").alias("own")), "request_id", "left").withColumn("own", F.coalesce("own", none))
+        keys = a.select("request_id", "own", "ids", F.explode("key_findings").alias("k")).filter(F.trim("k.finding") != "").select("request_id", F.col("k.finding").alias("finding"), ids(F.col("k.ids")).alias("i"), F.concat("own", "ids").alias("known"))
+        keys = keys.withColumn("fine", F.array_intersect("i", "known"))
+        found = trace_findings(keys.filter(F.size("fine") == 0).select("request_id", "finding").distinct(), findings, "request_id", "finding").groupBy("request_id").agg(F.collect_set("finding_id").alias("traced"))
+        listed = keys.groupBy("request_id").agg(F.flatten(F.collect_list("i")).alias("key_ids"))
+        a = a.join(listed, "request_id", "left").join(found, "request_id", "left").withColumn("key_ids", F.coalesce("key_ids", none)).withColumn("traced", F.coalesce("traced", none))
+    prose = inline_citations(F.coalesce("summary", F.lit("")))
+    a = a.withColumn("all", F.array_distinct(F.concat(ids(F.col("cited")), F.col("key_ids"), prose if findings is not None else F.filter(prose, lambda i: ~i.startswith("F")))))
+    a = a.withColumn("valid", F.array_intersect("all", "ids")).withColumn("dropped", F.size(F.array_except("all", F.concat("ids", "own"))))
+    a = a.withColumn("findings_cited", F.array_sort(F.array_distinct(F.concat(F.array_intersect("all", "own"), "traced"))))
+    reason = F.when(F.length(F.regexp_replace(F.coalesce("summary", F.lit("")), r"[\s.]", "")) < 10, "summary_too_short").when(F.coalesce("insufficient", F.lit(False)), "model_reported").when((F.size("valid") == 0) & (F.size("findings_cited") == 0), "no_valid_citation")
+    if require_reference:
+        reason = reason.when(F.size("refs") == 0, "no_reference_evidence").when(~F.arrays_overlap("valid", "refs"), "reference_not_cited")
     a = a.withColumn("reason", reason).withColumn("s", clamp_score(F.col("risk_level"), F.col("risk_score")))
     fine = F.col("reason").isNull()
     status = F.when(fine, "assessed").when(F.col("reason") == "summary_too_short", "rejected").otherwise("insufficient_evidence")
-    return a.select("request_id", status.alias("status"), "reason", F.when(fine, F.col("risk_level")).alias("risk_level"), F.when(fine, F.col("s.score")).alias("risk_score"), F.when(fine, F.col("s.adjusted")).alias("adjusted"), "valid", "dropped")
+    return a.select("request_id", status.alias("status"), "reason", F.when(fine, F.col("risk_level")).alias("risk_level"), F.when(fine, F.col("s.score")).alias("risk_score"), F.when(fine, F.col("s.adjusted")).alias("adjusted"), "valid", "findings_cited", "dropped")
 
 
 def lifecycle(inputs: DataFrame, results: DataFrame, row_id: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from docevidence.functions.text import fixed_round
+
 # Fixed value: ids in brackets, P patient, R reference, T term, F finding.
 GROUP = r"\[\s*([FPRTfprt]\d{1,3}(?:\s*[,;]\s*[FPRTfprt]\d{1,3})*)\s*\]"
 _GROUP = re.compile(GROUP)
@@ -40,9 +42,11 @@ def strip_citations(text: pd.Series, allowed: pd.Series) -> pd.Series:
 
 
 def citation_record(evidence: DataFrame, most: int = 600) -> DataFrame:
-    """Score to four digits and an excerpt."""
+    """Score to four digits, an excerpt, and 12 aliases at most where there are any. Nulls stay null."""
     cut = F.when(F.length("content") > most, F.concat(F.left("content", F.lit(most)), F.lit("…"))).otherwise(F.col("content"))
-    return evidence.withColumn("similarity", F.round(F.col("similarity").cast("decimal(38,25)"), 4).cast("double")).withColumn("excerpt", cut).drop("content")
+    if "aliases" in evidence.columns:
+        evidence = evidence.withColumn("aliases", F.slice("aliases", 1, 12))
+    return evidence.withColumn("similarity", fixed_round(F.col("similarity"), 4)).withColumn("excerpt", cut).drop("content")
 
 
 def match_citations(cited: DataFrame, evidence: DataFrame, request: str = "request_id") -> DataFrame:

@@ -26,10 +26,21 @@ def dashboard_totals(rows: DataFrame, tenant: str, status: str, level: str) -> D
     return rows.groupBy(tenant).agg(F.count_if(has_conclusion(F.col(status), F.col(level))).alias("total"), F.count_if(F.col(status) == "failed").alias("failed"), F.count_if(F.coalesce(F.col(status), F.lit("completed")).isin("completed") & ~F.coalesce(F.col(level).isin(*LEVELS), F.lit(False))).alias("inconclusive"))
 
 
-def call_stats(calls: DataFrame, group: list[str], latency: str, failed: Column) -> DataFrame:
-    """A2 with A3: calls, errors and nearest-rank percentiles of the latency."""
+def call_stats(calls: DataFrame, group: list[str], latency: str, failed: Column, fallback: Column | None = None, tokens: list[str] | None = None, newest: str | None = None, last: int = 2000) -> DataFrame:
+    """A2 with A3: calls, errors, fallback calls, nearest-rank percentiles of the latency and sums of ``tokens`` (columns).
+
+    With ``newest`` (a unique order, such as a sequence number) only the ``last`` calls count, as in a ring buffer of that size.
+    """
+    if newest:
+        calls = calls.orderBy(F.desc(newest)).limit(last)
     at = lambda p, name: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{latency}`)").alias(name)
-    return calls.groupBy(*group).agg(F.count("*").alias("calls"), F.count_if(failed).alias("errors"), at(0.5, "p50"), at(0.95, "p95"))
+    more = [*([F.count_if(fallback).alias("fallbacks")] if fallback is not None else []), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tokens or [])]
+    return calls.groupBy(*group).agg(F.count("*").alias("calls"), F.count_if(failed).alias("errors"), at(0.5, "p50"), at(0.95, "p95"), *more)
+
+
+def failures_by_category(calls: DataFrame, group: list[str], failed: Column, category: Column) -> DataFrame:
+    """A2: the failed calls of each group by category."""
+    return calls.filter(failed).groupBy(*group, category.alias("category")).agg(F.count("*").alias("n"))
 
 
 def failure_counts(events: DataFrame, category: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 # Fixed values of the 32-bit FNV-1a hash.
 FNV_START, FNV_PRIME, MASK = 2166136261, 16777619, 4294967295
-BROADCAST_ROWS = 20_000
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def fnv1a(token: Column) -> Column:
@@ -53,17 +53,49 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(queries: DataFrame, vectors: DataFrame, on: list[str], k: int, query_id: str = "query_id", vector_id: str = "id", values: str = "values", floor: float | None = None, digits: int = 6, skip_own: bool = False) -> DataFrame:
     """J1 + W1 + F6: of the vectors that agree on ``on`` (tenant, space) the k most similar per query, ties to the smaller id.
 
-    The query side is broadcast while it has at most BROADCAST_ROWS rows, else both sides meet by a shuffle on ``on``. Only ids and
-    values take part; texts are joined back to the k winners by the caller. ``floor`` applies after the ranking. With ``skip_own`` a
-    query is itself one of the vectors and that one is not ranked.
+    The query side is broadcast while its values take at most BROADCAST_BYTES; beyond that vectors are salted by their id and queries are
+    repeated for each salt, so that one tenant's rows spread over SALTS tasks. Only ids and values take part; texts are joined back to the
+    k winners by the caller. Rank and ``floor`` go by the exact score, which is then rounded to ``digits``. Vectors of another length
+    than the query's are an error (F2 keeps spaces apart before). With ``skip_own`` a query is itself one of the vectors and that one is not
+    ranked. A null vector is none; queries without vectors have no rows.
     """
-    q = queries.select(query_id, *on, F.col(values).alias("__q"), norm(F.col(values)).alias("__qn"))
-    q = F.broadcast(q) if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else q
-    v = vectors.select(vector_id, *on, F.col(values).alias("__v"), norm(F.col(values)).alias("__vn"))
-    score = F.round(F.coalesce(F.try_divide(dot(F.col("__q"), F.col("__v")), F.col("__qn") * F.col("__vn")), F.lit(0.0)), digits)
-    scored = v.join(q, on).filter(F.size("__q") == F.size("__v")).filter(F.col(query_id) != F.col(vector_id) if skip_own else F.lit(True)).select(query_id, *on, vector_id, score.alias("score"))
+    q = queries.filter(F.col(values).isNotNull()).select(query_id, *on, F.col(values).alias("__q"), norm(F.col(values)).alias("__qn"))
+    v = vectors.filter(F.col(values).isNotNull()).select(vector_id, *on, F.col(values).alias("__v"), norm(F.col(values)).alias("__vn"))
+    size = q.agg(F.sum(8 * F.size("__q") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        both = v.join(F.broadcast(q), on)
+    else:
+        q = q.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = v.withColumn("__salt", F.pmod(F.xxhash64(vector_id), F.lit(SALTS)).cast("int")).join(q, [*on, "__salt"])
+    if skip_own:
+        both = both.filter(F.col(query_id) != F.col(vector_id))
+    alike = F.coalesce(F.try_divide(dot(F.col("__q"), F.col("__v")), F.col("__qn") * F.col("__vn")), F.lit(0.0))
+    score = F.when(F.size("__q") == F.size("__v"), alike).otherwise(F.raise_error(F.lit("query and vector have different dimensions")).cast("double"))
+    scored = both.select(query_id, *on, vector_id, score.alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), vector_id))).filter(F.col("rank") <= k)
-    return ranked.filter(F.col("score") >= floor) if floor is not None else ranked
+    ranked = ranked.filter(F.col("score") >= floor) if floor is not None else ranked
+    return ranked.withColumn("score", F.round("score", digits))
+
+
+def same_space(vectors: DataFrame, space: str, dims: int, space_col: str = "embedding_space", values: str = "values") -> DataFrame:
+    """the vectors of one space and length; others are never compared with its queries. Null vectors go."""
+    return vectors.filter((F.col(space_col) == space) & (F.size(values) == dims))
+
+
+def metadata_filter(rows: DataFrame, wanted: dict) -> DataFrame:
+    """rows that meet all conditions: a literal or {"$eq": x} is equality, {"$in": [...]} membership; on a list column one element
+    in common is enough. A null field meets no condition; any other operator is an error."""
+    for field, want in wanted.items():
+        is_list = rows.schema[field].dataType.typeName() == "array"
+        kind, value = next(iter(want.items())) if isinstance(want, dict) else ("$eq", want)
+        if kind not in ("$eq", "$in") or (isinstance(want, dict) and len(want) != 1):
+            raise ValueError(f"unknown condition {want!r} on {field}")
+        if kind == "$in":
+            value = list(value)
+            rows = rows.filter(F.arrays_overlap(F.col(field), F.array(*map(F.lit, value))) if is_list and value else F.col(field).isin(*value) if value else F.lit(False))
+        else:
+            rows = rows.filter(F.array_contains(F.col(field), F.lit(value)) if is_list else F.col(field) == F.lit(value))
+    return rows
 
 
 def prefix_budget(ranked: DataFrame, query_id: str, order: list, length: Column, most: int) -> DataFrame:

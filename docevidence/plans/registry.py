@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docevidence.functions import labs, routing, text
 from docevidence.operators import assess, evidence, grounding, quality, reports, retrieval, structure
+from docevidence.plans import ingest, store
 from docevidence.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,13 +54,14 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to chunks to hashed vectors; per benchmark question the best chunks of each source, with a floor and a budget."""
-    docs = table(spark, sf_dir, "documents").withColumn("seg_idx", F.lit(0))
-    chunks = structure.prepare_chunks(docs, "doc_id", type_col=None).join(docs.select("doc_id", "source"), "doc_id")
-    vectors = retrieval.embed_rows(chunks.withColumn("chars", F.length("text")), "chunk_id", "text", 64, ["source", "chars"])
+    docs = table(spark, sf_dir, "documents").withColumn("seg_idx", F.lit(0)).withColumn("d", F.struct("doc_id", "source"))
+    chunks = structure.prepare_chunks(docs, "d", type_col=None)
+    chunks = chunks.select(F.concat_ws("#", F.col("d.doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "d.source", "text")
+    vectors = retrieval.embed_rows(chunks, "chunk_id", "text", 64, ["source"])
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), "text")
     questions = retrieval.embed_rows(questions, "query_id", "text", 64, ["source"])
     hits = retrieval.vector_topk(questions, vectors, ["source"], 6, vector_id="chunk_id", floor=0.5)
-    hits = hits.join(vectors.select("chunk_id", "chars"), "chunk_id")
+    hits = hits.join(chunks.select("chunk_id", F.length("text").alias("chars")), "chunk_id")
     return retrieval.prefix_budget(hits, "query_id", ["rank"], F.col("chars"), 8000).select("query_id", "source", "chunk_id", "rank", "score")
 
 
@@ -84,9 +86,9 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOPK = """
 WITH s AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS id, q.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  SELECT q.vec_id AS query_id, v.vec_id AS id, q.label, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS exact
   FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id % 10 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+), r AS (SELECT *, round(exact, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, id) AS rank FROM s)
 """
 
 
@@ -96,31 +98,50 @@ def _hits(spark: SparkSession, sf_dir: str, k: int, floor: float | None = None)
     return retrieval.vector_topk(q, v, ["label"], k, floor=floor)
 
 
-@query(TOPK + "SELECT query_id, label, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND score >= 0.1")
+@query(TOPK + "SELECT query_id, label, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND exact >= 0.1")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir, 5, 0.1)
 
 
-@query(TOPK + ", b AS (SELECT query_id % 7 AS request, id, max(score) AS score FROM r WHERE rank <= 5 GROUP BY ALL) SELECT request, id, score FROM b")
+@query(TOPK + ", b AS (SELECT query_id // 40 AS request, id, max(score) AS score FROM r WHERE rank <= 5 GROUP BY ALL) SELECT request, id, score FROM b")
 def best_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir, 5).withColumn("request", F.col("query_id") % 7)
+    hits = _requests(_hits(spark, sf_dir, 5))
     return retrieval.best_per_item(hits, "request", "id", "score")
 
 
-@query()
+def _requests(hits: DataFrame) -> DataFrame:
+    """Four neighbouring queries make a request of at most 20 hits."""
+    return hits.withColumn("request", F.floor(F.col("query_id") / 40))
+
+
+GREEDY = """
+, b AS (SELECT query_id // 40 AS request, id, max(score) AS score, CAST(id % 900 + 100 AS INTEGER) AS chars FROM r WHERE rank <= 5 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, id) AS k FROM b),
+g AS (
+  SELECT request, k, id, score, chars, 1 AS n, chars AS used, TRUE AS taken FROM o WHERE k = 1
+  UNION ALL
+  SELECT o.request, o.k, o.id, o.score, o.chars, g.n + CASE WHEN g.n < 6 AND g.used + o.chars <= 3000 THEN 1 ELSE 0 END,
+    g.used + CASE WHEN g.n < 6 AND g.used + o.chars <= 3000 THEN o.chars ELSE 0 END, g.n < 6 AND g.used + o.chars <= 3000
+  FROM g JOIN o ON o.request = g.request AND o.k = g.k + 1
+)
+"""
+
+
+@query(TOPK.replace("WITH s", "WITH RECURSIVE s") + GREEDY + "SELECT request, CAST(n AS INTEGER) AS n, id, score, chars FROM g WHERE taken")
 def greedy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir, 5).withColumn("request", F.col("query_id") % 7).withColumn("chars", (F.col("id") % 900 + 100).cast("int"))
+    hits = _requests(_hits(spark, sf_dir, 5)).withColumn("chars", (F.col("id") % 900 + 100).cast("int"))
     return retrieval.greedy_budget(hits, "request", "id", "score", "chars", 6, 3000)
 
 
 @query("""
-WITH r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
-  sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents)
-SELECT source, doc_id, n_chars FROM r WHERE rn = 1 OR s <= 8000
+WITH r AS (SELECT doc_id // 50 AS request, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS rn,
+  sum(n_chars) OVER (PARTITION BY doc_id // 50 ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents)
+SELECT request, doc_id, n_chars FROM r WHERE rn = 1 OR s <= 8000
 """)
 def prefix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return retrieval.prefix_budget(docs, "source", ["doc_id"], F.col("n_chars"), 8000)
+    """Each 50 ids are the ranked items of a request."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("request"), "doc_id", "n_chars")
+    return retrieval.prefix_budget(docs, "request", ["doc_id"], F.col("n_chars"), 8000)
 
 
 @query(r"""
@@ -155,15 +176,15 @@ def lab_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT p_brand, p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_index FROM part)
-SELECT p_brand, 0 AS table_no, CAST(row_index AS INTEGER) AS row_index, p_name AS test, CAST(p_size AS VARCHAR) AS result, CAST(p_size AS DOUBLE) AS numeric_result,
+WITH r AS (SELECT p_partkey // 40 AS doc, p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1 AS row_index FROM part)
+SELECT doc, 0 AS table_no, CAST(row_index AS INTEGER) AS row_index, p_name AS test, CAST(p_size AS VARCHAR) AS result, CAST(p_size AS DOUBLE) AS numeric_result,
   'mm' AS unit, '1 - 25' AS reference_range, CASE WHEN p_size > 25 THEN 'High' ELSE 'Normal' END AS flag FROM r
 """)
 def delimited_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat_ws(" | ", "p_name", F.col("p_size").cast("string"), F.lit("mm"), F.lit("1 - 25"), F.when(F.col("p_size") > 25, "h").otherwise("wnl"))
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("r"))
+    rows = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 40).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("r"))
     doc = F.concat_ws("\n", F.lit("Summary"), F.lit("| Test | Result | Unit | Reference range | Flag |"), F.lit("|---|---|---|---|---|"), F.array_join(F.transform("r", lambda s: s["row"]), "\n"), F.lit("End"))
-    return structure.delimited_tables(rows.select("p_brand", doc.alias("text")), "p_brand", "text").drop("date")
+    return structure.delimited_tables(rows.select("doc", doc.alias("text")), "doc", "text").drop("date")
 
 
 LEVEL = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'high' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' END"
@@ -287,17 +308,16 @@ def classification_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH p AS (SELECT doc_id AS c, unnest(string_split(lower(text), ' ')) AS t FROM documents), e AS (SELECT item_id AS c, unnest(string_split(lower(text), ' ')) AS t FROM benchmark),
-pn AS (SELECT c, t, count(*) AS p FROM p SEMI JOIN benchmark ON c = item_id GROUP BY ALL), en AS (SELECT c, t, count(*) AS e FROM e SEMI JOIN documents ON c = doc_id GROUP BY ALL),
+pn AS (SELECT c, t, count(*) AS p FROM p GROUP BY ALL), en AS (SELECT c, t, count(*) AS e FROM e GROUP BY ALL),
 b AS (SELECT coalesce(p, 0) AS p, coalesce(e, 0) AS e FROM pn FULL JOIN en USING (c, t)),
 s AS (SELECT sum(least(p, e)) AS tp, sum(p - least(p, e)) AS fp, sum(e - least(p, e)) AS fn FROM b)
-SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall FROM s
+SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM s
 """)
 def set_prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = lambda df, i: df.select(F.col(i).alias("c"), F.explode(F.split(F.lower("text"), " ")).alias("t"))
-    p = words(docs.join(items.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi"), "doc_id")
-    e = words(items.join(docs.select(F.col("doc_id").alias("item_id")), "item_id", "left_semi"), "item_id")
-    return quality.micro_prf(quality.set_counts(p, e, "c", "t")).select("tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+    """The words of all documents against those of the item with their id; a document without an item is all false positives."""
+    words = lambda t, i: table(spark, sf_dir, t).select(F.col(i).alias("c"), F.explode(F.split(F.lower("text"), " ")).alias("t"))
+    got = quality.micro_prf(quality.set_counts(words("documents", "doc_id"), words("benchmark", "item_id"), "c", "t"))
+    return got.select("tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def _question() -> Column:
@@ -306,19 +326,30 @@ def _question() -> Column:
     return F.when(k == 0, F.concat(F.lit("What is a "), word, F.lit(" test?"))).when(k == 1, F.concat(F.lit("What was the "), word, F.lit("?"))).when(k == 2, F.concat(F.lit("What does "), word, F.lit(" mean?"))).when(k == 3, F.concat(F.lit("Should I treat "), word, F.lit("?"))).otherwise(F.concat(F.lit("Show my "), word))
 
 
-@query(r"""
-WITH w AS (SELECT conv_id, turn, turn % 5 AS k, regexp_extract(lower(text), '[a-z]+') AS word FROM conversations WHERE regexp_extract(lower(text), '[a-z]+') <> ''
-  AND regexp_extract(lower(text), '[a-z]+') NOT IN ('is','are','the','a','an','it','that','this','these','those','there','here','more','mean','of','what','in','his','her','my','test','do','does','was','were'))
-SELECT conv_id, turn, CASE k WHEN 0 THEN 'terminology' WHEN 2 THEN 'terminology' WHEN 3 THEN 'clinical' ELSE 'report' END AS kind,
-  CASE k WHEN 0 THEN word || ' test' WHEN 2 THEN word END AS term FROM w
+def _stripped(column: str) -> str:
+    """SQL of routing.definition_term's chain on a column."""
+    for pattern in (routing.LEADING + routing.TRAILING) * 3:
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '')"
+    return f"trim({column})"
+
+
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+@query(rf"""
+WITH w AS (SELECT conv_id, turn, turn % 5 AS k, regexp_extract(lower(text), '[a-z]+') AS word FROM conversations),
+q AS (SELECT conv_id, turn, lower(CASE k WHEN 0 THEN 'What is a ' || word || ' test?' WHEN 1 THEN 'What was the ' || word || '?' WHEN 2 THEN 'What does ' || word || ' mean?' WHEN 3 THEN 'Should I treat ' || word || '?' ELSE 'Show my ' || word END) AS q FROM w),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(trim(q), '(?:[?!.]|\s)+\z', ''), '\s+', ' ', 'g')) AS t FROM q),
+d AS (SELECT *, {_stripped("t")} AS term, regexp_matches(t, '{_sql(routing.DEFINITIONAL)}') AND NOT (regexp_matches(t, '^what\s+(?:does|do)\b') AND NOT regexp_matches(t, '\s(?:mean|means|stand|stands)(?:\s+for)?\z')) AS asks,
+  regexp_matches(trim(q), '^\s*(?:what|whats|what''s)\s+(?:was|were)\b') OR (regexp_matches(trim(q), '^\s*(?:what|whats|what''s)\s+(?:is|are)\s+the\s') AND NOT regexp_matches(trim(q), '^\s*(?:what|whats|what''s)\s+(?:is|are)\s+the\s+(?:meaning|definition)\b')) AS lookup FROM t),
+f AS (SELECT *, asks AND NOT lookup AND term <> '' AND len(list_filter(string_split(term, ' '), lambda x: x <> '')) BETWEEN 1 AND 8 AND length(term) <= 100 AND NOT regexp_matches(term, '^(?:it|that|this|these|those|there|here|more)\z')
+  AND NOT regexp_matches(term, '{_sql(routing.PATIENT)}') AND NOT regexp_matches(term, '{_sql(routing.CLINICAL)}') AS defines FROM d)
+SELECT conv_id, turn, CASE WHEN defines THEN 'terminology' WHEN regexp_matches(trim(q), '{_sql(routing.CLINICAL)}') THEN 'clinical' ELSE 'report' END AS kind, CASE WHEN defines THEN term END AS term FROM f
 """)
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.regexp_extract(F.lower("text"), "[a-z]+", 0)
-    # Words that are themselves scaffolding of a question would make another question of it.
-    scaffold = ["is", "are", "the", "a", "an", "it", "that", "this", "these", "those", "there", "here", "more", "mean", "of", "what", "in", "his", "her", "my", "test", "do", "does", "was", "were"]
-    rows = table(spark, sf_dir, "conversations").filter((word != "") & ~word.isin(scaffold))
     r = routing.classify_question(_question())
-    return rows.select("conv_id", "turn", r["kind"].alias("kind"), r["term"].alias("term"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", r["kind"].alias("kind"), r["term"].alias("term"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -330,16 +361,17 @@ def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return answers, have.select("request_id", "e.*", "conv_id").filter("domain = 'patient' OR conv_id % 3 <> 0").drop("conv_id")
 
 
-@query("""
-WITH a AS (SELECT conv_id || '-' || turn AS request_id, conv_id, turn, turn % 2 = 0 AS clinical, turn <> 7 AS ev, turn <> 7 AND conv_id % 3 <> 0 AS r FROM conversations),
+@query(r"""
+WITH a AS (SELECT conv_id || '-' || turn AS request_id, conv_id, turn, text, turn % 2 = 0 AS clinical, turn <> 7 AS ev, turn <> 7 AND conv_id % 3 <> 0 AS r FROM conversations),
 v AS (SELECT *, CASE WHEN ev AND conv_id % 4 = 1 THEN 'P2' WHEN r AND conv_id % 4 = 0 THEN 'R1' WHEN ev AND conv_id % 8 = 7 THEN 'P1' END AS valid FROM a),
 d AS (SELECT *, CASE WHEN NOT ev THEN 'no_evidence' WHEN clinical AND NOT r THEN 'no_verified_reference' WHEN turn = 5 THEN 'model_reported' WHEN valid IS NULL THEN 'uncited_answer'
   WHEN clinical AND valid <> 'R1' THEN 'clinical_without_reference' END AS reason FROM v)
-SELECT request_id, CASE WHEN clinical THEN 'clinical' ELSE 'report' END AS kind, CASE WHEN reason IS NULL THEN 'answered' ELSE 'insufficient_context' END AS status, reason, coalesce(valid, '') AS valid FROM d
+SELECT request_id, CASE WHEN clinical THEN 'clinical' ELSE 'report' END AS kind, CASE WHEN reason IS NULL THEN 'answered' ELSE 'insufficient_context' END AS status, reason, coalesce(valid, '') AS valid,
+  CASE WHEN reason IS NULL THEN sha256(trim(regexp_replace(regexp_replace(text || CASE WHEN conv_id % 4 < 2 THEN ' [' || valid || ']' WHEN conv_id % 4 = 2 THEN ' ' ELSE '' END, '[ \t]{2,}', ' ', 'g'), '\s+([.,;:])', '\1', 'g'))) END AS answer FROM d
 """)
 def verify_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evidence.verify_answers(*_answers(spark, sf_dir))
-    return out.select("request_id", "kind", "status", "reason", F.array_join("valid", ",").alias("valid"))
+    return out.select("request_id", "kind", "status", "reason", F.array_join("valid", ",").alias("valid"), F.sha2("answer", 256).alias("answer"))
 
 
 @query("""
@@ -355,30 +387,28 @@ def match_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id, source, sha256(text) AS h FROM documents), f AS (SELECT source, h, min(doc_id) AS first FROM d GROUP BY ALL)
-SELECT doc_id, source, first AS original, doc_id <> first AS duplicate FROM d JOIN f USING (source, h)
+WITH d AS (SELECT doc_id, source, sha256(text) AS h FROM documents), f AS (SELECT source, h, min(doc_id) AS existing FROM d WHERE doc_id % 2 = 0 GROUP BY ALL)
+SELECT doc_id, existing FROM d LEFT JOIN f ON d.source = f.source AND d.h = f.h WHERE doc_id % 2 = 1
 """)
 def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document whose source already has its content is a duplicate of the first."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", text.content_hash(F.col("text")).alias("h"))
-    first = d.groupBy("source", "h").agg(F.min("doc_id").alias("original"))
-    return d.join(first, ["source", "h"]).select("doc_id", "source", "original", (F.col("doc_id") != F.col("original")).alias("duplicate"))
+    """The odd ids are uploads, the even ones are there already."""
+    d = table(spark, sf_dir, "documents").select(F.lit("u").alias("user_id"), F.col("doc_id").alias("document_id"), text.content_hash(F.col("text")).alias("sha256"), "source", F.lit("indexed").alias("status"), F.lit("s").alias("embedding_space"))
+    new, old = store.split_new(d.filter("document_id % 2 = 1").drop("status", "embedding_space"), d.filter("document_id % 2 = 0"), "s")
+    return new.select(F.col("document_id").alias("doc_id"), F.lit(None).cast("bigint").alias("existing")).unionByName(old.select(F.col("document_id").alias("doc_id"), F.col("existing_id").alias("existing")))
 
 
 @query("""
 SELECT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id
 """)
 def stale_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of the store that the current set no longer has."""
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return ingest.stale_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query(r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS key FROM documents WHERE lang = 'es' AND text NOT LIKE '%ß%'
+SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS key FROM documents
 """)
 def term_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("lang = 'es' AND text NOT LIKE '%ß%'")
-    return d.select("doc_id", text.term_key(F.col("text")).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.term_key(F.col("text")).alias("key"))
 
 
 @query(r"""
@@ -390,12 +420,12 @@ def eval_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STOPS = ", ".join(f"'{w}'" for w in grounding.STOP_WORDS)
-FOLD = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9.%]+', ' ', 'g'), '\.+( |$)', '\1', 'g'), ' +', ' ', 'g'))"
+FOLD = r"trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({})), '[^a-z0-9.%]+', ' ', 'g'), '\.+( |$)', '\1', 'g'), ' +', ' ', 'g'))"
 
 
 @query(rf"""
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS fact
-  FROM documents WHERE lang = 'en' AND length(text) = strlen(text)),
+  FROM documents),
 f AS (SELECT doc_id, page, {FOLD.format("line")} AS folded, {FOLD.format("fact")} AS needle FROM d),
 w AS (SELECT *, list_distinct(list_filter(string_split(folded, ' '), lambda x: x <> '')) AS words,
   list_filter(string_split(needle, ' '), lambda x: length(x) >= 2 AND x NOT IN ({STOPS})) AS toks FROM f WHERE needle <> ''),
@@ -404,8 +434,8 @@ h AS (SELECT doc_id, page FROM w WHERE contains(' ' || folded || ' ', ' ' || nee
 SELECT doc_id, count(DISTINCT page) AS pages, CAST(min(page) AS BIGINT) AS first_page FROM h GROUP BY ALL
 """)
 def ground_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's first three words in its lines (one page each); ASCII documents, where folding is the same in SQL."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en' AND length(text) = octet_length(text)")
+    """A document's first three words in its lines, one page each."""
+    docs = table(spark, sf_dir, "documents")
     pages = grounding.fold_pages(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line")), "doc_id", "page", "line")
     facts = docs.select("doc_id", F.lit(1).alias("fact"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("value"))
     out = grounding.text_pages(facts, pages, "doc_id", "fact", "value", "page")
@@ -448,6 +478,9 @@ def verify_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess.verify_assessments(outputs, there).select("request_id", "status", "reason", "risk_level", "risk_score", "dropped")
 
 
+from docevidence.plans import registry_jobs  # noqa: E402, F401  registers its queries here
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

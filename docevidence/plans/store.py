@@ -75,8 +75,9 @@ def index_documents(uploads: DataFrame, documents: Table, vectors: Table, dims:
     new = new.join(first, ["user_id", "sha256", "source", "document_id"], "left_semi")
     chunks = structure.prepare_chunks(new.withColumn("seg_idx", F.lit(0)).withColumn("content_type", F.lit("text")), "document_id")
     owned = chunks.join(new.select("document_id", "user_id"), "document_id")
-    rows = owned.select(F.concat(F.lit("user-"), "user_id").alias("namespace"), F.col("chunk_id").alias("id"), F.lit("patient").alias("domain"), "user_id", "document_id", "chunk_index", F.lit(space).alias("embedding_space"), "text", retrieval.hash_embed(F.col("text"), dims).alias("values"))
-    vectors.upsert(rows, ["namespace", "id"])
+    rows = owned.select(F.concat(F.lit("user-"), "user_id").alias("namespace"), F.col("chunk_id").alias("id"), F.lit("patient").alias("domain"), "user_id", "document_id", "chunk_index", F.lit(space).alias("embedding_space"), "text")
+    values = retrieval.embed_rows(rows, "id", "text", dims, ["namespace"])
+    vectors.upsert(rows.join(values, ["namespace", "id"]), ["namespace", "id"])
     stored = vectors.read().groupBy("document_id").agg(F.count("*").alias("chunk_count"))
     done = new.join(stored, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
     blank = normalize_text(F.coalesce("text", F.lit(""))) == ""
@@ -97,19 +98,26 @@ def servable(vectors: DataFrame, documents: DataFrame, user_id: str | Column, sp
     return v.withColumn("valid", F.coalesce(fine, F.lit(False)))
 
 
-def retrieve_patient(questions: DataFrame, vectors: DataFrame, documents: DataFrame, user_id: str, space: str, dims: int = 256, k: int = 6, floor: float = 0.5, max_chars: int = 8000) -> tuple[DataFrame, DataFrame]:
-    """(hits, status) of questions (query_id, question) over one tenant: top k of the valid vectors, floor, budget; status per question."""
+def retrieve_patient(questions: DataFrame, vectors: DataFrame, documents: DataFrame, user_id: str, space: str, dims: int = 256, k: int = 6, floor: float = 0.5, max_chars: int = 8000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, status, scored) of questions (query_id, question) over one tenant.
+
+    The k best of the tenant's vectors in indexed documents (F1), then those that are valid (F3), the floor, and the budget. ``status`` has
+    a row per question with candidates (found), invalid, and why there is nothing; ``scored`` the valid ones' scores before the floor.
+    """
     k = max(1, min(k, 10))
-    v = servable(vectors, documents, user_id, space).filter("valid")
-    q = questions.select("query_id", F.lit(space).alias("embedding_space"), retrieval.hash_embed(F.col("question"), dims).alias("values"))
-    top = retrieval.vector_topk(q, v, ["embedding_space"], k)
-    above = top.filter(F.col("score") >= floor).join(v.select("id", "document_id", "filename", "text"), "id")
+    mine = servable(vectors, documents, user_id, space).filter("filename is not null")
+    mine = retrieval.metadata_filter(retrieval.same_space(mine, space, dims), {"domain": "patient", "user_id": {"$eq": user_id}})
+    q = questions.withColumn("embedding_space", F.lit(space)).withColumn("question", F.left("question", F.lit(1000)))
+    q = retrieval.embed_rows(q, "query_id", "question", dims, ["embedding_space"])
+    top = retrieval.vector_topk(q, mine, ["embedding_space"], k, digits=9).join(mine.select("id", "document_id", "filename", "text", "valid"), "id")
+    scored = top.filter("valid").select("query_id", "id", "document_id", "score")
+    above = top.filter(F.col("valid") & (F.col("score") >= floor)).drop("valid")
     kept = retrieval.prefix_budget(above, "query_id", ["rank"], F.length("text"), max_chars)
-    n_docs = documents.filter((F.col("user_id") == user_id) & (F.col("status") == "indexed") & (F.col("embedding_space") == space)).agg(F.count("*").alias("docs"))
-    counts = questions.select("query_id").join(top.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.col("score") >= floor).alias("f")), "query_id", "left").join(F.broadcast(n_docs))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    status = retrieval.retrieval_status(counts, F.col("docs"), zero("m"), zero("f")).select("query_id", "status")
-    return kept, status
+    n_docs = documents.filter((F.col("user_id") == user_id) & (F.col("status") == "indexed") & (F.col("embedding_space") == space)).count()
+    found = top.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if("valid").alias("m"), F.count_if(F.col("valid") & (F.col("score") >= floor)).alias("f"))
+    counts = questions.select("query_id").join(found, "query_id", "left").na.fill(0, ["candidates", "invalid", "m", "f"])
+    status = retrieval.retrieval_status(counts, F.lit(n_docs), F.col("m"), F.col("f")).select("query_id", "status", "candidates", "invalid")
+    return kept, status, scored
 
 
 def delete_documents(user_id: str, ids: DataFrame, documents: Table, vectors: Table) -> dict[str, int]:
@@ -119,6 +127,14 @@ def delete_documents(user_id: str, ids: DataFrame, documents: Table, vectors: Ta
     return {"documents": documents.delete(own, ["document_id"]), "vectors": removed}
 
 
+def delete_consultations(user_id: str, ids: DataFrame, consultations: Table, links: DataFrame, documents: Table, vectors: Table) -> dict[str, int]:
+    """A tenant's consultations (consultation_id), the documents that ``links`` (consultation_id, document_id) ties to them, and
+    their vectors, vectors first; returns how many of each went. Ids of others are left alone."""
+    own = consultations.read().filter(F.col("user_id") == user_id).join(ids.select("consultation_id"), "consultation_id", "left_semi").select("consultation_id")
+    n = delete_documents(user_id, links.join(own, "consultation_id", "left_semi").select("document_id").distinct(), documents, vectors)
+    return {"consultations": consultations.delete(own, ["consultation_id"]), **n}
+
+
 def retire_source(sources: DataFrame, source_id: str) -> DataFrame:
     """A retired source is not served, whatever vectors exist."""
     return sources.withColumn("status", F.when(F.col("source_id") == source_id, "retired").otherwise(F.col("status")))

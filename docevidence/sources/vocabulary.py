@@ -45,8 +45,10 @@ def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_stats(records: DataFrame) -> DataFrame:
-    """A5: records by skip reason ('parsed' without one)."""
-    return records.groupBy(F.coalesce("skip_reason", F.lit("parsed")).alias("outcome")).agg(F.count("*").alias("n"))
+    """A5: (outcome, n): records seen, by skip reason ('parsed' without one), and ids that are there again ('duplicates')."""
+    outcomes = records.groupBy(F.coalesce("skip_reason", F.lit("parsed")).alias("outcome")).agg(F.count("*").alias("n"))
+    totals = records.agg(F.count("*").alias("seen"), (F.count_if(F.col("skip_reason").isNull()) - F.count_distinct(F.when(F.col("skip_reason").isNull(), F.col("record_id")))).alias("duplicates"))
+    return outcomes.unionByName(totals.select(F.explode(F.create_map(F.lit("seen"), "seen", F.lit("duplicates"), "duplicates")).alias("outcome", "n")))
 
 
 def dataset_version(file_name: Column) -> Column:
@@ -55,6 +57,11 @@ def dataset_version(file_name: Column) -> Column:
     return F.when(year != "", year)
 
 
+def dataset_date(head: Column) -> Column:
+    """The day on which a topic file was made, from its root's attribute, as ISO; null without one."""
+    return us_date_to_iso(F.nullif(F.regexp_extract(head, r'date-generated="([^"]*)"', 1), F.lit("")))
+
+
 def embedding_text(term: Column, aliases: Column, definition: Column) -> Column:
     """V3"""
     also = F.when(F.size(aliases) > 0, F.concat(F.lit(" (also called "), F.array_join(F.slice(aliases, 1, 6), ", "), F.lit(")"))).otherwise("")
