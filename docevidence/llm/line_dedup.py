@@ -111,6 +111,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = work.save(rows if text_col not in keep else rows.withColumn("kept", F.col("kept").dropFields(f"c{keep.index(text_col)}") if len(keep) > 1 else F.lit(None).cast("struct<c0:int>")), "rows")
     runs = repeated_runs(rows, work, "id", "text", min_words).groupBy("row").agg(F.collect_set(F.struct("start", "lines")).alias("runs"))
     runs = work.save(runs, "runs")
+    work.drop(*(name for name in work.schemas if name not in ("rows", "runs")))
     out = rows.join(runs.hint("shuffle_merge"), "row", "left")
     # Lists that a lambda reads for each element are bound by an outer one, so that they are made once a row.
     numbers = F.transform(_lines(F.col("text")), lambda s: s["no"])

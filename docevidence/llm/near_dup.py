@@ -298,6 +298,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     lowest = lowest.join(comps, "vid", "left").select("digest", F.coalesce("comp", "vid").alias("comp"), "least")
     ids = lowest.groupBy("comp").agg(F.min("least").alias("component"))
     classes = work.save(lowest.join(ids, "comp").select("digest", "component"), "classes")
+    work.drop("vertices", "leaders", "buckets", "pivots", "placed", "hosts", "entries", "texts", "compared", "mixed", "around", "links-1", "comps-1", "links-2", "comps-2")
     out = signed.select("id", "row", "n", "digest").join(classes, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(*([F.col("row").alias(row_col)] if row_col else []), F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
