@@ -35,7 +35,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
-    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda n: n.cast("string")), ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,3 +102,57 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """
+
+ORACLE_SQL["op2_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS r, replace(replace(text, '\', '\\'), '<|', '<\|') AS t FROM c
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>' || r || chr(10) || t || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE_SQL["op4_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS no, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+), w AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
+), p AS (
+  SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS pos, sum(words) OVER (PARTITION BY doc_id ORDER BY no) AS upto, words FROM w WHERE words > 0
+), s AS (
+  SELECT a.doc_id, a.pos AS a, min(b.pos) AS b FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.pos), b.pos FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.words >= 50 GROUP BY b.doc_id, b.pos
+), k AS (
+  SELECT s.doc_id, s.a, s.b, string_agg(p.line, chr(10) ORDER BY p.pos) AS run FROM s JOIN p ON p.doc_id = s.doc_id AND p.pos BETWEEN s.a AND s.b GROUP BY ALL
+), f AS (
+  SELECT *, first_value(doc_id) OVER o AS d, first_value(a) OVER o AS x FROM k WINDOW o AS (PARTITION BY run ORDER BY doc_id, a)
+), g AS (
+  SELECT DISTINCT p.doc_id, p.no FROM f JOIN p ON p.doc_id = f.doc_id AND p.pos BETWEEN f.a AND f.b WHERE f.doc_id <> f.d OR f.a <> f.x
+), r AS (
+  SELECT doc_id, count(*) AS n, string_agg(no, ',' ORDER BY no) AS removed FROM g GROUP BY ALL
+), t AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) AS text FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY ALL
+), n AS (SELECT doc_id, count(*) FILTER (words > 0) AS n_lines FROM w GROUP BY ALL)
+SELECT d.doc_id, n.n_lines, coalesce(r.n, 0) AS n_removed, coalesce(r.removed, '') AS removed, CASE WHEN r.n > 0 THEN sha256(coalesce(t.text, '')) ELSE sha256(d.text) END AS text_sha256
+FROM documents d JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLE_SQL["op5_near_dup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)]) END AS shingles FROM w
+), x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+v AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (SELECT a, b FROM v UNION SELECT r.a, v.b FROM r JOIN v ON r.b = v.a),
+c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY ALL)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id, s.doc_id <= coalesce(c.least, s.doc_id) AS kept FROM s LEFT JOIN c USING (doc_id)
+"""

@@ -121,7 +121,7 @@ def test_topk(spark):
     assert topk_search.search(ints.limit(0), ints, 5, "vec_id", "weights").count() == 0
 
 
-def brute_groups(texts):
+def brute_groups(texts, least=85):
     sets = []
     for t in texts:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
@@ -129,7 +129,7 @@ def brute_groups(texts):
     comp = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
                 comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
     return [(i, len(s), comp[i], comp[i] == i) for i, s in enumerate(sets)]
 
@@ -162,6 +162,7 @@ def test_near_dup(spark):
     texts += [words(rng, 60) for _ in range(40)]
     assert sorted(map(tuple, near_dup.group(docs(spark, texts)).collect())) == brute_groups(texts)
     assert near_dup.group(docs(spark, texts).limit(0)).count() == 0
+    assert sorted(map(tuple, near_dup.group(docs(spark, texts), exact=True).collect())) == brute_groups(texts)
 
 
 def brute_lines(texts, least):
