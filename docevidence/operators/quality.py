@@ -23,7 +23,7 @@ def set_counts(predicted: DataFrame, expected: DataFrame, case: str, key: str) -
 
 
 def micro_prf(counts: DataFrame) -> DataFrame:
-    """E3"""
+    """One row: the counts summed over all cases, then E1; without cases the sums are null and all measures 1, 1 and 1."""
     s = counts.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     return s.select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 

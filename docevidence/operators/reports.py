@@ -44,7 +44,7 @@ def failures_by_category(calls: DataFrame, group: list[str], failed: Column, cat
 
 
 def failure_counts(events: DataFrame, category: Column) -> DataFrame:
-    """A4"""
+    """A4: the number of events of each category; those without one are a category of their own."""
     return events.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -63,7 +63,7 @@ def classify_error(name: Column, http_status: Column) -> Column:
 
 
 def attempt_outcome(attempts: DataFrame, run: str, category: str) -> DataFrame:
-    """One category if all attempts agree, a timeout without any, else exhausted."""
+    """One category if all attempts of a run agree, a timeout where none has one (null ones don't count), else exhausted."""
     kinds = attempts.groupBy(run).agg(F.collect_set(category).alias("k"))
     return kinds.select(run, F.when(F.size("k") == 0, "provider_timeout").when(F.size("k") == 1, F.col("k")[0]).otherwise("fallback_exhausted").alias("outcome"))
 

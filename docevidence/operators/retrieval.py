@@ -99,14 +99,16 @@ def metadata_filter(rows: DataFrame, wanted: dict) -> DataFrame:
 
 
 def prefix_budget(ranked: DataFrame, query_id: str, order: list, length: Column, most: int) -> DataFrame:
-    """In order, until the next item would exceed ``most``; the first is always kept."""
+    """In order, until the next item would exceed ``most``; the first is always kept. ``order`` must be unique in a query; a null
+    length counts as 0. A query's ranked items, few by the top-k before, meet in one task."""
     w = Window.partitionBy(query_id).orderBy(*order)
     rows = ranked.withColumn("__rn", F.row_number().over(w)).withColumn("__sum", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.filter((F.col("__rn") == 1) | (F.col("__sum") <= most)).drop("__rn", "__sum")
 
 
 def greedy_budget(items: DataFrame, query_id: str, item_id: str, score: str, length: str, max_items: int, max_chars: int) -> DataFrame:
-    """W3 + W5: by score, items that don't fit are skipped and later ones tried; each item once; the first always. Adds ``n`` from 1."""
+    """W3 + W5: by score, ties to the smaller item id, items that don't fit are skipped and later ones tried; each item once; the first
+    always. Adds ``n`` from 1. A request's items, few by the top-k before, are folded in one row."""
     best = items.groupBy(query_id, item_id).agg(F.max(F.struct(F.col(score), F.col(length))).alias("m"))
     ranked = best.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct((-F.col("m")[score]).alias("s"), F.col(item_id).alias("i"), F.col("m")[length].alias("l")))).alias("a"))
     kind = f"array<struct<s:{items.schema[score].dataType.simpleString()},i:{items.schema[item_id].dataType.simpleString()},l:int>>"
@@ -121,7 +123,7 @@ def greedy_budget(items: DataFrame, query_id: str, item_id: str, score: str, len
 
 
 def best_per_item(hits: DataFrame, request: str, item: str, score: str) -> DataFrame:
-    """The best score of each item over a request's queries."""
+    """The best score of each item over a request's queries; null scores do not count."""
     return hits.groupBy(request, item).agg(F.max(score).alias(score))
 
 
@@ -131,7 +133,7 @@ def top_score(queries: DataFrame, hits: DataFrame, query_id: str, score: str) ->
 
 
 def retrieval_status(queries: DataFrame, documents: Column, matches: Column, kept: Column) -> DataFrame:
-    """A9"""
+    """no_documents, no_matches, below_threshold or ok, by the first count that is 0; counts must not be null."""
     return queries.withColumn("status", F.when(documents == 0, "no_documents").when(matches == 0, "no_matches").when(kept == 0, "below_threshold").otherwise("ok"))
 
 
@@ -168,7 +170,8 @@ def retrieve_reference(requests: DataFrame, vectors: DataFrame, sources: DataFra
     """(hits, tops) of requests (request_id, queries): per query the top k, valid ones at or over the floor, the best score of each
     chunk over a request's queries; ``tops`` has each query's best raw score."""
     q = requests.select("request_id", F.posexplode(distinct_queries(F.col("queries"))).alias("no", "query"))
-    q = q.select("request_id", F.concat_ws("#", F.col("request_id").cast("string"), F.col("no").cast("string")).alias("query_id"), F.lit(space).alias("embedding_space"), hash_embed(F.col("query"), dims).alias("values"))
+    q = q.select("request_id", F.concat_ws("#", F.col("request_id").cast("string"), F.col("no").cast("string")).alias("query_id"), F.lit(space).alias("embedding_space"), "query")
+    q = embed_rows(q, "query_id", "query", dims, ["request_id", "embedding_space"])
     top = vector_topk(q, vectors, ["embedding_space"], k)
     valid = top.join(servable_references(vectors, sources, space).select("id", "source_id", "title", "organization", "text"), "id").filter(F.col("score") >= floor)
     best = best_per_item(valid.join(q.select("query_id", "request_id"), "query_id"), "request_id", "id", "score")

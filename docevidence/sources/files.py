@@ -31,7 +31,8 @@ def normalize_mime(mime: Column) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
-    """S4"""
+    """The last part of a path with odd characters as underscores, no leading dots, its last 100 characters; ``upload`` if nothing is
+    left. Null stays null."""
     base = F.element_at(F.split(F.regexp_replace(F.replace(name, F.lit("\\"), F.lit("/")), "/+$", ""), "/"), -1)
     cleaned = F.right(F.regexp_replace(F.regexp_replace(base, r"[^\w.\- ]+", "_"), r"^\.+", ""), F.lit(100))
     return F.when(cleaned == "", "upload").otherwise(cleaned)
