@@ -63,7 +63,7 @@ def dataset_date(head: Column) -> Column:
 
 
 def embedding_text(term: Column, aliases: Column, definition: Column) -> Column:
-    """V3: the term, its first six aliases and the first 700 characters of its definition; null if one of the three is."""
+    """V3: the term, its first six aliases and the first 700 characters of its definition; null if term or definition is, null aliases are none."""
     also = F.when(F.size(aliases) > 0, F.concat(F.lit(" (also called "), F.array_join(F.slice(aliases, 1, 6), ", "), F.lit(")"))).otherwise("")
     return F.concat(term, also, F.lit(": "), F.left(definition, F.lit(700)))
 
