@@ -16,20 +16,25 @@ _CUT = re.compile(r"(?= \S)")
 
 
 class _Memo(dict):
-    """unit -> encoded bytes; emptied when it holds ``limit`` units, so that memory stays bounded."""
+    """unit -> encoded bytes, for ``limit`` units at most, in two generations: a full one becomes the old one, whose units come back as
+    they are met again, so the frequent ones stay."""
 
     def __init__(self, prefix: str, encode: Callable[[str], bytes], limit: int):
-        self.prefix, self.encode, self.limit = prefix, encode, limit
+        self.prefix, self.encode, self.half = prefix, encode, max(1, limit // 2)
         self.mark = functools.lru_cache(maxsize=len(_MARKS))(encode)
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        if unit[-1:] in _MARKS and unit[-2:-1].isalpha():  # a mark behind a letter is a match of its own
-            out = self[unit[:-1]] + self.mark(unit[-1])
-        else:
-            out = self.encode(self.prefix + unit)
+        out = self.old.get(unit)
+        if out is None:
+            if unit[-1:] in _MARKS and unit[-2:-1].isalpha():  # a mark behind a letter is a match of its own
+                out = self[unit[:-1]] + self.mark(unit[-1])
+            else:
+                out = self.encode(self.prefix + unit)
         if len(unit) <= 64:
+            if len(self) >= self.half:
+                self.old = dict(self)
+                self.clear()
             self[unit] = out
         return out
 
