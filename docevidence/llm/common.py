@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -104,6 +106,8 @@ def worker_state(key: Hashable, build: Callable[[], Any]) -> Any:
         _held.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # where the C library has it, freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
         _held[key] = build()
     return _held[key]
 
