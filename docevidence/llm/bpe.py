@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from docevidence.llm.common import fields, map_batches, worker_state
 from docevidence.llm.text_units import UnitEncoder
 
-PAIR_MEMO, SPINE_MEMO, UNIT_MEMO = 200_000, 60_000, 400_000
+PAIR_MEMO, SPINE_MEMO, UNIT_MEMO = 200_000, 60_000, 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
