@@ -26,6 +26,7 @@ ROUNDS = 9
 RUN = r"\S+(?:(?<![.!?])[^\S\n]+\S+){0,5}"
 LEAST_PASSAGES, MARKS = 16, "\x01\x02\x03"  # a mark for each scale
 BUCKET_ROWS, OUTER_CUTS, INNER_CUTS = 1024, 256, 4096
+MOST_PARTITIONS = 100_000  # of two ranges each; beyond it they hold more
 EDITED, NEXT, OWN, OWN_EDITED, FACTS = 0, 1, 2, 3, 4  # kinds of cells: two differences, two fingerprints; and a row of what is known
 ADDED, GONE = -1, -2  # "cells" that count what was peeled
 
@@ -73,13 +74,12 @@ def _passed(cuts: Column, x: Column, step: int) -> Column:
     return _bind(cuts, within)
 
 
-def _buckets(rows: DataFrame, id_col: str) -> DataFrame:
+def _buckets(rows: DataFrame, id_col: str, n: int) -> DataFrame:
     """Adds ``bucket``: ranges of about BUCKET_ROWS rows in descending id, cut at quantiles; null ids come last.
 
     OUTER_CUTS quantiles go into the expression; beyond that many ranges each is cut again, at quantiles that come from a table of a row for
     each, at most INNER_CUTS long, so the table has a bound.
     """
-    n = rows.count()
     wanted = max(1, n // BUCKET_ROWS)
     outer = min(OUTER_CUTS, wanted)
     found = rows.agg(F.percentile_approx(id_col, [i / outer for i in range(1, outer)], 20 * outer).alias("c")).first()["c"] if outer > 1 else None
@@ -102,7 +102,8 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     Each range of ids also gets a copy of the first row of the range after it, so that one shuffle and a window within the range do.
     Repeated ids follow in the order of the scan; rows of a null id come last.
     """
-    rows = _buckets(with_row_key(docs, "row"), id_col)
+    n_rows = docs.count()
+    rows = _buckets(with_row_key(docs, "row"), id_col, n_rows)
     heads = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce(F.col(id_col), F.lit(0)).alias("id"), (-F.col("row")).alias("r"))).alias("h"))
     around = Window.orderBy("bucket")  # one row per range
     first = F.max(F.struct((-F.col("bucket")).alias("b"), F.col("h"))).over(Window.partitionBy())["h"]["r"]
@@ -111,6 +112,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     rows = rows.join(F.broadcast(ghosts), "row", "left")
     places = F.concat(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost"))), F.coalesce(F.transform("to", lambda b: F.struct(b.alias("b"), F.lit(True).alias("ghost"))), F.array().cast("array<struct<b:bigint,ghost:boolean>>")))
     rows = rows.withColumn("at", F.explode(places)).select("*", "at.b", "at.ghost").drop("at", "to", "bucket")
+    rows = rows.repartition(min(MOST_PARTITIONS, -(-n_rows // (2 * BUCKET_ROWS)) or 1), "b")
     order = Window.partitionBy("b").orderBy("ghost", F.col(id_col).desc_nulls_last(), "row")
     rows = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return rows.filter(~F.col("ghost")).drop("ghost")
@@ -205,11 +207,14 @@ def edit_and_compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = ["id", "h", "next_id", "next_h"]
     while not open_.isEmpty():
         tries += 1
-        texts = base.withColumn("h", F.xxhash64("text"))
-        pairs = open_.select(*(F.col(f"facts.{x}").alias(x) for x in names)).distinct()
+        pairs = work.save(open_.select(*(F.col(f"facts.{x}").alias(x) for x in names)).distinct(), f"pairs-{tries}")
+        # Saved first, so that Spark knows how few keys these are and need not shuffle all texts to meet them.
+        keys = work.save(pairs.select(F.col("id").alias("i"), F.col("h").alias("j")).union(pairs.select("next_id", "next_h")).distinct(), f"keys-{tries}")
+        texts = base.select("id", "text", F.xxhash64("text").alias("h")).join(keys, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")))
+        texts = work.save(texts.groupBy("i", "j").agg(F.max("text").alias("t")), f"texts-{tries}")
         for i, h, name in (("id", "h", "text"), ("next_id", "next_h", "next_text")):
-            t = texts.select(F.col("id").alias("i"), F.col("h").alias("j"), F.col("text").alias(name))
-            pairs = pairs.join(t, F.col(i).eqNullSafe(F.col("i")) & (F.col(h) == F.col("j"))).drop("i", "j").dropDuplicates(names)
+            own = work.load(f"texts-{tries}").withColumnRenamed("t", name)
+            pairs = pairs.join(own, F.col(i).eqNullSafe(F.col("i")) & (F.col(h) == F.col("j"))).drop("i", "j")
         pairs = with_row_key(pairs, "row").withColumn("b", F.col("row")).withColumn("d", digests(F.col("text"))).withColumn("next_d", digests(F.col("next_text")))
         again = work.save(_compared(_edited(pairs), first_cells * GROWTH**tries, tries), f"try-{tries}")
         same = [F.col(f"o.facts.{x}").eqNullSafe(F.col(f"a.facts.{x}")) for x in names]
