@@ -52,7 +52,7 @@ class LibraryEncoder:
         return self.units(text)
 
 
-def library_encoder(path: str, units: int = 600_000) -> LibraryEncoder:
+def library_encoder(path: str, units: int = 1_000_000) -> LibraryEncoder:
     return worker_state(("library", path, units), lambda: LibraryEncoder(path, units))
 
 

@@ -107,27 +107,30 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
         starts = ends - size
         ids = np.frombuffer(b"".join(packed), dtype="<u4")
         wide = ids.astype("<u2") if ids.max() < 1 << 16 else ids
-        recipes, fresh = [], []
+        recipe, recipe_ends, roots = [], [0], []  # all documents' digests end to end, and where each document's end
+        digests, sizes, payloads, fresh_ends = [], [], [], [0]
         for start, own in zip(starts.tolist(), cuts(ids, starts, ends), strict=True):
-            recipe, new = [], []
             for e in own:
-                digest = hashlib.sha256(ids[start:e].tobytes()).digest()
+                digest = hashlib.sha256(ids[start:e]).digest()
                 recipe.append(digest)
                 if digest not in seen:
                     if len(seen) >= SEEN_CHUNKS:
                         seen.clear()
                     seen.add(digest)
-                    new.append({"digest": digest, "n": e - start, "payload": wide[start:e].tobytes()})
+                    digests.append(digest)
+                    sizes.append(e - start)
+                    payloads.append(wide[start:e].tobytes())
                 start = e
-            recipes.append(recipe)
-            fresh.append(new)
-        roots = [hashlib.sha256(b"".join(r)).digest() for r in recipes]
-        chunk = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())]))
-        return pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(size, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.array(roots, pa.binary()), pa.array(fresh, chunk)], ["id", "row", "n_tokens", "digests", "root", "fresh"])
+            roots.append(hashlib.sha256(b"".join(recipe[recipe_ends[-1] :])).digest())
+            recipe_ends.append(len(recipe))
+            fresh_ends.append(len(digests))
+        chunk = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary())], ["digest", "n", "payload"])
+        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+        return pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(size, pa.int64()), lists(recipe_ends, pa.array(recipe, pa.binary())), pa.array(roots, pa.binary()), lists(fresh_ends, chunk)], ["id", "row", "n_tokens", "digests", "root", "fresh"])
 
     schema = "id bigint, row bigint, n_tokens bigint, digests array<binary>, root binary, fresh array<struct<digest binary, n int, payload binary>>"
     work = Scratch(spark, "id-store")
-    encoded = work.save(map_batches(rows, cut, schema, state=set), "encoded")
+    encoded = work.save(map_batches(rows, cut, schema, 5000, 16 << 20, state=set), "encoded")
 
     chunks = encoded.select(F.explode("fresh").alias("c")).select("c.*")
     first = F.row_number().over(Window.partitionBy("digest").orderBy("n")) == 1  # equal digests, equal payloads
