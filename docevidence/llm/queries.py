@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docevidence.llm import bpe, chat_format, id_store, line_dedup, mixing, near_dup, paragraph_sketch, token_counts, topk_search, toxicity
+from docevidence.llm import bpe, chat_format, id_store, kmeans_tree, line_dedup, merkle_manifest, mixing, near_dup, paragraph_sketch, token_counts, topk_search, toxicity, whitening
 from docevidence.llm.common import Scratch, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,30 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.read_store(spark, path)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents, and each leaf held against it, lower-cased where 3 divides the crc32 of its id."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    told = [F.col(c) for c in docs.columns]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle_manifest.field_digest([*told[:-1], lower]))
+    leaves = docs.select("doc_id", "lang", merkle_manifest.field_digest(told).alias("digest"), tampered.alias("tampered"))
+    out = merkle_manifest.manifest(leaves, "lang", ["doc_id"], "digest", ["doc_id", "tampered"])
+    out = merkle_manifest.check_leaves(out.withColumn("shown", F.coalesce("tampered", "leaf")), "shown")
+    digests = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return out.select("doc_id", *digests, "proof_sha256", "folded_root").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings along their first 16 principal components."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16)
+
+
+def op13_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return kmeans_tree.search(rows.filter(F.col("vec_id") % 20 == 0), rows, 20, "vec_id", "embedding")
+
+
 QUERIES: dict[str, Query] = {
     "op1_paragraph_sketch": op1_paragraph_sketch,
     "op2_chat_format": op2_chat_format,
@@ -83,6 +107,9 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_exact_topk": op9_exact_topk,
     "op10_id_store": op10_id_store,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_whitening": op12_whitening,
+    "op13_kmeans_tree": op13_kmeans_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -156,3 +183,48 @@ v AS (
 c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY ALL)
 SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id, s.doc_id <= coalesce(c.least, s.doc_id) AS kept FROM s LEFT JOIN c USING (doc_id)
 """
+
+ORACLE_SQL["op11_merkle_manifest"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS head, text,
+    list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda i: CAST(0 AS BIGINT))), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS c
+  FROM documents
+), t AS (
+  SELECT *, coalesce(strlen(text) || ':' || text, '-') AS own, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM d
+), l AS (
+  SELECT doc_id, lang, sha256(array_to_string(head, '') || own) AS leaf,
+    CASE WHEN xor(c, 4294967295) % 3 = 0 THEN sha256(array_to_string(head, '') || coalesce(strlen(low) || ':' || low, '-')) END AS tampered
+  FROM t
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l
+), g AS (
+  SELECT 0 AS level, lang, pos, n, leaf AS digest FROM p
+  UNION ALL
+  SELECT level + 1, lang, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM g WHERE n > 1 GROUP BY level, lang, pos // 8, n
+), s AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM g WHERE n = 1
+), u AS (
+  SELECT 100 AS level, pos, n, subroot AS digest FROM s
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 8, n
+), r AS (SELECT digest AS root FROM u WHERE n = 1),
+nodes AS (
+  SELECT level, lang, 0 AS top, pos, digest FROM g WHERE n > 1
+  UNION ALL SELECT level, NULL, 1, pos, digest FROM u WHERE n > 1
+), way AS (
+  SELECT p.doc_id, p.leaf, p.lang, 0 AS top, g.level, p.pos // CAST(8 ** g.level AS BIGINT) AS at FROM p JOIN (SELECT DISTINCT level, lang FROM g WHERE n > 1) g ON p.lang IS NOT DISTINCT FROM g.lang
+  UNION ALL
+  SELECT p.doc_id, p.leaf, NULL, 1, u.level, s.pos // CAST(8 ** (u.level - 100) AS BIGINT) FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang, (SELECT DISTINCT level FROM u WHERE n > 1) u
+), steps AS (
+  SELECT w.doc_id, w.leaf, w.level, coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos < w.at), '') AS before, coalesce(string_agg(o.digest, '' ORDER BY o.pos) FILTER (o.pos > w.at), '') AS behind
+  FROM way w JOIN nodes o ON o.level = w.level AND o.top = w.top AND o.lang IS NOT DISTINCT FROM w.lang AND o.pos // 8 = w.at // 8 GROUP BY w.doc_id, w.leaf, w.level, w.at
+), lists AS (
+  SELECT doc_id, leaf, list(struct_pack(a := before, b := behind) ORDER BY level) AS steps, string_agg(before || behind, '' ORDER BY level) AS all_others FROM steps GROUP BY ALL
+), f AS (
+  SELECT p.doc_id, p.leaf, s.subroot, r.root, sha256(coalesce(k.all_others, '')) AS proof_sha256,
+    list_reduce(list_concat([struct_pack(a := coalesce(p.tampered, p.leaf), b := '')], coalesce(k.steps, [])), lambda x, y: struct_pack(a := sha256(y.a || x.a || y.b), b := '')).a AS folded_root
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN r LEFT JOIN lists k ON k.doc_id IS NOT DISTINCT FROM p.doc_id AND k.leaf = p.leaf
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
