@@ -83,31 +83,32 @@ def result_number(value: Column) -> Column:
     return _to_number(F.regexp_extract(trim(value), rf"^({NUMBER})(?:{WS}*[^\d<>=≤≥].*)?\z", 1))
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), where ``use`` may read the value often: a lambda's variable is computed once a row."""
-    return F.transform(F.array(value), use)[0]
+# Parts of a printed range: two numbers with a dash or "to" between them, an upper bound, a lower bound.
+BETWEEN = rf"(?i)({NUMBER}){WS}*(?:-|–|—|to){WS}*({NUMBER})"
+AT_MOST, AT_LEAST = rf"(?i)^(?:<=|<|≤|up to|upto){WS}*({NUMBER})", rf"^(?:>=|>|≥){WS}*({NUMBER})"
 
 
-def parse_range(text: Column) -> Column:
-    """(low, high) of a printed range; null if it is none or not ascending."""
-    between = rf"(?i)({NUMBER}){WS}*(?:-|–|—|to){WS}*({NUMBER})"
-    none = F.lit(None).cast("double")
-    pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
+def _bounds(text: Column) -> tuple[Column, Column, Column]:
+    """low, high, and whether there is a range. Plain expressions that repeat: generated code computes equal ones once a row."""
+    t = trim(text)
+    number = lambda pattern, group=1: _to_number(F.regexp_extract(t, pattern, group))
+    low, high, top, floor = number(BETWEEN), number(BETWEEN, 2), number(AT_MOST), number(AT_LEAST)
+    two = F.regexp_extract(t, BETWEEN, 1) != ""
+    there = F.when(two, F.coalesce(low < high, F.lit(False))).otherwise(top.isNotNull() | floor.isNotNull())
+    return F.when(two, low).when(top.isNull(), floor), F.when(two, high).otherwise(top), there
 
-    def read(t: Column) -> Column:
-        both = F.struct(_to_number(F.regexp_extract(t, between, 1)).alias("low"), _to_number(F.regexp_extract(t, between, 2)).alias("high"))
-        top = _to_number(F.regexp_extract(t, rf"(?i)^(?:<=|<|≤|up to|upto){WS}*({NUMBER})", 1))
-        floor = _to_number(F.regexp_extract(t, rf"^(?:>=|>|≥){WS}*({NUMBER})", 1))
-        one = _once(top, lambda x: F.when(x.isNotNull(), pair(none, x)).otherwise(_once(floor, lambda y: F.when(y.isNotNull(), pair(y, none)))))
-        return F.when(t.rlike(between), _once(both, lambda b: F.when(b["low"] < b["high"], b))).otherwise(one)
 
-    return _once(trim(text), read)
+def parse_range(text: Column) -> Column:
+    """(low, high) of a printed range; null if it is none or not ascending."""
+    low, high, there = _bounds(text)
+    return F.when(there, F.struct(low.alias("low"), high.alias("high")))
 
 
 def flag_from_range(value: Column, text: Column) -> Column:
     """Low, High or Normal against the printed range (bounds included); null if either can't be read."""
-    both = F.struct(result_number(value).alias("n"), parse_range(text).alias("r"))
-    return _once(both, lambda b: F.when(b["n"].isNull() | b["r"].isNull(), None).when(b["n"] < b["r"]["low"], "Low").when(b["n"] > b["r"]["high"], "High").otherwise("Normal"))
+    n = result_number(value)
+    low, high, there = _bounds(text)
+    return F.when(n.isNull() | ~F.coalesce(there, F.lit(False)), None).when(n < low, "Low").when(n > high, "High").otherwise("Normal")
 
 
 def lab_is_out(flag: Column, is_abnormal: Column) -> Column:

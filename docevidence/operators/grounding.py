@@ -17,9 +17,9 @@ def tokens(folded: Column) -> Column:
     return F.filter(F.split(folded, " "), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
 
 
-def has_word(words: Column, token: Column) -> Column:
-    """The word itself or, from four letters on, one that begins with it or that it begins with."""
-    return F.array_contains(words, token) | ((F.length(token) >= 4) & F.exists(words, lambda w: (F.length(w) >= 4) & (F.startswith(w, token) | F.startswith(token, w))))
+def token_key(word: Column) -> Column:
+    """What a word and a token that may stand for it have in common: the first four letters, or all of a shorter one."""
+    return F.left(word, F.lit(4))
 
 
 def fold_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
@@ -28,18 +28,50 @@ def fold_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     return folded.select(doc, page, "folded", F.array_distinct(F.filter(F.split("folded", " "), lambda w: w != "")).alias("words"))
 
 
-def text_pages(facts: DataFrame, folded: DataFrame, doc: str, fact: str, value: str, page: str) -> DataFrame:
-    """(doc, fact, pages): pages that hold the folded value, or all of its significant words. Facts meet only their own document's pages."""
-    f = facts.select(doc, fact, fold_text(F.col(value)).alias("needle")).filter("needle <> ''").withColumn("tokens", tokens(F.col("needle")))
-    hit = F.contains(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")), F.concat(F.lit(" "), F.col("needle"), F.lit(" "))) | ((F.size("tokens") > 0) & F.forall("tokens", lambda t: has_word(F.col("words"), t)))
-    return f.join(folded, doc).filter(hit).groupBy(doc, fact).agg(F.array_sort(F.collect_set(page)).alias("pages"))
+def word_index(folded: DataFrame, doc: str, page: str) -> DataFrame:
+    """The pages' words as an inverted index: (doc, page, word, key)."""
+    words = folded.select(doc, page, F.explode("words").alias("word"))
+    return words.withColumn("key", token_key(F.col("word")))
 
 
-def lab_pages(labs: DataFrame, folded: DataFrame, doc: str, fact: str, name: str, value: str, page: str) -> DataFrame:
-    """Pages with the value's first token as a whole token and any significant word of the name."""
-    f = labs.select(doc, fact, F.split(fold_text(F.col(value)), " ")[0].alias("v"), tokens(fold_text(F.col(name))).alias("tokens")).filter("v <> ''")
-    hit = F.array_contains("words", F.col("v")) & ((F.size("tokens") == 0) | F.exists("tokens", lambda t: has_word(F.col("words"), t)))
-    return f.join(folded, doc).filter(hit).groupBy(doc, fact).agg(F.array_sort(F.collect_set(page)).alias("pages"))
+def _token_pages(tokens_of: DataFrame, index: DataFrame, doc: str, fact: str, page: str) -> DataFrame:
+    """(doc, fact, page, hits): how many of a fact's tokens (doc, fact, token) a page has: the word itself or, from four letters on, one that
+    begins with it or that it begins with. An equality join on the document and the token's key, so a fact meets no page without such a word."""
+    t = tokens_of.withColumn("key", token_key(F.col("token")))
+    near = (F.col("word") == F.col("token")) | ((F.length("token") >= 4) & (F.startswith("word", F.col("token")) | F.startswith("token", F.col("word"))))
+    met = t.join(index, [doc, "key"]).filter(near)
+    return met.groupBy(doc, fact, page).agg(F.count_distinct("token").alias("hits"))
+
+
+def _listed(hits: DataFrame, doc: str, fact: str, page: str) -> DataFrame:
+    return hits.groupBy(doc, fact).agg(F.array_sort(F.collect_set(page)).alias("pages"))
+
+
+def text_pages(facts: DataFrame, folded: DataFrame, doc: str, fact: str, value: str, page: str, index: DataFrame | None = None) -> DataFrame:
+    """(doc, fact, pages): pages that hold the folded value, or all of its significant words. Facts meet only their own document's pages.
+
+    A page that holds a value holds its significant words, so those are enough; a value without any is looked for whole, on the pages with
+    its first word. ``index``: the pages' word_index, where the caller has it.
+    """
+    index = word_index(folded, doc, page) if index is None else index
+    f = facts.select(doc, fact, fold_text(F.col(value)).alias("needle")).filter("needle <> ''").withColumn("tokens", F.array_distinct(tokens(F.col("needle"))))
+    wanted = f.filter(F.size("tokens") > 0)
+    hits = _token_pages(wanted.select(doc, fact, F.explode("tokens").alias("token")), index, doc, fact, page)
+    full = hits.join(wanted.select(doc, fact, F.size("tokens").alias("all")), [doc, fact]).filter(F.col("hits") == F.col("all")).select(doc, fact, page)
+    rest = f.filter(F.size("tokens") == 0).select(doc, fact, "needle", F.split("needle", " ")[0].alias("word"))
+    near = rest.join(index.select(doc, page, "word"), [doc, "word"]).join(folded.select(doc, page, "folded"), [doc, page])
+    whole = near.filter(F.contains(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")), F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))).select(doc, fact, page)
+    return _listed(full.unionByName(whole), doc, fact, page)
+
+
+def lab_pages(labs: DataFrame, folded: DataFrame, doc: str, fact: str, name: str, value: str, page: str, index: DataFrame | None = None) -> DataFrame:
+    """Pages with the value's first token as a whole token and any significant word of the name. ``index`` as for text_pages."""
+    index = word_index(folded, doc, page) if index is None else index
+    f = labs.select(doc, fact, F.split(fold_text(F.col(value)), " ")[0].alias("word"), tokens(fold_text(F.col(name))).alias("tokens")).filter("word <> ''")
+    there = f.join(index.select(doc, page, "word"), [doc, "word"]).select(doc, fact, page, F.size("tokens").alias("n"))
+    named = _token_pages(f.select(doc, fact, F.explode("tokens").alias("token")), index, doc, fact, page).select(doc, fact, page)
+    both = there.filter("n > 0").join(named, [doc, fact, page], "left_semi").unionByName(there.filter("n = 0"))
+    return _listed(both.select(doc, fact, page), doc, fact, page)
 
 
 def range_is_printed(span: Column, words: Column) -> Column:

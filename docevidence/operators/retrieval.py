@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docevidence.operators import blocks
+
 # Fixed values of the 32-bit FNV-1a hash.
 FNV_START, FNV_PRIME, MASK = 2166136261, 16777619, 4294967295
-BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def fnv1a(token: Column) -> Column:
@@ -53,26 +54,14 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(queries: DataFrame, vectors: DataFrame, on: list[str], k: int, query_id: str = "query_id", vector_id: str = "id", values: str = "values", floor: float | None = None, digits: int = 6, skip_own: bool = False) -> DataFrame:
     """J1 + W1 + F6: of the vectors that agree on ``on`` (tenant, space) the k most similar per query, ties to the smaller id.
 
-    The query side is broadcast while its values take at most BROADCAST_BYTES; beyond that vectors are salted by their id and queries are
-    repeated for each salt, so that one tenant's rows spread over SALTS tasks. Only ids and values take part; texts are joined back to the
+    Vectors and queries of a group meet in blocks (``blocks.best_in_blocks``): one matrix product for a block, then the k best of each query;
+    a group of any size is spread over as many blocks as its rows ask for. Only ids and values take part; texts are joined back to the
     k winners by the caller. Rank and ``floor`` go by the exact score, which is then rounded to ``digits``. Vectors of another length
     than the query's are an error (F2 keeps spaces apart before). With ``skip_own`` a query is itself one of the vectors and that one is not
-    ranked. A null vector is none; queries without vectors have no rows.
+    ranked. A null vector is none, one with a null or non-finite component is like none (0); queries without vectors have no rows.
     """
-    q = queries.filter(F.col(values).isNotNull()).select(query_id, *on, F.col(values).alias("__q"), norm(F.col(values)).alias("__qn"))
-    v = vectors.filter(F.col(values).isNotNull()).select(vector_id, *on, F.col(values).alias("__v"), norm(F.col(values)).alias("__vn"))
-    size = q.agg(F.sum(8 * F.size("__q") + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        both = v.join(F.broadcast(q), on)
-    else:
-        q = q.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = v.withColumn("__salt", F.pmod(F.xxhash64(vector_id), F.lit(SALTS)).cast("int")).join(q, [*on, "__salt"])
-    if skip_own:
-        both = both.filter(F.col(query_id) != F.col(vector_id))
-    alike = F.coalesce(F.try_divide(dot(F.col("__q"), F.col("__v")), F.col("__qn") * F.col("__vn")), F.lit(0.0))
-    score = F.when(F.size("__q") == F.size("__v"), alike).otherwise(F.raise_error(F.lit("query and vector have different dimensions")).cast("double"))
-    scored = both.select(query_id, *on, vector_id, score.alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), vector_id))).filter(F.col("rank") <= k)
+    tops = blocks.best_in_blocks(queries, vectors, on, k, query_id, vector_id, values, skip_own)
+    ranked = tops.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), vector_id))).filter(F.col("rank") <= k)
     ranked = ranked.filter(F.col("score") >= floor) if floor is not None else ranked
     return ranked.withColumn("score", F.round("score", digits))
 
@@ -166,18 +155,6 @@ def servable_references(vectors: DataFrame, sources: DataFrame, space: str, synt
     return vectors.filter(F.col("embedding_space") == space).join(s.select("source_id", "title", "organization"), "source_id")
 
 
-def retrieve_reference(requests: DataFrame, vectors: DataFrame, sources: DataFrame, space: str, dims: int = 256, k: int = 4, floor: float = 0.66) -> tuple[DataFrame, DataFrame]:
-    """(hits, tops) of requests (request_id, queries): per query the top k, valid ones at or over the floor, the best score of each
-    chunk over a request's queries; ``tops`` has each query's best raw score."""
-    q = requests.select("request_id", F.posexplode(distinct_queries(F.col("queries"))).alias("no", "query"))
-    q = q.select("request_id", F.concat_ws("#", F.col("request_id").cast("string"), F.col("no").cast("string")).alias("query_id"), F.lit(space).alias("embedding_space"), "query")
-    q = embed_rows(q, "query_id", "query", dims, ["request_id", "embedding_space"])
-    top = vector_topk(q, vectors, ["embedding_space"], k)
-    valid = top.join(servable_references(vectors, sources, space).select("id", "source_id", "title", "organization", "text"), "id").filter(F.col("score") >= floor)
-    best = best_per_item(valid.join(q.select("query_id", "request_id"), "query_id"), "request_id", "id", "score")
-    return best.join(valid.select("id", "source_id", "title", "organization", "text").distinct(), "id"), top_score(q, top, "query_id", "score")
-
-
 def merge_term_hits(exact: DataFrame, semantic: DataFrame, question: str, floor: float = 0.70) -> DataFrame:
     """O1 + W6: exact hits and semantic ones at or over the floor, once per record with the better rank, then score; ordered by match
     kind, dataset, score, id (``position`` from 1). Both have question, record_id, dataset, match, score."""

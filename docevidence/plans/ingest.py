@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docevidence.functions import labs
 from docevidence.functions.text import content_hash, normalize_text, term_key, trim
-from docevidence.operators import layout, retrieval, structure
+from docevidence.operators import layout, structure
+from docevidence.operators.embedders import Embedder, chosen, model_embed, space_id
+from docevidence.plans.scratch import saved
+from docevidence.plans.tables import Table
 from docevidence.sources import vocabulary
 
 SIDECAR = "sourceId string, title string, organization string, sourceType string, authorization string, publicationDate string, version string, url string, medicalTopics array<string>"
@@ -20,34 +19,6 @@ SIDECAR = "sourceId string, title string, organization string, sourceType string
 SOURCE_TYPES = ("clinical_guideline", "public_health_guidance", "medical_reference", "professional_society", "synthetic_test", "other")
 
 
-def model_embed(df: DataFrame, key: str, text: str, model: Callable[[], Callable[[list[str]], np.ndarray]], dims: int, keep: list[str] | None = None, out_col: str = "values", batch: int = 32, prefix: str = "") -> DataFrame:
-    """V2: key, ``keep`` and vectors of unit length by the user's model: ``model()`` is called once a task and gives a function of a list of
-    texts to an array of ``dims`` columns (any other number is an error). ``prefix`` comes before each text, as for queries. A null text
-    counts as empty; a zero vector stays zero. The space's name is ``space_id``'s.
-    """
-    columns = [key, *(keep or [])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = model()
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch):
-                b = whole.slice(at, batch)
-                v = np.asarray(embed([prefix + (t or "") for t in b.column(len(columns)).to_pylist()]), dtype=np.float64)
-                if v.shape != (b.num_rows, dims):
-                    raise ValueError(f"the model gave {v.shape}, not {(b.num_rows, dims)}")
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                v = v / np.where(n == 0, 1.0, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dims, dtype=np.int32)), pa.array(v.ravel()))
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(columns))), lists], [*columns, out_col])
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
-    return df.select(*columns, F.col(text).alias("text to embed")).mapInArrow(run, f"{kinds}, `{out_col}` array<double>")
-
-
-def space_id(model: str, dims: int) -> str:
-    return f"{model}@{dims}"
-
-
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """(stem, the SIDECAR fields, violations) of ``*.meta.json`` files; an unknown key, a missing or odd field is a violation."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.meta.json").load(path).select(F.regexp_extract("path", r"([^/]+)\.meta\.json\z", 1).alias("stem"), F.col("content").cast("string").alias("raw"))
@@ -113,7 +84,7 @@ def chunk_metadata(chunks: DataFrame, owners: DataFrame, space: str) -> DataFram
     return rows.select(F.concat(F.lit("user-"), "user_id").alias("namespace"), F.concat_ws("#", "document_id", F.col("chunk_index").cast("string")).alias("id"), F.lit("patient").alias("domain"), "user_id", "document_id", "filename", "chunk_index", F.lit(space).alias("embedding_space"), "text", "page", "table_id")
 
 
-def ingest_references(texts: DataFrame, sidecars: DataFrame, registry: DataFrame, space: str, dims: int = 256, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def ingest_references(texts: DataFrame, sidecars: DataFrame, registry: DataFrame, space: str, dims: int = 256, force: bool = False, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
     """(outcome, chunks) of texts (stem, sha256, text) with sidecars (read_sidecars) against the registry (source_id, sha256,
     embedding_space, status).
 
@@ -121,6 +92,7 @@ def ingest_references(texts: DataFrame, sidecars: DataFrame, registry: DataFrame
     skipped with its reasons. ``chunks`` are the new ones of the indexed sources, with vectors; they replace all of a source's old ones
     (replace_partition).
     """
+    embedder = chosen(embedder, space, dims)
     both = texts.join(sidecars, "stem", "left")
     same = registry.filter((F.col("embedding_space") == space) & (F.col("status") == "indexed")).select(F.col("source_id").alias("sourceId"), "sha256", F.lit(True).alias("same"))
     both = both.join(same, ["sourceId", "sha256"], "left")
@@ -128,8 +100,8 @@ def ingest_references(texts: DataFrame, sidecars: DataFrame, registry: DataFrame
     outcome = F.when(F.size(missing) > 0, "skipped").when(F.coalesce("same", F.lit(False)) & F.lit(not force), "unchanged").when(trim(F.coalesce("text", F.lit(""))) == "", "empty").otherwise("indexed")
     both = both.withColumn("reasons", missing).withColumn("outcome", outcome).withColumnRenamed("sourceId", "source_id")
     taken = both.filter("outcome = 'indexed'")
-    chunks = reference_chunks(reference_segments(taken.select("source_id", "text"), "source_id"), taken, space)
-    return both.select("stem", "source_id", "sha256", "outcome", "reasons"), chunks.join(retrieval.embed_rows(chunks, "id", "text", dims), "id")
+    chunks = saved(reference_chunks(reference_segments(taken.select("source_id", "text"), "source_id"), taken, space), "reference-chunks")
+    return both.select("stem", "source_id", "sha256", "outcome", "reasons"), chunks.join(embedder.embed(chunks, "id", "text"), "id")
 
 
 def replace_partition(rows: DataFrame, path: str, by: str) -> None:
@@ -142,7 +114,7 @@ def last_by_id(records: DataFrame, order: str) -> DataFrame:
     return records.withColumn("__n", F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
 
 
-def term_vectors(records: DataFrame, dataset: str, dataset_name: str, organization: str, version: str, space: str, dims: int = 256) -> DataFrame:
+def term_vectors(records: DataFrame, dataset: str, dataset_name: str, organization: str, version: str, space: str, dims: int = 256, embedder: Embedder | None = None) -> DataFrame:
     """V5 with V3 and V4: one typed record with its vector for each term (record_id, term, aliases, definition, url, published, mesh_id).
 
     The content hash is over term, aliases and definition; a descriptor's mesh id is its own. Skipped records are left out.
@@ -153,7 +125,7 @@ def term_vectors(records: DataFrame, dataset: str, dataset_name: str, organizati
     digest = content_hash(F.concat_ws("\n", "term", F.array_join("aliases", "|"), "definition"), 16)
     own = F.when(F.lit(dataset == "mesh"), F.regexp_replace("record_id", "^mesh:", "")).otherwise(F.col("mesh_id"))
     out = rows.select(F.col("record_id").alias("id"), F.lit("terminology").alias("domain"), F.col("record_id").alias("chunk_id"), F.lit(dataset).alias("dataset"), F.lit(dataset_name).alias("dataset_name"), F.lit(organization).alias("organization"), F.lit(version).alias("version"), "term", term_key(F.col("term")).alias("term_key"), F.coalesce("alias_keys", F.array().cast("array<string>")).alias("alias_keys"), "aliases", F.col("definition").alias("text"), digest.alias("content_hash"), F.lit(space).alias("embedding_space"), "url", "published", own.alias("mesh_id"), "to_embed")
-    return out.join(retrieval.embed_rows(out, "id", "to_embed", dims), "id").drop("to_embed")
+    return out.join(chosen(embedder, space, dims).embed(out, "id", "to_embed"), "id").drop("to_embed")
 
 
 def stale_ids(known: DataFrame, current: DataFrame, key: str = "id") -> DataFrame:
@@ -161,7 +133,7 @@ def stale_ids(known: DataFrame, current: DataFrame, key: str = "id") -> DataFram
     return known.select(key).distinct().join(current.select(key), key, "left_anti")
 
 
-def ingest_terms(records: DataFrame, file_sha: str, dataset: str, dataset_name: str, organization: str, version: str, manifest: DataFrame, stored: DataFrame, space: str, dims: int = 256, order: str | None = None) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+def ingest_terms(records: DataFrame, file_sha: str, dataset: str, dataset_name: str, organization: str, version: str, manifest: DataFrame, stored: DataFrame, space: str, dims: int = 256, order: str | None = None, embedder: Embedder | None = None) -> tuple[DataFrame | None, DataFrame, DataFrame]:
     """(vectors, stale, manifest row) of one dataset's parsed records; ``stored``: ids now in the table.
 
     A dataset whose file and space are those of the manifest is unchanged: no vectors (None), nothing stale, the old row. The manifest row
@@ -171,12 +143,44 @@ def ingest_terms(records: DataFrame, file_sha: str, dataset: str, dataset_name:
     if not old.isEmpty():
         return None, stored.select("id").limit(0), old
     kept = records.filter("skip_reason is null")
-    vectors = term_vectors(last_by_id(kept, order) if order else kept, dataset, dataset_name, organization, version, space, dims)
+    vectors = term_vectors(last_by_id(kept, order) if order else kept, dataset, dataset_name, organization, version, space, dims, embedder)
     counts = records.agg(F.count_if(F.col("skip_reason").isNull()).alias("records"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"))
-    row = counts.select(F.lit(dataset).alias("dataset"), F.lit(file_sha).alias("file_sha"), F.lit(space).alias("embedding_space"), F.lit(version).alias("version"), "records", "skipped")
+    ids = kept.select(F.col("record_id").alias("id")).distinct().agg(*ids_digest())
+    row = counts.crossJoin(ids).select(F.lit(dataset).alias("dataset"), F.lit(file_sha).alias("file_sha"), F.lit(space).alias("embedding_space"), F.lit(version).alias("version"), "records", "skipped", "ids", "ids_digest")  # a row each
     return vectors, stale_ids(stored, vectors), row
 
 
+def ids_digest(id_col: str = "id") -> list[Column]:
+    """Aggregates ``ids`` (how many) and ``ids_digest``: one for a set of ids, whatever their order and partitions."""
+    halves = [F.hex(F.coalesce(F.bit_xor(F.xxhash64(F.lit(seed), id_col)), F.lit(0).cast("bigint"))) for seed in (1, 2)]
+    return [F.count("*").alias("ids"), F.concat(*(F.lpad(h, 16, "0") for h in halves)).alias("ids_digest")]
+
+
+def store_terms(records: DataFrame, file_sha: str, dataset: str, dataset_name: str, organization: str, version: str, table: Table, dims: int = 256, embedder: Embedder | None = None, order: str = "ordinal") -> dict:
+    """P3 with S12 as one commit: a dataset's term vectors, the deletion of its stale ids and its manifest become one version of ``table``
+    (store.TERMS); returns the manifest with ``outcome``: stored or unchanged.
+
+    The manifest, kept with the version, has file_sha, space, version, records, skipped, ids and the written ids' digest. A file is unchanged where its
+    manifest has its sha and space and the stored ids still have the manifest's digest; a table that lost rows in another way is stored again. A
+    run that breaks leaves the version before. O3: of records with one id the last by ``order`` (the readers' ordinal) stays.
+    """
+    embedder = chosen(embedder, None, dims)
+    number = table.version()
+    old = table.state(number)["note"].get(dataset)
+    of = table.spark.createDataFrame([(dataset,)], "dataset string")
+    stored = table.read(number, of).filter(F.col("dataset") == dataset).select("dataset", "id")
+    wanted = {"file_sha": file_sha, "embedding_space": embedder.space, "version": version}
+    if old is not None and {k: old[k] for k in wanted} == wanted and stored.agg(*ids_digest()).first().asDict() == {k: old[k] for k in ("ids", "ids_digest")}:
+        return old | {"outcome": "unchanged"}
+    kept = records.filter("skip_reason is null")
+    kept = last_by_id(kept, order) if order in records.columns else kept
+    rows = saved(term_vectors(kept, dataset, dataset_name, organization, version, embedder.space, embedder.dims, embedder), "terms")
+    counts = records.agg(F.count_if(F.col("skip_reason").isNull()).alias("records"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped")).first().asDict()
+    note = wanted | counts | rows.select("id").distinct().agg(*ids_digest()).first().asDict()
+    table.upsert(rows, note={dataset: note}, gone=stored.join(rows.select("id"), "id", "left_anti").select("dataset", "id"))
+    return note | {"outcome": "stored"}
+
+
 def link_documents(wanted: DataFrame, documents: DataFrame, user_id: str, consultation_id: str) -> tuple[DataFrame, DataFrame]:
     """(documents with the tenant's wanted ones linked, wanted ids that are not the tenant's)."""
     own = documents.filter(F.col("user_id") == user_id)

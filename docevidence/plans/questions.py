@@ -1,4 +1,4 @@
-"""From a question to its evidence, and from an answer to what of it holds."""
+"""From a question to its evidence, and from an answer to what of it holds."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from docevidence.functions.labs import lab_is_out, lab_text
 from docevidence.functions.routing import classify_question, definition_term, lookup_keys
 from docevidence.functions.text import trim
 from docevidence.operators import retrieval
+from docevidence.operators.embedders import Embedder, chosen
 from docevidence.operators.evidence import inline_citations, strip_citations
 from docevidence.plans import store
+from docevidence.plans.scratch import saved
 
 # The budgets of assemble_evidence: items and characters of each domain.
 BUDGETS = {"patient": (6, 9000), "reference": (8, 7000), "terminology": (4, 7000)}
@@ -41,16 +43,19 @@ GLOSSARY = {
 }
 
 
-def glossary(spark: SparkSession, space: str, dims: int = 256) -> DataFrame:
+def glossary(spark: SparkSession, space: str | None = None, dims: int = 256, embedder: Embedder | None = None) -> DataFrame:
     """The fixed definitions as vectors (id, text, embedding_space, values)."""
-    rows = spark.createDataFrame(list(GLOSSARY.items()), "id string, text string").withColumn("embedding_space", F.lit(space))
-    return rows.join(retrieval.embed_rows(rows, "id", "text", dims), "id")
+    embedder = chosen(embedder, space, dims)
+    rows = spark.createDataFrame(list(GLOSSARY.items()), "id string, text string").withColumn("embedding_space", F.lit(space or embedder.space))
+    return rows.join(embedder.embed(rows, "id", "text"), "id")
 
 
-def retrieve_glossary(terms: DataFrame, entries: DataFrame, space: str, dims: int = 256, k: int = 2, floor: float = 0.70) -> DataFrame:
+def retrieve_glossary(terms: DataFrame, entries: DataFrame, space: str | None = None, dims: int = 256, k: int = 2, floor: float = 0.70, embedder: Embedder | None = None) -> DataFrame:
     """(query_id, id, score, text, rank) of the entries at or over the floor among each term's best ``k``; terms: query_id, term."""
-    q = retrieval.embed_rows(terms.withColumn("embedding_space", F.lit(space)), "query_id", "term", dims, ["embedding_space"])
-    hits = retrieval.vector_topk(q, retrieval.same_space(entries, space, dims), ["embedding_space"], k, floor=floor)
+    embedder = chosen(embedder, space, dims)
+    space = space or embedder.space
+    q = embedder.embed(terms.withColumn("embedding_space", F.lit(space)), "query_id", "term", ["embedding_space"], query=True)
+    hits = retrieval.vector_topk(q, retrieval.same_space(entries, space, embedder.dims), ["embedding_space"], k, floor=floor)
     return hits.join(entries.filter("text is not null").select("id", "text"), "id").select("query_id", "id", "score", "text", "rank")
 
 
@@ -63,17 +68,19 @@ def valid_terms(terms: DataFrame, space: str) -> DataFrame:
     return terms.filter(F.coalesce(fine, F.lit(False)))
 
 
-def retrieve_terms(questions: DataFrame, terms: DataFrame, space: str, dims: int = 256, k: int = 4, floor: float = 0.70, most_exact: int = 6) -> tuple[DataFrame, DataFrame]:
+def retrieve_terms(questions: DataFrame, terms: DataFrame, space: str | None = None, dims: int = 256, k: int = 4, floor: float = 0.70, most_exact: int = 6, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, status) of questions (query_id, question) over term vectors (ingest.term_vectors).
 
     Exact: terms that share a lookup key, the ``most_exact`` most similar of them. Semantic: the ``k`` most similar of all, at or over
     ``floor``. Once per record by the better kind, then score; ``position`` orders kind, dataset, score, id. ``status`` has ok or
     no_match, the counts of both kinds and the best score. A blank question matches nothing.
     """
+    embedder = chosen(embedder, space, dims)
+    space, dims = space or embedder.space, embedder.dims
     cleaned = F.left(trim(F.coalesce("question", F.lit(""))), F.lit(300))
     q = questions.select("query_id", cleaned.alias("cleaned")).withColumn("keys", lookup_keys(F.col("cleaned"))).withColumn("asked", F.coalesce(definition_term(F.col("cleaned")), F.col("cleaned"))).withColumn("embedding_space", F.lit(space))
     asked = q.filter("cleaned <> ''")
-    vectors = retrieval.embed_rows(asked, "query_id", "asked", dims, ["embedding_space"])
+    vectors = saved(embedder.embed(asked, "query_id", "asked", ["embedding_space"], query=True), "asked")
     own = retrieval.same_space(terms, space, dims)
     keyed = own.select("id", F.explode("alias_keys").alias("key")).join(asked.select("query_id", F.explode("keys").alias("key")), "key").select("query_id", "id").distinct()
     both = keyed.join(own.select("id", F.col("values").alias("v")), "id").join(vectors.select("query_id", F.col("values").alias("q")), "query_id")
@@ -97,14 +104,16 @@ def retrieve_terms(questions: DataFrame, terms: DataFrame, space: str, dims: int
     return one.drop("n", "kind", "by_key", "keys"), status
 
 
-def retrieve_patient_multi(requests: DataFrame, vectors: DataFrame, documents: DataFrame, user_id: str, space: str, dims: int = 256, k: int = 3, floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def retrieve_patient_multi(requests: DataFrame, vectors: DataFrame, documents: DataFrame, user_id: str, space: str | None = None, dims: int = 256, k: int = 3, floor: float = 0.5, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
     """P5: (hits, status) of requests (request_id, queries): P4 for each query, then each chunk's best score in its request.
 
     A request without queries, or a tenant without documents, is no_documents; valid candidates under the floor are below_threshold.
     """
+    embedder = chosen(embedder, space, dims)
+    space = space or embedder.space
     q = requests.select("request_id", F.posexplode(F.coalesce("queries", F.array())).alias("no", "question"))
     q = q.withColumn("query_id", F.concat_ws("#", F.col("request_id").cast("string"), F.col("no").cast("string")))
-    hits, _, scored = store.retrieve_patient(q.select("query_id", "question"), vectors, documents, user_id, space, dims, k, floor)
+    hits, _, scored = store.retrieve_patient(q.select("query_id", "question"), vectors, documents, user_id, space, dims, k, floor, embedder=embedder)
     of = q.select("query_id", "request_id")
     best = retrieval.best_per_item(hits.join(of, "query_id"), "request_id", "id", "score").join(hits.select("id", "document_id", "filename", "text").distinct(), "id")
     any_scored = scored.join(of, "query_id").groupBy("request_id").agg(F.count("*").alias("m"))
@@ -115,6 +124,20 @@ def retrieve_patient_multi(requests: DataFrame, vectors: DataFrame, documents: D
     return best, retrieval.retrieval_status(counts, docs, F.col("m"), F.col("f")).select("request_id", "status")
 
 
+def retrieve_reference(requests: DataFrame, vectors: DataFrame, sources: DataFrame, space: str | None = None, dims: int = 256, k: int = 4, floor: float = 0.66, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, tops) of requests (request_id, queries): per query the top k, valid ones at or over the floor, the best score of each
+    chunk over a request's queries; ``tops`` has each query's best raw score."""
+    embedder = chosen(embedder, space, dims)
+    space = space or embedder.space
+    q = requests.select("request_id", F.posexplode(retrieval.distinct_queries(F.col("queries"))).alias("no", "query"))
+    q = q.select("request_id", F.concat_ws("#", F.col("request_id").cast("string"), F.col("no").cast("string")).alias("query_id"), F.lit(space).alias("embedding_space"), "query")
+    q = saved(embedder.embed(q, "query_id", "query", ["request_id", "embedding_space"], query=True), "queries")
+    top = retrieval.vector_topk(q, vectors, ["embedding_space"], k)
+    valid = top.join(retrieval.servable_references(vectors, sources, space).select("id", "source_id", "title", "organization", "text"), "id").filter(F.col("score") >= floor)
+    best = retrieval.best_per_item(valid.join(q.select("query_id", "request_id"), "query_id"), "request_id", "id", "score")
+    return best.join(valid.select("id", "source_id", "title", "organization", "text").distinct(), "id"), retrieval.top_score(q, top, "query_id", "score")
+
+
 def assemble_evidence(patient: DataFrame | None, reference: DataFrame | None, terminology: DataFrame | None = None, budgets: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """(request_id, domain, evidence_id, n, chunk_id, similarity, content) of the three domains' items (request_id, chunk_id,
     similarity, content; terminology also position).
@@ -177,20 +200,22 @@ def route_questions(questions: DataFrame, question: str = "question") -> DataFra
     return questions.withColumn("route", classify_question(F.col(question))).select("*", "route.kind", "route.term").drop("route")
 
 
-def route_and_retrieve(questions: DataFrame, vectors: DataFrame, documents: DataFrame, terms: DataFrame, references: DataFrame, sources: DataFrame, user_id: str, space: str, dims: int = 256, structured: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def route_and_retrieve(questions: DataFrame, vectors: DataFrame, documents: DataFrame, terms: DataFrame, references: DataFrame, sources: DataFrame, user_id: str, space: str | None = None, dims: int = 256, structured: DataFrame | None = None, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
     """P10: (evidence, status) of questions (query_id, question) of one tenant.
 
     A terminology question takes terms only; where none is found it is a report question after all. Report and clinical questions take
     the tenant's chunks, its structured report (``structured``: query_id, chunk_id, content) and references. ``status`` has the kind in
     the end, the patient status and what each domain found.
     """
+    embedder = chosen(embedder, space, dims)
+    space = space or embedder.space
     routed = route_questions(questions)
-    hits, found = retrieve_terms(routed.filter("kind = 'terminology'").select("query_id", "question"), terms, space, dims)
+    hits, found = retrieve_terms(routed.filter("kind = 'terminology'").select("query_id", "question"), terms, space, embedder=embedder)
     routed = routed.join(found.select("query_id", F.col("status").alias("terms")), "query_id", "left")
     routed = routed.withColumn("kind", F.when((F.col("kind") == "terminology") & (F.coalesce("terms", F.lit("no_match")) != "ok"), "report").otherwise(F.col("kind")))
     rest = routed.filter("kind <> 'terminology'").select("query_id", "question")
-    chunks, patient_status, _ = store.retrieve_patient(rest, vectors, documents, user_id, space, dims)
-    refs, _ = retrieval.retrieve_reference(rest.select(F.col("query_id").alias("request_id"), F.array("question").alias("queries")), references, sources, space, dims)
+    chunks, patient_status, _ = store.retrieve_patient(rest, vectors, documents, user_id, space, embedder=embedder)
+    refs, _ = retrieve_reference(rest.select(F.col("query_id").alias("request_id"), F.array("question").alias("queries")), references, sources, space, embedder=embedder)
     items = chunks.select(F.col("query_id").alias("request_id"), F.col("id").alias("chunk_id"), F.col("score").alias("similarity"), F.col("text").alias("content"))
     if structured is not None:
         items = items.unionByName(structured.filter("content is not null").join(rest.select("query_id"), "query_id").select(F.col("query_id").alias("request_id"), "chunk_id", F.lit(1.0).alias("similarity"), "content"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docevidence.functions import text
-from docevidence.operators import assess, layout, retrieval, structure
+from docevidence.operators import assess, blocks, layout, retrieval, structure
 from docevidence.plans import evaluate, extraction, ingest, questions, store
 from docevidence.sources import vocabulary
 
@@ -41,14 +41,33 @@ def test_topk_rules(spark):
     assert retrieval.same_space(v, "s", 2, "space").count() == 2
 
 
-def test_topk_salted(spark, monkeypatch):
+def test_topk_in_blocks(spark):
+    """Small blocks, one group with most rows, ties, a null and a zero vector: as all pairs say."""
     rng = np.random.default_rng(1)
-    rows = [(i, i % 2, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
-    v = spark.createDataFrame(rows, "id int, space int, values array<double>")
-    q = v.filter("id < 6").withColumnRenamed("id", "query_id")
-    want = sorted(map(tuple, retrieval.vector_topk(q, v, ["space"], 3).collect()))
-    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
-    assert sorted(map(tuple, retrieval.vector_topk(q, v, ["space"], 3).collect())) == want and len(want) == 18
+    rows = [(i, int(i % 10 == 0), [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    rows[50:80] = [(i, s, [1.0, 2.0, 3.0, 4.0]) for i, s, _ in rows[50:80]]
+    rows += [(300, 0, None), (301, 0, [0.0] * 4), (302, None, [1.0] * 4), (303, 0, [1.0, None, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "id int, space int, values array<double>").repartition(5)
+    q = v.filter("id % 9 = 0 OR id > 299").withColumnRenamed("id", "query_id")
+
+    def alike(a, b):
+        if None in a or None in b:
+            return 0.0
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(np.dot(a, b) / n) if n else 0.0
+
+    want = {}
+    for i, s, a in rows:
+        if (i % 9 == 0 or i > 299) and a is not None and s is not None:
+            scored = sorted((-round(alike(a, b), 12), j) for j, t, b in rows if t == s and b is not None and j != i)[:5]
+            want[i] = [j for _, j in scored]
+    for sizes in ({}, {"vector_rows": 16, "query_rows": 4}):
+        tops = blocks.best_in_blocks(q, v, ["space"], 5, "query_id", "id", "values", True, **sizes)
+        got = {}
+        for r in sorted(tops.collect(), key=lambda r: (r["query_id"], -round(r["score"], 12), r["id"])):
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert {i: own[:5] for i, own in got.items()} == want
+    assert "NestedLoop" not in retrieval.vector_topk(q, v, ["space"], 3)._jdf.queryExecution().toString()
 
 
 def test_metadata_filter(spark):

@@ -27,7 +27,7 @@ def test_vocabularies(spark, tmp_path):
     d = vocabulary.read_descriptors(spark, str(tmp_path / "desc2024.xml"))
     r = d.filter("skip_reason is null").first()
     assert (r["term"], r["definition"], r["aliases"], r["published"]) == ("Iron", "A metal.", ["Ferrum"], "2020-07-01")
-    assert {x["outcome"]: x["n"] for x in vocabulary.parse_stats(d).collect()} == {"parsed": 1, "not_topical": 1}
+    assert {x["outcome"]: x["n"] for x in vocabulary.parse_stats(d).collect()} == {"parsed": 1, "not_topical": 1, "seen": 2, "duplicates": 0}
     terms = vocabulary.alias_keys(d.filter("skip_reason is null"))
     q = spark.createDataFrame([("q", ["ferrum", "x"])], "q string, keys array<string>")
     assert [tuple(x) for x in vocabulary.exact_lookup(q, terms, "q", "keys").collect()] == [("q", "mesh:D1", 1, "exact_alias")]

@@ -14,7 +14,7 @@ def test_index_retrieve_delete(spark, tables):
     rows = [("u1", "a", "a.txt", "s", "sodium potassium chloride results"), ("u1", "b", "b.txt", "s", "sodium potassium chloride results"), ("u1", "c", "c.txt", "s", "  "), ("u2", "d", "d.txt", "s", "sodium potassium chloride results")]
     up = spark.createDataFrame(rows, "user_id string, document_id string, filename string, source string, text string")
     out = {r["document_id"]: (r["status"], r["failure_category"]) for r in store.index_documents(up, documents, vectors, dims=64).collect()}
-    assert out == {"a": ("indexed", None), "c": ("failed", "no_extractable_text"), "d": ("indexed", None)}
+    assert out == {"a": ("indexed", None), "b": ("duplicate", None), "c": ("failed", "no_extractable_text"), "d": ("indexed", None)}
     again = spark.createDataFrame([("u1", "e", "e.txt", "s", "sodium potassium chloride results")], up.schema)
     assert [tuple(r) for r in store.index_documents(again, documents, vectors, dims=64).collect()] == [("e", "duplicate", None)]
     q = spark.createDataFrame([(1, "sodium results"), (2, "unrelated words entirely")], "query_id int, question string")
