@@ -1,7 +1,11 @@
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from docevidence.operators import grounding, reports
+from docevidence.plans import store
 from docevidence.sources import files, vocabulary
 from docevidence.streaming import jobs
 
@@ -60,6 +64,7 @@ def stream(spark, tmp_path):
 
 
 def run(df, tmp_path, name):
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     return {tuple(r) for r in df.sparkSession.sql(f"SELECT * FROM {name}").collect()}
@@ -74,6 +79,75 @@ def test_streams(spark, stream):
     assert stats and all(batch[s[0], s[1]] == s[2] for s in stats)
 
 
+def test_late_events_in_their_place(spark, tmp_path):
+    """Events of a key that arrive in any order, over several batches, are judged as the batch form judges them."""
+    rng = random.Random(5)
+    rows = [(f"k{rng.randint(0, 2)}", i, 1_700_000_000 + rng.randint(0, 3000)) for i in range(200)]
+    rows += [(None, 900, 1_700_000_000), ("k0", 901, None)]
+    df = spark.createDataFrame(rows, "k string, e int, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    for n, part in enumerate(df.orderBy(F.rand(1)).randomSplit([1.0] * 4, 2)):
+        part.coalesce(1).write.parquet(f"{tmp_path}/parts/{n}")
+    (tmp_path / "in").mkdir()
+    names = [os.path.join(d, f) for d, _, fs in sorted(os.walk(f"{tmp_path}/parts")) for f in fs if f.endswith(".parquet")]
+    last = spark.createDataFrame([("end", 999, 1_700_900_000)], "k string, e int, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    for n, name in enumerate(names):
+        os.link(name, f"{tmp_path}/in/{n}.parquet")
+        os.utime(f"{tmp_path}/in/{n}.parquet", (1000 + n, 1000 + n))
+    last.coalesce(1).write.parquet(f"{tmp_path}/last")
+    os.link(next(os.path.join(tmp_path, "last", f) for f in os.listdir(f"{tmp_path}/last") if f.endswith(".parquet")), f"{tmp_path}/in/z.parquet")
+    events = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    want = {tuple(r) for r in reports.rate_violations(df, "k", "ts", "e", 300, 5).collect()}
+    assert run(jobs.rate_violations_stream(events, "k", "ts", "e", 300, 5, late="2 hours"), tmp_path, "late") == want and len(want) > 20
+
+
+def test_merged_windows(spark, tmp_path):
+    """Windows of a day merged to one for all: counts, sums and categories are exact, percentiles within the sketch's rank error."""
+    n = 4000
+    df = spark.range(n).select((F.col("id") % 2).cast("string").alias("op"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 100).alias("ts"), F.pmod(F.xxhash64("id"), F.lit(10_000)).cast("double").alias("ms"), (F.col("id") % 7).alias("tokens"))
+    df = df.withColumn("kind", F.when(F.col("ms") < 200, "timeout").when(F.col("ms") < 500, "odd"))
+    last = spark.createDataFrame([("end", 1_900_000_000)], "op string, s long").select("op", F.timestamp_seconds("s").alias("ts"), F.lit(1.0).alias("ms"), F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("string").alias("kind"))
+    df.union(last).repartition(3).write.parquet(f"{tmp_path}/in")
+    calls = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    stats = jobs.call_stats_stream(calls, "ts", ["op"], "ms", "kind is not null", fallback="ms > 9000", tokens=["tokens"], category="kind", categories=["timeout"])
+    stats.writeStream.format("memory").queryName("days").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    days = spark.sql("SELECT * FROM days")
+    assert days.count() >= 8
+    got = {r["op"]: r for r in jobs.merge_call_stats(days, ["op"]).collect()}
+    for op in ("0", "1"):
+        own = [r for r in df.collect() if r["op"] == op]
+        ms = sorted(r["ms"] for r in own)
+        g = got[op]
+        assert (g["calls"], g["errors"], g["fallbacks"], g["tokens"]) == (len(own), sum(r["kind"] is not None for r in own), sum(r["ms"] > 9000 for r in own), sum(r["tokens"] for r in own))
+        assert g["failures"] == {k: n for k, n in {"timeout": sum(r["kind"] == "timeout" for r in own), "other": sum(r["kind"] == "odd" for r in own)}.items() if n}
+        for p, name in ((0.5, "p50"), (0.95, "p95")):
+            assert abs(sum(x <= g[name] for x in ms) / len(ms) - p) < 0.01
+
+
+def test_index_stream_once(spark, tmp_path, monkeypatch):
+    """A failure between the vectors and the documents leaves no half: the next run does the rest, and does nothing twice."""
+    (tmp_path / "in").mkdir()
+    rows = [("u1", "a", "a.txt", "s", "sodium result"), ("u1", "b", "b.txt", "s", "sodium result"), ("u1", "c", "c.txt", "s", "iron result")]
+    schema = "user_id string, document_id string, filename string, source string, text string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    documents, vectors = store.Table(spark, str(tmp_path / "d"), store.DOCUMENTS), store.Table(spark, str(tmp_path / "v"), store.VECTORS)
+
+    def start():
+        uploads = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.index_stream(uploads, documents, vectors, str(tmp_path / "cp"), dims=16).awaitTermination(120)
+
+    upsert = documents.upsert
+    monkeypatch.setattr(documents, "upsert", lambda *a, **k: 1 / 0)
+    with pytest.raises(Exception, match="division"):
+        start()
+    assert vectors.read().count() == 2 and documents.read().count() == 0  # vectors alone are never served
+    monkeypatch.setattr(documents, "upsert", upsert)
+    start()
+    assert vectors.read().count() == 2 and vectors.version() == 1 and {r["document_id"] for r in documents.read().collect()} == {"a", "c"}
+    spark.createDataFrame([("u1", "e", "e.txt", "s", "iron result"), ("u2", "f", "f.txt", "s", "iron result")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    start()
+    assert {r["document_id"] for r in documents.read().collect()} == {"a", "c", "f"} and vectors.read().count() == 3
+
+
 def test_ingest_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for n in ("a", "b", "c"):
