@@ -77,7 +77,7 @@ def _limiter(width: int, most: int, event: str) -> StatefulProcessor:
             at = new["t"].tolist()
             self.waiting.appendList(list(zip(at, new["e"].tolist(), strict=True)))
             self._wake(min(at), timerValues)
-            yield pd.DataFrame({"k": [], "e": [], "retry_after": []})
+            yield pd.DataFrame([], columns=["k", "e", "retry_after"], dtype=object)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             upto = timerValues.getCurrentWatermarkInMs() * 1000  # no event before it comes any more
@@ -103,7 +103,7 @@ def _limiter(width: int, most: int, event: str) -> StatefulProcessor:
                 self.window.clear()
             else:
                 self.window.update((reset, n))
-            yield pd.DataFrame(out, columns=["k", "e", "retry_after"])
+            yield pd.DataFrame(out, columns=["k", "e", "retry_after"], dtype=object)
 
         def _wake(self, at: int, timer) -> None:
             self.handle.registerTimer(max(at // 1000 + 1, timer.getCurrentWatermarkInMs() + 1))

@@ -2,7 +2,6 @@
 
 import os
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,29 +101,29 @@ def test_batches_once(spark, table):
     assert rows(table.read()) == [("a", 1, "x")] and table.applied("s") == 0 and table.applied("other") == -1
 
 
-class Letters:
+def letters(seen):
     """A model of 26 letter counts; ``seen`` is a folder where it leaves a file for each text."""
 
-    def __init__(self, seen):
-        self.seen = seen
-
-    def __call__(self):
+    def model():
         import uuid
 
+        import numpy as np
+
         def embed(texts):
             for t in texts:
-                with open(f"{self.seen}/{uuid.uuid4().hex}", "w") as f:
+                with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
                     f.write(t)
             return np.array([[t.lower().count(chr(97 + k)) for k in range(26)] for t in texts], dtype=float)
 
         return embed
 
+    return model
+
 
 def test_own_model_through_the_jobs(spark, tmp_path):
     seen = tmp_path / "seen"
     seen.mkdir()
-    letters = Letters(str(seen))
-    inner = embedders.ModelEmbedder("letters", lambda: letters(), 26, query_prefix="")
+    inner = embedders.ModelEmbedder("letters", letters(str(seen)), 26, query_prefix="")
     own = embedders.StoredEmbedder(inner, str(tmp_path / "vectors"))
     documents, vectors = store.Table(spark, str(tmp_path / "d"), store.DOCUMENTS), store.Table(spark, str(tmp_path / "v"), store.VECTORS)
     up = spark.createDataFrame([("u1", "a", "a.txt", "s", "sodium result"), ("u2", "b", "b.txt", "s", "sodium result"), ("u1", "c", "c.txt", "s", "zzz")], UPLOADS)
@@ -141,7 +140,7 @@ def test_own_model_through_the_jobs(spark, tmp_path):
         store.retrieve_patient(q, vectors.read(), documents.read(), "u1", "hash@64", embedder=own)
     entries = questions.glossary(spark, embedder=own)
     assert entries.first()["embedding_space"] == "letters@26" and len(entries.first()["values"]) == 26
-    short = embedders.ModelEmbedder("letters", lambda: letters(), 25)
+    short = embedders.ModelEmbedder("letters", letters(str(seen)), 25)
     with pytest.raises(Exception, match="not"):
         store.index_documents(up, store.Table(spark, str(tmp_path / "d2"), store.DOCUMENTS), store.Table(spark, str(tmp_path / "v2"), store.VECTORS), embedder=short)
 
