@@ -14,7 +14,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from test_operators import ODD, brute_groups, brute_lines, brute_passages, words
+from test_operators import ODD, brute_groups, brute_likeness, brute_lines, brute_passages, words
 from tokenizers import Tokenizer
 
 from docevidence.llm import queries, toxicity
@@ -86,7 +86,7 @@ def bpe_ids():
 
 def test_op1(spark, sf):
     got = rows_of(spark, sf, "op1_paragraph_sketch")
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    like = brute_likeness
     assert len(got) == len(TEXTS)
     for i, t in enumerate(TEXTS):
         t, nxt = t or "", TEXTS[(i - 1) % len(TEXTS)] or ""
