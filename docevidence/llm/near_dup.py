@@ -136,12 +136,13 @@ def components(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
     """(vid, comp): the smallest vertex that each vertex of ``edges`` (a, b) is connected with.
 
     Alternates large-star and small-star steps on the edge table until it no longer changes; each step is written to the
-    shared folder.
+    shared folder. The least neighbours are written before they are joined, so that both sides of the join are shuffled for it alone and
+    Spark can split the edges of a vertex that many others hang on.
     """
 
     def star(e: DataFrame) -> DataFrame:
-        least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return e.join(least, "u")
+        least = work.save(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
+        return e.join(least.hint("shuffle_merge"), "u")
 
     old, state, k = None, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), 0
     while True:
@@ -153,6 +154,7 @@ def components(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
         state = work.save(state, f"{name}-{k}")
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         work.drop(f"{name}-{k}-large", *([f"{name}-{k - 1}"] if k else []))
+        work.drop(f"{name}-least")
         if mark == old:
             return state.groupBy(F.col("u").alias("vid")).agg(F.min("v").alias("comp"))
         old, k = mark, k + 1
