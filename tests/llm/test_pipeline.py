@@ -80,3 +80,50 @@ def test_no_labels_reject_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id bigint, text string")
     assert {r[0] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_counts_and_next_rows_when_scans_split_otherwise(spark, tmp_path):
+    """While another thread changes how scans are split, every stored count is its text's, and each text's next one is right."""
+    import hashlib
+    import threading
+    import time
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from docevidence.llm import paragraph_sketch, token_counts
+
+    rng = random.Random(23)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(13).write.parquet(f"{tmp_path}/docs")
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {hashlib.sha256(t.encode()).digest(): len(lib.encode(t, add_special_tokens=False).ids) for t in texts}
+    stop = threading.Event()
+
+    def change():
+        k = 0
+        while not stop.wait(0.05):
+            k += 1
+            spark.conf.set("spark.sql.files.minPartitionNum", "1" if k % 2 else "40")
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    other = threading.Thread(target=change)
+    other.start()
+    try:
+        for k in range(3):
+            store = f"{tmp_path}/store{k}"
+            try:
+                token_counts.count_tokens(spark.read.parquet(f"{tmp_path}/docs"), P.path("byte_bpe_50k.json"), store).collect()
+            except Exception as e:  # a row without a count is an error, never a wrong count
+                assert "run again" in str(e)
+            assert all(want[bytes(r["content_digest"])] == r["n_tokens"] for r in spark.read.parquet(store).collect())
+            got = paragraph_sketch.edit_and_compare(spark.read.parquet(f"{tmp_path}/docs")).collect()
+            for r in got:
+                t, nxt = texts[r["doc_id"]], texts[(r["doc_id"] - 1) % len(texts)]
+                assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()
+            time.sleep(0.05)
+    finally:
+        stop.set()
+        other.join()
+        for name in ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.unset(name)
