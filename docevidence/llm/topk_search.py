@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_ROWS = 8192
-QUERY_ROWS = 2048
+BLOCK_BYTES, BLOCKS = 64 << 20, 64  # of a block's weights; blocks are smaller where there would be fewer than BLOCKS of them
+LEAST_ROWS = 1024
 
 
 def postings(values: np.ndarray, offsets: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -48,14 +48,18 @@ def _ragged(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64), offsets
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str, weights_col: str, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str, weights_col: str, block_rows: int | None = None, query_rows: int | None = None) -> DataFrame:
     """For each query the k rows of highest inner product, other ids only: query_id, rank, <id_col>, score.
 
     ``weights_col``: array of integers; a missing component counts as 0, so rows may differ in length. Ties go to the smaller
-    id. Fewer rows than k give fewer results; no rows give none. Rows are dealt to blocks by hash of their id, about
-    ``block_rows`` to a block, so equal vectors (a hot vector) spread evenly.
+    id. Fewer rows than k give fewer results; no rows give none. Rows are dealt to blocks by hash of their id, so equal vectors (a
+    hot vector) spread evenly. A block of either side holds about BLOCK_BYTES where the tables are large: each row is copied once for each block
+    of queries, so large blocks keep the shuffle small. Columns of any other name take no part.
     """
-    n_rows, n_queries = rows.count(), queries.count()
+    (n_rows, r_bytes), (n_queries, q_bytes) = (df.agg(F.count("*"), F.avg(8 * F.size(weights_col))).first() for df in (rows, queries))
+    fits = lambda size: max(1, int(BLOCK_BYTES // max(8.0, size or 8.0)))
+    block_rows = block_rows or min(fits(r_bytes), max(LEAST_ROWS, -(-n_rows // BLOCKS)))
+    query_rows = query_rows or fits(q_bytes)
     r_blocks, q_blocks = max(1, -(-n_rows // block_rows)), max(1, -(-n_queries // query_rows))
     schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, `{id_col}` {rows.schema[id_col].dataType.simpleString()}, score bigint"
 
