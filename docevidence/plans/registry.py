@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docevidence.functions import labs, routing, text
 from docevidence.operators import assess, evidence, grounding, quality, reports, retrieval, structure
 from docevidence.plans import ingest, store
+from docevidence.plans.scratch import saved
 from docevidence.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,12 +57,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to chunks to hashed vectors; per benchmark question the best chunks of each source, with a floor and a budget."""
     docs = table(spark, sf_dir, "documents").withColumn("seg_idx", F.lit(0)).withColumn("d", F.struct("doc_id", "source"))
     chunks = structure.prepare_chunks(docs, "d", type_col=None)
-    chunks = chunks.select(F.concat_ws("#", F.col("d.doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "d.source", "text")
-    vectors = retrieval.embed_rows(chunks, "chunk_id", "text", 64, ["source"])
+    chunks = chunks.select(F.concat_ws("#", F.col("d.doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "d.source", "text", F.length("text").alias("chars"))
+    vectors = saved(retrieval.embed_rows(chunks, "chunk_id", "text", 64, ["source", "chars"]), "chunk-vectors")
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), "text")
     questions = retrieval.embed_rows(questions, "query_id", "text", 64, ["source"])
     hits = retrieval.vector_topk(questions, vectors, ["source"], 6, vector_id="chunk_id", floor=0.5)
-    hits = hits.join(chunks.select("chunk_id", F.length("text").alias("chars")), "chunk_id")
+    hits = hits.join(vectors.select("chunk_id", "chars"), "chunk_id")
     return retrieval.prefix_budget(hits, "query_id", ["rank"], F.col("chars"), 8000).select("query_id", "source", "chunk_id", "rank", "score")
 
 

@@ -12,6 +12,7 @@ from docevidence.functions import labs, text
 from docevidence.operators import assess, evidence, prompting, quality, reports, retrieval, structure
 from docevidence.plans import evaluate, extraction, ingest, questions, store
 from docevidence.plans.registry import TOPK, _hits, _requests, query, table
+from docevidence.plans.scratch import saved
 from docevidence.sources import vocabulary
 
 
@@ -369,18 +370,85 @@ def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as a vocabulary, a definition question for each of their kinds and brands."""
     parts = table(spark, sf_dir, "part")
     records = parts.select(F.concat(F.lit("mesh:"), F.col("p_partkey").cast("string")).alias("record_id"), F.col("p_name").alias("term"), F.array("p_brand").alias("aliases"), F.concat_ws(" ", "p_name", "p_type", F.lit("of size"), F.col("p_size").cast("string")).alias("definition"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("published"), F.lit(None).cast("string").alias("mesh_id"))
-    terms = ingest.term_vectors(records, "mesh", "Parts", "Shop", "1", "hash@64", 64)
+    terms = saved(ingest.term_vectors(records, "mesh", "Parts", "Shop", "1", "hash@64", 64), "terms")
     asked = parts.select(F.explode(F.array("p_name", "p_brand")).alias("t")).distinct().select(F.concat(F.lit("What is a "), "t", F.lit("?")).alias("question"))
     return questions.retrieve_terms(asked.withColumn("query_id", F.col("question")), terms, "hash@64", 64)[0].select("query_id", "id", "match", "score", "position")
 
 
-@query()
+LAB_LINES = """
+l AS (SELECT l_orderkey AS doc, l_linenumber, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS item, 'analyte ' || chr(64 + l_linenumber) AS name, CAST(l_quantity AS INTEGER) AS v, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value,
+  CASE WHEN CAST(l_quantity AS INTEGER) < 10 THEN 'Low' WHEN CAST(l_quantity AS INTEGER) > 40 THEN 'High' ELSE 'Normal' END AS flag, l_returnflag,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS no FROM lineitem),
+t AS (SELECT * FROM l WHERE l_returnflag = 'R')"""
+
+
+def _lab_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of an order as a lab of a document."""
+    item = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), item.alias("item"), F.concat(F.lit("analyte "), F.chr(F.col("l_linenumber") + 64)).alias("name"), F.col("l_quantity").cast("int").cast("string").alias("value"), F.lit("g/L").alias("unit"), F.lit("10 - 40").alias("normal_range"), F.lit(False).alias("is_abnormal"), "l_linenumber", "l_returnflag")
+
+
+def _lab_page(line: DataFrame) -> DataFrame:
+    """An order's odd lines as a page's text."""
+    shown = F.concat_ws(" ", "name", "value", F.lit("10 - 40"))
+    return line.filter("l_linenumber % 2 = 1").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(shown)), "\n").alias("text"))
+
+
+def _lab_table(line: DataFrame) -> DataFrame:
+    """An order's returned lines as a table on page 2."""
+    return line.filter("l_returnflag = 'R'").select("doc", "item", F.col("name").alias("test"), F.col("value").alias("result"), "unit", F.col("normal_range").alias("reference_range"), F.lit(None).cast("string").alias("flag"), F.lit(2).alias("page"))
+
+
+@query(f"""
+WITH {LAB_LINES},
+p AS (SELECT doc, list_concat(list(value), ['10', '40']) AS words FROM l WHERE l_linenumber % 2 = 1 GROUP BY doc),
+m AS (SELECT l.*, p.words IS NOT NULL AS readable, coalesce(list_contains(p.words, l.value), FALSE) AS hit FROM l LEFT JOIN p USING (doc) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = l.doc AND t.name = l.name))
+SELECT doc, item, name, value, '10 - 40' AS normal_range, flag, 'printed_range' AS flag_source, 2 AS page, 'table' AS source, 'kept' AS outcome FROM t
+UNION ALL
+SELECT doc, item, name, value, CASE WHEN hit OR NOT readable THEN '10 - 40' END, CASE WHEN hit OR NOT readable THEN flag END, CASE WHEN hit OR NOT readable THEN 'printed_range' ELSE 'model' END, CASE WHEN hit THEN 1 END,
+  CASE WHEN hit THEN 'text_match' ELSE 'model' END, CASE WHEN hit OR NOT readable THEN 'kept' WHEN doc % 2 = 0 THEN 'unverified' ELSE 'dropped' END FROM m
+""")
 def verified_labs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a document whose page 1 prints its odd lines and whose table has its returned ones; all lines are claimed."""
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey"))).alias("item"), F.concat(F.lit("analyte "), F.chr(F.col("l_linenumber") + 64)).alias("name"), F.col("l_quantity").cast("int").cast("string").alias("value"), F.lit("g/L").alias("unit"), F.lit("10 - 40").alias("normal_range"), F.lit(False).alias("is_abnormal"), "l_linenumber", "l_returnflag")
-    shown = F.concat_ws(" ", "name", "value", F.lit("10 - 40"))
-    pages = line.filter("l_linenumber % 2 = 1").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(shown)), "\n").alias("text")).withColumn("page", F.lit(1))
-    tables = line.filter("l_returnflag = 'R'").select("doc", "item", F.col("name").alias("test"), F.col("value").alias("result"), "unit", F.col("normal_range").alias("reference_range"), F.lit(None).cast("string").alias("flag"), F.lit(2).alias("page"))
+    line = _lab_lines(spark, sf_dir)
     documents = line.select("doc").distinct().withColumn("model_only", F.col("doc") % 2 == 0)
-    out = extraction.verify_labs(line.drop("l_linenumber", "l_returnflag"), pages, tables, documents)
+    out = extraction.verify_labs(line.drop("l_linenumber", "l_returnflag"), _lab_page(line).withColumn("page", F.lit(1)), _lab_table(line), documents)
     return out.select("doc", "item", "name", "value", "normal_range", "flag", "flag_source", "page", "source", "outcome")
+
+
+@query(f"""
+WITH {LAB_LINES},
+o AS (SELECT o_orderkey AS doc, o_orderpriority AS priority, left(o_orderpriority, 1) AS digit, 'Clerk#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS clerk, CAST(o_custkey % 50 AS VARCHAR) AS v, 'drug ' || (o_custkey % 10) AS drug, o_orderkey % 2 = 0 AS model_only FROM orders),
+p AS (SELECT o.doc, list_concat(list(l.value) FILTER (l.value IS NOT NULL), CASE WHEN count(l.value) > 0 THEN ['10', '40'] ELSE [] END, [o.digit]) AS words, string_agg(l.name || ' ' || l.value || ' 10 - 40', chr(10) ORDER BY l.name || ' ' || l.value || ' 10 - 40') AS lines
+  FROM o LEFT JOIN l ON l.doc = o.doc AND l.l_linenumber % 2 = 1 GROUP BY o.doc, o.digit),
+d AS (SELECT o.*, p.words, p.lines, concat_ws(chr(10), 'Priority ' || priority || ' status', CASE WHEN o.doc % 3 = 0 THEN clerk END, p.lines) AS text FROM o JOIN p USING (doc)),
+m AS (SELECT l.*, list_contains(d.words, l.value) AND d.lines IS NOT NULL AS hit, d.model_only FROM l JOIN d USING (doc) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = l.doc AND t.name = l.name)),
+i AS (
+  SELECT doc, 1 AS k, no, 'Lab: ' || name || ' ' || value || ' g/L' AS said FROM m WHERE NOT hit
+  UNION ALL SELECT doc, 2, 1, 'Symptom: ' || clerk FROM d WHERE doc % 3 <> 0
+  UNION ALL SELECT doc, 3, 0, 'Medicine: ' || drug FROM d
+  UNION ALL SELECT doc, 6, 0, 'Measurement: status ' || v FROM d WHERE NOT list_contains(words, v)
+), u AS (SELECT doc, count(*) AS n, list(said ORDER BY k, no) AS said FROM i GROUP BY doc),
+b AS (
+  SELECT doc, 0 AS k, 't' || item AS place, name || '=' || value || ' ' || flag || ' table 2' AS lab FROM t
+  UNION ALL SELECT doc, 1, lpad(CAST(no AS VARCHAR), 8, '0'), name || '=' || value || ' ' || flag || ' text_match 1' FROM m WHERE hit
+), labs AS (SELECT doc, string_agg(lab, '|' ORDER BY k, place) AS labs FROM b GROUP BY doc)
+SELECT d.doc, coalesce(labs.labs, '') AS labs, priority || CASE WHEN d.doc % 3 = 0 THEN '|' || clerk ELSE '' END AS symptoms, CASE WHEN list_contains(words, v) THEN 'status=' || v ELSE '' END AS measurements,
+  CASE WHEN model_only THEN array_to_string(u.said, '|') ELSE '' END AS unverified,
+  CASE WHEN NOT model_only THEN u.n || ' item(s) proposed by the AI were not found in the document text and were discarded (' || array_to_string(u.said[1:5], '; ') || CASE WHEN u.n > 5 THEN '; …' ELSE '' END || ').' ELSE '' END AS limitations,
+  length('--- o · page 1 ---' || chr(10) || text) + CASE WHEN model_only THEN length(chr(10) || chr(10) || '--- Read by AI from images/scans (not verified against the text layer) ---' || chr(10) || 'seen ' || d.doc) ELSE 0 END AS raw_chars
+FROM d LEFT JOIN u USING (doc) LEFT JOIN labs USING (doc)
+""")
+def verified_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11 as one job: each order is a document of one page with its priority, its odd lines and for every third its clerk; a model claims all of it, and
+    more."""
+    line, orders = _lab_lines(spark, sf_dir), table(spark, sf_dir, "orders").withColumn("doc", F.col("o_orderkey")).withColumn("clerk", F.format_string("Clerk#%09d", "o_custkey"))
+    pages = orders.join(_lab_page(line), "doc", "left").select("doc", F.lit(1).alias("page"), F.lit("o").alias("filename"), F.concat_ws("\n", F.concat(F.lit("Priority "), "o_orderpriority", F.lit(" status")), F.when(F.col("doc") % 3 == 0, F.col("clerk")), "text").alias("text"))
+    lab = F.struct("l_linenumber", F.struct("name", "value", "unit", "normal_range", "is_abnormal").alias("lab"))
+    labs = line.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(lab)), lambda x: x["lab"]).alias("labs"))
+    status = F.array(F.struct(F.lit("status").alias("name"), (F.col("o_custkey") % 50).cast("string").alias("value"), F.lit("").alias("unit")))
+    outputs = orders.join(labs, "doc", "left").select("doc", "labs", F.array("o_orderpriority", "clerk").alias("symptoms"), F.array(F.concat(F.lit("drug "), (F.col("o_custkey") % 10).cast("string"))).alias("medicines"), status.alias("measurements"), F.concat(F.lit("seen "), F.col("doc").cast("string")).alias("narrative"))
+    out = extraction.verify_extractions(outputs, pages, _lab_table(line), orders.select("doc", (F.col("doc") % 2 == 0).alias("model_only")))
+    shown = F.transform("labs", lambda x: F.concat(x["name"], F.lit("="), x["value"], F.lit(" "), x["flag"], F.lit(" "), x["source"], F.lit(" "), x["page"].cast("string")))
+    measured = F.transform("measurements", lambda x: F.concat(x["name"], F.lit("="), x["value"]))
+    return out.select("doc", F.array_join(shown, "|").alias("labs"), F.array_join("symptoms", "|").alias("symptoms"), F.array_join(measured, "|").alias("measurements"), F.array_join("unverified", "|").alias("unverified"), F.array_join("limitations", "|").alias("limitations"), F.length("raw_text").cast("long").alias("raw_chars"))

@@ -28,7 +28,7 @@ def plain(rows):
 def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
-    cur = duck.execute(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})")
+    cur = duck.execute(f"SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({registry.oracle_sql()[name]})")
     assert plain(map(tuple, df.select(cols).collect())) == plain(cur.fetchall())
 
 
