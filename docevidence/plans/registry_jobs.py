@@ -5,14 +5,16 @@ As in registry, the rows an operator reads (a finding, a page's text, a recorded
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docevidence.functions import labs, text
 from docevidence.operators import assess, evidence, prompting, quality, reports, retrieval, structure
 from docevidence.plans import evaluate, extraction, ingest, questions, store
-from docevidence.plans.registry import TOPK, _hits, _requests, query, table
-from docevidence.plans.scratch import saved
+from docevidence.plans.registry import FNV, TOPK, _hits, _requests, query, table
+from docevidence.plans.scratch import saved, shared_dir
 from docevidence.sources import vocabulary
 
 
@@ -452,3 +454,41 @@ def verified_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.transform("labs", lambda x: F.concat(x["name"], F.lit("="), x["value"], F.lit(" "), x["flag"], F.lit(" "), x["source"], F.lit(" "), x["page"].cast("string")))
     measured = F.transform("measurements", lambda x: F.concat(x["name"], F.lit("="), x["value"]))
     return out.select("doc", F.array_join(shown, "|").alias("labs"), F.array_join("symptoms", "|").alias("symptoms"), F.array_join(measured, "|").alias("measurements"), F.array_join("unverified", "|").alias("unverified"), F.array_join("limitations", "|").alias("limitations"), F.length("raw_text").cast("long").alias("raw_chars"))
+
+
+@query(f"""
+WITH c AS (
+  SELECT 'p' || p_partkey AS doc, p_partkey, unnest([1, 2]) AS page, unnest([p_name || ' ' || p_brand || ' item ' || p_partkey, p_type || ' size ' || p_size || ' item ' || p_partkey]) AS text FROM part
+), g AS (
+  SELECT p_partkey AS q, 'which ' || text AS text, TRUE AS answerable, doc, page FROM c WHERE (p_partkey % 10 = 0 AND page = 1) OR (p_partkey % 10 = 5 AND page = 2)
+  UNION ALL SELECT p_partkey, 'zebra quagga ' || (p_partkey * 7), FALSE, NULL, NULL FROM part WHERE p_partkey % 10 = 7
+), tok AS (
+  SELECT doc || '#' || (page - 1) AS id, NULL AS q, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM c UNION ALL SELECT NULL, q, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM g
+), h AS (SELECT id, q, {FNV} AS h FROM tok WHERE length(t) > 1),
+b AS (SELECT id, q, h % 64 AS b, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL),
+x AS (SELECT id, q, b, CAST(v AS DOUBLE) / sqrt(CAST(sum(v * v) OVER (PARTITION BY id, q) AS DOUBLE)) AS x FROM b WHERE v <> 0),
+n AS (SELECT id, q, sqrt(sum(x * x ORDER BY b)) AS n FROM x GROUP BY ALL),
+s AS (SELECT q.q, c.id, sum(q.x * c.x ORDER BY q.b) / (any_value(nq.n) * any_value(nc.n)) AS exact FROM x q JOIN x c ON q.b = c.b AND q.q IS NOT NULL AND c.id IS NOT NULL JOIN n nq ON nq.q = q.q JOIN n nc ON nc.id = c.id GROUP BY q.q, c.id),
+r AS (SELECT s.*, round(exact, 9) AS score, row_number() OVER (PARTITION BY q ORDER BY exact DESC, id) AS rank FROM s),
+k AS (SELECT r.*, string_split(id, '#')[1] = g.doc AS own, string_split(id, '#')[1] = g.doc AND CAST(string_split(id, '#')[2] AS INTEGER) + 1 = g.page AS own_page FROM r JOIN g USING (q) WHERE rank <= 6),
+m AS (SELECT g.q, g.answerable, min(rank) FILTER (own) AS first, max(score) AS top, max(score) FILTER (own) AS best, coalesce(bool_or(own_page), FALSE) AS page_hit FROM g LEFT JOIN k ON k.q = g.q GROUP BY ALL),
+w AS (
+  SELECT 'retrieval' AS part, unnest(['answerable', 'unanswerable', 'hit_1', 'hit_3', 'hit_6', 'mrr', 'page_hit', 'success', 'rejection']) AS name,
+    unnest([CAST(count(*) FILTER (answerable) AS DOUBLE), CAST(count(*) FILTER (NOT answerable) AS DOUBLE), avg(CAST(coalesce(first <= 1, FALSE) AS INTEGER)) FILTER (answerable), avg(CAST(coalesce(first <= 3, FALSE) AS INTEGER)) FILTER (answerable),
+      avg(CAST(coalesce(first <= 6, FALSE) AS INTEGER)) FILTER (answerable), avg(coalesce(1.0 / first, 0)) FILTER (answerable), avg(CAST(page_hit AS INTEGER)) FILTER (answerable), avg(CAST(coalesce(best >= 0.5, FALSE) AS INTEGER)) FILTER (answerable), avg(CAST(NOT coalesce(top >= 0.5, FALSE) AS INTEGER)) FILTER (NOT answerable)]) AS value FROM m
+  UNION ALL SELECT 'sweep', 'success@' || t, avg(CAST(coalesce(best >= t, FALSE) AS INTEGER)) FROM m, (SELECT unnest([0.4, 0.6, 0.8]) AS t) WHERE answerable GROUP BY t
+  UNION ALL SELECT 'sweep', 'rejection@' || t, avg(CAST(NOT coalesce(top >= t, FALSE) AS INTEGER)) FROM m, (SELECT unnest([0.4, 0.6, 0.8]) AS t) WHERE NOT answerable GROUP BY t
+  UNION ALL SELECT 'similarity', unnest([k || 'least', k || 'p25', k || 'median', k || 'p75', k || 'largest']), unnest([min(top), quantile_disc(top, 0.25), quantile_disc(top, 0.5), quantile_disc(top, 0.75), max(top)]) FROM (SELECT coalesce(top, 0) AS top, CASE WHEN answerable THEN 'answerable_' ELSE 'unanswerable_' END AS k FROM m) GROUP BY k
+) SELECT part, name, round(value, 6) AS value FROM w
+""")
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as a gold set of two pages each; questions for a fifth of them, and others that none answers."""
+    parts = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    first, second = F.concat_ws(" ", "p_name", "p_brand", F.lit("item"), key), F.concat_ws(" ", "p_type", F.lit("size"), F.col("p_size").cast("string"), F.lit("item"), key)
+    documents = parts.select(F.concat(F.lit("p"), key).alias("id"), F.lit("pdf_text").alias("source"), F.array(first, second).alias("pages"))
+    kind = F.col("p_partkey") % 10
+    text = F.when(kind == 0, F.concat(F.lit("which "), first)).when(kind == 5, F.concat(F.lit("which "), second)).when(kind == 7, F.concat(F.lit("zebra quagga "), (F.col("p_partkey") * 7).cast("string")))
+    gold = parts.select(F.col("p_partkey").alias("query_id"), text.alias("question"), (kind != 7).alias("answerable"), F.when(kind != 7, F.concat(F.lit("p"), key)).alias("expected_document"), F.when(kind == 0, 1).when(kind == 5, 2).alias("expected_page")).filter("question is not null")
+    report, _, _ = evaluate.run_evaluation(documents, gold, f"{shared_dir(spark)}/evaluation-{uuid.uuid4().hex}", dims=64, sweep=[0.4, 0.6, 0.8])
+    return report.select("part", "name", F.round("value", 6).alias("value"))
