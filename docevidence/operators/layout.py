@@ -97,13 +97,13 @@ def page_status(text, images):
 
 
 def table_segments(rows: DataFrame, doc: str, table: str, order: str, page: str | None = None, per_chunk: int = 8) -> DataFrame:
-    """Eight rows of a table to a segment under a heading, with the page of its first row."""
+    """Eight rows of a table to a segment under a heading, blank lines between them, with the page of its first row."""
     fields = F.struct("test", "result", "unit", "reference_range", "flag", "date")
     numbered = rows.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(doc, table).orderBy(order)) - 1) / per_chunk))
     shown = labs.row_text(fields, F.col(page) if page else None)
     out = numbered.groupBy(doc, table, "part").agg(F.array_sort(F.collect_list(F.struct(order, shown.alias("t")))).alias("r"), *([F.min_by(page, order).alias("page")] if page else []))
     head = F.concat(F.lit("Lab results table ("), F.col(table).cast("string"), F.lit(")"))
-    return out.select(doc, table, "part", *(["page"] if page else []), F.concat_ws("\n", head, F.array_join(F.transform("r", lambda s: s["t"]), "\n")).alias("text"))
+    return out.select(doc, table, "part", *(["page"] if page else []), F.concat_ws("\n\n", head, F.array_join(F.transform("r", lambda s: s["t"]), "\n\n")).alias("text"))
 
 
 def reference_table_segments(rows: DataFrame, tables: DataFrame, doc: str, table: str, order: str) -> DataFrame:

@@ -46,7 +46,27 @@ def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), F.length(t).cast("long").alias("n"))
 
 
-@query()
+BLANKS = " || ".join(f"chr({ord(c)})" for c in structure.BLANK)
+CUT = " ".join(  # the end of the best separator past 600 characters of the window, by kind
+    f"WHEN strpos(reverse(w), reverse({m})) > 0 AND length(w) - strpos(reverse(w), reverse({m})) + 1 - length({m}) >= 600 THEN s + length(w) - strpos(reverse(w), reverse({m})) + 1"
+    for m in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '")
+)
+
+
+@query(rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {NORMALIZED} AS t, length({NORMALIZED}) AS n FROM documents),
+p AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS s, CASE WHEN n <= 1000 THEN n ELSE e END AS e FROM (SELECT *, CASE {CUT} ELSE s + 1000 END AS e FROM (SELECT *, 0 AS s, substr(t, 1, 1000) AS w FROM d WHERE n > 0))
+  UNION ALL
+  SELECT doc_id, s, CASE WHEN s + 1000 >= n THEN n ELSE CASE {CUT} ELSE s + 1000 END END FROM (
+    SELECT *, substr(t, CAST(s + 1 AS BIGINT), 1000) AS w FROM (
+      SELECT p.doc_id, d.t, d.n, greatest(p.e - 150 + strpos(substr(d.t, CAST(p.e - 149 AS BIGINT), 150), ' '), p.s + 1) AS s FROM p JOIN d ON d.doc_id = p.doc_id WHERE p.e < d.n)
+  )
+),
+c AS (SELECT p.doc_id, p.s, trim(substr(d.t, CAST(p.s + 1 AS BIGINT), CAST(p.e - p.s AS BIGINT)), {BLANKS}) AS text FROM p JOIN d ON d.doc_id = p.doc_id),
+k AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM c WHERE text <> '')
+SELECT doc_id, doc_id || '#' || i AS chunk_id, CAST(i AS INTEGER) AS chunk_index, length(text) AS n, left(sha256(text), 16) AS digest, n > 200 AS truncated FROM k WHERE i < 200
+""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("seg_idx", F.lit(0))
     out = structure.prepare_chunks(docs, "doc_id", type_col=None)

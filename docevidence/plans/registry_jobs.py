@@ -9,9 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docevidence.functions import labs, text
-from docevidence.operators import assess, evidence, prompting, quality, reports, retrieval, structure
+from docevidence.operators import assess, evidence, layout, prompting, quality, reports, retrieval, structure
 from docevidence.plans import evaluate, extraction, ingest, questions, store
 from docevidence.plans.registry import FNV, TOPK, _hits, _requests, query, table
 from docevidence.plans.scratch import saved, shared_dir
@@ -492,3 +493,28 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = parts.select(F.col("p_partkey").alias("query_id"), text.alias("question"), (kind != 7).alias("answerable"), F.when(kind != 7, F.concat(F.lit("p"), key)).alias("expected_document"), F.when(kind == 0, 1).when(kind == 5, 2).alias("expected_page")).filter("question is not null")
     report, _, _ = evaluate.run_evaluation(documents, gold, f"{shared_dir(spark)}/evaluation-{uuid.uuid4().hex}", dims=64, sweep=[0.4, 0.6, 0.8])
     return report.select("part", "name", F.round("value", 6).alias("value"))
+
+
+@query("""
+WITH l AS (SELECT l_partkey AS doc, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity) - 1 AS k, 'analyte ' || l_linenumber || ':' || chr(10) || 'Result = ' || CAST(l_quantity AS INTEGER) || ' mmol' || chr(10) || 'Page = 1' AS t FROM lineitem),
+g AS (SELECT doc, 1 + k // 8 AS i, 'Lab results table (p1-t0)' || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY k) AS text FROM l GROUP BY ALL),
+a AS (SELECT doc, i, 'table' AS content_type, 'p1-t0' AS table_id, text FROM g UNION ALL SELECT p_partkey, 0, 'text', NULL, p_name || ' of ' || p_brand FROM part)
+SELECT 'user-' || (doc % 5) AS namespace, doc || '#' || i AS id, CAST(i AS INTEGER) AS chunk_index, content_type, 1 AS page, table_id, sha256(text) AS digest FROM a
+""")
+def indexed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part is a document of one page, where its order lines stand as words with positions below a header."""
+    order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    line = table(spark, sf_dir, "lineitem").withColumn("y", 5000.0 - 12 * F.row_number().over(order))
+    word = lambda text, x, width: F.struct(text.alias("str"), F.lit(float(x)).alias("x"), F.lit(float(width)).alias("width"))
+    cells = F.array(word(F.lit("analyte"), 0, 40), word(F.col("l_linenumber").cast("string"), 43, 8), word(F.col("l_quantity").cast("int").cast("string"), 90, 10), word(F.lit("mmol"), 150, 30))
+    head = line.select("l_partkey").distinct().select("l_partkey", F.lit(5000.0).alias("y"), F.explode(F.array(word(F.lit("Test"), 0, 30), word(F.lit("Result"), 90, 40), word(F.lit("Unit"), 150, 30))).alias("w"))
+    items = line.select("l_partkey", "y", F.explode(cells).alias("w")).unionByName(head).select(F.col("l_partkey").cast("string").alias("document_id"), F.lit(1).alias("page"), "y", "w.*")
+    rows = layout.layout_tables(layout.layout_cells(layout.layout_lines(items)))
+    segments = layout.table_segments(rows, "document_id", "table_id", "row_index", "page").select("document_id", (F.col("part") + 1).cast("int").alias("seg_idx"), F.lit("table").alias("content_type"), "page", "table_id", "text")
+    parts = table(spark, sf_dir, "part").withColumn("document_id", F.col("p_partkey").cast("string"))
+    text = parts.select("document_id", F.lit(0).alias("seg_idx"), F.lit("text").alias("content_type"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("table_id"), F.concat_ws(" ", "p_name", F.lit("of"), "p_brand").alias("text"))
+    uploads = parts.select(F.concat((F.col("p_partkey") % 5).cast("string")).alias("user_id"), "document_id", F.lit("f").alias("filename"), F.lit("pdf_text").alias("source"), F.sha2("document_id", 256).alias("sha256"))
+    path = f"{shared_dir(spark)}/indexed-{uuid.uuid4().hex}"
+    documents, vectors = store.Table(spark, f"{path}/documents", store.DOCUMENTS), store.Table(spark, f"{path}/vectors", store.VECTORS)
+    store.index_documents(uploads, documents, vectors, dims=64, segments=text.unionByName(segments))
+    return vectors.read().select("namespace", "id", "chunk_index", "content_type", "page", "table_id", F.sha2("text", 256).alias("digest"))

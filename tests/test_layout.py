@@ -9,4 +9,4 @@ def test_page(spark):
     out = layout.layout_tables(cells).collect()
     assert [(r["table_id"], r["row_index"], r["test"], r["result"], r["unit"], r["numeric_result"]) for r in out] == [("p1-t0", 0, "Sodium level", "140", "mmol", 140.0)]
     seg = layout.table_segments(layout.layout_tables(cells), "document_id", "table_id", "row_index", "page").first()
-    assert seg["page"] == 1 and seg["text"] == "Lab results table (p1-t0)\nSodium level:\nResult = 140 mmol\nPage = 1"
+    assert seg["page"] == 1 and seg["text"] == "Lab results table (p1-t0)\n\nSodium level:\nResult = 140 mmol\nPage = 1"
