@@ -177,7 +177,27 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", F.sha2("key", 256).alias("key"), "pages")
 
 
-@query()
+def _decoded(x: str) -> str:
+    """SQL for the named entities, the ampersand last so that an escaped entity is decoded once; the pages have no numeric ones."""
+    for name, char in {"lt": "<", "gt": ">", "quot": '"', "apos": "\'\'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "deg": "°", "micro": "µ", "amp": "&"}.items():
+        x = f"replace({x}, '&{name};', '{char}')"
+    return x
+
+
+SHOWN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '<\s*script[^>]*>.*?<\s*/\s*script\s*>|<\s*style[^>]*>.*?<\s*/\s*style\s*>', ' ', 'gis'), '<\s*/\s*(?:p|div|ul|ol|h[1-6]|li|tr)\s*>|<\s*br\s*/?>', chr(10), 'gi'), '<\s*li[^>]*>', chr(10) || '- ', 'gi'), '<[^>]*>', '', 'g')"
+ENDS = r"regexp_replace({}, '^[\s\x{{00A0}}\x{{FEFF}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{3000}}]+|[\s\x{{00A0}}\x{{FEFF}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{3000}}]+$', '', 'g')"
+
+ONE_BLANK, WHOLE_WORDS = r"regexp_replace(y, '[ \t\x{00A0}]+', ' ', 'g')", r"regexp_replace(h, '\s+\S*$', '')"
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, {_decoded(SHOWN.format(_decoded("html")))} AS x FROM pages),
+l AS (SELECT page_id, list_transform(string_split(x, chr(10)), lambda y: {ENDS.format(ONE_BLANK)}) AS l FROM a),
+t AS (SELECT page_id, {ENDS.format("array_to_string(list_filter(l, lambda y, i: y <> '' OR (i > 1 AND l[i - 1] <> '')), chr(10))")} AS t FROM l),
+h AS (SELECT *, left(t, 200) AS h, reverse(left(t, 200)) AS b FROM t),
+p AS (SELECT *, greatest(CASE WHEN strpos(b, ' .') > 0 THEN 199 - strpos(b, ' .') ELSE -1 END, CASE WHEN strpos(b, chr(10) || '.') > 0 THEN 199 - strpos(b, chr(10) || '.') ELSE -1 END, CASE WHEN strpos(b, chr(10)) > 0 THEN 200 - strpos(b, chr(10)) ELSE -1 END) AS stop FROM h)
+SELECT page_id, sha256(t) AS digest, length(t) AS n, CASE WHEN length(t) <= 200 THEN t WHEN stop > 100 THEN {ENDS.format("left(h, CAST(stop + 1 AS BIGINT))")} ELSE {ENDS.format(WHOLE_WORDS)} END AS head FROM p
+""")
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.html_to_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(t, 256).alias("digest"), F.length(t).alias("n"), text.truncate_sentence(t, 200).alias("head"))
