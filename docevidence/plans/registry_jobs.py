@@ -368,7 +368,22 @@ def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.chunk_metadata(chunks, owners, "s").select("namespace", "id", "user_id", "chunk_index", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(f"""
+WITH v AS (SELECT 'mesh:' || p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS nk, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS bk, p_name || ' (also called ' || p_brand || '): ' || p_name || ' ' || p_type || ' of size ' || p_size AS text FROM part),
+q AS (SELECT DISTINCT 'What is a ' || t || '?' AS q, trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) AS k, lower(t) AS text FROM (SELECT p_name AS t FROM part UNION SELECT p_brand FROM part)),
+tok AS (SELECT id, NULL AS q, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM v UNION ALL SELECT NULL, q, unnest(regexp_extract_all(text, '[a-z0-9]+')) FROM q),
+h AS (SELECT id, q, {FNV} AS h FROM tok WHERE length(t) > 1),
+b AS (SELECT id, q, h % 64 AS b, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL),
+x AS (SELECT id, q, b, CAST(v AS DOUBLE) / sqrt(CAST(sum(v * v) OVER (PARTITION BY id, q) AS DOUBLE)) AS x FROM b WHERE v <> 0),
+n AS (SELECT id, q, sqrt(sum(x * x ORDER BY b)) AS n FROM x GROUP BY ALL),
+s AS (SELECT q.q, c.id, sum(q.x * c.x ORDER BY q.b) / (any_value(nq.n) * any_value(nc.n)) AS exact FROM x q JOIN x c ON q.b = c.b AND q.q IS NOT NULL AND c.id IS NOT NULL JOIN n nq ON nq.q = q.q JOIN n nc ON nc.id = c.id GROUP BY q.q, c.id),
+e AS (SELECT q.q, v.id, coalesce(s.exact, 0) AS exact, row_number() OVER (PARTITION BY q.q ORDER BY coalesce(s.exact, 0) DESC, v.id) AS n FROM q JOIN v ON q.k = v.nk OR q.k = v.bk LEFT JOIN s ON s.q = q.q AND s.id = v.id),
+m AS (SELECT q, id, exact, row_number() OVER (PARTITION BY q ORDER BY exact DESC, id) AS n FROM s),
+a AS (SELECT q, id, round(exact, 6) AS score, TRUE AS by_key FROM e WHERE n <= 6 UNION ALL SELECT q, id, round(exact, 6), FALSE FROM m WHERE n <= 4),
+k AS (SELECT a.*, CASE WHEN q.k = v.nk THEN 0 WHEN q.k = v.bk THEN 1 ELSE 2 END AS kind FROM a JOIN q USING (q) JOIN v USING (id)),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, id ORDER BY kind, score DESC) AS n FROM k WHERE kind < 2 OR (NOT by_key AND score >= 0.7)) WHERE n = 1)
+SELECT q AS query_id, id, ['exact_term', 'exact_alias', 'semantic'][kind + 1] AS match, score, CAST(row_number() OVER (PARTITION BY q ORDER BY kind, score DESC, id) AS INTEGER) AS position FROM o
+""")
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as a vocabulary, a definition question for each of their kinds and brands."""
     parts = table(spark, sf_dir, "part")
