@@ -46,6 +46,8 @@ def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), F.length(t).cast("long").alias("n"))
 
 
+FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
 BLANKS = " || ".join(f"chr({ord(c)})" for c in structure.BLANK)
 CUT = " ".join(  # the end of the best separator past 600 characters of the window, by kind
     f"WHEN strpos(reverse(w), reverse({m})) > 0 AND length(w) - strpos(reverse(w), reverse({m})) + 1 - length({m}) >= 600 THEN s + length(w) - strpos(reverse(w), reverse({m})) + 1"
@@ -53,8 +55,8 @@ CUT = " ".join(  # the end of the best separator past 600 characters of the wind
 )
 
 
-@query(rf"""
-WITH RECURSIVE d AS (SELECT doc_id, {NORMALIZED} AS t, length({NORMALIZED}) AS n FROM documents),
+#: Chunks of all documents as (doc_id, text, i, n).
+CHUNKS = rf"""d AS (SELECT doc_id, {NORMALIZED} AS t, length({NORMALIZED}) AS n FROM documents),
 p AS (
   SELECT doc_id, CAST(0 AS BIGINT) AS s, CASE WHEN n <= 1000 THEN n ELSE e END AS e FROM (SELECT *, CASE {CUT} ELSE s + 1000 END AS e FROM (SELECT *, 0 AS s, substr(t, 1, 1000) AS w FROM d WHERE n > 0))
   UNION ALL
@@ -64,7 +66,11 @@ p AS (
   )
 ),
 c AS (SELECT p.doc_id, p.s, trim(substr(d.t, CAST(p.s + 1 AS BIGINT), CAST(p.e - p.s AS BIGINT)), {BLANKS}) AS text FROM p JOIN d ON d.doc_id = p.doc_id),
-k AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM c WHERE text <> '')
+k AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM c WHERE text <> '')"""
+
+
+@query(f"""
+WITH RECURSIVE {CHUNKS}
 SELECT doc_id, doc_id || '#' || i AS chunk_id, CAST(i AS INTEGER) AS chunk_index, length(text) AS n, left(sha256(text), 16) AS digest, n > 200 AS truncated FROM k WHERE i < 200
 """)
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,14 +92,24 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.prefix_budget(hits, "query_id", ["rank"], F.col("chars"), 8000).select("query_id", "source", "chunk_id", "rank", "score")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CHUNKS},
+ch AS (SELECT k.doc_id || '#' || k.i AS id, o.source, k.text, length(k.text) AS chars FROM k JOIN documents o USING (doc_id) WHERE i < 200),
+tok AS (SELECT id, CAST(NULL AS BIGINT) AS q, source, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM ch UNION ALL SELECT CAST(NULL AS VARCHAR), item_id, 'src' || (item_id % 20), unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM benchmark),
+o AS (SELECT id, q, source, t, count(*) AS c FROM tok WHERE length(t) > 1 GROUP BY ALL),
+w AS (SELECT t, {FNV} AS h FROM (SELECT DISTINCT t FROM o)),
+b AS (SELECT id, q, source, h % 64 AS b, sum(CASE WHEN h % 2 = 1 THEN c ELSE -c END) AS v FROM o JOIN w USING (t) GROUP BY ALL),
+x AS (SELECT id, q, source, b, CAST(v AS DOUBLE) / sqrt(CAST(sum(v * v) OVER (PARTITION BY id, q) AS DOUBLE)) AS x FROM b WHERE v <> 0),
+z AS (SELECT id, q, sqrt(sum(x * x ORDER BY b)) AS n FROM x GROUP BY ALL),
+s AS (SELECT q.q, c.id, any_value(q.source) AS source, sum(q.x * c.x ORDER BY q.b) / (any_value(nq.n) * any_value(nc.n)) AS exact FROM x q JOIN x c ON q.b = c.b AND q.source = c.source AND q.q IS NOT NULL AND c.id IS NOT NULL JOIN z nq ON nq.q = q.q JOIN z nc ON nc.id = c.id GROUP BY q.q, c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY exact DESC, id) AS rank FROM s),
+u AS (SELECT r.*, ch.chars, sum(ch.chars) OVER (PARTITION BY q ORDER BY rank) AS total, row_number() OVER (PARTITION BY q ORDER BY rank) AS n FROM r JOIN ch USING (id) WHERE rank <= 6 AND exact >= 0.5)
+SELECT q AS query_id, source, id AS chunk_id, CAST(rank AS INTEGER) AS rank, round(exact, 6) AS score FROM u WHERE n = 1 OR total <= 8000
+""")
 def document_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagship(spark, sf_dir)
 
 
-FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(t, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
-
-
 @query(f"""
 WITH tok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark),
 h AS (SELECT item_id, {FNV} AS h FROM tok WHERE length(t) > 1),
