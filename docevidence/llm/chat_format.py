@@ -119,7 +119,8 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, conv_col: str =
 
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Per conversation, from the output alone: all turns, and the unescaped text under the loss mask, span by span."""
+    """Per conversation, from the output alone: all turns, and the unescaped text under the loss mask, span by span. ``formatted`` is what
+    format_conversations gave: a null id is a conversation like any other, and no other column has nulls; no rows give none."""
     kind = formatted.schema[conv_col].dataType.simpleString()
 
     def run(batches):

@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and both likenesses."""
     return paragraph_sketch.edit_and_compare(read_table(spark, sf_dir, "documents"))
 
 
@@ -28,21 +29,25 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents by the ranks, and the text that they decode to."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = bpe.encode_column(read_table(spark, sf_dir, "documents"), "text", ranks, public_tokenizers.PATTERN, ["doc_id"], decoded_col="decoded")
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of repeated line runs, and which lines went."""
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda n: n.cast("string")), ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' groups of near copies at 85 percent."""
     return near_dup.group(read_table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model from the labelled documents that are not held out, and its score of every document."""
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model, ["doc_id"])
@@ -50,23 +55,27 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; the store of counts is new, so each run counts every distinct text."""
     store = Scratch(spark, "token-counts").path("store")  # a new store: each run counts all its texts
     out = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), store)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     mix = mixing.plan_mix(read_table(spark, sf_dir, "documents"), "doc_id", "source", mixing.word_count(F.col("text")))
     out = mixing.taken_words(mix).join(mix.sources.select("source_no", "source_size", "target"), "source_no")
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every fiftieth vector among all others."""
     rows = topk_search.integer_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk_search.search(rows.filter(F.col("vec_id") % 50 == 0), rows, 5, "vec_id", "weights").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written to a new store and read back from it."""
     path = Scratch(spark, "id-store").path("store")
     id_store.write_store(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return id_store.read_store(spark, path)

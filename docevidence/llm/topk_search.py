@@ -54,8 +54,12 @@ def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str, weights_col
     ``weights_col``: array of integers; a missing component counts as 0, so rows may differ in length. Ties go to the smaller
     id. Fewer rows than k give fewer results; no rows give none. Rows are dealt to blocks by hash of their id, so equal vectors (a
     hot vector) spread evenly. A block of either side holds about BLOCK_BYTES where the tables are large: each row is copied once for each block
-    of queries, so large blocks keep the shuffle small. Columns of any other name take no part.
+    of queries, so large blocks keep the shuffle small. Other columns take no part; an id column that is called as a result is (query_id, rank,
+    score) is an error. A null id or a null list takes no part either.
     """
+    if id_col.lower() in ("query_id", "rank", "score"):
+        raise ValueError(f"{id_col} would be there twice")
+    queries, rows = (df.filter(F.col(id_col).isNotNull() & F.col(weights_col).isNotNull()) for df in (queries, rows))
     (n_rows, r_bytes), (n_queries, q_bytes) = (df.agg(F.count("*"), F.avg(8 * F.size(weights_col))).first() for df in (rows, queries))
     fits = lambda size: max(1, int(BLOCK_BYTES // max(8.0, size or 8.0)))
     block_rows = block_rows or min(fits(r_bytes), max(LEAST_ROWS, -(-n_rows // BLOCKS)))
@@ -97,7 +101,10 @@ def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str, weights_col
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """id and floor(scale * x) per component; rows with a null id, a null vector or a null or non-finite component are left out."""
+    """id and floor(scale * x) per component; rows with a null id, a null vector or a null or non-finite component are left out. The id
+    column must not be called weights (ValueError)."""
+    if id_col.lower() == "weights":
+        raise ValueError("weights would be there twice")
     x = F.col(vector_col)
     fine = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
     return df.filter(fine).select(id_col, F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("weights"))

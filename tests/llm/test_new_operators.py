@@ -3,13 +3,14 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docevidence.llm import kmeans_tree, merkle_manifest, queries, whitening
+from docevidence.llm import kmeans_tree, merkle_manifest, queries, toxicity, whitening
 
 CLASHES = "g string, pos int, n int, level int, root string, leaf string, block int, digest string, x int, i int, v int, d int, part int, leaves int"
 EXTRA = ("x", 1, 2, 3, "x", "x", 4, "x", 5, 6, 7, 8, 9, 10)
@@ -224,3 +225,64 @@ def test_empty_tables(spark, tmp_path, name):
     documents(spark, [], tmp_path)
     vectors(spark, [], tmp_path)
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def brute_match(word, terms, spared):
+    """(kind, weight) of a word by the definition: itself, a stem it begins with, or a long term one edit away."""
+    if word in terms:
+        return 3, terms[word]
+
+    def one_edit(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > 1 or a == b:
+            return False
+        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))  # noqa: B905
+        return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+    stems = [w for t, w in terms.items() if t.endswith("*") and word.startswith(t[:-1])]
+    if stems:
+        return 2, max(stems)
+    near = [w for t, w in terms.items() if not t.endswith("*") and len(t) >= 5 and one_edit(word, t)] if word not in spared else []
+    return (1, max(near)) if near else (0, 0.0)
+
+
+def brute_score(text, model, memo):
+    """The logistic score of the counts of sure, misspelled and quoted hits, from whole-text positions."""
+    low = (text or "").lower()
+    spans = [m.span() for m in re.finditer(r"[^\W\d_]+", low)]
+    words = [low[a:b] for a, b in spans]
+    sure, fuzzy, quoted = [], 0, 0
+    for i, w in enumerate(words):
+        if w not in memo:
+            memo[w] = brute_match(w, model.terms, model.spared)
+        kind, weight = memo[w]
+        if not kind:
+            continue
+        first, last = max(0, i - 6), min(len(words) - 1, i + 6)
+        marks = lambda s: sum(s.count(q) for q in toxicity.QUOTES)
+        inside = marks(low[spans[first][0] : spans[i][0]]) % 2 == 1 and marks(low[spans[i][1] : spans[last][1] + 1]) > 0
+        if inside or any(x in toxicity.REPORTING for k, x in enumerate(words[first : last + 1], first) if k != i):
+            quoted += 1
+        elif kind == 1:
+            fuzzy += 1
+        else:
+            sure.append(weight)
+    x = [1.0, float(bool(sure)), math.log1p(len(sure)), math.log1p(fuzzy), math.log1p(quoted), max(sure, default=0.0) / 10]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+
+def test_toxicity_score_by_brute_force(spark):
+    """Every text's score, with a learned model and with one that has all kinds of terms."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    learned = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    made = toxicity.Model({"stupid": 2.0, "scum": 1.5, "lowei*": 3.0, "the": 0.5, "thoug": 1.0, "and*": 0.7}, frozenset({"those"}), [-1.0, 2.0, 0.5, 0.7, -0.4, 1.1])
+    odd = [(10_001 + k, t) for k, t in enumerate([None, "", '"you stupid scum" he said', "stupld SCUM, loweird lowei", "„stupid“ x", "stupidd stpid stupib scun", "said stupid " + "a " * 9 + "stupid", "those thoug thoug1", "Thé the"])]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for model in (learned, made):
+        memo = {}
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+        assert len(got) == len(texts)
+        for i, t in texts.items():
+            assert got[i] == pytest.approx(brute_score(t, model, memo), abs=1e-9), i
