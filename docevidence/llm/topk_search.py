@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK_BYTES, BLOCKS = 64 << 20, 64  # of a block's weights; blocks are smaller where there would be fewer than BLOCKS of them
-LEAST_ROWS = 1024
+LEAST_ROWS = 8192
 
 
 def postings(values: np.ndarray, offsets: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
