@@ -29,18 +29,23 @@ class LibraryEncoder:
         for c in map(chr, range(0xA1, 0x250)):
             for b, as_char in zip(c.encode(), alphabet(c)[0][0], strict=True):
                 self.bytes_as[b] = as_char
+        self.space = self.bytes_as[32]
+        self.tokenize = self.library.model.tokenize
+        self.packed = [struct.pack("<I", k) for k in range(1 + max(self.library.get_vocab().values()))]
         self.units = UnitEncoder(self.pack, units)
 
     def pack(self, text: str) -> bytes:
         """One unit. Letters alone are one piece of the split, so they may go straight to the model."""
         word = text[1:] if text[:1] == " " else text
-        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-            return self.model(text.encode().decode("latin-1").translate(self.bytes_as))
-        return b"".join(self.model(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
+        if word.isalpha():
+            if word.isascii():  # the split writes these bytes as they are
+                return self.model(word if word is text else self.space + word)
+            if max(word) < "\u0250":
+                return self.model(text.encode().decode("latin-1").translate(self.bytes_as))
+        return b"".join([self.model(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])
 
     def model(self, piece: str) -> bytes:
-        ids = [t.id for t in self.library.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.packed[t.id] for t in self.tokenize(piece)])
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
