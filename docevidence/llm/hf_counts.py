@@ -39,7 +39,8 @@ class LibraryEncoder:
         word = text[1:] if text[:1] == " " else text
         if word.isalpha():
             if word.isascii():  # the split writes these bytes as they are
-                return self.model(word if word is text else self.space + word)
+                ids = self.tokenize(word if word is text else self.space + word)
+                return self.packed[ids[0].id] if len(ids) == 1 else b"".join([self.packed[t.id] for t in ids])
             if max(word) < "\u0250":
                 return self.model(text.encode().decode("latin-1").translate(self.bytes_as))
         return b"".join([self.model(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])

@@ -25,9 +25,9 @@ class _Memo(dict):
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        out = self.old.get(unit)
+        out = self.old.get(unit) if self.old else None
         if out is None:
-            if unit[-1:] in _MARKS and unit[-2:-1].isalpha():  # a mark behind a letter is a match of its own
+            if not unit.isalpha() and unit[-1:] in _MARKS and unit[-2:-1].isalpha():  # a mark behind a letter is a match of its own
                 out = self[unit[:-1]] + self.mark(unit[-1])
             else:
                 out = self.encode(self.prefix + unit)
