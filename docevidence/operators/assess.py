@@ -38,13 +38,14 @@ def numbered_findings(cases: DataFrame, request: str, parts: list[Column], most:
 
 def trace_findings(claims: DataFrame, findings: DataFrame, request: str, claim: str) -> DataFrame:
     """(request, claim, finding_id, share): each claim's finding that holds all its numbers and 60 % of its words, by the folded
-    texts; the best share, then the first finding. A claim without words has none."""
+    texts; the best share, then the first finding. A claim without words has none. Findings are as many as claims, whatever the estimate of
+    their size says, so they are never broadcast."""
     words = lambda c: F.filter(F.split(fold_text(c), " "), lambda w: F.length(w) >= 2)
     c = claims.select(request, claim, words(F.col(claim)).alias("cw"))
     f = findings.select(request, "finding_id", F.split(fold_text(F.col("text")), " ").alias("fw"))
     number = F.filter("cw", lambda w: w.rlike("[0-9]"))
-    share = F.size(F.filter("cw", lambda w: F.array_contains("fw", w))) / F.size("cw")
-    both = c.filter(F.size("cw") > 0).join(f, request).filter(F.size(F.array_except(number, "fw")) == 0).withColumn("share", share).filter(F.col("share") >= 0.6)
+    share = F.try_divide(F.size(F.filter("cw", lambda w: F.array_contains("fw", w))), F.size("cw"))  # null without words
+    both = c.join(f.hint("merge"), request).filter(F.size(F.array_except(number, "fw")) == 0).withColumn("share", share).filter(F.col("share") >= 0.6)
     rank = F.row_number().over(Window.partitionBy(request, claim).orderBy(F.desc("share"), F.substring("finding_id", 2, 9).cast("int")))
     return both.withColumn("__n", rank).filter("__n = 1").select(request, claim, "finding_id", "share")
 
