@@ -82,10 +82,12 @@ def retrieve_terms(questions: DataFrame, terms: DataFrame, space: str | None = N
     asked = q.filter("cleaned <> ''")
     vectors = saved(embedder.embed(asked, "query_id", "asked", ["embedding_space"], query=True), "asked")
     own = retrieval.same_space(terms, space, dims)
-    keyed = own.select("id", F.explode("alias_keys").alias("key")).join(asked.select("query_id", F.explode("keys").alias("key")), "key").select("query_id", "id").distinct()
-    both = keyed.join(own.select("id", F.col("values").alias("v")), "id").join(vectors.select("query_id", F.col("values").alias("q")), "query_id")
-    scored = both.select("query_id", "id", retrieval.cosine(F.col("q"), F.col("v")).alias("score"))
-    exact = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= most_exact)
+    # Of each key's terms the most similar ones hold those of all of a question's keys.
+    keyed = own.select("id", F.explode("alias_keys").alias("key"), "values")
+    asking = asked.select("query_id", F.explode("keys").alias("key")).distinct().join(vectors.select("query_id", "values"), "query_id")
+    best = retrieval.vector_topk(asking.select(F.struct("query_id", "key").alias("query_id"), "key", "values"), keyed, ["key"], most_exact, digits=None)
+    best = best.select("query_id.query_id", "id", "score").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    exact = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= most_exact)
     exact = exact.select("query_id", "id", F.round("score", 6).alias("score"), F.lit(True).alias("by_key"))
     near = retrieval.vector_topk(vectors, own, ["embedding_space"], k).select("query_id", "id", "score", F.lit(False).alias("by_key"))
     fine = valid_terms(terms, space).drop("values", "embedding_space")
