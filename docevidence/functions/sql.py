@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,19 @@ COMPOSED = {
 }
 
 
+def decode_entity(m: re.Match) -> str:
+    """T6 for one entity, as text.decode_entities."""
+    body = m[1]
+    if body[0] != "#":
+        return text.NAMED.get(m[0], m[0])
+    code = int(body[2:], 16) if body[1] == "x" else int(body[1:])
+    return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else m[0]
+
+
+def decode_array(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: re.sub("&(#x[0-9a-fA-F]+|#[0-9]+|[a-zA-Z]+);", decode_entity, t), na_action="ignore")
+
+
 def chunk_array(s: pd.Series) -> pd.Series:
     """D1 with its usual sizes on text that is normalised already."""
     from docevidence.operators.structure import _pieces
@@ -89,7 +104,7 @@ def register(spark: SparkSession) -> None:
     for head, body in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.udf.register("decompose", text.decompose)
-    spark.udf.register("decode_entities", text.decode_entities)
+    spark.udf.register("decode_entities", F.pandas_udf(decode_array, "string"))
     spark.udf.register("strip_citations", strip_citations)
     spark.udf.register("chunk_array", F.pandas_udf(chunk_array, PIECES))
     spark.udtf.register("chunk_text", F.udtf(Chunks, returnType="idx int, text string, start int, end int"))

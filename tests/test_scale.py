@@ -1,8 +1,13 @@
 """Plans and helpers that keep the work in step with the input: what is not broadcast, not expanded into pairs, and not held by Python."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from docevidence.operators import assess, blocks, retrieval
+from docevidence.functions import labs, sql, text
+from docevidence.operators import assess, blocks, quality, retrieval, structure
+from docevidence.operators.structure import _pieces
 from docevidence.sources import vocabulary
 
 
@@ -40,3 +45,52 @@ def test_equal_vectors_meet_once(spark, monkeypatch):
     out = retrieval.vector_topk(v.withColumnRenamed("id", "query_id"), v, ["g"], 4, skip_own=True)
     assert seen == [3, 3]
     assert sorted(map(tuple, out.filter("query_id IN (3, 299)").select("query_id", "rank", "id", "score").collect())) == [*((3, n, i, 1.0) for n, i in enumerate((0, 6, 9, 12), 1)), *((299, n, i, 1.0) for n, i in enumerate((2, 5, 8, 11), 1))]
+
+
+def test_entities_without_python(spark):
+    rng = random.Random(5)
+    parts = ["&amp;", "&#38;", "&#x26;", "amp;", "lt;", "#65;", "&#0;", "&#xD800;", "&#xFEFF;", "&#128512;", "&#00000000065;", "&#9999999;", "&#99999999999999999999;", "&#x110000;", "&nbsp;", "&hellip;", "&Lt;", "&;", "&", ";", "é ", "\n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(500)]
+    out = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", text.decode_entities(F.col("t")).alias("d"), text.html_to_text(F.col("t")).alias("h"))
+    assert "Python" not in plan(out)
+    got = [r.d for r in out.collect()]
+    assert got == [*sql.decode_array(pd.Series(texts)), None]
+
+
+def test_pieces_without_python(spark):
+    rng = random.Random(6)
+    made = ["".join(rng.choices(["word", " ", "é", ". ", "\n", "\n\n", "x" * 40, "日本"], k=rng.randint(0, 90))) for _ in range(300)]
+    for size, overlap in ((50, 24), (90, 0), (200, 30)):
+        out = spark.createDataFrame([(t,) for t in [*made, None]], "t string").select(text.normalize_text(F.col("t")).alias("n"), structure.chunk_text(F.col("t"), size, overlap).alias("p"))
+        assert "Python" not in plan(out)
+        for r in out.collect():
+            assert [p.asDict() for p in r.p] == (_pieces(r.n, size, overlap) if r.n is not None else [])
+
+
+def test_words_of_other_cases_are_not_dealt_by_word(spark):
+    p = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "b"), (3, "c"), (None, "a")], "c int, t string")
+    e = spark.createDataFrame([(1, "a"), (1, "d"), (4, "a"), (None, "a")], "c int, t string")
+    out = quality.set_counts(p, e, "c", "t")
+    assert "FullOuter" not in plan(out)
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, 1, 2, 1), (2, 0, 1, 0), (3, 0, 1, 0), (4, 0, 0, 1), (None, 0, 1, 1)]
+
+
+def test_sources_are_grouped_once(spark):
+    e = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, None), (None, "a")], "q int, s string")
+    out = quality.source_recall(e, spark.createDataFrame([(1, "a"), (1, "c"), (2, None), (3, "a"), (None, "a")], "q int, s string"), "q", "s")
+    assert "Join" not in plan(out)
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, 0.5, False), (2, 0.0, False), (None, 0.0, False)]
+
+
+def test_lines_are_keyed_once(spark):
+    rows = [(1, n, f"Page {n} of 9\nDownloaded  from x\nown {'abcdefgh'[n]}" if n < 3 else f"Page {n} of 9\nown {'abcdefgh'[n]}") for n in range(8)]
+    out = structure.running_lines(spark.createDataFrame(rows, "d int, p int, t string"), "d", "p", "t", share=0.5)
+    assert sorted(map(tuple, out.collect())) == [(1, "Downloaded from x", 3), (1, "Page # of #", 8)]
+    assert "LeftSemi" in plan(out)  # texts are read again from few pages
+
+
+def test_flag_reads_its_value_once(spark):
+    flag = labs.flag_from_range(F.col("v"), F.col("r"))
+    out = spark.createDataFrame([("5 g", "1 - 4"), ("0,5", "1 to 4"), ("2", "<3"), ("x", "1 - 2"), ("2", "9 - 1"), (None, "1 - 2")], "v string, r string").select(labs.normalize_flag(F.left(flag, F.lit(1))).alias("f"))
+    assert plan(out).count("<>=≤≥") == 1
+    assert [r.f for r in out.collect()] == ["High", "Low", "Normal", None, None, None]
