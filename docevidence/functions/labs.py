@@ -41,11 +41,14 @@ def is_lab_header(cells: Column) -> Column:
 
 def normalize_flag(flag: Column) -> Column:
     """L3: a known flag's label, any other as it is."""
-    f = trim(flag)
-    out = f
-    for label, words in reversed(FLAGS):
-        out = F.when(F.lower(f).isin(words), label).otherwise(out)
-    return out
+
+    def label(f: Column) -> Column:
+        out = f
+        for name, words in reversed(FLAGS):
+            out = F.when(F.lower(f).isin(words), name).otherwise(out)
+        return out
+
+    return F.transform(F.array(trim(flag)), label)[0]
 
 
 def cell_number(cell: Column) -> Column:
@@ -106,9 +109,9 @@ def parse_range(text: Column) -> Column:
 
 def flag_from_range(value: Column, text: Column) -> Column:
     """Low, High or Normal against the printed range (bounds included); null if either can't be read."""
-    n = result_number(value)
     low, high, there = _bounds(text)
-    return F.when(n.isNull() | ~F.coalesce(there, F.lit(False)), None).when(n < low, "Low").when(n > high, "High").otherwise("Normal")
+    read = F.struct(result_number(value).alias("n"), low.alias("low"), high.alias("high"), there.alias("there"))  # each once
+    return F.transform(F.array(read), lambda s: F.when(s["n"].isNull() | ~F.coalesce(s["there"], F.lit(False)), None).when(s["n"] < s["low"], "Low").when(s["n"] > s["high"], "High").otherwise("Normal"))[0]
 
 
 def lab_is_out(flag: Column, is_abnormal: Column) -> Column:
