@@ -16,10 +16,16 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 def set_counts(predicted: DataFrame, expected: DataFrame, case: str, key: str) -> DataFrame:
     """E2 by equality: (case, tp, fp, fn) of two multisets of keys; each item matches one item."""
+    # Only keys that the other side has are counted by key; the rest needs each case's totals.
+    there = expected.select(case, key).distinct()
     number = lambda df: df.groupBy(case, key).agg(F.count("*").alias("n"))
-    both = number(predicted).withColumnRenamed("n", "p").join(number(expected).withColumnRenamed("n", "e"), [case, key], "full").na.fill(0, ["p", "e"])
-    hit = F.least("p", "e")
-    return both.groupBy(case).agg(F.sum(hit).alias("tp"), F.sum(F.col("p") - hit).alias("fp"), F.sum(F.col("e") - hit).alias("fn"))
+    both = number(predicted.select(case, key).join(there, [case, key], "left_semi")).join(number(expected).withColumnRenamed("n", "e"), [case, key])
+    part = lambda df, p, e, hit: df.select(case, p.cast("long").alias("p"), e.cast("long").alias("e"), hit.cast("long").alias("tp"))
+    zero = F.lit(0)
+    total = lambda df: df.groupBy(case).agg(F.count("*").alias("n"))
+    rows = part(total(predicted), F.col("n"), zero, zero).unionByName(part(total(expected), zero, F.col("n"), zero)).unionByName(part(both, zero, zero, F.least("n", "e")))
+    sums = rows.groupBy(case).agg(*(F.sum(c).alias(c) for c in ("p", "e", "tp")))
+    return sums.select(case, "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("e") - F.col("tp")).alias("fn"))
 
 
 def micro_prf(counts: DataFrame) -> DataFrame:
@@ -99,9 +105,10 @@ def retrieval_report(questions: DataFrame, results: DataFrame, question: str, fl
 
 def source_recall(expected: DataFrame, results: DataFrame, question: str, source: str) -> DataFrame:
     """Per question the share of expected sources that were found, and whether all were."""
-    found = results.select(question, source).distinct().withColumn("__f", F.lit(1))
-    rows = expected.select(question, source).distinct().join(found, [question, source], "left")
-    return rows.groupBy(question).agg((F.count("__f") / F.count("*")).alias("recall"), (F.count("__f") == F.count("*")).alias("full"))
+    pair = lambda df, e, f: df.select(question, source, F.lit(e).alias("__e"), F.lit(f).alias("__f"))
+    found = results.filter(F.col(question).isNotNull() & F.col(source).isNotNull())
+    pairs = pair(expected, 1, 0).unionByName(pair(found, 0, 1)).groupBy(question, source).agg(F.max("__e").alias("__e"), F.max("__f").alias("__f")).filter("__e = 1")
+    return pairs.groupBy(question).agg((F.sum("__f") / F.count("*")).alias("recall"), (F.sum("__f") == F.count("*")).alias("full"))
 
 
 def table_report(gold: DataFrame, found: DataFrame, case: str, test: str, fields: list[str]) -> DataFrame:
