@@ -121,7 +121,16 @@ def lab_is_out(flag: Column, is_abnormal: Column) -> Column:
 
 def same_test(a: Column, b: Column) -> Column:
     """Equal as letters and digits, or one contains the other (three at least)."""
-    x, y = (F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in (a, b))
+    return same_key(test_key(a), test_key(b))
+
+
+def test_key(c: Column) -> Column:
+    """Letters and digits of a test's name."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
+def same_key(x: Column, y: Column) -> Column:
+    """L11 for names that are test_keys already."""
     shorter, longer = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
     return (x == y) | ((F.length(shorter) >= 3) & F.contains(longer, shorter))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docevidence.functions.labs import same_test
+from docevidence.functions.labs import same_key, test_key
 from docevidence.functions.text import fold_text
 
 # Words that don't ground anything.
@@ -17,61 +17,46 @@ def tokens(folded: Column) -> Column:
     return F.filter(F.split(folded, " "), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
 
 
-def token_key(word: Column) -> Column:
-    """What a word and a token that may stand for it have in common: the first four letters, or all of a shorter one."""
-    return F.left(word, F.lit(4))
-
-
 def fold_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """Folds each page once: (doc, page, folded, words)."""
     folded = pages.select(doc, page, fold_text(F.col(text)).alias("folded"))
     return folded.select(doc, page, "folded", F.array_distinct(F.filter(F.split("folded", " "), lambda w: w != "")).alias("words"))
 
 
-def word_index(folded: DataFrame, doc: str, page: str) -> DataFrame:
-    """The pages' words as an inverted index: (doc, page, word, key)."""
-    words = folded.select(doc, page, F.explode("words").alias("word"))
-    return words.withColumn("key", token_key(F.col("word")))
+def stands_for(word: Column, token: Column) -> Column:
+    """A word is a token's where it is the token or, from four letters on, one begins with the other."""
+    return (word == token) | ((F.length(token) >= 4) & (F.length(word) >= 4) & (F.startswith(word, token) | F.startswith(token, word)))
 
 
-def _token_pages(tokens_of: DataFrame, index: DataFrame, doc: str, fact: str, page: str) -> DataFrame:
-    """(doc, fact, page, hits): how many of a fact's tokens (doc, fact, token) a page has: the word itself or, from four letters on, one that
-    begins with it or that it begins with. An equality join on the document and the token's key, so a fact meets no page without such a word."""
-    t = tokens_of.withColumn("key", token_key(F.col("token")))
-    near = (F.col("word") == F.col("token")) | ((F.length("token") >= 4) & (F.startswith("word", F.col("token")) | F.startswith("token", F.col("word"))))
-    met = t.join(index, [doc, "key"]).filter(near)
-    return met.groupBy(doc, fact, page).agg(F.count_distinct("token").alias("hits"))
+def _any_word(words: Column, token: Column) -> Column:
+    return F.array_contains(words, token) | F.exists(words, lambda w: stands_for(w, token))
 
 
-def _listed(hits: DataFrame, doc: str, fact: str, page: str) -> DataFrame:
-    return hits.groupBy(doc, fact).agg(F.array_sort(F.collect_set(page)).alias("pages"))
+def _met(facts: DataFrame, folded: DataFrame, doc: str, fact: str, page: str, holds) -> DataFrame:
+    """(doc, fact, pages): a document's facts (struct f) meet each of its pages in one row, which keeps those that ``holds`` (a function of f, the
+    page's folded text and its words). No word is a row, and one shuffle by document serves both steps."""
+    lists = facts.groupBy(doc).agg(F.collect_list("f").alias("fs"))
+    both = folded.select(doc, page, "folded", "words").join(lists.hint("merge"), doc)
+    found = both.select(doc, page, F.explode(F.filter("fs", lambda f: holds(f, F.col("folded"), F.col("words")))).alias("f"))
+    return found.groupBy(doc, F.col(f"f.{fact}").alias(fact)).agg(F.array_sort(F.collect_set(page)).alias("pages"))
 
 
-def text_pages(facts: DataFrame, folded: DataFrame, doc: str, fact: str, value: str, page: str, index: DataFrame | None = None) -> DataFrame:
+def text_pages(facts: DataFrame, folded: DataFrame, doc: str, fact: str, value: str, page: str) -> DataFrame:
     """(doc, fact, pages): pages that hold the folded value, or all of its significant words. Facts meet only their own document's pages.
 
-    A page that holds a value holds its significant words, so those are enough; a value without any is looked for whole, on the pages with
-    its first word. ``index``: the pages' word_index, where the caller has it.
+    A page that holds a value holds its significant words, so those are enough; a value without any is looked for whole.
     """
-    index = word_index(folded, doc, page) if index is None else index
-    f = facts.select(doc, fact, fold_text(F.col(value)).alias("needle")).filter("needle <> ''").withColumn("tokens", F.array_distinct(tokens(F.col("needle"))))
-    wanted = f.filter(F.size("tokens") > 0)
-    hits = _token_pages(wanted.select(doc, fact, F.explode("tokens").alias("token")), index, doc, fact, page)
-    full = hits.join(wanted.select(doc, fact, F.size("tokens").alias("all")), [doc, fact]).filter(F.col("hits") == F.col("all")).select(doc, fact, page)
-    rest = f.filter(F.size("tokens") == 0).select(doc, fact, "needle", F.split("needle", " ")[0].alias("word"))
-    near = rest.join(index.select(doc, page, "word"), [doc, "word"]).join(folded.select(doc, page, "folded"), [doc, page])
-    whole = near.filter(F.contains(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")), F.concat(F.lit(" "), F.col("needle"), F.lit(" ")))).select(doc, fact, page)
-    return _listed(full.unionByName(whole), doc, fact, page)
-
-
-def lab_pages(labs: DataFrame, folded: DataFrame, doc: str, fact: str, name: str, value: str, page: str, index: DataFrame | None = None) -> DataFrame:
-    """Pages with the value's first token as a whole token and any significant word of the name. ``index`` as for text_pages."""
-    index = word_index(folded, doc, page) if index is None else index
-    f = labs.select(doc, fact, F.split(fold_text(F.col(value)), " ")[0].alias("word"), tokens(fold_text(F.col(name))).alias("tokens")).filter("word <> ''")
-    there = f.join(index.select(doc, page, "word"), [doc, "word"]).select(doc, fact, page, F.size("tokens").alias("n"))
-    named = _token_pages(f.select(doc, fact, F.explode("tokens").alias("token")), index, doc, fact, page).select(doc, fact, page)
-    both = there.filter("n > 0").join(named, [doc, fact, page], "left_semi").unionByName(there.filter("n = 0"))
-    return _listed(both.select(doc, fact, page), doc, fact, page)
+    f = facts.select(doc, fact, fold_text(F.col(value)).alias("needle")).filter(F.col(doc).isNotNull() & F.col(fact).isNotNull() & (F.col("needle") != ""))
+    f = f.select(doc, F.struct(fact, "needle", F.array_distinct(tokens(F.col("needle"))).alias("tokens")).alias("f"))
+    around = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return _met(f, folded, doc, fact, page, lambda f, text, words: F.when(F.size(f["tokens"]) > 0, F.forall(f["tokens"], lambda t: _any_word(words, t))).otherwise(F.contains(around(text), around(f["needle"]))))
+
+
+def lab_pages(labs: DataFrame, folded: DataFrame, doc: str, fact: str, name: str, value: str, page: str) -> DataFrame:
+    """Pages with the value's first token as a whole token and any significant word of the name."""
+    f = labs.select(doc, fact, F.split(fold_text(F.col(value)), " ")[0].alias("word"), tokens(fold_text(F.col(name))).alias("tokens")).filter(F.col(doc).isNotNull() & F.col(fact).isNotNull() & (F.col("word") != ""))
+    f = f.select(doc, F.struct(fact, "word", "tokens").alias("f"))
+    return _met(f, folded, doc, fact, page, lambda f, _, words: F.array_contains(words, f["word"]) & ((F.size(f["tokens"]) == 0) | F.exists(f["tokens"], lambda t: _any_word(words, t))))
 
 
 def range_is_printed(span: Column, words: Column) -> Column:
@@ -82,5 +67,7 @@ def range_is_printed(span: Column, words: Column) -> Column:
 
 def labs_not_in_tables(model_labs: DataFrame, table_rows: DataFrame, doc: str, name: str, test: str) -> DataFrame:
     """The model's labs that no table row of the document already has."""
-    rows = table_rows.select(F.col(doc).alias("__doc"), F.col(test).alias("__test"))
-    return model_labs.join(rows, (F.col(doc) == F.col("__doc")) & same_test(F.col(name), F.col("__test")), "left_anti")
+    rows = table_rows.select(F.col(doc).alias("__doc"), test_key(F.col(test)).alias("__test")).groupBy("__doc").agg(F.collect_set("__test").alias("__tests"))
+    labs = model_labs.withColumn("__name", test_key(F.col(name)))
+    there = F.coalesce(F.exists("__tests", lambda t: same_key(F.col("__name"), t)), F.lit(False))
+    return labs.join(rows.hint("merge"), F.col(doc) == F.col("__doc"), "left").filter(~there).drop("__doc", "__tests", "__name")

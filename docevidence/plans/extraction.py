@@ -15,18 +15,17 @@ from docevidence.plans.scratch import saved
 
 @dataclass
 class FoldedPages:
-    """Pages (doc, page, text), folded once and written, and the inverted index of their words."""
+    """Pages (doc, page, text), folded once and written."""
 
     pages: DataFrame
     folded: DataFrame
-    index: DataFrame
 
 
 def fold(pages: DataFrame) -> FoldedPages:
     """What the checks below read; pages without text count as none."""
     pages = pages.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
     folded = saved(grounding.fold_pages(pages, "doc", "page", "text"), "folded")
-    return FoldedPages(pages, folded, grounding.word_index(folded, "doc", "page"))
+    return FoldedPages(pages, folded)
 
 
 def outcome(pages: Column, readable: Column, model_only: Column) -> Column:
@@ -43,7 +42,7 @@ def verify_items(items: DataFrame, text: FoldedPages, documents: DataFrame) -> D
     """
     pairs = items.filter(F.col("kind").isin("lab", "measurement"))
     plain = items.filter(~F.col("kind").isin("lab", "measurement"))
-    found = grounding.lab_pages(pairs, text.folded, "doc", "item", "name", "value", "page", text.index).unionByName(grounding.text_pages(plain, text.folded, "doc", "item", "name", "page", text.index))
+    found = grounding.lab_pages(pairs, text.folded, "doc", "item", "name", "value", "page").unionByName(grounding.text_pages(plain, text.folded, "doc", "item", "name", "page"))
     readable = text.folded.select("doc").distinct().withColumn("readable", F.lit(True))
     out = items.join(found, ["doc", "item"], "left").join(readable, "doc", "left").join(documents.select("doc", "model_only"), "doc", "left")
     return out.withColumn("outcome", outcome(F.col("pages"), F.col("readable"), F.col("model_only"))).drop("readable", "model_only")
@@ -149,12 +148,12 @@ def verify_extractions(outputs: DataFrame, pages: DataFrame, tables: DataFrame,
     # One join for all texts (both parts of a score are a fact each), one for all pairs.
     facts = items.filter("kind <> 'measurement'").select("doc", F.col("item"), F.explode(F.when(F.col("kind") == "score", F.array("name", "value")).otherwise(F.array("name"))).alias("value"))
     facts = facts.select("doc", F.struct("item", "value").alias("fact"), "value")
-    found = grounding.text_pages(facts, text.folded, "doc", "fact", "value", "page", text.index)
+    found = grounding.text_pages(facts, text.folded, "doc", "fact", "value", "page")
     parts = found.groupBy("doc", F.col("fact.item").alias("item")).agg(F.collect_list("pages").alias("p"))
     asked = facts.groupBy("doc", F.col("fact.item").alias("item")).agg(F.count_distinct("value").alias("n"))
     both = parts.join(asked, ["doc", "item"]).filter(F.size("p") == F.col("n"))
     both = both.select("doc", "item", F.aggregate(F.slice("p", 2, 1), F.get("p", F.lit(0)), lambda x, y: F.array_intersect(x, y)).alias("pages"))
-    measured = grounding.lab_pages(items.filter("kind = 'measurement'"), text.folded, "doc", "item", "name", "value", "page", text.index)
+    measured = grounding.lab_pages(items.filter("kind = 'measurement'"), text.folded, "doc", "item", "name", "value", "page")
     checked = items.join(both.unionByName(measured), ["doc", "item"], "left").join(readable, "doc", "left").join(documents.select("doc", "model_only"), "doc", "left")
     checked = checked.withColumn("outcome", outcome(F.col("pages"), F.col("readable"), F.col("model_only")))
     shown = F.concat_ws(" ", "name", F.nullif("value", F.lit("")), F.nullif("unit", F.lit("")))
@@ -164,7 +163,7 @@ def verify_extractions(outputs: DataFrame, pages: DataFrame, tables: DataFrame,
     labs = given.select("doc", F.posexplode("labs").alias("no", "l")).select("doc", F.format_string("%08d", "no").alias("item"), "l.*")
     keyed = text.pages.select("doc", "page", "text")
     rows = tables.withColumn("item", F.concat(F.lit("t"), F.col("item").cast("string"))).withColumn("page", F.struct(F.coalesce(F.col("page").cast("int"), F.lit(0)).alias("page"), (F.col("filename") if "filename" in tables.columns else F.lit(None).cast("string")).alias("filename")))
-    verified = verify_labs(labs, FoldedPages(keyed, text.folded, text.index), rows, documents)
+    verified = verify_labs(labs, FoldedPages(keyed, text.folded), rows, documents)
     files = lambda a: F.size(F.array_distinct(F.transform(a, lambda p: p["filename"])))
     numbers = F.array_sort(F.array_distinct(F.transform(F.filter("pages", lambda p: p["page"] > 0), lambda p: p["page"])))
     one_file = files(F.col("pages")) == 1

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from docevidence.functions import labs, sql, text
-from docevidence.operators import assess, blocks, quality, retrieval, structure
+from docevidence.operators import assess, blocks, grounding, quality, retrieval, structure
 from docevidence.operators.structure import _pieces
 from docevidence.sources import vocabulary
 
@@ -94,3 +94,13 @@ def test_flag_reads_its_value_once(spark):
     out = spark.createDataFrame([("5 g", "1 - 4"), ("0,5", "1 to 4"), ("2", "<3"), ("x", "1 - 2"), ("2", "9 - 1"), (None, "1 - 2")], "v string, r string").select(labs.normalize_flag(F.left(flag, F.lit(1))).alias("f"))
     assert plan(out).count("<>=≤≥") == 1
     assert [r.f for r in out.collect()] == ["High", "Low", "Normal", None, None, None]
+
+
+def test_facts_meet_pages_without_word_rows(spark):
+    pages = grounding.fold_pages(spark.createDataFrame([(1, 1, "Iron 5.1 of the"), (1, 2, "irons at 7"), (2, 1, "iron")], "doc int, page int, t string"), "doc", "page", "t")
+    facts = spark.createDataFrame([(1, "a", "IRON"), (1, "b", "of the"), (1, "c", "iron 7"), (2, "d", "zinc"), (3, "e", "iron")], "doc int, fact string, v string")
+    out = grounding.text_pages(facts, pages, "doc", "fact", "v", "page")
+    assert plan(out).count("Generate") == 1 and "Broadcast" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", [1, 2]), (1, "b", [1])]
+    labs_of = spark.createDataFrame([(1, 1, "Iron level", "5.1"), (1, 2, "at", "7"), (1, 3, "zinc", "7")], "doc int, item int, name string, value string")
+    assert sorted(map(tuple, grounding.lab_pages(labs_of, pages, "doc", "item", "name", "value", "page").collect())) == [(1, 1, [1]), (1, 2, [2])]
