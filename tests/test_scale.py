@@ -101,6 +101,14 @@ def test_facts_meet_pages_without_word_rows(spark):
     facts = spark.createDataFrame([(1, "a", "IRON"), (1, "b", "of the"), (1, "c", "iron 7"), (2, "d", "zinc"), (3, "e", "iron")], "doc int, fact string, v string")
     out = grounding.text_pages(facts, pages, "doc", "fact", "v", "page")
     assert plan(out).count("Generate") == 1 and "Broadcast" not in plan(out)
-    assert sorted(map(tuple, out.collect())) == [(1, "a", [1, 2]), (1, "b", [1])]
+    assert sorted(map(tuple, out.collect())) == [(1, "a", [1, 2]), (1, "b", [1]), (1, "c", [1, 2])]
     labs_of = spark.createDataFrame([(1, 1, "Iron level", "5.1"), (1, 2, "at", "7"), (1, 3, "zinc", "7")], "doc int, item int, name string, value string")
     assert sorted(map(tuple, grounding.lab_pages(labs_of, pages, "doc", "item", "name", "value", "page").collect())) == [(1, 1, [1]), (1, 2, [2])]
+
+
+def test_embedding_needs_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "Iron iron b 12 ÉTÉ-été"), (2, None), (3, ""), (4, "a b"), (5, "x1 x2 x3 " * 40)], "id int, t string")
+    out = retrieval.embed_rows(rows, "id", "t", 16)
+    assert "Exchange" not in plan(out)
+    want = rows.select("id", retrieval.hash_embed(F.coalesce("t", F.lit("")), 16).alias("values"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
