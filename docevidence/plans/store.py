@@ -47,8 +47,8 @@ def document_segments(uploads: DataFrame, segments: DataFrame | None) -> DataFra
     if segments is None:
         rows = plain
     else:
-        given = segments.select("document_id", "seg_idx", F.coalesce("content_type", F.lit("text")).alias("content_type"), "page", "table_id", "text").join(uploads.select("document_id"), "document_id", "left_semi")
-        rows = given.unionByName(plain.join(given.select("document_id").distinct(), "document_id", "left_anti"))
+        given = segments.select("document_id", "seg_idx", F.coalesce("content_type", F.lit("text")).alias("content_type"), "page", "table_id", "text").join(uploads.select("document_id").hint("shuffle_merge"), "document_id", "left_semi")  # ids of a whole batch are no broadcast
+        rows = given.unionByName(plain.join(given.select("document_id").distinct().hint("shuffle_merge"), "document_id", "left_anti"))
     return rows.withColumn("text", normalize_text(F.coalesce("text", F.lit("")))).filter("text <> ''")
 
 
@@ -83,8 +83,7 @@ def index_documents(uploads: DataFrame, documents: tables.Table, vectors: tables
             F.lit(space).alias("embedding_space"), "text", "truncated",
         ), "chunks",
     )
-    values = embedder.embed(rows, "id", "text", ["namespace"])
-    vectors.upsert(rows.join(values, ["namespace", "id"]), mark=mark)
+    vectors.upsert(embedder.embed(rows, "id", "text", [c for c in rows.columns if c != "id"]), mark=mark)  # no join back to the texts
     counted = rows.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.bool_or("truncated").alias("truncated"))
     done = fresh.join(full, "document_id", "left").join(counted, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
     blank = F.col("text_chars").isNull()
