@@ -101,7 +101,7 @@ def ingest_references(texts: DataFrame, sidecars: DataFrame, registry: DataFrame
     both = both.withColumn("reasons", missing).withColumn("outcome", outcome).withColumnRenamed("sourceId", "source_id")
     taken = both.filter("outcome = 'indexed'")
     chunks = saved(reference_chunks(reference_segments(taken.select("source_id", "text"), "source_id"), taken, space), "reference-chunks")
-    return both.select("stem", "source_id", "sha256", "outcome", "reasons"), chunks.join(embedder.embed(chunks, "id", "text"), "id")
+    return both.select("stem", "source_id", "sha256", "outcome", "reasons"), embedder.embed(chunks, "id", "text", [c for c in chunks.columns if c != "id"])
 
 
 def replace_partition(rows: DataFrame, path: str, by: str) -> None:
@@ -120,12 +120,12 @@ def term_vectors(records: DataFrame, dataset: str, dataset_name: str, organizati
     The content hash is over term, aliases and definition; a descriptor's mesh id is its own. Skipped records are left out.
     """
     rows = records.filter("skip_reason is null") if "skip_reason" in records.columns else records
-    rows = rows.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = rows.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).repartition("record_id")  # short records: one file has many
     rows = vocabulary.alias_keys(rows).withColumn("to_embed", vocabulary.embedding_text(F.col("term"), F.col("aliases"), F.col("definition")))
     digest = content_hash(F.concat_ws("\n", "term", F.array_join("aliases", "|"), "definition"), 16)
     own = F.when(F.lit(dataset == "mesh"), F.regexp_replace("record_id", "^mesh:", "")).otherwise(F.col("mesh_id"))
     out = rows.select(F.col("record_id").alias("id"), F.lit("terminology").alias("domain"), F.col("record_id").alias("chunk_id"), F.lit(dataset).alias("dataset"), F.lit(dataset_name).alias("dataset_name"), F.lit(organization).alias("organization"), F.lit(version).alias("version"), "term", term_key(F.col("term")).alias("term_key"), F.coalesce("alias_keys", F.array().cast("array<string>")).alias("alias_keys"), "aliases", F.col("definition").alias("text"), digest.alias("content_hash"), F.lit(space).alias("embedding_space"), "url", "published", own.alias("mesh_id"), "to_embed")
-    return out.join(chosen(embedder, space, dims).embed(out, "id", "to_embed"), "id").drop("to_embed")
+    return chosen(embedder, space, dims).embed(out, "id", "to_embed", [c for c in out.columns if c not in ("id", "to_embed")])  # no join back
 
 
 def stale_ids(known: DataFrame, current: DataFrame, key: str = "id") -> DataFrame:

@@ -79,6 +79,7 @@ def retrieve_terms(questions: DataFrame, terms: DataFrame, space: str | None = N
     space, dims = space or embedder.space, embedder.dims
     cleaned = F.left(trim(F.coalesce("question", F.lit(""))), F.lit(300))
     q = questions.select("query_id", cleaned.alias("cleaned")).withColumn("keys", lookup_keys(F.col("cleaned"))).withColumn("asked", F.coalesce(definition_term(F.col("cleaned")), F.col("cleaned"))).withColumn("embedding_space", F.lit(space))
+    q = saved(q, "questions")  # read from here, no filter on keys moves below the caller's distinct, where each row's keys would be made
     asked = q.filter("cleaned <> ''")
     vectors = saved(embedder.embed(asked, "query_id", "asked", ["embedding_space"], query=True), "asked")
     own = retrieval.same_space(terms, space, dims)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docevidence.operators import retrieval
-from docevidence.plans import store, tables
+from docevidence.plans import ingest, questions, store, tables
 
 
 def plan(df):
@@ -24,3 +24,16 @@ def test_vectors_are_not_joined_back_to_their_texts(spark, tmp_path, monkeypatch
     assert [tuple(r) for r in got] == [(f"d{n}#0", f"iron {n} of the liver", True) for n in range(5)]
     store.index_documents(uploads.withColumn("text", F.lit("new text")).limit(1), documents, vectors, dims=16)
     assert vectors.read().count() == 5 and vectors.read().filter("text = 'new text'").count() == 1
+
+
+def test_keys_of_questions_are_made_once(spark, monkeypatch):
+    records = spark.createDataFrame([("a", "iron", ["Fe"], "metal"), ("b", "zinc", None, "metal too")], "record_id string, term string, aliases array<string>, definition string")
+    records = records.withColumns({c: F.lit(None).cast("string") for c in ("url", "published", "mesh_id")})
+    terms = ingest.term_vectors(records, "mesh", "M", "O", "1", "hash@16", 16)
+    assert "Join" not in plan(terms)
+    seen, topk = [], retrieval.vector_topk
+    monkeypatch.setattr(retrieval, "vector_topk", lambda q, *a, **k: seen.append(plan(q)) or topk(q, *a, **k))
+    asked = spark.createDataFrame([("What is iron?",)] * 9, "question string").distinct().withColumn("query_id", F.col("question"))
+    hits, status = questions.retrieve_terms(asked, terms, "hash@16", 16)
+    assert len(seen) == 2 and not any("decompose" in p for p in seen)
+    assert [tuple(r) for r in hits.select("id", "match").collect()] == [("a", "exact_term")] and status.first()["status"] == "ok"
