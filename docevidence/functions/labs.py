@@ -22,11 +22,14 @@ NUMBER = r"-?\d+(?:[.,]\d+)?"
 
 def column_role(header: Column) -> Column:
     """L1"""
-    h = trim(header)
-    out = F.lit(None).cast("string")
-    for role, pattern in reversed(ROLES):
-        out = F.when(h.rlike("(?i)" + pattern), role).otherwise(out)
-    return out
+
+    def role_of(h: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for role, pattern in reversed(ROLES):
+            out = F.when(h.rlike("(?i)" + pattern), role).otherwise(out)
+        return out
+
+    return F.transform(F.array(trim(header)), role_of)[0]  # trimmed once
 
 
 def roles_of(cells: Column) -> Column:
@@ -34,9 +37,10 @@ def roles_of(cells: Column) -> Column:
 
 
 def is_lab_header(cells: Column) -> Column:
-    """L2: names a test and a result column."""
-    roles = F.filter(roles_of(cells), lambda r: r.isNotNull())
-    return F.array_contains(roles, "test") & F.array_contains(roles, "result")
+    """L2: names a test and a result column. Most rows have no cell that looks like a result's name; of the others alone the roles are found."""
+    pattern = "(?im)" + dict(ROLES)["result"].replace("^", f"^{WS}*", 1)
+    found = F.transform(F.array(F.filter(roles_of(cells), lambda r: r.isNotNull())), lambda roles: F.array_contains(roles, "test") & F.array_contains(roles, "result"))[0]
+    return F.when(cells.isNotNull(), F.array_join(cells, "\n").rlike(pattern) & found)
 
 
 def normalize_flag(flag: Column) -> Column:
@@ -57,12 +61,12 @@ def cell_number(cell: Column) -> Column:
 
 
 def map_row(cells: Column, roles: Column) -> Column:
-    """A row as a struct by the first column of each role; null without test or result."""
+    """A row as a struct by the first column of each role; null without test or result. Plain expressions that repeat: generated code
+    computes equal ones once a row, where ``cells`` and ``roles`` are columns."""
 
     def get(role: str) -> Column:
-        at = F.array_position(F.transform(roles, lambda r: F.coalesce(r, F.lit(""))), role)
-        value = trim(F.get(cells, (at - 1).cast("int")))
-        return F.when((at > 0) & (value != ""), value)
+        value = trim(F.get(cells, F.array_position(roles, role).cast("int") - 1))
+        return F.when(value != "", value)
 
     row = F.struct(get("test").alias("test"), get("result").alias("result"), cell_number(get("result")).alias("numeric_result"), get("unit").alias("unit"), get("referenceRange").alias("reference_range"), normalize_flag(get("flag")).alias("flag"), get("date").alias("date"))
     return F.when(get("test").isNotNull() & get("result").isNotNull(), row)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,23 +41,67 @@ def layout_cells(lines: DataFrame, doc: str = "document_id", page: str = "page")
     return parts.groupBy(*by_line, "cell").agg(F.min("x").alias("x"), F.trim(F.array_join(F.transform(pieces, lambda p: p["s"]), "")).alias("text"))
 
 
+def line_cells(items: DataFrame, doc: str = "document_id", page: str = "page") -> DataFrame:
+    """L14 and L15 at once: (doc, page, line, c: cells as array<struct<x, text>>), as layout_cells of layout_lines gives them where no two
+    words of a line have one place and text.
+
+    A page's sorted items are cut into lines and these into cells within the page's row, so words are neither rows again nor sorted and
+    grouped by line and by cell.
+    """
+    full = items.filter(F.trim("str") != "")
+    pages = full.groupBy(doc, page).agg(F.sort_array(F.collect_list(F.struct((-F.col("y")).cast("double").alias("up"), F.col("x").cast("double").alias("x"), "str", F.col("width").cast("double").alias("width")))).alias("items"))
+    word = "struct<up:double,x:double,str:string,width:double>"
+    begin = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast(f"array<array<{word}>>").alias("done"), F.array().cast(f"array<{word}>").alias("open"))
+
+    def place(s: Column, i: Column) -> Column:
+        """A word joins the open line, or closes it and begins the next."""
+        more = F.struct(s["anchor"].alias("anchor"), s["done"].alias("done"), F.concat(s["open"], F.array(i)).alias("open"))
+        next_line = F.struct(i["up"].alias("anchor"), F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"), F.array(i).alias("open"))
+        return F.when(F.abs(i["up"] - s["anchor"]) <= LINE_GAP, more).otherwise(next_line)
+
+    def join(cells: Column, w: Column) -> Column:
+        """The cells so far (x, text, right) with one more word."""
+        last = F.try_element_at(cells, F.lit(-1))
+        gap = w["x"] - last["right"]
+        right = (w["x"] + w["width"]).alias("right")
+        grown = F.struct(last["x"].alias("x"), F.concat(last["text"], F.when(gap > WORD_GAP, " ").otherwise(""), w["str"]).alias("text"), right)
+        own = F.struct(w["x"].alias("x"), w["str"].alias("text"), right)
+        return F.when(F.coalesce(gap.between(-OVERLAP, CELL_GAP), F.lit(False)), F.concat(F.slice(cells, 1, F.size(cells) - 1), F.array(grown))).otherwise(F.concat(cells, F.array(own)))
+
+    none = F.array().cast("array<struct<x:double,text:string,right:double>>")
+
+    def cells_of(words: Column) -> Column:
+        level = F.element_at(words, 1)["up"] == F.element_at(words, -1)["up"]  # in order of x already
+        fields = lambda w: F.struct(w["x"].alias("x"), w["str"].alias("str"), w["width"].alias("width"))
+        ordered = F.when(level, F.transform(words, fields)).otherwise(F.sort_array(F.transform(words, fields)))
+        return F.sort_array(F.transform(F.aggregate(ordered, none, join), lambda c: F.struct(c["x"].alias("x"), F.trim(c["text"]).alias("text"))))
+
+    lines = F.aggregate("items", begin, place, lambda s: F.concat(s["done"], F.array(s["open"])))
+    return pages.select(doc, page, F.posexplode(F.transform(lines, cells_of)).alias("line", "c"))
+
+
 def layout_tables(cells: DataFrame, doc: str = "document_id", page: str = "page") -> DataFrame:
     """Rows of tables found by position: doc, page, table_id, row_index and the fields of labs.map_row.
 
     A header is a line of three cells or more that names test and result; its body are the next lines of two cells or more; a cell
     belongs to the last column that starts no later than COLUMN_SLACK after it.
     """
-    by_page = Window.partitionBy(doc, page).orderBy("line")
-    rows = cells.groupBy(doc, page, "line").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("c"))
-    texts = F.transform("c", lambda c: c["text"])
-    rows = rows.withColumn("wide", F.size("c") >= 2).withColumn("head", (F.size("c") >= 3) & labs.is_lab_header(texts))
+    return line_tables(cells.groupBy(doc, page, "line").agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("c")), doc, page)
+
+
+def line_tables(rows: DataFrame, doc: str = "document_id", page: str = "page") -> DataFrame:
+    """L16 of lines with their cells (line_cells). The roles of a header's cells are found once, in its own line."""
+    by_page, run = Window.partitionBy(doc, page).orderBy("line"), Window.partitionBy(doc, page, "stop").orderBy("line")
+    texts = F.col("c")["text"]
+    rows = rows.withColumn("wide", F.size("c") >= 2).withColumn("head", F.when((F.size("c") >= 3) & labs.is_lab_header(texts), F.struct("line", F.col("c")["x"].alias("x"), labs.roles_of(texts).alias("roles"))))
     rows = rows.withColumn("stop", F.sum((~F.col("wide")).cast("int")).over(by_page)).filter("wide")
-    run = Window.partitionBy(doc, page, "stop").orderBy("line")
-    rows = rows.withColumn("h", F.first(F.when(F.col("head"), F.struct("line", "c")), ignorenulls=True).over(run)).filter(F.col("h").isNotNull() & (F.col("line") > F.col("h.line")))
-    column = F.transform("c", lambda c: F.struct(F.greatest(F.size(F.filter(F.col("h.c"), lambda h: h["x"] <= c["x"] + COLUMN_SLACK)) - 1, F.lit(0)).alias("k"), c["text"].alias("t")))
-    rows = rows.withColumn("k", column).withColumn("row", F.transform(F.sequence(F.lit(0), F.size("h.c") - 1), lambda n: F.array_join(F.transform(F.filter("k", lambda c: c["k"] == n), lambda c: c["t"]), " ")))
-    rows = rows.withColumn("row_index", F.row_number().over(run) - 1).withColumn("n", F.dense_rank().over(Window.partitionBy(doc, page).orderBy("h.line")) - 1)
-    rows = rows.withColumn("r", labs.map_row(F.col("row"), labs.roles_of(F.transform("h.c", lambda c: c["text"])))).filter("r is not null")
+    rows = rows.withColumn("h", F.first("head", ignorenulls=True).over(run)).filter(F.col("h").isNotNull() & (F.col("line") > F.col("h.line")))
+    column = F.transform("c", lambda c: F.struct(F.greatest(F.size(F.filter(F.col("h.x"), lambda x: x <= c["x"] + COLUMN_SLACK)) - 1, F.lit(0)).alias("k"), c["text"].alias("t")))
+    row = F.transform(F.sequence(F.lit(0), F.size("h.x") - 1), lambda n: F.array_join(F.transform(F.filter("k", lambda c: c["k"] == n), lambda c: c["t"]), " "))
+    plain = F.col("k")["k"] == F.sequence(F.lit(0), F.size("h.x") - 1)  # a cell for each column
+    rows = rows.withColumn("k", column).withColumn("row", F.when(plain, F.col("k")["t"]).otherwise(row)).withColumn("r", labs.map_row(F.col("row"), F.col("h.roles")))
+    # Before the windows, so that rows are mapped once; a run has one header, so tables count up with the runs.
+    rows = rows.withColumn("row_index", F.row_number().over(run) - 1).withColumn("n", F.dense_rank().over(Window.partitionBy(doc, page).orderBy("stop")) - 1).filter("r is not null")
     return rows.select(doc, page, F.concat(F.lit("p"), F.col(page).cast("string"), F.lit("-t"), F.col("n").cast("string")).alias("table_id"), "row_index", "r.*")
 
 
@@ -101,9 +145,9 @@ def table_segments(rows: DataFrame, doc: str, table: str, order: str, page: str
     fields = F.struct("test", "result", "unit", "reference_range", "flag", "date")
     numbered = rows.withColumn("part", F.floor((F.row_number().over(Window.partitionBy(doc, table).orderBy(order)) - 1) / per_chunk))
     shown = labs.row_text(fields, F.col(page) if page else None)
-    out = numbered.groupBy(doc, table, "part").agg(F.array_sort(F.collect_list(F.struct(order, shown.alias("t")))).alias("r"), *([F.min_by(page, order).alias("page")] if page else []))
+    out = numbered.groupBy(doc, table, "part").agg(F.sort_array(F.collect_list(F.struct(order, shown.alias("t")))).alias("r"), *([F.min_by(page, order).alias("page")] if page else []))
     head = F.concat(F.lit("Lab results table ("), F.col(table).cast("string"), F.lit(")"))
-    return out.select(doc, table, "part", *(["page"] if page else []), F.concat_ws("\n\n", head, F.array_join(F.transform("r", lambda s: s["t"]), "\n\n")).alias("text"))
+    return out.select(doc, table, "part", *(["page"] if page else []), F.concat_ws("\n\n", head, F.array_join(F.col("r")["t"], "\n\n")).alias("text"))
 
 
 def reference_table_segments(rows: DataFrame, tables: DataFrame, doc: str, table: str, order: str) -> DataFrame:

@@ -518,13 +518,15 @@ SELECT 'user-' || (doc % 5) AS namespace, doc || '#' || i AS id, CAST(i AS INTEG
 """)
 def indexed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part is a document of one page, where its order lines stand as words with positions below a header."""
-    order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    line = table(spark, sf_dir, "lineitem").withColumn("y", 5000.0 - 12 * F.row_number().over(order))
-    word = lambda text, x, width: F.struct(text.alias("str"), F.lit(float(x)).alias("x"), F.lit(float(width)).alias("width"))
-    cells = F.array(word(F.lit("analyte"), 0, 40), word(F.col("l_linenumber").cast("string"), 43, 8), word(F.col("l_quantity").cast("int").cast("string"), 90, 10), word(F.lit("mmol"), 150, 30))
-    head = line.select("l_partkey").distinct().select("l_partkey", F.lit(5000.0).alias("y"), F.explode(F.array(word(F.lit("Test"), 0, 30), word(F.lit("Result"), 90, 40), word(F.lit("Unit"), 150, 30))).alias("w"))
-    items = line.select("l_partkey", "y", F.explode(cells).alias("w")).unionByName(head).select(F.col("l_partkey").cast("string").alias("document_id"), F.lit(1).alias("page"), "y", "w.*")
-    rows = layout.layout_tables(layout.layout_cells(layout.layout_lines(items)))
+    order = Window.partitionBy("document_id").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    line = table(spark, sf_dir, "lineitem").withColumn("document_id", F.col("l_partkey").cast("string")).withColumn("n", F.row_number().over(order))
+    word = lambda text, x, width, y: F.struct(y.alias("y"), text.alias("str"), F.lit(float(x)).alias("x"), F.lit(float(width)).alias("width"))
+    y, top = 5000.0 - 12 * F.col("n"), F.lit(5000.0)
+    cells = F.array(word(F.lit("analyte"), 0, 40, y), word(F.col("l_linenumber").cast("string"), 43, 8, y), word(F.col("l_quantity").cast("int").cast("string"), 90, 10, y), word(F.lit("mmol"), 150, 30, y))
+    head = F.array(word(F.lit("Test"), 0, 30, top), word(F.lit("Result"), 90, 40, top), word(F.lit("Unit"), 150, 30, top))
+    words = F.when(F.col("n") == 1, F.concat(head, cells)).otherwise(cells)  # a page's header comes with its first line
+    items = line.select("document_id", F.lit(1).alias("page"), F.inline(words))
+    rows = layout.line_tables(layout.line_cells(items))
     segments = layout.table_segments(rows, "document_id", "table_id", "row_index", "page").select("document_id", (F.col("part") + 1).cast("int").alias("seg_idx"), F.lit("table").alias("content_type"), "page", "table_id", "text")
     parts = table(spark, sf_dir, "part").withColumn("document_id", F.col("p_partkey").cast("string"))
     text = parts.select("document_id", F.lit(0).alias("seg_idx"), F.lit("text").alias("content_type"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("table_id"), F.concat_ws(" ", "p_name", F.lit("of"), "p_brand").alias("text"))

@@ -1,8 +1,11 @@
 """Steps that took more than their share on larger tables: joins back to embedded texts, keys of repeated questions, words as rows."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from docevidence.operators import retrieval
+from docevidence.functions import text
+from docevidence.operators import layout, retrieval
 from docevidence.plans import ingest, questions, store, tables
 
 
@@ -37,3 +40,28 @@ def test_keys_of_questions_are_made_once(spark, monkeypatch):
     hits, status = questions.retrieve_terms(asked, terms, "hash@16", 16)
     assert len(seen) == 2 and not any("decompose" in p for p in seen)
     assert [tuple(r) for r in hits.select("id", "match").collect()] == [("a", "exact_term")] and status.first()["status"] == "ok"
+
+
+def test_cells_of_lines_without_word_rows(spark):
+    rng = random.Random(9)
+    rows = [(f"d{d}", p, rng.choice(["a", "bb", " ", " c", "Test", "Result"]), float(rng.choice([0, 5, 12, 30, 33, 90])), rng.choice([100.0, 99.0, 98.5, 97.5, 95.0, 60.0]), 0.0) for d in range(12) for p in (1, 2) for _ in range(rng.randint(0, 25))]
+    rows = [(*r[:5], {"a": 3.0, "bb": 8.0, "Test": 20.0}.get(r[2], 11.0)) for r in rows]  # words at one place with one text have one width
+    rows = list({r[:4]: r for r in rows}.values())  # layout_cells puts words of one text and place in one cell
+    items = spark.createDataFrame(rows, "document_id string, page int, str string, x double, y double, width double")
+    apart = layout.layout_cells(layout.layout_lines(items)).groupBy("document_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("c"))
+    at_once = layout.line_cells(items)
+    assert "Window" not in plan(at_once) and plan(at_once).count("Exchange") == 1
+    assert sorted(map(tuple, at_once.collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_even_texts_stay_as_they_are(spark):
+    rng = random.Random(10)
+    made = ["".join(rng.choices(["a", "b ", " ", "\n", "\t", "\r", "\x0b", "\x07", " ", " ", "é"], k=rng.randint(0, 9))) for _ in range(2000)]
+
+    def always(c):
+        for pattern, to in ((r"\r\n?", "\n"), (text.CONTROL, ""), (text.BLANKS, " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
+            c = F.regexp_replace(c, pattern, to)
+        return text.trim(c)
+
+    out = spark.createDataFrame([(t,) for t in [*made, None]], "t string").select(text.normalize_text(F.col("t")).alias("a"), always(F.col("t")).alias("b"))
+    assert out.filter("NOT a <=> b").count() == 0
