@@ -13,6 +13,12 @@ from docevidence.operators import grounding, prompting, structure
 from docevidence.plans.scratch import saved
 
 
+def by_document(df: DataFrame) -> DataFrame:
+    """The right side of a join by document: it has rows for all documents, so it is merged. Constant columns make its files so small that Spark would
+    take it for a broadcast, which the driver builds from every document's key."""
+    return df.hint("merge")
+
+
 @dataclass
 class FoldedPages:
     """Pages (doc, page, text), folded once and written."""
@@ -44,7 +50,7 @@ def verify_items(items: DataFrame, text: FoldedPages, documents: DataFrame) -> D
     plain = items.filter(~F.col("kind").isin("lab", "measurement"))
     found = grounding.lab_pages(pairs, text.folded, "doc", "item", "name", "value", "page").unionByName(grounding.text_pages(plain, text.folded, "doc", "item", "name", "page"))
     readable = text.folded.select("doc").distinct().withColumn("readable", F.lit(True))
-    out = items.join(found, ["doc", "item"], "left").join(readable, "doc", "left").join(documents.select("doc", "model_only"), "doc", "left")
+    out = items.join(by_document(found), ["doc", "item"], "left").join(by_document(readable), "doc", "left").join(by_document(documents.select("doc", "model_only")), "doc", "left")
     return out.withColumn("outcome", outcome(F.col("pages"), F.col("readable"), F.col("model_only"))).drop("readable", "model_only")
 
 
@@ -63,13 +69,14 @@ def verify_labs(labs: DataFrame, pages: DataFrame | FoldedPages, tables: DataFra
         "doc", "item", clean_lab_name(F.col("test")).alias("name"), F.col("result").alias("value"), F.coalesce("unit", F.lit("")).alias("unit"), F.col("reference_range").alias("normal_range"), flag.alias("flag"), lab_rules.lab_is_out(flag, F.lit(False)).alias("is_abnormal"),
         F.when(given, "table").when(computed.isNotNull(), "printed_range").otherwise("model").alias("flag_source"), "page", F.array("page").alias("pages"), F.lit("table").alias("source"), F.lit("kept").alias("outcome"),
     )
-    model = labs.select("doc", "item", clean_lab_name(F.col("name")).alias("name"), trim(F.col("value")).alias("value"), trim(F.coalesce("unit", F.lit(""))).alias("unit"), trim(F.coalesce("normal_range", F.lit(""))).alias("normal_range"), "is_abnormal", F.lit("lab").alias("kind"))
-    model = saved(grounding.labs_not_in_tables(model.filter("name <> '' AND value <> ''"), tables, "doc", "name", "test"), "labs")
+    named = labs.filter((trim(F.col("name")) != "") & (trim(F.col("value")) != ""))  # by what is read at once: a cleaned name is empty where the name is
+    model = named.select("doc", "item", clean_lab_name(F.col("name")).alias("name"), trim(F.col("value")).alias("value"), trim(F.coalesce("unit", F.lit(""))).alias("unit"), trim(F.coalesce("normal_range", F.lit(""))).alias("normal_range"), "is_abnormal", F.lit("lab").alias("kind"))
+    model = saved(grounding.labs_not_in_tables(model, tables, "doc", "name", "test"), "labs")
     text = pages if isinstance(pages, FoldedPages) else fold(pages)
     checked = saved(verify_items(model, text, documents), "checked-labs")
-    printed = checked.select("doc", "item", "normal_range", F.explode("pages").alias("page")).join(text.folded.select("doc", "page", "words"), ["doc", "page"])
+    printed = checked.select("doc", "item", "normal_range", F.explode("pages").alias("page")).join(by_document(text.folded.select("doc", "page", "words")), ["doc", "page"])
     printed = printed.filter(grounding.range_is_printed(F.col("normal_range"), F.col("words"))).groupBy("doc", "item").agg(F.array_sort(F.collect_set("page")).alias("range_pages"))
-    out = checked.join(printed, ["doc", "item"], "left")
+    out = checked.join(by_document(printed), ["doc", "item"], "left")
     untested = F.col("pages").isNull() & (F.col("outcome") == "kept")  # a document without any text: nothing to test against
     span = F.when(untested | F.col("range_pages").isNotNull(), F.nullif("normal_range", F.lit("")))
     found = F.when((F.size("pages") > 1) & F.col("range_pages").isNotNull(), F.col("range_pages")).otherwise(F.col("pages"))
@@ -88,11 +95,11 @@ def verify_identity(claimed: DataFrame, identity: DataFrame, pages: DataFrame |
     texts = pages if isinstance(pages, FoldedPages) else fold(pages)
     c = claimed.select("doc", trim(F.coalesce("name", F.lit(""))).alias("m_name"), F.when(F.col("age") > 0, F.round("age").cast("int")).alias("m_age"), trim(F.coalesce("gender", F.lit(""))).alias("m_gender"))
     names = verify_items(c.select("doc", F.lit(1).alias("item"), F.lit("name").alias("kind"), F.col("m_name").alias("name"), F.lit("").alias("value")), texts, documents).select("doc", "outcome")
-    both = c.join(texts.pages.select("doc", "text"), "doc", "left")
+    both = c.join(by_document(texts.pages.select("doc", "text")), "doc", "left")
     age = F.coalesce(F.rlike("text", F.concat(F.lit(r"(?i)\b"), F.col("m_age").cast("string"), F.lit(r"\s*(?:y|yr|yrs|years?)?\b"))), F.lit(False))
     gender = F.coalesce(F.rlike("text", F.concat(F.lit(r"(?i)\b"), F.regexp_replace("m_gender", "[^A-Za-z]", ""), F.lit(r"\b"))), F.lit(False))
     seen = both.groupBy("doc").agg(F.count("text").alias("n"), F.bool_or(age).alias("age_there"), F.bool_or(gender).alias("gender_there"))
-    out = c.join(names, "doc", "left").join(seen, "doc", "left").join(identity.select("doc", "name", "age", "gender"), "doc", "left")
+    out = c.join(by_document(names), "doc", "left").join(by_document(seen), "doc", "left").join(by_document(identity.select("doc", "name", "age", "gender")), "doc", "left")
     blank = F.col("n") == 0
     return out.select(
         "doc", F.coalesce("name", F.when(F.col("outcome") == "kept", F.col("m_name")), F.lit("")).alias("name"), F.coalesce("age", F.when(blank | F.col("age_there"), F.col("m_age"))).alias("age"),
@@ -151,10 +158,10 @@ def verify_extractions(outputs: DataFrame, pages: DataFrame, tables: DataFrame,
     found = grounding.text_pages(facts, text.folded, "doc", "fact", "value", "page")
     parts = found.groupBy("doc", F.col("fact.item").alias("item")).agg(F.collect_list("pages").alias("p"))
     asked = facts.groupBy("doc", F.col("fact.item").alias("item")).agg(F.count_distinct("value").alias("n"))
-    both = parts.join(asked, ["doc", "item"]).filter(F.size("p") == F.col("n"))
+    both = parts.join(by_document(asked), ["doc", "item"]).filter(F.size("p") == F.col("n"))
     both = both.select("doc", "item", F.aggregate(F.slice("p", 2, 1), F.get("p", F.lit(0)), lambda x, y: F.array_intersect(x, y)).alias("pages"))
     measured = grounding.lab_pages(items.filter("kind = 'measurement'"), text.folded, "doc", "item", "name", "value", "page")
-    checked = items.join(both.unionByName(measured), ["doc", "item"], "left").join(readable, "doc", "left").join(documents.select("doc", "model_only"), "doc", "left")
+    checked = items.join(by_document(both.unionByName(measured)), ["doc", "item"], "left").join(by_document(readable), "doc", "left").join(by_document(documents.select("doc", "model_only")), "doc", "left")
     checked = checked.withColumn("outcome", outcome(F.col("pages"), F.col("readable"), F.col("model_only")))
     shown = F.concat_ws(" ", "name", F.nullif("value", F.lit("")), F.nullif("unit", F.lit("")))
     shown = F.when(F.col("kind") == "score", F.concat_ws(": ", "name", "value")).when(F.col("kind") == "note", F.left("name", F.lit(80))).otherwise(shown)
@@ -176,7 +183,7 @@ def verify_extractions(outputs: DataFrame, pages: DataFrame, tables: DataFrame,
 
     identity = structure.extract_identity(every, "doc", "page", "text")
     who = saved(verify_identity(given.select("doc", "name", "age", "gender"), identity, text, documents), "identity")
-    names = who.filter(F.col("name_outcome").isin("unverified", "dropped")).join(given.select("doc", trim(F.col("name")).alias("claimed")), "doc")
+    names = who.filter(F.col("name_outcome").isin("unverified", "dropped")).join(by_document(given.select("doc", trim(F.col("name")).alias("claimed"))), "doc")
     names = names.select("doc", F.lit("name").alias("kind"), F.lit(0).alias("no"), F.col("claimed").alias("name"), F.lit("").alias("value"), F.lit("").alias("unit"), F.col("name_outcome").alias("outcome"), F.col("claimed").alias("shown"))
 
     everything = saved(checked.unionByName(of_labs).unionByName(names), "outcomes")
@@ -197,7 +204,9 @@ def verify_extractions(outputs: DataFrame, pages: DataFrame, tables: DataFrame,
     other = F.transform(F.coalesce("other_names", F.array().cast(identity.schema["other_names"].dataType)), lambda o: F.concat(head, o["name"], F.lit('"'), F.when(o["page"] > 0, F.concat(F.lit(", page "), o["page"].cast("string"))).otherwise(""), F.lit('); the patient name was taken from the "Patient Name" field.')))
     gone = F.concat(F.size("dropped").cast("string"), F.lit(" item(s) proposed by the AI were not found in the document text and were discarded ("), F.array_join(F.slice("dropped", 1, SHOWN_DROPPED), "; "), F.when(F.size("dropped") > SHOWN_DROPPED, "; …").otherwise(""), F.lit(")."))
     verbatim = prompting.verbatim_text(own.filter(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("text", F.trim("text")), "doc", "filename", "page", "text").withColumnRenamed("text", "verbatim")
-    out = given.select("doc", "imaging", "narrative", "limitations").join(who, "doc").join(nested, "doc", "left").join(nested_labs, "doc", "left").join(identity.select("doc", "other_names"), "doc", "left").join(verbatim, "doc", "left").join(documents.withColumnRenamed("notes", "known"), "doc", "left").join(readable, "doc", "left")
+    out = given.select("doc", "imaging", "narrative", "limitations").join(by_document(who), "doc")
+    for more in (nested, nested_labs, identity.select("doc", "other_names"), verbatim, documents.withColumnRenamed("notes", "known"), readable):
+        out = out.join(by_document(more), "doc", "left")
     narrative = trim(F.coalesce("narrative", F.lit("")))
     read = F.coalesce("model_only", F.lit(False))
     by_model = F.when(read & (narrative != ""), F.concat(F.lit("--- Read by AI from images/scans (not verified against the text layer) ---\n"), narrative))

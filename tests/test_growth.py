@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docevidence.functions import text
 from docevidence.operators import layout, retrieval
-from docevidence.plans import ingest, questions, store, tables
+from docevidence.plans import extraction, ingest, questions, store, tables
 
 
 def plan(df):
@@ -65,3 +65,31 @@ def test_even_texts_stay_as_they_are(spark):
 
     out = spark.createDataFrame([(t,) for t in [*made, None]], "t string").select(text.normalize_text(F.col("t")).alias("a"), always(F.col("t")).alias("b"))
     assert out.filter("NOT a <=> b").count() == 0
+
+
+def test_documents_are_not_broadcast_to_be_checked(spark, monkeypatch):
+    plans, saved = [], extraction.saved
+    monkeypatch.setattr(extraction, "saved", lambda df, name: plans.append(plan(df)) or saved(df, name))
+    lab = "named_struct('name', 'iron', 'value', '12', 'unit', '', 'normal_range', '5 - 9', 'is_abnormal', false)"
+    outputs = spark.range(3).selectExpr("id doc", f"array({lab}) labs", "array('cough') symptoms", "array(named_struct('name', 'BP', 'value', '120', 'unit', '')) measurements")
+    pages = spark.range(3).selectExpr("id doc", "1 page", "'a' filename", "'iron 12 ref 5 - 9, cough, BP 120' text")
+    tables_ = spark.range(1).selectExpr("id doc", "'1' item", "'zinc' test", "'3' result", "'' unit", "'1 - 2' reference_range", "CAST(NULL AS string) flag", "2 page")
+    out = extraction.verify_extractions(outputs, pages, tables_, spark.range(3).selectExpr("id doc", "false model_only"))
+    assert len(plans) == 8 and not any("Broadcast" in p for p in [*plans, plan(out)])
+    got = out.selectExpr("doc", "transform(labs, x -> x.name || x.flag) labs", "symptoms", "measurements.value", "limitations").orderBy("doc").collect()
+    assert [tuple(r) for r in got] == [(n, [*(["zincHigh"] if n == 0 else []), "ironHigh"], ["cough"], ["120"], []) for n in range(3)]
+
+
+def test_clean_names_stay_as_they_are(spark):
+    rng = random.Random(11)
+    made = ["".join(rng.choices(["iron", " ", "  ", "\t", "\u00a0", "p. 3", "page 2", "·", "|", "12/3/24", "1", ".", "x.pdf", ".PNG y", "-", "µ", "\u2003"], k=rng.randint(0, 5))) for _ in range(3000)]
+
+    def always(c):
+        raw = out = text.trim(c)
+        for tail in text.NAME_TAILS:
+            out = F.regexp_replace(out, tail, "")
+        out = text.trim(F.regexp_replace(out, rf"{text.WS}+", " "))
+        return F.when(out == "", raw).otherwise(out)
+
+    out = spark.createDataFrame([(t,) for t in [*made, None]], "t string").select(text.clean_lab_name(F.col("t")).alias("a"), always(F.col("t")).alias("b"), (text.trim(F.col("t")) == "").alias("empty"))
+    assert out.filter("NOT a <=> b OR NOT (a = '') <=> empty").count() == 0
