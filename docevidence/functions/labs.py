@@ -65,7 +65,9 @@ def map_row(cells: Column, roles: Column) -> Column:
     computes equal ones once a row, where ``cells`` and ``roles`` are columns."""
 
     def get(role: str) -> Column:
-        value = trim(F.get(cells, F.array_position(roles, role).cast("int") - 1))
+        cell = F.get(cells, F.array_position(roles, role).cast("int") - 1)
+        plain = cell.between("!", "~") & F.right(cell, F.lit(1)).between("!", "~")  # begins and ends with a sign of ASCII
+        value = F.when(plain, cell).otherwise(trim(cell))
         return F.when(value != "", value)
 
     row = F.struct(get("test").alias("test"), get("result").alias("result"), cell_number(get("result")).alias("numeric_result"), get("unit").alias("unit"), get("referenceRange").alias("reference_range"), normalize_flag(get("flag")).alias("flag"), get("date").alias("date"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docevidence.functions import labs
 
 LINE_GAP, CELL_GAP, OVERLAP, WORD_GAP, COLUMN_SLACK = 2.0, 8.0, 2.0, 1.0, 12.0
+WORDS_AT_ONCE = 1 << 17
 
 
 def layout_lines(items: DataFrame, doc: str = "document_id", page: str = "page") -> DataFrame:
@@ -45,39 +51,77 @@ def line_cells(items: DataFrame, doc: str = "document_id", page: str = "page") -
     """L14 and L15 at once: (doc, page, line, c: cells as array<struct<x, text>>), as layout_cells of layout_lines gives them where no two
     words of a line have one place and text.
 
-    A page's sorted items are cut into lines and these into cells within the page's row, so words are neither rows again nor sorted and
-    grouped by line and by cell.
+    A page's words are one row, which is cut into lines and cells with those of other pages at once, so words are neither rows again nor
+    sorted and grouped by line and by cell.
     """
     full = items.filter(F.trim("str") != "")
-    pages = full.groupBy(doc, page).agg(F.sort_array(F.collect_list(F.struct((-F.col("y")).cast("double").alias("up"), F.col("x").cast("double").alias("x"), "str", F.col("width").cast("double").alias("width")))).alias("items"))
-    word = "struct<up:double,x:double,str:string,width:double>"
-    begin = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast(f"array<array<{word}>>").alias("done"), F.array().cast(f"array<{word}>").alias("open"))
-
-    def place(s: Column, i: Column) -> Column:
-        """A word joins the open line, or closes it and begins the next."""
-        more = F.struct(s["anchor"].alias("anchor"), s["done"].alias("done"), F.concat(s["open"], F.array(i)).alias("open"))
-        next_line = F.struct(i["up"].alias("anchor"), F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"), F.array(i).alias("open"))
-        return F.when(F.abs(i["up"] - s["anchor"]) <= LINE_GAP, more).otherwise(next_line)
-
-    def join(cells: Column, w: Column) -> Column:
-        """The cells so far (x, text, right) with one more word."""
-        last = F.try_element_at(cells, F.lit(-1))
-        gap = w["x"] - last["right"]
-        right = (w["x"] + w["width"]).alias("right")
-        grown = F.struct(last["x"].alias("x"), F.concat(last["text"], F.when(gap > WORD_GAP, " ").otherwise(""), w["str"]).alias("text"), right)
-        own = F.struct(w["x"].alias("x"), w["str"].alias("text"), right)
-        return F.when(F.coalesce(gap.between(-OVERLAP, CELL_GAP), F.lit(False)), F.concat(F.slice(cells, 1, F.size(cells) - 1), F.array(grown))).otherwise(F.concat(cells, F.array(own)))
-
-    none = F.array().cast("array<struct<x:double,text:string,right:double>>")
-
-    def cells_of(words: Column) -> Column:
-        level = F.element_at(words, 1)["up"] == F.element_at(words, -1)["up"]  # in order of x already
-        fields = lambda w: F.struct(w["x"].alias("x"), w["str"].alias("str"), w["width"].alias("width"))
-        ordered = F.when(level, F.transform(words, fields)).otherwise(F.sort_array(F.transform(words, fields)))
-        return F.sort_array(F.transform(F.aggregate(ordered, none, join), lambda c: F.struct(c["x"].alias("x"), F.trim(c["text"]).alias("text"))))
-
-    lines = F.aggregate("items", begin, place, lambda s: F.concat(s["done"], F.array(s["open"])))
-    return pages.select(doc, page, F.posexplode(F.transform(lines, cells_of)).alias("line", "c"))
+    pages = full.groupBy(doc, page).agg(F.collect_list(F.struct((-F.col("y")).cast("double").alias("up"), F.col("x").cast("double").alias("x"), "str", F.col("width").cast("double").alias("width"))).alias("items"))
+    cells = F.arrow_udf(cells_of_pages, "array<array<struct<x:double,text:string>>>")
+    return pages.select(doc, page, F.posexplode(cells("items")).alias("line", "c"))
+
+
+def cells_of_pages(pages: pa.Array) -> pa.Array:
+    """L14 and L15 of pages, each its words (up, x, str, width) in any order: lines of cells (x, text). Some pages at a time, by their words."""
+    ends = np.cumsum(pc.list_value_length(pages).to_numpy(zero_copy_only=False))
+    parts, at = [], 0
+    while at < len(pages):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS_AT_ONCE, "right")))
+        parts.append(_page_cells(pages.slice(at, stop - at)))
+        at = stop
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("text", pa.string())]))))
+
+
+def _page_cells(pages: pa.Array) -> pa.Array:
+    words, page = pages.flatten(), np.repeat(np.arange(len(pages)), pc.list_value_length(pages).to_numpy(zero_copy_only=False))
+    place = lambda v: (0, 0.0) if v is None else (1, v) if v == v else (2, 0.0)  # noqa: E731  as Spark sorts: null, numbers, NaN
+    word = lambda i, *keys: (*(place(words[i][k].as_py()) for k in keys), words[i]["str"].as_py(), place(words[i]["width"].as_py()))
+    number = lambda k: pc.struct_field(words, k).to_numpy(zero_copy_only=False)  # noqa: E731  null is NaN
+    up, x, width = (number(k) for k in ("up", "x", "width"))
+    order = _in_order(page, [up, x], lambda i: word(int(i), "up", "x"))
+    up, x, width = up[order], x[order], width[order]
+    with np.errstate(invalid="ignore"):  # of places that are not finite
+        # A word that is too far from the one before is so from the line's first, too; a run without such gaps is a line if its ends are near.
+        new = np.append(True, (page[1:] != page[:-1]) | ~(np.diff(up) <= LINE_GAP)) if len(page) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(page))[: len(first)] - 1
+        for a, b in zip(first[far := up[last] - up[first] > LINE_GAP], last[far], strict=True):
+            anchor = up[a]
+            for i in range(a + 1, b + 1):
+                if up[i] - anchor > LINE_GAP:
+                    new[i], anchor = True, up[i]
+        line = np.cumsum(new)
+        by_x = _in_order(line, [x], lambda i: word(int(order[i]), "x"))
+        order, x, width = order[by_x], x[by_x], width[by_x]
+        gap = np.append(np.nan, x[1:] - (x[:-1] + width[:-1]))[: len(x)]
+        own = new | ~((gap >= -OVERLAP) & (gap <= CELL_GAP))
+    text, begin = pc.struct_field(words, "str").take(pa.array(order)), np.flatnonzero(own)
+    if len(begin) < len(own):
+        text = pc.if_else(pa.array(~own & (gap > WORD_GAP)), pc.binary_join_element_wise(pa.scalar(" ", text.type), text, pa.scalar("", text.type)), text)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(begin, len(own)), pa.int32()), text), pa.scalar("", text.type))
+    text = pc.utf8_trim(text, characters=" ")
+    of_line, left = line[begin], pc.struct_field(words, "x").take(pa.array(order[begin]))
+    by_text = pa.array(_in_order(of_line, [x[begin]], lambda i: (place(left[int(i)].as_py()), text[int(i)].as_py())))
+    cells = pa.StructArray.from_arrays([left.take(by_text), text.take(by_text)], ["x", "text"])
+    lines = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(np.diff(of_line, prepend=0)), len(of_line)), pa.int32()), cells)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(page[new], np.arange(len(pages) + 1)), pa.int32()), lines)
+
+
+def _in_order(group: np.ndarray, keys: list[np.ndarray], exact: Callable[[int], tuple]) -> np.ndarray:
+    """Positions of rows, which stand by ``group``, in order of ``keys`` within it; where keys tie or are not numbers, a group's rows go by ``exact``."""
+
+    def loose(order: np.ndarray) -> np.ndarray:
+        less, even = np.zeros(max(0, len(order) - 1), bool), group[1:] == group[:-1]
+        for k in (k[order] for k in keys):
+            less, even = less | (even & (k[1:] > k[:-1])), even & (k[1:] == k[:-1])
+        return (group[1:] == group[:-1]) & ~less
+
+    order = np.arange(len(group))
+    if loose(order).any():
+        order = np.lexsort((*reversed(keys), group))
+        for g in np.unique(group[1:][loose(order)]):
+            a, b = np.searchsorted(group, [g, g + 1])
+            order[a:b] = sorted(order[a:b], key=exact)
+    return order
 
 
 def layout_tables(cells: DataFrame, doc: str = "document_id", page: str = "page") -> DataFrame:

@@ -1,10 +1,13 @@
 """Steps that took more than their share on larger tables: joins back to embedded texts, keys of repeated questions, words as rows."""
 
+import math
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from docevidence.functions import text
+from docevidence.functions import labs, text
 from docevidence.operators import layout, retrieval
 from docevidence.plans import extraction, ingest, questions, store, tables
 
@@ -93,3 +96,53 @@ def test_clean_names_stay_as_they_are(spark):
 
     out = spark.createDataFrame([(t,) for t in [*made, None]], "t string").select(text.clean_lab_name(F.col("t")).alias("a"), always(F.col("t")).alias("b"), (text.trim(F.col("t")) == "").alias("empty"))
     assert out.filter("NOT a <=> b OR NOT (a = '') <=> empty").count() == 0
+
+
+def test_ends_of_texts_and_cells(spark):
+    rng = random.Random(12)
+    made = ["".join(rng.choices([*text.BLANK, "a", "~", "~b", "!", "é", "\u2010", "\x1f", "\x85", "12"], k=rng.randint(0, 4))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in [*made, None]], "t string")
+    always = F.col("t")
+    for pattern, to in ((r"\r\n?", "\n"), (text.CONTROL, ""), (text.BLANKS, " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
+        always = F.regexp_replace(always, pattern, to)
+    assert df.filter(~text.normalize_text(F.col("t")).eqNullSafe(text.trim(always))).count() == 0
+    row = labs.map_row(F.array("t", F.lit("1")), F.array(F.lit("test"), F.lit("result")))
+    trimmed = text.trim(F.col("t"))
+    assert df.filter(~row["test"].eqNullSafe(F.when(trimmed != "", trimmed))).count() == 0
+
+
+def test_lines_and_cells_of_pages(spark):
+    """Against a walk over each page's words: places that are null or not finite, words in any order, ties, pages cut apart."""
+    place = lambda v: (0, 0.0) if v is None else (1, v) if v == v else (2, 0.0)
+    number = lambda *v: all(x is not None and x == x for x in v)
+
+    def walk(words):
+        lines, anchor, out = [], None, []
+        for w in sorted(words, key=lambda w: (place(w["up"]), place(w["x"]), w["str"], place(w["width"]))):
+            if number(w["up"], anchor) and abs(w["up"] - anchor) <= layout.LINE_GAP:
+                lines[-1].append(w)
+            else:
+                lines.append([w])
+                anchor = w["up"]
+        for line in lines:
+            cells = []
+            for w in sorted(line, key=lambda w: (place(w["x"]), w["str"], place(w["width"]))):
+                right = None if None in (w["x"], w["width"]) else w["x"] + w["width"]
+                gap = w["x"] - cells[-1][2] if cells and None not in (w["x"], cells[-1][2]) else math.nan
+                if -layout.OVERLAP <= gap <= layout.CELL_GAP:
+                    cells[-1] = (cells[-1][0], cells[-1][1] + (" " if gap > layout.WORD_GAP else "") + w["str"], right)
+                else:
+                    cells.append((w["x"], w["str"], right))
+            out.append([{"x": x, "text": t} for x, t in sorted(((x, t.strip(" ")) for x, t, _ in cells), key=lambda c: (place(c[0]), c[1]))])
+        return out
+
+    rng, kind = random.Random(13), pa.list_(pa.struct([("up", pa.float64()), ("x", pa.float64()), ("str", pa.string()), ("width", pa.float64())]))
+    for odd in ([], [None, math.nan, math.inf, -math.inf]):
+        pages = [[{"up": rng.choice([-100.0, -99.0, -98.5, -97.5, -95.0, 0.0, *odd]), "x": rng.choice([0.0, 5.0, 12.0, 30.0, 33.0, *odd]), "str": rng.choice(["a", "bb", " c", "é "]), "width": rng.choice([0.0, 3.0, 11.0, *odd])} for _ in range(rng.choice([0, 1, 2, 8, 25]))] for _ in range(300)]
+        want = [walk(p) for p in pages]
+        for at_once in (1, 40, layout.WORDS_AT_ONCE):
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(layout, "WORDS_AT_ONCE", at_once)
+                assert repr(layout.cells_of_pages(pa.array([[], *pages], kind).slice(1)).to_pylist()) == repr(want)
+    items = spark.createDataFrame([("d", 1, "a", 0.0, 9.0, 1.0)], "document_id string, page int, str string, x double, y double, width double")
+    assert "lambda" not in plan(layout.line_cells(items))  # no words in interpreted functions
